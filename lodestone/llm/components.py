@@ -1,0 +1,36 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm._common import drop_saved, save
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` for the nodes of ``edges`` (a, b): the root is a component's smallest node.
+
+    Each round hangs every node under the smallest of its neighbours, once among all and once
+    among the smaller ones, until all edges point at roots. Joins and minima only: no node's
+    neighbours are gathered. Rounds are written to the shared folder, so that lineage stays
+    short; the driver sees two numbers a round. Loops and repeated edges are harmless.
+    """
+    edges = save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = save(large, "edges")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select("v", "m").where("v != m").withColumnsRenamed({"v": "u", "m": "v"})
+        new = save(small.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "edges")
+        drop_saved(edges)
+        drop_saved(large)
+        edges = new
+        state = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if state == before:
+            roots = edges.select("v").distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+        before = state

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, line_dedup, mixing, quality, token_count, url_filter
+from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_bpe": bpe.op2_bpe,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op6_token_counts": token_count.op6_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
