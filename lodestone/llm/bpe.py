@@ -29,6 +29,8 @@ from lodestone.llm.token_count import resolve
 
 #: Different chunks that a Python worker keeps; beyond that it starts over.
 CACHED_CHUNKS = 250_000
+#: Texts of an Arrow batch that are turned into Python objects at once.
+TEXTS_AT_ONCE = 256
 #: Stands for the end-of-word suffix in proposals; no byte letter.
 END = "\ue000"
 NONE = np.iinfo(np.int64).max
@@ -83,9 +85,7 @@ class WordBpe:
         # The library's model merges words that fail; it takes words in byte letters.
         self.exact = tokenizers.Tokenizer.from_file(path).model
         size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.strings = [""] * size
-        for t, i in (*self.vocab.items(), *self.special.items()):
-            self.strings[i] = t
+        self.strings = strings_of(path)
         self.size = size
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
@@ -237,10 +237,6 @@ class WordBpe:
                 out.append(b"".join(map(self.chunks.__getitem__, row)))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The tokens' strings with a space between: what the file, which names no decoder, stands for."""
-        return " ".join([self.strings[i] for i in ids.tolist()])
-
 
 def split_ascii(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
@@ -254,6 +250,20 @@ def bpe_of(path: str) -> WordBpe:
     return WordBpe(resolve(path))
 
 
+@lru_cache(1)
+def strings_of(path: str) -> list[str]:
+    """The string of each token id."""
+    with open(resolve(path), encoding="utf-8") as f:
+        spec = json.load(f)
+    found = {**{i: t for t, i in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec["added_tokens"]}}
+    return [found.get(i, "") for i in range(max(found) + 1)]
+
+
+def join_tokens(strings: list[str], ids: np.ndarray) -> str:
+    """The tokens' strings with a space between: what the file, which names no decoder, stands for."""
+    return " ".join([strings[i] for i in ids.tolist()])
+
+
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int): the token ids of the whole text, without special tokens added.
 
@@ -263,10 +273,12 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        raw = bpe_of(tokenizer).encode_batch(texts.to_pylist())
-        ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
-        flat = np.frombuffer(b"".join(raw), "<i4")
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        made = [pa.array([], pa.list_(pa.int32()))]
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            raw = bpe_of(tokenizer).encode_batch(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
+            ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+        return pa.concat_arrays(made)
 
     text = F.coalesce(F.col(inner(docs, text_col)), F.lit(""))
     return unpacked(packed(docs, text_col, text_col).withColumn("encoded", encoded(text)), docs.columns, **{ids_col: F.col("encoded")})
@@ -277,8 +289,12 @@ def decode(rows: DataFrame, tokenizer: str = "word_bpe_49k.json", ids_col: str =
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        bpe, ends, flat = bpe_of(tokenizer), ids.offsets.to_numpy(), ids.values.to_numpy()
-        return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        strings, ends, flat = strings_of(tokenizer), ids.offsets.to_numpy(), ids.values.to_numpy()
+        made = [pa.array([], pa.string())]
+        for at in range(0, len(ids), TEXTS_AT_ONCE):
+            some = ends[at : at + TEXTS_AT_ONCE + 1]
+            made.append(pa.array([join_tokens(strings, flat[a:b]) for a, b in zip(some[:-1], some[1:], strict=True)], pa.string()))
+        return pa.concat_arrays(made)
 
     return rows.withColumn(text_col, decoded(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))))
 
