@@ -11,6 +11,7 @@ chunk is normalised, split into words and encoded once, and kept in the worker's
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import unicodedata
@@ -19,6 +20,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import Column, DataFrame
@@ -247,7 +249,11 @@ def split_ascii(text: str) -> list[str]:
 
 @lru_cache(1)
 def bpe_of(path: str) -> WordBpe:
-    return WordBpe(resolve(path))
+    made = WordBpe(resolve(path))
+    # The tables stay for the worker's life; the collector needn't walk them again and again.
+    gc.collect()
+    gc.freeze()
+    return made
 
 
 @lru_cache(1)
@@ -259,9 +265,16 @@ def strings_of(path: str) -> list[str]:
     return [found.get(i, "") for i in range(max(found) + 1)]
 
 
-def join_tokens(strings: list[str], ids: np.ndarray) -> str:
+@lru_cache(1)
+def string_array(path: str) -> pa.StringArray:
+    return pa.array(strings_of(path), pa.string())
+
+
+def join_tokens(strings: pa.StringArray, ids: pa.ListArray) -> pa.Array:
     """The tokens' strings with a space between: what the file, which names no decoder, stands for."""
-    return " ".join([strings[i] for i in ids.tolist()])
+    tokens = strings.take(ids.flatten())
+    ends = np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -289,12 +302,9 @@ def decode(rows: DataFrame, tokenizer: str = "word_bpe_49k.json", ids_col: str =
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        strings, ends, flat = strings_of(tokenizer), ids.offsets.to_numpy(), ids.values.to_numpy()
-        made = [pa.array([], pa.string())]
-        for at in range(0, len(ids), TEXTS_AT_ONCE):
-            some = ends[at : at + TEXTS_AT_ONCE + 1]
-            made.append(pa.array([join_tokens(strings, flat[a:b]) for a, b in zip(some[:-1], some[1:], strict=True)], pa.string()))
-        return pa.concat_arrays(made)
+        strings = string_array(tokenizer)
+        made = [join_tokens(strings, ids.slice(at, TEXTS_AT_ONCE)) for at in range(0, len(ids), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return rows.withColumn(text_col, decoded(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))))
 
