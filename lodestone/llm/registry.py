@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, token_count, url_filter
+from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, substring_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_neighbours": neighbours.op4_neighbours,
     "op6_token_counts": token_count.op6_token_counts,
+    "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,

@@ -31,22 +31,23 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranked = keys[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]]
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    # A group's number is the place of its first suffix; 0 stands for the end of the text.
-    group = np.empty(n + 1, np.int64)
-    group[order] = heads + 1
-    group[n] = 0
+    # A group's number is the place of its first suffix.
+    group = np.empty(n, np.int64)
+    group[order] = heads
     done = WORD
     alone = new & np.r_[new[1:], True]
     unsorted = np.flatnonzero(~alone)
     while len(unsorted):
         at = order[unsorted]
-        key = (group[at] << 32) | group[np.minimum(at + done, n)]
+        # Of suffixes that end before that, the shorter comes first.
+        on = at + done
+        key = (group[at] << 32) | np.where(on < n, group[np.minimum(on, n - 1)] + n + 1, n - at)
         sort = np.argsort(key, kind="stable")
         at, key = at[sort], key[sort]
         order[unsorted] = at
         new = np.r_[True, key[1:] != key[:-1]]
         heads = unsorted[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        group[at] = heads + 1
+        group[at] = heads
         unsorted = unsorted[~(new & np.r_[new[1:], True])]
         done *= 2
     place = np.empty(n, np.int64)
