@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import packed, save, table, text_bytes, unpacked
+from lodestone.llm._common import packed, save, slices, table, text_bytes, unpacked
 from lodestone.llm.components import components
 from lodestone.llm.shingles import shingles
 
 #: Documents that may share an n-gram at the front of the order before it goes to the end.
 FREQUENT = 16
+#: A front with such a share of frequent n-grams tells that the whole set may be frequent.
+FULL_SHARE = 0.25
 #: The order's end has so many n-grams at most, the most frequent ones; a bound of what is
 #: broadcast (8 bytes each). It changes what is compared, never what is found.
 MOST_FREQUENT = 1_000_000
@@ -70,7 +72,7 @@ def _frequent(docs: DataFrame, width: int, pick: Callable[[np.ndarray], np.ndarr
     """The n-grams that ``pick`` names in more than FREQUENT documents, sorted."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             picked = [p for s in shingles(batch.column("text").to_pylist(), width) if (p := pick(s)) is not None]
             grams, n = np.unique(np.concatenate(picked), return_counts=True) if picked else (np.empty(0, np.int64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["g", "n"])
@@ -85,7 +87,7 @@ def _sets(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, sig, front, bits = [], [], [], []
             for s in shingles(batch.column("text").to_pylist(), width):
                 n.append(len(s))
@@ -143,7 +145,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     texts = docs.join(needed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("sig", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts, where, who = [], [], []
             for i, s in enumerate(shingles(batch.column("text").to_pylist(), width)):
                 # The fragment by the hash bits; the low bits order the n-grams inside.
@@ -180,9 +182,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("fp"), text_bytes(text_col).alias("text"))
     texts = source.select("text")
 
-    # What is frequent among the fronts; then whole sets of the documents that have such n-grams there.
+    # What is frequent among the fronts; then among the whole sets of documents whose fronts are
+    # full of it, as those of copies and of short texts around a common passage are.
     first = _frequent(texts, width, lambda s: _front(s, percent, None) if len(s) else None)
-    hot = np.union1d(first, _frequent(texts, width, lambda s: s if len(s) and _in(first, _front(s, percent, None)).any() else None))
+
+    def full(s: np.ndarray) -> np.ndarray | None:
+        front = _front(s, percent, None)
+        return s if len(front) and _in(first, front).mean() >= FULL_SHARE else None
+
+    hot = np.union1d(first, _frequent(texts, width, full))
     sets = save(_sets(source, width, percent, hot), "sets")
 
     nodes = sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "fp")).alias("rep"), F.first("front").alias("front"), F.first("bits").alias("bits"))

@@ -51,6 +51,7 @@ class CuckooFilter:
 
     @staticmethod
     def _mix(x: np.ndarray) -> np.ndarray:
+        x = np.atleast_1d(x)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return x ^ (x >> np.uint64(29))
 
@@ -84,7 +85,7 @@ class CuckooFilter:
                     return True
             slot = turn % SLOTS
             mark, self.table[at, slot] = self.table[at, slot], mark
-            at = int(self._other(np.uint64(at), mark))
+            at = int(self._other(np.uint64(at), mark)[0])
         return False
 
     def remove(self, keys: np.ndarray) -> None:

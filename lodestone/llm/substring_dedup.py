@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import packed, same_document, save, table, text_bytes, unpacked
+from lodestone.llm._common import packed, same_document, save, slices, table, text_bytes, unpacked
 from lodestone.llm._release import release
 from lodestone.llm.shingles import mix
 from lodestone.llm.suffix_arrays import equal_windows
@@ -33,7 +33,7 @@ SHARD_BYTES = 1 << 21
 #: Tables of up to so many rows of 16 bytes are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are searched for anchors at once; a longer text is searched by itself.
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 #: Stands for a null id, which comes after all others.
 LAST = (1 << 63) - 1
 
@@ -111,7 +111,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = source.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["id", "fp"], "left_anti")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             who, found = [], []
             for i, hashes, _, _ in anchors(batch.column("text").to_pylist(), length):
                 own = np.unique(hashes)
@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, shared = batch.column("text").to_pylist(), batch.column("hs")
             who, h, start, pieces, names = [], [], [], [], []
             for i, hashes, lo, hi in anchors(texts, length):

@@ -1,0 +1,321 @@
+"""Each operator against brute force or the library that it must equal, on small rows with every odd case."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, shingles, substring_dedup, suffix_arrays, token_count, url_filter
+
+SCHEMA = "doc_id long, text string, source string, n_lines int, kept string, id string, row string"
+LONG = "nouns and verbs " * 4000
+PASSAGE = "a passage that many of these documents share, word for word, and that is long enough to be found"
+
+
+def corpus():
+    """Nulls in every column, empty and very long texts, ties, repeated rows, copies, and columns with clashing names."""
+    r = random.Random(5)
+    words = ["the", "of", "Éa", "tion", "be", "zu", "und", "ou", "ing", "er"]
+    say = lambda n: " ".join(r.choice(words) + r.choice(words) for _ in range(n))
+    base = say(60)
+    rows = [(1, None, "a"), (2, "", "a"), (None, base, "b"), (None, None, None), (5, LONG, None), (6, base, "a"), (7, base, "b"), (7, base, "b"), (8, "one two", "a"), (9, " \n\t ", "b")]
+    for i in range(10, 24):
+        near = base.split(" ")
+        near[i % 60] = f"w{i}"
+        rows.append((i, " ".join(near) if i % 2 else say(30) + "\n" + PASSAGE + "\nShared Line \n" + say(3), "abc"[i % 3]))
+    rows += [(30, "Shared line\n\nShared line", "\U0001f600"), (31, "é\x00<|endoftext|> 'LL", "")]
+    return [(i, t, s, 1, "k", "x", "y") for i, t, s in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+OPERATORS = {
+    "mix": lambda d: mixing.mix_sources(d),
+    "encode": lambda d: bpe.decode(bpe.encode(d)),
+    "jaccard": lambda d: jaccard.similar_groups(d),
+    "count": lambda d: token_count.count_tokens(d),
+    "substring": lambda d: substring_dedup.repeated_spans(d),
+    "urls": lambda d: url_filter.filter_urls(d, url_filter.PRODUCTION_RULES, "text"),
+    "quality": lambda d: quality.quality_rules(d),
+    "lines": lambda d: line_dedup.dedup_lines(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_keeps_rows_and_columns(docs, name):
+    out = OPERATORS[name](docs)
+    assert set(docs.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    ids = lambda rows: sorted((r["doc_id"] is None, r["doc_id"]) for r in rows)
+    assert ids(out.select("doc_id").collect()) == ids(docs.select("doc_id").collect())
+    again = OPERATORS[name](docs.repartition(5))
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_mixing(docs):
+    rows = mixing.mix_sources(docs).collect()
+    size = {}
+    for r in rows:
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+        assert r["size"] == len(words(r["text"])) and r["taken"] == r["size"] * r["repetitions"] and r["repetitions"] <= 3
+    order = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    capped, total = set(), sum(size.values())
+    while True:
+        level = (total - sum(3 * size[s] for s in capped)) / sum(weight[s] for s in order if s not in capped and size[s])
+        more = {s for s in order if s not in capped and size[s] and level * weight[s] > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    for s in order:
+        target = 3 * size[s] if s in capped else level * weight[s]
+        own = [r for r in rows if r["source"] == s]
+        assert all(abs(r["target"] - target) < 1e-6 and r["source_size"] == size[s] for r in own)
+        longest = max(r["size"] * sum(q["doc_id"] == r["doc_id"] and q["text"] == r["text"] for q in own) for r in own)
+        assert abs(sum(r["taken"] for r in own) - target) <= longest / 2 + 1e-6
+
+
+def test_water_fill_clamps_in_rounds(spark):
+    sources = spark.createDataFrame([("a", 10, 5.0), ("b", 100, 3.0), ("c", 30, 3.0), ("d", 0, 1.0), ("e", 9, None)], "source string, source_size long, weight double")
+    found = {r["source"]: r["target"] for r in mixing.water_fill(sources, 149, 2).collect()}
+    assert found == {"a": 20.0, "b": 69.0, "c": 60.0, "d": 0.0, "e": 0.0}
+    assert sum(r["target"] for r in mixing.water_fill(sources, 10_000, 2).collect()) == 280
+
+
+def texts_of_all_kinds():
+    r = random.Random(3)
+    bits = [" ", "  ", "a", "The", "\n", "É", "é", "<|endoftext|>", "<|startoftext|>", "<s>", "▁", "'s", "\t", "日本", "ing", "　", "\x00", "\x1c", "\x85", "😀", "...", "12", "Σ", "ΑΣ", "İ", "ththe"]
+    return ["", " "] + ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+
+
+def test_bpe_equals_library():
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = texts_of_all_kinds()
+    own = bpe.bpe_of("word_bpe_49k.json")
+    for text, raw, whole in zip(texts, own.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == whole.ids, text
+
+
+def test_bpe_query_columns(docs):
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe.decode(bpe.encode(docs)).select("text", "ids", bpe.ids_sha256("ids").alias("sha"), "decoded").collect()
+    for r in out:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+        assert r["sha"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_compatible_pairs_against_merging():
+    own = bpe.bpe_of("word_bpe_49k.json")
+    r = np.random.default_rng(0)
+    whole = [t for t, s in enumerate(own.strings[:49406]) if not s.endswith("</w>") and own.merge(own.symbols(s)) == [t]]
+    a, b = r.choice(whole, 400), r.choice(whole, 400)
+    found = own.compatible(a, b)
+    for x, y, ok in zip(a.tolist(), b.tolist(), found, strict=True):
+        assert ok == (own.merge(own.symbols(own.strings[x]) + own.symbols(own.strings[y])) == [x, y])
+
+
+def test_token_counts_equal_library():
+    counts = token_count.counts_of("piece_bpe_32k.model")
+    texts = texts_of_all_kinds()
+    assert counts.count_batch(texts) == [len(x) for x in counts.model.encode(texts)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(5, 80), (3, 90), (1, 50)])
+def test_jaccard(spark, width, percent):
+    r = random.Random(width)
+    rows = [(x[0], x[1]) for x in corpus() if x[0] is not None]
+    for i in range(100, 160):
+        rows.append((i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 14)))))
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    out = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()
+    assert {(q["doc_id"], q["n_shingles"], q["component_id"]) for q in out} == {(i, len(s), find(i)) for i, s in sets.items()}
+
+
+def test_shingles_of_pieces():
+    texts = [b"", b" a\tb ", b"A b C d", LONG.encode(), b"c d a b c"]
+    alone = [next(shingles.shingles([t], 3)) for t in texts]
+    assert [a.tolist() for a in shingles.shingles(texts, 3)] == [a.tolist() for a in alone]
+    assert [len(a) for a in alone] == [0, 1, 2, 3, 3] and alone[2][0] in alone[2]
+
+
+def test_neighbours_against_brute_force(spark):
+    r = np.random.default_rng(1)
+    vectors = r.normal(size=(400, 16)).astype(np.float32)
+    vectors[50:90] = vectors[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, vectors[0].tolist())]
+    odd = [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [1.0] * 15 + [None]), (504, [float("inf")] * 16), (None, [1.0] * 16), (505, [1.0] * 3), (506, [])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit("x")})
+    out = neighbours.nearest(frame, F.col("vec_id") % 20 == 0).collect()
+    exact = vectors.astype(np.float64)
+    hits = 0
+    for q in range(0, 400, 20):
+        score = (exact * exact[q]).sum(1)
+        best = [i for i in np.lexsort((np.arange(400), -score)) if i != q][:20]
+        own = sorted((x["rank"], x["vec_id"], x["score"]) for x in out if x["query_id"] == q)
+        assert [x[0] for x in own] == list(range(1, 21)) and all(abs(x[2] - score[x[1]]) < 1e-12 for x in own)
+        assert [(-x[2], x[1]) for x in own] == sorted((-x[2], x[1]) for x in own)
+        hits += len({x[1] for x in own} & set(best))
+    assert hits >= 0.9 * 20 * 20 and {x["query_id"] for x in out} == set(range(0, 400, 20))
+
+
+def test_neighbours_few_and_none(spark):
+    schema = "vec_id long, embedding array<double>"
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.5, 0.1])], schema)
+    assert [tuple(r) for r in neighbours.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(20, 1, 3, 1.0), (20, 2, 2, 0.5)]
+    assert neighbours.nearest(spark.createDataFrame([], schema), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 21, 400])
+def test_substrings(docs, shard_bytes):
+    out = substring_dedup.repeated_spans(docs, shard_bytes=shard_bytes).collect()
+    rows = [((1 << 63) - 1 if x[0] is None else x[0], (x[1] or "").encode()) for x in corpus()]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
+    for r in out:
+        i, t = (1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        assert r["n_bytes"] == len(t) and r["n_removed"] == gone.sum()
+        assert bytes(r["kept"]) == np.frombuffer(t, np.uint8)[~gone].tobytes()
+        assert len(r["spans"]) == (np.diff(np.r_[0, gone.astype(int)]) == 1).sum()
+
+
+@pytest.mark.parametrize("text", [b"a", b"a" * 40, b"ab" * 30, b"\0" * 90, bytes(random.Random(1).choices(b"abc", k=900)), bytes(random.Random(2).choices(b"ab", k=70)) * 9])
+def test_suffix_array_and_common_prefixes(text):
+    raw = np.frombuffer(text, np.uint8)
+    order, place = suffix_arrays.suffix_array(raw)
+    expected = sorted(range(len(text)), key=lambda i: text[i:])
+    assert order.tolist() == expected
+    common = suffix_arrays.common_prefixes(raw, order, place, 50)
+    for k in range(1, len(text)):
+        a, b = text[expected[k - 1] :], text[expected[k] :]
+        assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or i == 50), min(len(a), len(b), 50))
+
+
+def test_merge_by_binary_search():
+    runs = [(np.array([b"a", b"c", b"d"]), np.array([5, 6, 7])), (np.array([b"b", b"c"]), np.array([1, 2])), (np.array([], "S1"), np.array([], np.int64))]
+    assert [m.tolist() for m in substring_dedup.merge_sorted(runs)] == [[5, 2, 7], [1, 2], []]
+
+
+URLS = [None, "", "nothing", "http://", "http://org", "http://A.ORG/x", "http://example.org/es/1", "http://x.example.org/en/123", "http://badexample.org/es/", "https://b.com/fr/?a", "http://com/de/#x", "http://b.com/de", "http://u:p@x.com:80/fr/"]
+
+
+def test_url_rules(spark):
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(None, URLS[5])], "page_id long, url string")
+    found = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(frame, url_filter.PRODUCTION_RULES).collect()}
+    assert found[None] == ("", "", None, "block") and found["nothing"] == ("", "", None, "block")
+    assert found["http://org"] == ("org", "", None, "allow")
+    assert found["http://A.ORG/x"] == ("a.org", "/x", "org/", "allow")
+    assert found["http://example.org/es/1"][2:] == ("example.org/es/", "block")
+    assert found["http://x.example.org/en/123"][2:] == ("example.org/en/1", "block")
+    assert found["http://badexample.org/es/"][2:] == ("org/", "allow")
+    assert found["https://b.com/fr/?a"] == ("b.com", "/fr/", "com/fr/", "allow")
+    assert found["http://com/de/#x"][2:] == ("com/de/", "block") and found["http://b.com/de"][2:] == (None, "allow")
+    assert found["http://u:p@x.com:80/fr/"][2:] == (None, "allow")
+
+
+def test_url_word_and_tokenless_rules(spark):
+    frame = spark.createDataFrame([("http://x.com/Casino/1",), ("http://x.com/casinos",), ("http://é.com/ü",)], "url string")
+    rules = [url_filter.word_rule("casino"), url_filter.Rule("ü", "block", "ü", ())]
+    found = {r["url"]: r["rule"] for r in url_filter.filter_urls(frame, rules).collect()}
+    assert found == {"http://x.com/Casino/1": "*casino*", "http://x.com/casinos": None, "http://é.com/ü": "ü"}
+
+
+def test_base_stats():
+    stats = quality.base_stats("a b# é\n\na b# é \na b# é\n \n ".encode())
+    assert stats == (9, 12, 3, 1, 0)
+    eight = " ".join("abcdefgh")
+    assert quality.base_stats(f"{eight} x {eight} y".encode())[4] == 16
+    assert quality.base_stats(("a " * 9).encode())[4] == 9
+
+
+def test_quality_takes_out_frequent_lines(spark):
+    rows = [(i, f"Menu home {i % 10}\n" + " ".join(f"w{i}x{k}" for k in range(30)), "h") for i in range(15)] + [(i, "menu home 7\nmenu home 8 \n" + "q " * 2 + " ".join(f"z{k}" for k in range(18 if i == 99 else 19)), None) for i in (98, 99)]
+    rows += [(50, "Menu Home 7\n" + "\n".join(["menu home 1"] * 30) + "\nlast words", "h")]
+    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repeat_percent=100).collect()}
+    assert all(out[i]["kept"] and not out[i]["text"].startswith("Menu") for i in range(15))
+    assert out[99]["kept"] and out[99]["text"].startswith("menu"), "the line is not frequent on another host"
+    assert not out[50]["kept"] and not out[50]["base_failed"]
+
+
+def line_result(rows, least):
+    keys = lambda t: [x.strip().lower() for x in (t or "").encode().split(b"\n")]
+    have = {}
+    for i, t in {(i, t) for i, t in rows}:
+        for k in set(keys(t)):
+            have.setdefault(k, set()).add((i, t))
+    out = {}
+    for i, t in rows:
+        lines = (t or "").encode().split(b"\n")
+        left = [x for x, k in zip(lines, keys(t), strict=True) if not k or len(have[k]) < least]
+        out[i, t] = (len(lines), len(lines) - len(left), b"\n".join(left).decode())
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_lines(docs, least):
+    rows = [(x[0], x[1]) for x in corpus()]
+    expected = line_result(rows, least)
+    out = line_dedup.dedup_lines(docs.withColumn("given", F.col("text")), min_docs=least).collect()
+    for r in out:
+        assert (r["n_lines"], r["n_dropped"], r["text"]) == expected[r["doc_id"], r["given"]]
+
+
+def test_lines_are_reversible(docs):
+    early, late = docs.where("doc_id < 15"), docs.where("doc_id >= 15 OR doc_id IS NULL")
+    state = line_dedup.build_state(early, min_docs=3)
+    both = line_dedup.update_state(state, late, 1)
+    back = line_dedup.update_state(both, late, -1)
+    view = lambda d, s=None: sorted(map(str, line_dedup.dedup_lines(d, s, min_docs=3).collect()))
+    assert view(docs, both) == view(docs) and view(early, back) == view(early, state) != view(early, both)
+    counts = lambda s: sorted(tuple(r) for r in s.counts.select("k1", "k2", "n_docs").collect())
+    assert counts(back) == counts(state)
+
+
+def test_cuckoo_filter():
+    keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    made = line_dedup.CuckooFilter.build(keys)
+    assert made.contains(keys).all() and made.contains(keys + 1).mean() < 0.01
+    made.remove(keys[:2000])
+    assert made.contains(keys[2000:]).all() and made.contains(keys[:2000]).mean() < 0.01
+    again = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
+    assert again.insert(keys[:2000]) and again.contains(keys).all()
