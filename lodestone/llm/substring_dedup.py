@@ -213,8 +213,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     runs = searched.where("name IS NOT NULL")
     strings = searched.where("string IS NOT NULL")
-    slices = F.pmod(F.xxhash64("string"), F.lit(max(1, -(-strings.count() * length // shard_bytes))))
-    merged = strings.withColumn("slice", slices).groupBy("h", "slice").applyInArrow(merge, "h long, part int, number long, least long")
+    slice_of = F.pmod(F.xxhash64("string"), F.lit(max(1, -(-strings.count() * length // shard_bytes))))
+    merged = strings.withColumn("slice", slice_of).groupBy("h", "slice").applyInArrow(merge, "h long, part int, number long, least long")
     settled = runs.where("part < 0").select("h", "name", "a", "b", "least").unionByName(runs.where("part >= 0").drop("least").join(merged, ["h", "part", "number"]).select("h", "name", "a", "b", "least"))
     gone = places.select("h", "name", "id", "fp", "start").join(settled, ["h", "name"]).where("least < id")
     gone = gone.groupBy("id", "fp").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + length).alias("b"))).alias("gone"), F.lit(False).alias("whole"))
