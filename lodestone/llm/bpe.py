@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import gc
 import json
-import struct
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -40,7 +42,10 @@ NONE = np.iinfo(np.int64).max
 
 def as_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 def byte_letters() -> list[str]:
@@ -169,7 +174,7 @@ class WordBpe:
         """Token ids, as 32-bit integers, of different words in byte letters, none of them empty."""
         if not words:
             return []
-        found = np.array(list(self.longest.iter_long(END.join(words) + END)), np.int64)
+        found = np.fromiter(chain.from_iterable(self.longest.iter_long(END.join(words) + END)), np.int64).reshape(-1, 2)
         ends, flat = found[:, 0], found[:, 1]
         stops = np.cumsum([len(w) + 1 for w in words])
         word = np.searchsorted(stops, ends, side="right")
@@ -188,19 +193,27 @@ class WordBpe:
         chunks = [c for c in chunks if c not in self.chunks]
         if not chunks:
             return
-        found = self.words.findall(lower(unicodedata.normalize("NFC", "\n".join(chunks))))
-        words = list(dict.fromkeys(w for w in found if w != "\n"))
+        # Most chunks are a word of plain letters; the others are normalised and split.
+        plain = [c for c in chunks if c.isascii() and c.isalpha()]
+        odd = [c for c in chunks if not (c.isascii() and c.isalpha())]
+        found = self.words.findall(lower(unicodedata.normalize("NFC", "\n".join(odd)))) if odd else []
+        lowered = [c.lower() for c in plain]
+        words = dict.fromkeys(lowered)
+        words.update(dict.fromkeys(found))
+        words.pop("\n", None)
         lettered = "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n") if words else []
         ids = dict(zip(words, self.encode_words(lettered), strict=True)) | {"\n": None}
+        self.chunks.update(zip(plain, map(ids.__getitem__, lowered), strict=True))
         own: list[bytes] = []
-        rest = iter(chunks)
+        rest = iter(odd)
         for item in map(ids.__getitem__, found):
             if item is None:
                 self.chunks[next(rest)] = b"".join(own)
                 own = []
             else:
                 own.append(item)
-        self.chunks[next(rest)] = b"".join(own)
+        if odd:
+            self.chunks[next(rest)] = b"".join(own)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers."""
