@@ -228,3 +228,23 @@ def op3_jaccard_join(spark, sf_dir):
     """All documents by 3-word shingles at 90 percent."""
     out = similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+#: Fine on small tables, where pairs that share any n-gram are few.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.x, CASE WHEN e.a = r.y THEN e.b ELSE e.a END FROM r JOIN e ON r.y = e.a OR r.y = e.b
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) ON x = w.doc_id
+"""
