@@ -130,14 +130,17 @@ def _unlike(a: Column, b: Column) -> Column:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs (a, b) that are similar: bitmaps first, then exact overlaps by fragment."""
-    bits = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    """The pairs (a, b) that are similar: bitmaps first, if nodes have them, then exact overlaps by fragment."""
+    own = [c for c in ("n", "bits") if c in nodes.columns]
+    left, right = (nodes.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}{s}") for c in own]) for s in "ab")
     pairs = pairs.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
-    pairs = pairs.join(bits, "a").join(bits.withColumnsRenamed({"a": "b", "na": "nb", "bits_a": "bits_b"}), "b")
+    pairs = pairs.join(left, "a").join(right, "b")
     total = F.col("na") + F.col("nb")
-    # Similar sets differ in total - 2 * overlap members at most.
-    most = total - 2 * F.ceil(total * percent / (100 + percent))
-    pairs = save(pairs.where(_unlike(F.col("bits_a"), F.col("bits_b")) <= most).select("a", "b", "na", "nb"), "pairs")
+    if "bits" in own:
+        # Similar sets differ in total - 2 * overlap members at most.
+        most = total - 2 * F.ceil(total * percent / (100 + percent))
+        pairs = pairs.where(_unlike(F.col("bitsa"), F.col("bitsb")) <= most)
+    pairs = save(pairs.select("a", "b", "na", "nb"), "pairs")
 
     needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     needed = save(needed.join(nodes, "sig").select("sig", F.col("rep.id").alias("rid"), F.col("rep.fp").alias("rfp")), "pair-nodes")
@@ -168,6 +171,33 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     return save(summed.where(F.col("overlap") * (100 + percent) >= total * percent).select("a", "b"), "links")
 
 
+def linked_components(posts: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
+    """``node``, ``root`` for the nodes (sig) that links reach; posts that share a ``gram`` propose the pairs.
+
+    ``posts``: sig, n, gram and pos, the gram's place in its set's order (0 where there is none).
+    ``nodes``: sig, n, rep (id and fp of a text of ``docs`` with the set) and, perhaps, bits.
+    """
+    shared = posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    posts = save(posts.join(shared, "gram"), "posts")
+
+    # All nodes of an n-gram against the one that has it nearest to its front.
+    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("hub"))
+    hubs = hubs.select("gram", F.col("hub.sig").alias("sig2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2"))
+    pairs = posts.join(hubs, "gram").where((F.col("sig") != F.col("sig2")) & _may_link(percent))
+    links = _links(pairs, nodes, docs, width, percent, fragments)
+    roots = save(components(links), "roots")
+
+    # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
+    placed = posts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = save(placed, "posts")
+    main = placed.groupBy("gram").agg(F.min_by("root", F.struct("pos", "n", "sig")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram", "main")
+    open_posts = placed.join(main, "gram")
+    strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
+    apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
+    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), nodes, docs, width, percent, fragments)
+    return save(components(links.unionByName(more)), "roots")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the document's set) and ``component_id``.
 
@@ -196,25 +226,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "fp")).alias("rep"), F.first("front").alias("front"), F.first("bits").alias("bits"))
     nodes = save(nodes, "nodes")
     posts = nodes.select("sig", "n", F.posexplode("front").alias("pos", "gram"))
-    shared = posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    posts = save(posts.join(shared, "gram"), "posts")
-
-    # All nodes of an n-gram against the one that has it nearest to its front.
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("hub"))
-    hubs = hubs.select("gram", F.col("hub.sig").alias("sig2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2"))
-    pairs = posts.join(hubs, "gram").where((F.col("sig") != F.col("sig2")) & _may_link(percent))
-    links = _links(pairs, nodes, source, width, percent, fragments)
-    roots = save(components(links), "roots")
-
-    # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
-    placed = posts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = save(placed, "posts")
-    main = placed.groupBy("gram").agg(F.min_by("root", F.struct("pos", "n", "sig")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram", "main")
-    open_posts = placed.join(main, "gram")
-    strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
-    apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
-    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), nodes, source, width, percent, fragments)
-    roots = save(components(links.unionByName(more)), "roots")
+    roots = linked_components(posts, nodes, source, width, percent, fragments)
 
     named = nodes.select("sig", "least_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, substring_dedup, token_count, url_filter
+from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, paragraph_dedup, quality, substring_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_bpe": bpe.op2_bpe,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_neighbours": neighbours.op4_neighbours,
+    "op5_paragraph_dedup": paragraph_dedup.op5_paragraph_dedup,
     "op6_token_counts": token_count.op6_token_counts,
     "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_url_filters": url_filter.op8_url_filters,
@@ -16,8 +17,8 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-#: The mix is a seeded choice, the index approximate, the tokenizers are libraries, and SQL over all
-#: 50-byte strings is too slow: tests hold these against brute force and against the libraries.
+#: The mix is a seeded choice, the index and MinHash are approximate, the tokenizers are libraries, and
+#: SQL over all 50-byte strings is too slow: tests hold these against brute force and against the libraries.
 SQL = {
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op8_url_filters": url_filter.OP8_SQL,

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, quality, shingles, substring_dedup, suffix_arrays, token_count, url_filter
+from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, paragraph_dedup, quality, shingles, substring_dedup, suffix_arrays, token_count, url_filter
 
 SCHEMA = "doc_id long, text string, source string, n_lines int, kept string, id string, row string"
 LONG = "nouns and verbs " * 4000
@@ -43,6 +43,7 @@ OPERATORS = {
     "encode": lambda d: bpe.decode(bpe.encode(d)),
     "jaccard": lambda d: jaccard.similar_groups(d),
     "count": lambda d: token_count.count_tokens(d),
+    "paragraphs": lambda d: paragraph_dedup.dedup_paragraphs(d),
     "substring": lambda d: substring_dedup.repeated_spans(d),
     "urls": lambda d: url_filter.filter_urls(d, url_filter.PRODUCTION_RULES, "text"),
     "quality": lambda d: quality.quality_rules(d),
@@ -319,3 +320,57 @@ def test_cuckoo_filter():
     assert made.contains(keys[2000:]).all() and made.contains(keys[:2000]).mean() < 0.01
     again = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
     assert again.insert(keys[:2000]) and again.contains(keys).all()
+
+
+def test_bands_reach_recall():
+    n_bands = paragraph_dedup.tune_bands(0.8, 0.999)
+    assert 1 - (1 - 0.8**paragraph_dedup.ROWS) ** n_bands >= 0.999 > 1 - (1 - 0.8**paragraph_dedup.ROWS) ** (n_bands - 1)
+    r = np.random.default_rng(1)
+    met = 0
+    for _ in range(2000):
+        both = r.integers(-(1 << 63), (1 << 63) - 1, 90)
+        a, b = paragraph_dedup.bands_of(both[:81], n_bands), paragraph_dedup.bands_of(both[9:], n_bands)
+        met += bool((a == b).any())
+    assert met >= 1985
+
+
+def test_paragraphs_against_brute_force(spark):
+    """Copies, near copies in chains, copies in one text, and unlike paragraphs."""
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    chain = [say(60)]
+    for i in range(6):
+        chain.append(chain[-1][: 50 - 4 * i] + [f"new{i}"] + chain[-1][51 - 4 * i :])
+    common = " ".join(say(55))
+    texts = [" ".join(say(30)) + "\n" + " ".join(c) + "\n" + " ".join(say(8)) for c in chain] + [common + "\n" + common.upper(), "x\n  " + common, common] + [" ".join(say(40)) for _ in range(10)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)] + [(None, common)], "doc_id long, text string")
+
+    def shingle_set(line):
+        w = line.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    at = [(d is None, d or 0, i, shingle_set(x)) for d, t in [(r["doc_id"], r["text"]) for r in docs.collect()] for i, x in enumerate(t.split("\n")) if len(x.split()) >= 20]
+    root = list(range(len(at)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(at)):
+        for j in range(i):
+            if 100 * len(at[i][3] & at[j][3]) >= 80 * len(at[i][3] | at[j][3]):
+                root[top(i)] = top(j)
+    first = {}
+    for i, p in enumerate(at):
+        first[top(i)] = min(first.get(top(i), p[:3]), p[:3])
+    gone = {p[:3] for i, p in enumerate(at) if p[:3] != first[top(i)]}
+    assert len(gone) == 10
+    for row, text in [(r, (docs.where(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]))).first()["text"])) for r in paragraph_dedup.dedup_paragraphs(docs).collect()]:
+        key = (row["doc_id"] is None, row["doc_id"] or 0)
+        lines = text.split("\n")
+        assert row["text"] == "\n".join(x for i, x in enumerate(lines) if (*key, i) not in gone)
+        assert row["n_dropped"] == sum((*key, i) in gone for i in range(len(lines))) and row["n_bytes"] == len(text.encode())
+        assert all(text.encode()[s["start"] : s["stop"]].split(b"\n")[0].decode() in lines for s in row["spans"])
