@@ -1,9 +1,12 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line of enough words. Paragraphs with the same set of word shingles are one
-node; a node's MinHash values are cut into bands, so many that a pair at the similarity limit
-shares one with the wanted recall. Colliding nodes are joined, their exact Jaccard similarity
-is computed from their texts, and of each component of links only the first paragraph stays.
+A paragraph is a piece of a line, cut where the words themselves say so: at the start of a
+three-word run whose hash is the least for some words around. So a passage has the same
+paragraphs inside, whatever stands before and after it. Paragraphs with the same set of word
+shingles are one node; a node's MinHash values are cut into bands, so many that a pair at the
+similarity limit shares one with the wanted recall. Colliding nodes are joined, their exact
+Jaccard similarity is computed from their texts, and of each component of links only the first
+paragraph stays.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import inner, packed, same_document, save, slices, table, text_bytes, unpacked
 from lodestone.llm._release import release
 from lodestone.llm.jaccard import linked_components
-from lodestone.llm.shingles import mix, shingles
+from lodestone.llm.shingles import cut_words, mix, shingles
 
 #: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed.
 ROWS = 3
+#: Sets that are hashed at once.
+SETS = 4096
 
 
 def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
@@ -31,22 +36,59 @@ def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def bands_of(found: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
-    """One hash for each band of a set of shingles; the band's number is part of it."""
+def bands_of(sets: list[np.ndarray], n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """For each set of shingles (none empty) one hash for each band; the band's number is part of it."""
+    flat = np.concatenate(sets).view(np.uint64)
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.tile(np.arange(n_bands, dtype=np.uint64), (len(sets), 1))
     k = np.arange(1, n_bands * rows + 1, dtype=np.uint64)
-    turn = mix(k)
-    odd = mix(k + np.uint64(1 << 32)) | np.uint64(1)
-    least = ((found.view(np.uint64)[None, :] ^ turn[:, None]) * odd[:, None]).min(axis=1)
-    out = np.arange(n_bands, dtype=np.uint64)
+    turn, odd = mix(k), mix(k + np.uint64(1 << 32)) | np.uint64(1)
     for r in range(rows):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[r::rows])
+        for band in range(n_bands):
+            i = band * rows + r
+            least = np.minimum.reduceat((flat ^ turn[i]) * odd[i], at)
+            out[:, band] = mix(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + least)
     return out.view(np.int64)
 
 
-def paragraphs(text: bytes, min_words: int) -> list[tuple[int, bytes]]:
-    """Number and bytes of each line of at least ``min_words`` words."""
-    # So many words need so many bytes and white space between.
-    return [(i, x) for i, x in enumerate(text.split(b"\n")) if len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words]
+def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
+    """Start, stop and following start in bytes of each paragraph; the last one of a line is followed by its own stop.
+
+    A line is cut at a word where the hash of it and the next two is less than at the
+    ``min_words`` - 1 words before and not more than at as many after, all in the line, and both
+    parts keep ``min_words`` words. A line of fewer words has no paragraph.
+    """
+    hashes, starts, stops = cut_words(text, 3)
+    n, reach = len(starts), min_words - 1
+    if n < min_words:
+        return []
+    raw = np.frombuffer(text, np.uint8)
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    new = np.concatenate([[True], line[1:] != line[:-1]])
+    first = np.flatnonzero(new)
+    rank = np.cumsum(new) - 1
+    begin, end = first[rank], np.append(first[1:], n)[rank]
+    word, most = np.arange(n), np.uint64((1 << 64) - 1)
+    own = np.full(n, most)
+    own[: len(hashes)] = hashes
+    own[word + 3 > end] = most
+    cut = np.zeros(n, bool)
+    if reach:
+        # Lines stand so far apart that no window reaches another.
+        slot = word + reach * (rank + 1)
+        spread = np.full(n + reach * (len(first) + 2), most)
+        spread[slot] = own
+        least = np.lib.stride_tricks.sliding_window_view(spread, reach).min(axis=1)
+        cut = (own < least[slot - reach]) & (own <= least[slot + 1])
+    else:
+        cut[:] = True
+    cut &= (word - begin >= min_words) & (end - word >= min_words)
+    at = np.flatnonzero(cut | new)
+    to = np.append(at[1:], n)
+    inside = np.append(~new[at[1:]], False)
+    follow = np.where(inside, starts[np.minimum(to, n - 1)], stops[to - 1])
+    long = to - at >= min_words
+    return list(zip(starts[at][long].tolist(), stops[to - 1][long].tolist(), follow[long].tolist(), strict=True))
 
 
 def _each(make: Callable[[list, list, list[bytes]], list[pa.Array]], names: list[str], min_words: int) -> Callable:
@@ -56,10 +98,10 @@ def _each(make: Callable[[list, list, list[bytes]], list[pa.Array]], names: list
         for batch in slices(batches):
             at, pos, lines = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, line in paragraphs(text, min_words):
+                for k, (start, stop, _) in enumerate(paragraphs(text, min_words)):
                     at.append(i)
                     pos.append(k)
-                    lines.append(line)
+                    lines.append(text[start:stop])
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), *make(batch.column("fp").take(take), pos, lines)], names=names)
 
@@ -74,19 +116,20 @@ def dedup_paragraphs(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_words: int = 20,
+    min_words: int = 8,
     width: int = 5,
     percent: int = 80,
     recall: float = 0.999,
 ) -> DataFrame:
     """``docs`` with ``text`` freed of repeated paragraphs, and ``n_bytes``, ``n_paragraphs``, ``n_dropped``, ``spans``.
 
-    Two paragraphs (lines of ``min_words`` words or more, between ASCII white space) link when
-    their sets of ``width``-word shingles, A-Z lower-cased, have 100 * overlap >= ``percent`` *
-    union. A pair at that limit is found with probability ``recall``, more alike ones almost
-    surely, equal sets always. Of the paragraphs that links connect, the one of the smallest id,
-    then the first in its text, stays; the others go with a line feed. ``spans`` (array of start,
-    stop) has the bytes of the lines that went, in maximal runs; ``n_bytes`` is the input's size.
+    Two paragraphs (see :func:`paragraphs`; words between ASCII white space) link when their sets
+    of ``width``-word shingles, A-Z lower-cased, have 100 * overlap >= ``percent`` * union. A pair
+    at that limit is found with probability ``recall``, more alike ones almost surely, equal sets
+    always. Of the paragraphs that links connect, the one of the smallest id, then the first in
+    its text, stays; the others go with the white space up to the next paragraph of their line.
+    ``spans`` (array of start, stop) has the bytes that went, in maximal runs; ``n_bytes`` is the
+    input's size.
 
     Null ids come last. A null or empty text has no paragraphs and comes back as the empty text;
     rows that repeat a document get the same result, and don't repeat each other; an empty table
@@ -98,11 +141,9 @@ def dedup_paragraphs(
     kind = source.schema["id"].dataType.simpleString()
 
     def describe(fp: pa.Array, pos: list[int], lines: list[bytes]) -> list[pa.Array]:
-        n, sig, bands = [], [], [np.empty(0, np.int64)]
-        for s in shingles(lines, width):
-            n.append(len(s))
-            sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-            bands.append(bands_of(s, n_bands))
+        sets = list(shingles(lines, width))
+        n, sig = [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        bands = [bands_of(sets[i : i + SETS], n_bands).ravel() for i in range(0, len(sets), SETS)] or [np.empty(0, np.int64)]
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands)
         return [fp, pa.array(pos, pa.int32()), _hashed(lines), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
 
@@ -132,7 +173,7 @@ def dedup_paragraphs(
 
     @F.arrow_udf("n_bytes long, n_paragraphs long, n_dropped long, spans array<struct<start: long, stop: long>>, text string")
     def strip(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        rows = [strip_lines(t.as_py(), set(g.as_py() or ()), min_words) for t, g in zip(texts, gone, strict=True)]
+        rows = [strip_paragraphs(t.as_py(), set(g.as_py() or ()), min_words) for t, g in zip(texts, gone, strict=True)]
         made = pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_paragraphs", pa.int64()), ("n_dropped", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("text", pa.string())]))
         return made
 
@@ -142,19 +183,20 @@ def dedup_paragraphs(
     return unpacked(out, docs.columns, **new, **{text_col: F.col("done.text")})
 
 
-def strip_lines(text: bytes, gone: set[int], min_words: int) -> dict:
-    """A text without the lines numbered in ``gone``, and what went."""
-    lines, left, spans, at = text.split(b"\n"), [], [], 0
-    for i, line in enumerate(lines):
-        stop = at + len(line)
-        if i not in gone:
-            left.append(line)
-        elif spans and i - 1 in gone:
+def strip_paragraphs(text: bytes, gone: set[int], min_words: int) -> dict:
+    """A text without the paragraphs numbered in ``gone``, and what went."""
+    found, left, spans, at = paragraphs(text, min_words), [], [], 0
+    for k in sorted(gone):
+        start, _, stop = found[k]
+        if spans and spans[-1]["stop"] == start:
             spans[-1]["stop"] = stop
         else:
-            spans.append({"start": at, "stop": stop})
-        at = stop + 1
-    return {"n_bytes": len(text), "n_paragraphs": len(paragraphs(text, min_words)), "n_dropped": len(gone), "spans": spans, "text": b"\n".join(left).decode()}
+            spans.append({"start": start, "stop": stop})
+    for s in spans:
+        left.append(text[at : s["start"]])
+        at = s["stop"]
+    left.append(text[at:])
+    return {"n_bytes": len(text), "n_paragraphs": len(found), "n_dropped": len(gone), "spans": spans, "text": b"".join(left).decode()}
 
 
 def op5_paragraph_dedup(spark, sf_dir):

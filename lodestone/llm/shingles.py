@@ -82,6 +82,14 @@ def shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         at = stop
 
 
+def cut_words(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each run of ``width`` words, A-Z lower-cased, and each word's start and stop in bytes."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(text, np.uint8)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    hashes, lengths, _ = _words([text])
+    return _join(hashes, lengths, max(len(hashes) - width + 1, 0), width)[0], edges[0::2], edges[1::2]
+
+
 def _join(hashes: np.ndarray, lengths: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and length of the first ``n`` runs of ``width`` words."""
     joined, long = np.full(n, width, np.uint64), np.zeros(n, np.uint64)
