@@ -25,8 +25,9 @@ from lodestone.llm._release import release
 from lodestone.llm.jaccard import linked_components
 from lodestone.llm.shingles import cut_words, mix, shingles
 
-#: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed.
-ROWS = 3
+#: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed. Paragraphs are
+#: short, so unlike ones seldom share a shingle, while every band is a row to shuffle for each paragraph.
+ROWS = 1
 #: Sets that are hashed at once.
 SETS = 4096
 
