@@ -5,6 +5,10 @@ of its first ``posts`` pivots; a query looks into the files of its first ``probe
 ranks what it finds there by the footrule distance of the orders, and the nearest part of each
 file is ranked again by the exact inner product.
 
+Pivots that post stand apart from each other, so a dense group takes few of them and leaves its
+neighbours' files alone. As they tell little apart inside such a group, orders of further pivots,
+drawn in proportion to the vectors, rank each file a second time.
+
 Vectors that are equal are indexed once, with the smallest ids that a result could name, so a
 vector with very many copies costs no more than another one.
 """
@@ -22,6 +26,8 @@ from lodestone.llm._common import save, table
 
 #: Different vectors of one file that a task ranks; longer files are dealt over several tasks.
 VECTORS_PER_TASK = 20_000
+#: Different vectors, about, that come to the driver as the choice of pivots.
+SAMPLE = 4096
 
 
 def orders(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +39,16 @@ def orders(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray, depth: in
     return order, places
 
 
+def standing_apart(points: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of ``points``: the first, then each time the one farthest from those taken."""
+    taken, away = [0], np.full(len(points), np.inf)
+    while len(taken) < min(n, len(points)):
+        away = np.minimum(away, ((points - points[taken[-1]]) ** 2).sum(1))
+        away[taken[-1]] = -1.0
+        taken.append(int(away.argmax()))
+    return points[taken]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
@@ -45,6 +61,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     n_pivots: int = 128,
+    n_drawn: int = 64,
     depth: int = 64,
     posts: int = 8,
     probes: int = 20,
@@ -53,10 +70,11 @@ def nearest(
 ) -> DataFrame:
     """For each row that ``is_query`` selects, its ``k`` nearest other rows: query_id, rank from 1, vec_id, score.
 
-    Nearness is the inner product in double precision, ties to the smaller id. The pivots are the
-    ``n_pivots`` different vectors that come first in a hashed order, the only sample taken;
-    every row is indexed. Of a file, ``rerank_share`` is ranked exactly, but ``rerank_least``
-    vectors at least. For inner products of vectors that differ in length, each indexed vector
+    Nearness is the inner product in double precision, ties to the smaller id. The only sample
+    taken, by hash, has some ``SAMPLE`` different vectors: ``n_pivots`` of them that stand far
+    apart post and rank, ``n_drawn`` others rank; every row is indexed. Of a file,
+    ``rerank_share`` by each ranking is ranked exactly, but ``rerank_least`` vectors by each
+    at least. For inner products of vectors that differ in length, each indexed vector
     gets one more component that brings it to the greatest length; queries get 0 there.
 
     Rows whose id or vector is null, and vectors that are empty, zero, hold a null or a component
@@ -82,14 +100,15 @@ def nearest(
     different = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.bool_or("asks").alias("asks"))
     different = save(different.join(first, ["h1", "h2"]), "ann-vectors")
 
-    # Bounded: n_pivots vectors come to the driver and go to the tasks.
-    sample = different.orderBy("h1", "h2").limit(n_pivots).select("v").collect()
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    greatest = different.agg(F.max(length)).first()[0]
-    pivots = np.array([r["v"] for r in sample])
-    squares = (pivots**2).sum(1)
-    pivots = np.concatenate([pivots, np.sqrt(np.maximum(greatest - squares, 0))[:, None]], 1)
-    held = spark.sparkContext.broadcast(pivots)
+    greatest, n_different = different.agg(F.max(length), F.count("*")).first()
+    # Bounded: some SAMPLE vectors come to the driver, n_pivots + n_drawn go to the tasks.
+    share = math.ceil(n_different / SAMPLE)
+    sample = different.where(F.pmod("h1", F.lit(share)) == 0).select("h1", "h2", "v").toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])
+    points = np.array(sample["v"].to_pylist())
+    points = np.concatenate([points, np.sqrt(np.maximum(greatest - (points**2).sum(1), 0))[:, None]], 1)
+    held = spark.sparkContext.broadcast((standing_apart(points, n_pivots), points[:n_drawn]))
+    apart = min(n_pivots, len(points))
     dim = size["n"]
 
     def index(asks: bool, files: int):
@@ -99,7 +118,8 @@ def nearest(
                     continue
                 v = batch.column("v").flatten().to_numpy().reshape(-1, dim)
                 extra = np.zeros(len(v)) if asks else np.sqrt(np.maximum(greatest - (v**2).sum(1), 0))
-                order, places = orders(v, extra, held.value, depth)
+                order, places = orders(v, extra, held.value[0], depth)
+                places = np.concatenate([places, orders(v, extra, held.value[1], depth)[1]], 1)
                 n = min(files, order.shape[1])
                 take = pa.array(np.arange(len(v)).repeat(n))
                 out = [pa.array(order[:, :n].astype(np.int32).ravel()), *(batch.column(c).take(take) for c in ("h1", "h2"))]
@@ -134,11 +154,14 @@ def nearest(
             n = min(len(v), max(rerank_least, math.ceil(rerank_share * len(v))))
             at = zip(asking["h1"].to_pylist(), asking["h2"].to_pylist(), _matrix(asking["v"], np.float64), _matrix(asking["places"], np.uint8).astype(np.int16), strict=True)
             for h1, h2, q, own in at:
-                footrule = np.abs(places - own).sum(1, dtype=np.int32)
                 if n < len(v):
-                    # Equal distances go by id, which is the order of the rows.
-                    near = np.argpartition(footrule.astype(np.int64) * len(v) + np.arange(len(v)), n - 1)[:n]
-                    near.sort()
+                    off = np.abs(places - own)
+                    chosen = np.zeros(len(v), bool)
+                    for part in (off[:, :apart], off[:, apart:]):
+                        # Equal distances go by id, which is the order of the rows.
+                        footrule = part.sum(1, dtype=np.int64) * len(v) + np.arange(len(v))
+                        chosen[np.argpartition(footrule, n - 1)[:n]] = True
+                    near = np.flatnonzero(chosen)
                 else:
                     near = np.arange(len(v))
                 # Row by row, so that equal vectors have equal scores.

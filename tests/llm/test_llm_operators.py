@@ -194,6 +194,26 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * 20 * 20 and {x["query_id"] for x in out} == set(range(0, 400, 20))
 
 
+def test_neighbours_beside_a_dense_group(spark):
+    """A third of the rows are near copies of one vector: queries inside and outside find their neighbours."""
+    r = np.random.default_rng(3)
+    exact = r.normal(size=(6000, 32))
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    exact[::3] = exact[0] + 0.004 * r.normal(size=(2000, 32))
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(exact)], "vec_id long, embedding array<double>")
+    own: dict[int, set] = {}
+    for x in neighbours.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        own.setdefault(x["query_id"], set()).add(x["vec_id"])
+    for inside in (True, False):
+        hits = []
+        for q in (i for i in range(0, 6000, 50) if (i % 3 == 0) == inside):
+            score = (exact * exact[q]).sum(1)
+            score[q] = -2
+            hits.append(len(own[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+        assert len(hits) >= 40 and np.mean(hits) >= 0.93, (inside, np.mean(hits))
+
+
 def test_neighbours_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     few = spark.createDataFrame([(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.5, 0.1])], schema)
