@@ -1,6 +1,6 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a piece of a line, cut where the words themselves say so: at the start of a
+A paragraph is a piece of a line, or of a run of short lines, cut where the words themselves say so: at the start of a
 three-word run whose hash is the least for some words around. So a passage has the same
 paragraphs inside, whatever stands before and after it. Paragraphs with the same set of word
 shingles are one node; a node's MinHash values are cut into bands, so many that a pair at the
@@ -55,7 +55,7 @@ def bands_of(sets: list[np.ndarray], n_bands: int, rows: int = ROWS) -> np.ndarr
 def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
     """Start, stop and following start in bytes of each paragraph; the last one of a line is followed by its own stop.
 
-    A line is cut at a word where the hash of it and the next two is less than at the
+    Consecutive lines of fewer than ``min_words`` words each, blank ones between them aside, are one line here. A line is cut at a word where the hash of it and the next two is less than at the
     ``min_words`` - 1 words before and not more than at as many after, all in the line, and both
     parts keep ``min_words`` words. A line of fewer words has no paragraph.
     """
@@ -67,6 +67,9 @@ def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     new = np.concatenate([[True], line[1:] != line[:-1]])
     first = np.flatnonzero(new)
+    short = np.diff(np.append(first, n)) < min_words
+    new[first[1:][short[1:] & short[:-1]]] = False
+    first = np.flatnonzero(new)
     rank = np.cumsum(new) - 1
     begin, end = first[rank], np.append(first[1:], n)[rank]
     word, most = np.arange(n), np.uint64((1 << 64) - 1)

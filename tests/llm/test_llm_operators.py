@@ -373,6 +373,30 @@ def test_paragraphs_are_cut_alike():
     assert paragraph_dedup.paragraphs(b"", 8) == paragraph_dedup.paragraphs(b" \n ", 8) == []
 
 
+def test_paragraphs_of_short_lines(spark):
+    """A passage of 60 words in lines of six goes from the second document, whatever short lines stand around it."""
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    verse = lambda n: "\n".join(say(6) for _ in range(n))
+    rows, own = [], {}
+    for k in range(40):
+        passage = say(60).split(" ")
+        lines = ["\n".join(" ".join(passage[i : i + 6]) for i in range(0, 60, 6)) for _ in range(2)]
+        before = [verse(3), say(5) + "\n\n" + verse(2)]
+        rows += [(2 * k + j, before[j] + "\n" + lines[j] + "\n" + verse(3)) for j in range(2)]
+        own[2 * k + 1] = set(passage)
+    whole = verse(10)
+    rows += [(100, whole), (101, whole), (102, "few words\n\nhere\n")]
+    out = {r["doc_id"]: r for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["n_dropped"] == 0 and out[i]["text"] == t for i, t in rows if i % 2 == 0)
+    assert out[101]["text"].strip() == "" and out[101]["n_dropped"] == out[101]["n_paragraphs"] > 1
+    assert sum(out[i]["n_dropped"] > 0 for i in own) >= 36
+    text = dict(rows)
+    for i in own:
+        gone = [w for s in out[i]["spans"] for w in text[i].encode()[s["start"] : s["stop"]].decode().split()]
+        assert set(gone) <= own[i]
+
+
 def test_paragraphs_against_brute_force(spark):
     """Copies, near copies in chains, copies in one text, and unlike paragraphs."""
     r = random.Random(11)
