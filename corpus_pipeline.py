@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import save
 from lodestone.llm.bpe import encode
 from lodestone.llm.jaccard import similar_groups
 from lodestone.llm.line_dedup import dedup_lines
@@ -13,6 +14,10 @@ from lodestone.llm.quality import quality_rules
 
 #: A line goes when so many documents still have it.
 LINE_DOCS = 10
+#: A table of up to so many copied texts (16 bytes each) is broadcast.
+BROADCAST_TEXTS = 1_000_000
+#: Beyond that, the copies of one text are dealt over so many tasks.
+SALTS = 32
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +26,23 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of LINE_DOCS or more documents. A text of nothing but such lines stays as it is:
-    it is a copy, of which the next stage keeps one."""
+    """Documents without the lines of LINE_DOCS or more documents. A text of nothing but such lines becomes empty, unless
+    LINE_DOCS or more documents have just this text: then its copies alone make its lines frequent, it stays as it is,
+    and the next stage keeps one of them."""
     out = dedup_lines(docs.withColumn("whole_text", F.col("text")), min_docs=LINE_DOCS)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _documents(out.withColumn("text", F.when(emptied, F.col("whole_text")).otherwise(F.col("text"))), docs)
+    key = {"h1": F.xxhash64("whole_text"), "h2": F.xxhash64(F.lit(7), "whole_text")}
+    out = out.withColumns(key | {"salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))})
+    copied = docs.where(F.col("text").isNotNull()).withColumn("whole_text", F.col("text")).withColumns(key)
+    # A document that is repeated counts once.
+    copied = copied.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n")).where(F.col("n") >= LINE_DOCS)
+    copied = save(copied.select("h1", "h2", F.lit(True).alias("copied")), "copied-texts")
+    if copied.count() <= BROADCAST_TEXTS:
+        out = out.join(F.broadcast(copied), ["h1", "h2"], "left")
+    else:
+        salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        out = out.join(salted, ["h1", "h2", "salt"], "left")
+    return _documents(out.withColumn("text", F.when(emptied & F.col("copied"), F.col("whole_text")).otherwise(F.col("text"))), docs)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``, each written and read again."""
-    from lodestone.llm._common import save
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -57,6 +57,22 @@ def test_line_stage(stages):
     assert len(stages[2][1]) == len(before)
 
 
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_line_stage_empties_boilerplate(spark, monkeypatch, broadcast):
+    """Pages of different choices of frequent lines lose them all; texts of ten or more equal documents stay, those of fewer go."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_TEXTS", broadcast, raising=False)
+    pool = [f"navigation and licence line {k}" for k in range(6)]
+    pages = [(i, "\n".join(x for k, x in enumerate(pool) if i + 1 & 1 << k)) for i in range(63)]
+    copies = [(100 + i, "a copied text\nof two lines") for i in range(10)]
+    repeated = [(200, pool[0] + "\n" + pool[1] + " ")] * 12
+    rows = [(i, t, "en", "s", len(t)) for i, t in pages + copies + repeated] + [(300, None, "en", "s", None), (301, "own", "en", "s", 3)]
+    out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = "a copied text\nof two lines" if 100 <= r["doc_id"] < 110 else "own" if r["doc_id"] == 301 else ""
+        assert (r["text"] or "").strip() == text and (r["n_chars"] or 0) == len(r["text"] or "")
+
+
 def test_jaccard_stage(stages):
     sets = {r["doc_id"]: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(words(r["text"])) for r in stages[2][1]}
     root = {i: i for i in sets}
