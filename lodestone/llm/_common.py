@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 #: ASCII white space that separates words: space, \t, \n, \v, \f, \r. ``bytes.split()`` uses just these.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -30,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
+def save(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-computation, and later
     stages share the rows without caching them in executor memory.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -90,11 +94,83 @@ def text_bytes(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+#: Rows, and bytes of text, of an Arrow batch that are Python objects at once.
+ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 22
+
+
+def cuts(column: pa.Array | None, rows: int, n: int) -> Iterator[tuple[int, int]]:
+    """Start and number of the rows to take at once: up to ``rows``, and BYTES_AT_ONCE where a row is no longer by itself."""
+    size = np.zeros(n, np.int64)
+    if column is not None and (pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, more in enumerate(size.tolist()):
+        if i > at and (i - at == rows or held + more > BYTES_AT_ONCE):
+            yield at, i - at
+            at, held = i, 0
+        held += more
+    if n > at:
+        yield at, n - at
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2 * ROWS_AT_ONCE, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller ones, so that few rows are Python objects or result arrays at once."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+        texts = batch.column(column) if column in batch.schema.names else None
+        for at, n in cuts(texts, rows, len(batch)):
+            yield batch.slice(at, n)
+        pa.default_memory_pool().release_unused()
+
+
+def row_udf(make: Callable[..., pa.Array], returns: str) -> Callable[..., Column]:
+    """An Arrow UDF that ``make`` answers for a few rows at once; the first column is the one whose bytes count.
+
+    It counts as nondeterministic, so that Spark neither runs it again for a filter on its result
+    nor starts a second Python worker for that.
+    """
+
+    def run(*columns: pa.Array) -> pa.Array:
+        made = [make(*(c.slice(at, n) for c in columns)) for at, n in cuts(columns[0], ROWS_AT_ONCE, len(columns[0]))]
+        made = pa.concat_arrays(made) if made else make(*columns)
+        pa.default_memory_pool().release_unused()
+        return made
+
+    return F.arrow_udf(run, returns, ArrowUDFType.SCALAR).asNondeterministic()
+
+
+def parts(text: str, border: re.Pattern, most: int = 1 << 20) -> Iterator[str]:
+    """A long text in pieces of ``most`` characters and up to the next one that ``border`` matches, which is left out."""
+    at = 0
+    while len(text) - at > most and (found := border.search(text, at + most)):
+        yield text[at : found.start()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
+#: A table of up to so many rows of a few dozen bytes is sent to all tasks; a longer one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Tasks over which the rows of one key are dealt then.
+SALTS = 32
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, a saved table that has each value of ``on`` once at most; nulls are equal.
+
+    A short table is broadcast. Beyond BROADCAST_ROWS it is joined by shuffle; the rows of one
+    value may be any share of all, so they are dealt over SALTS tasks by a hash of ``spread``.
+    """
+    other = keys.withColumnsRenamed({c: f"on_{c}" for c in on})
+    met = F.lit(True)
+    for c in on:
+        met = met & F.col(c).eqNullSafe(F.col(f"on_{c}"))
+    if keys.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(other), met, how)
+    else:
+        other = other.withColumn("on_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        out = rows.join(other, met & (F.col("salt") == F.col("on_salt")), how).drop("salt")
+    return out.drop(*[f"on_{c}" for c in on], "on_salt") if how not in ("left_semi", "left_anti") else out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
