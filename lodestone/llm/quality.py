@@ -1,8 +1,8 @@
 """Quality rules: base statistics of a text, and cross-document line frequency.
 
 A document fails outright on its base statistics. Beyond these, normalised lines are hashed
-and, for each host, counted over different documents; short lines above the limits are
-boilerplate and are taken out, and a document of which too little is left is rejected.
+and, for each host, counted over distinct documents; lines above the limits are boilerplate
+and are taken out, and a document of which too little is left is rejected.
 """
 
 from __future__ import annotations
@@ -15,46 +15,58 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import inner, packed, same_document, save, table, text_bytes, unpacked
+from lodestone.llm._common import SALTS, inner, join_keys, packed, row_udf, same_document, save, table, text_bytes, unpacked
+from lodestone.llm.shingles import word_hashes
 
 #: Words to a window for ``n_repeat_words``.
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 NOT_FIRST_BYTES = bytes(range(0x80, 0xC0))
+SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes beyond which the words of a text are told apart by 64-bit hashes, so that they needn't be objects.
+LONG_TEXT = 1 << 20
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words inside windows of ``width`` words that the text has twice or more, the first included."""
-    n = len(words) - width + 1
-    if n < 2:
+    if len(words) <= width:
         return 0
     ids: dict[bytes, int] = {}
     order = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
+    at, h = repeated_windows(order, width)
+    # Hashes only propose; the windows themselves decide.
+    windows = [tuple(order[i : i + width].tolist()) for i in at.tolist()]
+    often = Counter(windows)
+    return covered(at[[often[w] > 1 for w in windows]], len(words), width) if len(at) else 0
+
+
+def repeated_windows(order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows whose hash the text has twice or more, and the hashes."""
+    n = len(order) - width + 1
+    if n < 2:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     mixed = (order + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     h = np.zeros(n, np.uint64)
     for i in range(width):
         h = h * np.uint64(0xD6E8FEB86659FD93) + mixed[i : i + n]
-    ranked = np.sort(h)
-    twice = ranked[1:][ranked[1:] == ranked[:-1]]
-    if not len(twice):
-        return 0
-    # Hashes only propose; the windows themselves decide.
-    at = np.flatnonzero(np.isin(h, twice))
-    windows = [tuple(order[i : i + width].tolist()) for i in at]
-    often = Counter(windows)
-    covered = np.zeros(len(words) + 1, np.int64)
-    for i, w in zip(at, windows, strict=True):
-        if often[w] > 1:
-            covered[i] += 1
-            covered[i + width] -= 1
-    return int((np.cumsum(covered) > 0).sum())
+    ranked = np.argsort(h)
+    same = h[ranked][1:] == h[ranked][:-1]
+    at = np.sort(ranked[np.r_[False, same] | np.r_[same, False]])
+    return at, h[at]
+
+
+def covered(at: np.ndarray, n: int, width: int) -> int:
+    """Words of ``n`` that windows at these places cover."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + width, -1)
+    return int((np.cumsum(edges) > 0).sum())
 
 
 def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
     """``STATS`` of one text in UTF-8."""
-    words = text.split()
     seen: set[bytes] = set()
     twice = 0
     for line in text.split(b"\n"):
@@ -62,13 +74,19 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
             twice += 1
         elif line.strip():
             seen.add(line)
-    joined = b"".join(words)
+    if len(text) > LONG_TEXT:
+        hashes = word_hashes(text)
+        n, again = len(hashes), covered(repeated_windows(hashes, WINDOW)[0], len(hashes), WINDOW)
+        joined = text.translate(None, SPACES)
+    else:
+        words = text.split()
+        n, again, joined = len(words), repeated_words(words), b"".join(words)
     return (
-        len(words),
+        n,
         len(joined) - (0 if joined.isascii() else len(joined) - len(joined.translate(None, NOT_FIRST_BYTES))),
         len(text) - len(text.translate(None, SYMBOLS)),
         twice,
-        repeated_words(words),
+        again,
     )
 
 
@@ -84,24 +102,37 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(normal_line(line)) - (1 << 63)
 
 
-DESCRIBED = ", ".join(f"{c} long" for c in STATS) + ", lines array<long>, words array<int>"
+DESCRIBED = ", ".join(f"{c} long" for c in STATS) + ", lines array<long>"
 
 
 def describe(texts: pa.Array) -> pa.Array:
-    """Base statistics, and the different lines of a text with the words that each hash covers."""
-    stats, hashes, sizes = [], [], []
+    """Base statistics, and the hashes of the different lines of a text that have a word."""
+    stats, hashes = [], []
     for text in texts:
         text = text.as_py()
         stats.append(base_stats(text))
-        own: Counter = Counter()
-        for line in text.split(b"\n"):
-            if n := len(line.split()):
-                own[line_hash(line), n] += n
-        hashes.append([h for h, _ in own])
-        sizes.append(list(own.values()))
+        hashes.append(list({line_hash(line) for line in text.split(b"\n") if line.strip()}))
     columns = list(zip(*stats, strict=True)) if stats else [[]] * len(STATS)
     arrays = [pa.array(list(c), pa.int64()) for c in columns]
-    return pa.StructArray.from_arrays([*arrays, pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=[*STATS, "lines", "words"])
+    return pa.StructArray.from_arrays([*arrays, pa.array(hashes, pa.list_(pa.int64()))], names=[*STATS, "lines"])
+
+
+def strip(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines whose hashes are in ``gone``, and how many words went."""
+    counts, left = [], []
+    for text, g in zip(texts, gone, strict=True):
+        text, g, n = text.as_py(), g.as_py(), 0
+        if g:
+            g, stay = set(g), []
+            for line in text.split(b"\n"):
+                if line.strip() and line_hash(line) in g:
+                    n += len(line.split())
+                else:
+                    stay.append(line)
+            text = b"\n".join(stay)
+        counts.append(n)
+        left.append(text)
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["n", "text"])
 
 
 def quality_rules(
@@ -112,63 +143,41 @@ def quality_rules(
     min_words: int = 20,
     max_repeat_percent: int = 30,
     max_line_docs: int = 10,
-    max_line_share: float = 0.001,
-    max_line_words: int = 25,
+    max_line_share: float = 0.01,
     min_left_words: int = 5,
     min_left_percent: int = 30,
 ) -> DataFrame:
     """``docs`` with ``STATS``, ``base_failed``, ``n_boilerplate`` (words in lines taken out), ``kept``, and ``text`` without those lines.
 
-    A line of up to ``max_line_words`` words is boilerplate on a host if more different documents
-    of the host have it than ``max_line_docs`` and than ``max_line_share`` of the host's documents.
-    Longer lines are passages, not page furniture: copies of an article must not reject it.
-    Documents with the same text are one document here. A document is kept if its base
-    statistics pass and ``min_left_words`` words and ``min_left_percent`` of its words are left.
+    A line (stripped, A-Z lower-cased, digits read as 0) is boilerplate on a host if more distinct
+    documents of the host have it than ``max_line_docs`` and than ``max_line_share`` of the host's
+    documents. A document is kept if its base statistics pass and ``min_left_words`` words and
+    ``min_left_percent`` of its words are left.
 
     Null ids are allowed; null hosts are one host; a null or empty text has no words and fails;
-    rows that repeat a document get its result; an empty table gives an empty result. Columns of
-    the input with the result's names are replaced.
+    rows that repeat an id with its text on a host are one document and get its result; an empty
+    table gives an empty result. Texts over LONG_TEXT bytes tell words and windows apart by
+    64-bit hashes. Columns of the input with the result's names are replaced.
     """
     rows = packed(docs, id_col, text_col, host_col)
-    described = F.arrow_udf(describe, DESCRIBED)(text_bytes(inner(docs, text_col)))
+    described = row_udf(describe, DESCRIBED)(text_bytes(inner(docs, text_col)))
     found = rows.select("id", "fp", "c0", described.alias("d")).select("id", "fp", "c0", "d.*")
     base = save(found.dropDuplicates(["id", "fp", "c0"]), "quality-base")
 
-    # Different texts of a host, and how many of them have each line.
-    texts = base.groupBy("c0").agg(F.count_distinct("fp").alias("n_texts"))
-    lines = base.select("id", "fp", "c0", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("id", "fp", "c0", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    counted = lines.select("c0", "line", "fp").distinct().groupBy("c0", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_line_docs)
-    often = counted.join(texts, counted["c0"].eqNullSafe(texts["c0"])).where(F.col("n") > F.col("n_texts") * max_line_share).select(counted["c0"].alias("h"), F.col("line").alias("often"))
-    often = save(often, "quality-lines")
-    # A line that is above the limit is taken out where it is short; its hash is the same for
-    # texts that differ in white space, so the words are those of this document's line.
-    short = lines.where(F.col("words") > 0).join(often, lines["c0"].eqNullSafe(often["h"]) & (lines["line"] == often["often"]))
-    gone = short.groupBy("id", "fp", "c0").agg(F.collect_set("line").alias("gone"))
-
-    limit = max_line_words
-
-    @F.arrow_udf("n long, text string")
-    def strip(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        counts, left = [], []
-        for text, g in zip(texts, gone, strict=True):
-            text, g, n = text.as_py(), g.as_py(), 0
-            if g:
-                g, stay = set(g), []
-                for line in text.split(b"\n"):
-                    words = len(line.split())
-                    if words and words <= limit and line_hash(line) in g:
-                        n += words
-                    else:
-                        stay.append(line)
-                text = b"\n".join(stay)
-            counts.append(n)
-            left.append(text)
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["n", "text"])
-
-    judged = base.drop("lines", "words")
+    # Distinct documents of a host, and how many of them have each line. A host may be a third of
+    # all rows: lines spread it, and its own number is repeated for each salt.
+    hosts = base.groupBy("c0").agg(F.count("*").alias("n_docs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = base.select("id", "fp", "c0", F.explode("lines").alias("line"))
+    counted = lines.groupBy("c0", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_line_docs).withColumn("s", F.pmod("line", F.lit(SALTS)).cast("int"))
+    often = counted.join(hosts, counted["c0"].eqNullSafe(hosts["c0"]) & (F.col("s") == F.col("salt"))).where(F.col("n") > F.col("n_docs") * max_line_share)
+    often = save(often.select(counted["c0"], "line"), "quality-lines")
+    gone = join_keys(lines, often, ["c0", "line"], ["id", "fp"]).groupBy("id", "fp", "c0").agg(F.collect_list("line").alias("gone"))
+
+    judged = base.drop("lines")
     judged = judged.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
-    judged = judged.join(gone.withColumnRenamed("id", "gid").withColumnRenamed("fp", "gfp").withColumnRenamed("c0", "gc"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("fp") == F.col("gfp")) & F.col("c0").eqNullSafe(F.col("gc")), "left").drop("gid", "gfp", "gc")
-    out = rows.join(judged, same_document(rows, judged, "c0")).withColumn("done", strip(text_bytes(inner(docs, text_col)), F.col("gone")))
+    judged = judged.join(gone.withColumnsRenamed({"id": "gid", "fp": "gfp", "c0": "gc"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("fp") == F.col("gfp")) & F.col("c0").eqNullSafe(F.col("gc")), "left").drop("gid", "gfp", "gc")
+    stripped = row_udf(strip, "n long, text string")(text_bytes(inner(docs, text_col)), F.col("gone"))
+    out = rows.join(judged, same_document(rows, judged, "c0")).withColumn("done", stripped)
     left = F.col("n_words") - F.col("done.n")
     kept = ~F.col("base_failed") & (left >= min_left_words) & (left * 100 >= F.col("n_words") * min_left_percent)
     new = {c: F.col(c) for c in (*STATS, "base_failed")} | {"n_boilerplate": F.col("done.n"), "kept": kept, text_col: F.col("done.text")}
@@ -196,12 +205,13 @@ WITH d AS (
   SELECT doc_id, sum(c - 1)::BIGINT AS n_dup_lines
   FROM (SELECT doc_id, line, count(*) AS c FROM lw WHERE n > 0 GROUP BY ALL) GROUP BY doc_id
 ), often AS (
-  SELECT source, k FROM lw JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) USING (source)
-  WHERE n > 0 GROUP BY source, k, texts HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > texts * 0.001
+  SELECT c.source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS docs FROM lw WHERE n > 0 GROUP BY source, k) c
+  JOIN (SELECT source, count(*) AS all_docs FROM d GROUP BY source) a ON c.source IS NOT DISTINCT FROM a.source
+  WHERE docs > 10 AND docs > all_docs * 0.01
 ), gone AS (
   SELECT doc_id, sum(n)::BIGINT AS gone
   FROM lw JOIN often ON lw.source IS NOT DISTINCT FROM often.source AND lw.k = often.k
-  WHERE n BETWEEN 1 AND 25 GROUP BY doc_id
+  WHERE n > 0 GROUP BY doc_id
 ), win AS (
   SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)
