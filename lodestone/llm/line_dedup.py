@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import inner, packed, same_document, save, table, text_bytes, unpacked
+from lodestone.llm._common import inner, join_keys, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
 
 SLOTS = 4
 #: Keys to a shard of the reference counts; bounds what one task holds of a filter.
@@ -70,19 +70,31 @@ class CuckooFilter:
 
     def insert(self, keys: np.ndarray) -> bool:
         mark, a, b = self._places(keys)
-        for i in range(len(mark)):
-            if not self._place(mark[i], int(a[i]), int(b[i])):
-                return False
-        return True
-
-    def _place(self, mark, a: int, b: int) -> bool:
-        at = a
+        left = self._fill(mark, a, np.arange(len(mark)))
+        left = self._fill(mark, b, left)
+        return all(self._evict(mark[i], int(a[i])) for i in left.tolist())
+
+    def _fill(self, mark: np.ndarray, bucket: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Put keys into free slots of their buckets, all at once; those for which no slot is left."""
+        order = which[np.argsort(bucket[which], kind="stable")]
+        if not len(order):
+            return order
+        own = bucket[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        turn = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        used = self.table[own] != 0
+        fits = turn < SLOTS - used.sum(1)
+        slot = np.argsort(used, axis=1, kind="stable")[np.arange(len(own)), np.minimum(turn, SLOTS - 1)]
+        self.table[own[fits], slot[fits]] = mark[order[fits]]
+        return order[~fits]
+
+    def _evict(self, mark, at: int) -> bool:
+        """Make room by moving marks to their other buckets."""
         for turn in range(500):
-            for bucket in (at, b) if turn == 0 else (at,):
-                free = np.flatnonzero(self.table[bucket] == 0)
-                if len(free):
-                    self.table[bucket, free[0]] = mark
-                    return True
+            free = np.flatnonzero(self.table[at] == 0)
+            if len(free):
+                self.table[at, free[0]] = mark
+                return True
             slot = turn % SLOTS
             mark, self.table[at, slot] = self.table[at, slot], mark
             at = int(self._other(np.uint64(at), mark)[0])
@@ -91,12 +103,20 @@ class CuckooFilter:
     def remove(self, keys: np.ndarray) -> None:
         """Only for keys that were inserted."""
         mark, a, b = self._places(keys)
-        for m, x, y in zip(mark, a, b, strict=True):
-            for bucket in (x, y):
-                held = np.flatnonzero(self.table[bucket] == m)
-                if len(held):
-                    self.table[bucket, held[0]] = 0
-                    break
+        left = np.arange(len(mark))
+        for bucket in (a, b):
+            # Of keys with the same mark in a bucket, each takes one of the slots that hold it.
+            order = left[np.lexsort((mark[left], bucket[left]))]
+            if not len(order):
+                return
+            own, m = bucket[order], mark[order]
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (m[1:] != m[:-1])])
+            turn = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+            held = self.table[own] == m[:, None]
+            there = turn < held.sum(1)
+            slot = np.argsort(~held, axis=1, kind="stable")[np.arange(len(own)), np.minimum(turn, SLOTS - 1)]
+            self.table[own[there], slot[there]] = 0
+            left = order[~there]
 
     @classmethod
     def build(cls, keys: np.ndarray) -> CuckooFilter:
@@ -138,7 +158,7 @@ def _distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     """One row for each document and different key: id, fp, k1, k2 (a 128-bit hash of the key)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, hashes = [], []
             for i, text in enumerate(batch.column("text")):
                 own = set(line_keys(text.as_py(), min_chars))
@@ -186,7 +206,10 @@ def build_state(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def update_state(state: LineState, docs: DataFrame, sign: int, id_col: str = "doc_id", text_col: str = "text") -> LineState:
-    """``state`` after inserting (``sign`` 1) or deleting (-1) ``docs``; deleted documents must have been inserted."""
+    """``state`` after inserting (``sign`` 1) or deleting (-1) ``docs``; deleted documents must have been inserted.
+
+    Where the keys have outgrown the shards (twice KEYS_PER_SHARD), they are dealt over more, with new filters.
+    """
     change = _count(docs, id_col, text_col, state.min_chars).withColumn("d", F.col("n_docs") * sign).drop("n_docs")
     merged = (
         state.counts.select("k1", "k2", F.col("n_docs").alias("was"), F.lit(0).cast("long").alias("d"))
@@ -195,8 +218,12 @@ def update_state(state: LineState, docs: DataFrame, sign: int, id_col: str = "do
         .agg(F.sum("was").alias("was"), F.sum("d").alias("d"))
         .select("k1", "k2", "was", (F.col("was") + F.col("d")).alias("n_docs"))
     )
-    merged = save(merged, "line-counts").withColumn("shard", _shard(state.n_shards))
-    low = state.min_docs
+    merged = save(merged, "line-counts")
+    low, needed = state.min_docs, -(-merged.count() // KEYS_PER_SHARD)
+    if needed > 2 * state.n_shards:
+        counts = merged.where("n_docs > 0").drop("was").withColumn("shard", _shard(needed))
+        return LineState(counts, save(_filters(counts, low), "line-filters"), needed, low, state.min_chars)
+    merged = merged.withColumn("shard", _shard(state.n_shards))
     crossed = merged.where((F.col("was") >= low) != (F.col("n_docs") >= low)).select("shard", "k1", (F.col("n_docs") >= low).alias("enters"))
 
     def change_filter(key, old, rows):
@@ -263,12 +290,11 @@ def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "
     state = state or build_state(docs, id_col, text_col, min_docs, min_chars)
     lines = _distinct_lines(docs, id_col, text_col, state.min_chars)
     repeated = state.counts.where(F.col("n_docs") >= state.min_docs).select("k1", "k2")
-    found = _screen(lines, state).join(repeated, ["k1", "k2"])
+    found = join_keys(_screen(lines, state), repeated, ["k1", "k2"], ["id", "fp"])
     # At most a document's own lines meet in one list.
     gone = found.groupBy("id", "fp").agg(F.collect_set("k1").alias("gone"))
     least = state.min_chars
 
-    @F.arrow_udf("n_lines long, n_dropped long, text string")
     def strip(text: pa.Array, gone: pa.Array) -> pa.Array:
         counts, dropped, kept = [], [], []
         for t, g in zip(text, gone, strict=True):
@@ -287,7 +313,7 @@ def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["n_lines", "n_dropped", "text"])
 
     rows = packed(docs, id_col, text_col)
-    out = rows.join(gone, same_document(rows, gone), "left").withColumn("done", strip(text_bytes(inner(docs, text_col)), F.col("gone")))
+    out = rows.join(gone, same_document(rows, gone), "left").withColumn("done", row_udf(strip, "n_lines long, n_dropped long, text string")(text_bytes(inner(docs, text_col)), F.col("gone")))
     return unpacked(out, docs.columns, **{"n_lines": F.col("done.n_lines"), "n_dropped": F.col("done.n_dropped"), text_col: F.col("done.text")})
 
 
