@@ -12,7 +12,9 @@ chunk is normalised, split into words and encoded once, and kept in the worker's
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -25,16 +27,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import inner, packed, table, unpacked
+from lodestone.llm._common import inner, packed, parts, row_udf, table, unpacked
 from lodestone.llm.token_count import resolve
 
 #: Different chunks that a Python worker keeps; beyond that it starts over.
-CACHED_CHUNKS = 250_000
-#: Texts of an Arrow batch that are turned into Python objects at once.
-TEXTS_AT_ONCE = 256
+CACHED_CHUNKS = 100_000
+#: White space, at which a text's chunks can be cut in two.
+BORDER = re.compile("[ \t\n\x0b\x0c\r]")
 #: Stands for the end-of-word suffix in proposals; no byte letter.
 END = "\ue000"
 NONE = np.iinfo(np.int64).max
@@ -217,40 +219,40 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        group: list[list[str]] = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
         fresh: set[str] = set()
-        for text in texts:
-            parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            row: list[str] = []
-            for i, part in enumerate(parts):
-                # Special strings are tokens of their own; None marks the next item as one.
-                if i % 2:
-                    row += [None, part]
-                else:
-                    row += split_ascii(part)
-            group.append(row)
-            fresh.update(row)
-            if len(fresh) > CACHED_CHUNKS // 4:
-                out += self._flush(group, fresh)
-                group, fresh = [], set()
-        return out + self._flush(group, fresh)
-
-    def _flush(self, group: list[list[str]], fresh: set[str]) -> list[bytes]:
+        for i, text in enumerate(texts):
+            for piece in parts(text, BORDER):
+                cut = self.cut.split(piece) if self.cut and any(s in piece for s in self.special) else [piece]
+                row: list[str] = []
+                for k, part in enumerate(cut):
+                    # Special strings are tokens of their own; None marks the next item as one.
+                    if k % 2:
+                        row += [None, part]
+                    else:
+                        row += split_ascii(part)
+                group.append((i, row))
+                fresh.update(row)
+                if len(fresh) > CACHED_CHUNKS // 4 or len(piece) < len(text):
+                    self._flush(out, group, fresh)
+                    group, fresh = [], set()
+        self._flush(out, group, fresh)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _flush(self, out: list[list[bytes]], group: list[tuple[int, list[str]]], fresh: set[str]) -> None:
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
         fresh.discard(None)
         self.learn(fresh)
-        out = []
-        for row in group:
+        for i, row in group:
             if None in row:
                 items, made = iter(row), []
                 for item in items:
                     made.append(as_bytes([self.special[next(items)]]) if item is None else self.chunks[item])
-                out.append(b"".join(made))
+                out[i].append(b"".join(made))
             else:
-                out.append(b"".join(map(self.chunks.__getitem__, row)))
-        return out
+                out[i].append(b"".join(map(self.chunks.__getitem__, row)))
 
 
 def split_ascii(text: str) -> list[str]:
@@ -290,51 +292,54 @@ def join_tokens(strings: pa.StringArray, ids: pa.ListArray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
+def _id_lists(raw: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int): the token ids of the whole text, without special tokens added.
 
-    Null and empty texts have no ids. Rows are encoded one by one, so repeated rows and null ids
-    matter to nothing; a column of the input named ``ids_col`` is replaced.
+    Null and empty texts have no ids; long texts are encoded in pieces cut at white space. Rows are
+    encoded one by one, so repeated rows and null ids matter to nothing; a column of the input
+    named ``ids_col`` is replaced.
     """
 
-    @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        made = [pa.array([], pa.list_(pa.int32()))]
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            raw = bpe_of(tokenizer).encode_batch(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
-            ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
-            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
-        return pa.concat_arrays(made)
+        return _id_lists(bpe_of(tokenizer).encode_batch(texts.to_pylist()))
 
     text = F.coalesce(F.col(inner(docs, text_col)), F.lit(""))
-    return unpacked(packed(docs, text_col, text_col).withColumn("encoded", encoded(text)), docs.columns, **{ids_col: F.col("encoded")})
+    return unpacked(packed(docs, text_col, text_col).withColumn("encoded", row_udf(encoded, "array<int>")(text)), docs.columns, **{ids_col: F.col("encoded")})
 
 
 def decode(rows: DataFrame, tokenizer: str = "word_bpe_49k.json", ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with ``text_col``: the text of ``ids_col``, special tokens included. Null and empty ids give the empty text."""
 
-    @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        strings = string_array(tokenizer)
-        made = [join_tokens(strings, ids.slice(at, TEXTS_AT_ONCE)) for at in range(0, len(ids), TEXTS_AT_ONCE)]
-        return pa.concat_arrays(made) if made else pa.array([], pa.string())
+        return join_tokens(string_array(tokenizer), ids)
 
-    return rows.withColumn(text_col, decoded(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))))
+    return rows.withColumn(text_col, row_udf(decoded, "string")(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))))
 
 
-def ids_sha256(column: str) -> Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+def round_trip(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", ids_col: str = "ids", digest_col: str = "ids_sha256", decoded_col: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` of its ids in one pass, so that a task has one Python worker.
 
-    @F.arrow_udf("string")
-    def digest(ids: pa.Array) -> pa.Array:
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    ``digest_col``: SHA-256 of the ids as little-endian unsigned 32-bit integers. Odd rows as in
+    :func:`encode`; columns of the input with the three names are replaced.
+    """
+
+    def both(texts: pa.Array) -> pa.Array:
+        raw = bpe_of(tokenizer).encode_batch(texts.to_pylist())
+        ids = _id_lists(raw)
+        digests = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
+        return pa.StructArray.from_arrays([ids, digests, join_tokens(string_array(tokenizer), ids)], names=["ids", "digest", "decoded"])
 
-    return digest(F.col(f"`{column}`"))
+    text = F.coalesce(F.col(inner(docs, text_col)), F.lit(""))
+    out = packed(docs, text_col, text_col).withColumn("made", row_udf(both, "ids array<int>, digest string, decoded string")(text))
+    return unpacked(out, docs.columns, **{ids_col: F.col("made.ids"), digest_col: F.col("made.digest"), decoded_col: F.col("made.decoded")})
 
 
 def op2_bpe(spark, sf_dir):
     """Every document encoded and decoded."""
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
