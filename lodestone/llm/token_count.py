@@ -10,15 +10,18 @@ are merged by the library, once for each different one in a task's memory.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import inner, packed, table, unpacked
+from lodestone.llm._common import inner, packed, parts, row_udf, table, unpacked
 
 MARK = "▁"
+#: A single space between other characters: there a text's pre-tokens can be cut in two.
+BORDER = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
 #: Counts of different pre-tokens that a Python worker keeps; beyond that it starts over.
 CACHED_WORDS = 400_000
 
@@ -57,22 +60,25 @@ class PreTokenCounts(dict):
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts."""
-        out: list[int] = []
-        group: list[list[str]] = []
+        out = [0] * len(texts)
+        group: list[tuple[int, list[str]]] = []
         fresh: set[str] = set()
-        for text in texts:
-            group.append(pre_tokens(text))
-            fresh.update(group[-1])
-            if len(fresh) > CACHED_WORDS // 4:
-                out += self._flush(group, fresh)
-                group, fresh = [], set()
-        return out + self._flush(group, fresh)
-
-    def _flush(self, group: list[list[str]], fresh: set[str]) -> list[int]:
+        for i, text in enumerate(texts):
+            for part in parts(text, BORDER):
+                group.append((i, pre_tokens(part)))
+                fresh.update(group[-1][1])
+                if len(fresh) > CACHED_WORDS // 4 or len(part) < len(text):
+                    self._flush(out, group, fresh)
+                    group, fresh = [], set()
+        self._flush(out, group, fresh)
+        return out
+
+    def _flush(self, out: list[int], group: list[tuple[int, list[str]]], fresh: set[str]) -> None:
         if len(self) > CACHED_WORDS:
             self.restart()
         self.learn(fresh)
-        return [sum(map(self.__getitem__, row)) for row in group]
+        for i, row in group:
+            out[i] += sum(map(self.__getitem__, row))
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -109,17 +115,16 @@ def resolve(name: str) -> str:
 def n_tokens(text: Column, model: str) -> Column:
     """Tokens of a text (null: 0) under ``model``."""
 
-    @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         return pa.array(counts_of(model).count_batch(texts.to_pylist()), pa.int64())
 
-    return count(F.coalesce(text, F.lit("")))
+    return row_udf(count, "long")(F.coalesce(text, F.lit("")))
 
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
-    Null and empty texts have 0 bytes and 0 tokens. Rows are judged one by one, so repeated rows
+    Null and empty texts have 0 bytes and 0 tokens; long texts are counted in pieces. Rows are judged one by one, so repeated rows
     and null ids matter to nothing; columns of the input with the three names are replaced.
     """
     text = F.col(inner(docs, text_col))
