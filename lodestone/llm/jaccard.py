@@ -198,16 +198,8 @@ def linked_components(posts: DataFrame, nodes: DataFrame, docs: DataFrame, width
     return save(components(links.unionByName(more)), "roots")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
-    """``docs`` with ``n_shingles`` (size of the document's set) and ``component_id``.
-
-    Two documents link when their sets of ``width``-word shingles (A-Z lower-cased, words between
-    ASCII white space) have 100 * overlap >= ``percent`` * union. ``component_id`` is the smallest
-    id that links reach. A text with fewer words is one shingle; one without words, or null, has
-    none and links with nothing, so its component is its own id. Null ids count in no minimum: a
-    component of null ids alone has a null id. Rows that repeat a document get its result; an
-    empty table gives an empty result. Columns of the input with the two names are replaced.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """The packed rows of ``docs``, and for each document (i, f): n, root (of its component; null without words) and component_id."""
     rows = packed(docs, id_col, text_col)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("fp"), text_bytes(text_col).alias("text"))
     texts = source.select("text")
@@ -230,12 +222,41 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = nodes.select("sig", "least_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = save(named.join(least, "root").select("sig", "component_id"), "named")
-    result = sets.select("id", "fp", "n", "sig").dropDuplicates(["id", "fp"]).join(named, "sig", "left").select(F.col("id").alias("i"), F.col("fp").alias("f"), "n", "component_id")
-    out = rows.join(result, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")))
+    named = save(named.join(least, "root").select("sig", "root", "component_id"), "named")
+    found = sets.select("id", "fp", "n", "sig").dropDuplicates(["id", "fp"]).join(named, "sig", "left")
+    return rows, found.select(F.col("id").alias("i"), F.col("fp").alias("f"), "n", "root", "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
+    """``docs`` with ``n_shingles`` (size of the document's set) and ``component_id``.
+
+    Two documents link when their sets of ``width``-word shingles (A-Z lower-cased, words between
+    ASCII white space) have 100 * overlap >= ``percent`` * union. ``component_id`` is the smallest
+    id that links reach. A text with fewer words is one shingle; one without words, or null, has
+    none and links with nothing, so its component is its own id. Null ids count in no minimum: a
+    component of null ids alone has a null id. Rows that repeat a document get its result; an
+    empty table gives an empty result. Columns of the input with the two names are replaced.
+    """
+    rows, found = _grouped(docs, id_col, text_col, width, percent, fragments)
+    out = rows.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")))
     return unpacked(out, docs.columns, n_shingles=F.col("n"), component_id=F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`similar_groups`: of its document with the smallest id, nulls last.
+
+    Rows that repeat that document leave one. Documents without words are components of their own:
+    each stays once, those with a null id too.
+    """
+    rows, found = _grouped(docs, id_col, text_col, width, percent, fragments)
+    place = F.struct(F.isnull("i").alias("late"), "i", "f")
+    # Ids are enough to choose; texts follow for the chosen ones alone.
+    chosen = found.where("n > 0").groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.i").alias("i"), F.col("p.f").alias("f"))
+    chosen = chosen.unionByName(found.where("n = 0").select("i", "f"))
+    out = rows.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))).drop("i", "f")
+    return unpacked(out.dropDuplicates(["id", "fp"]), docs.columns)
+
+
 def op3_jaccard_join(spark, sf_dir):
     """All documents by 3-word shingles at 90 percent."""
     out = similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
