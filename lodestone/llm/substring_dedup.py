@@ -1,14 +1,16 @@
 """Suffix-array dedup: bytes of strings that an earlier document has too.
 
 A string of ``length`` bytes is handled where its anchor is: the place of the least hash among
-its ``GRAM``-byte grams, so that equal strings have equal anchors. Anchors that only one text has
-are dropped. Around each other anchor, the piece of text with its strings goes to a shard by the
-anchor's hash; equal pieces go as one, with the smallest document that has them.
-
-Each shard builds a suffix array by Larsson-Sadakane refinement and finds equal strings by Kasai's
-common prefixes. An anchor with very many different pieces is dealt over several shards, whose
-sorted strings are merged by binary search. A piece's strings come back with the smallest
-document that has each, and every document drops the bytes of those where that one comes first.
+its ``GRAM``-byte grams, so that equal strings have equal anchors. Texts are read a few megabytes
+at once, and of an anchor that several documents of such a part have, only two go on to meet the
+other parts: an anchor that a third of all documents have is no large group anywhere. Anchors
+that only one document has are dropped. Around each other anchor, the piece of text with its
+strings is cut out; of equal pieces only the first document's goes on, and the others are
+repeated whole.
+
+Different pieces of an anchor meet in a shard, which builds a suffix array by Larsson-Sadakane
+refinement and finds equal strings by Kasai's common prefixes. An anchor with very many different
+pieces is dealt over several shards, whose sorted strings are merged by binary search.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import packed, same_document, save, slices, table, text_bytes, unpacked
+from lodestone.llm._common import drop_saved, join_keys, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
 from lodestone.llm._release import release
 from lodestone.llm.shingles import mix
 from lodestone.llm.suffix_arrays import equal_windows
@@ -32,47 +34,93 @@ GRAM = 16
 SHARD_BYTES = 1 << 21
 #: Tables of up to so many rows of 16 bytes are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that are searched for anchors at once; a longer text is searched by itself.
+#: Bytes of text that are searched for anchors at once; a longer text is searched in overlapping windows.
 TEXT_BYTES = 1 << 20
+#: Bits for a place in such a window.
+PLACE = np.uint64(21)
+#: Bytes of text, about, whose anchors meet in one bucket.
+BUCKET_BYTES = 1 << 23
 #: Stands for a null id, which comes after all others.
 LAST = (1 << 63) - 1
 
 
-def anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its number, and its anchors' hashes with the first and last start of the strings that have them."""
+def anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors, a window of texts at once: text, hash, and first and last start of the strings that have the anchor.
+
+    A text of over TEXT_BYTES is cut into windows, so an anchor at a border may come twice, with
+    a part of its strings each time.
+    """
     span = length - GRAM + 1
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TEXT_BYTES):
-            size += len(texts[stop])
-            stop += 1
-        raw = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
-        ends = np.cumsum([0, *map(len, texts[at:stop])])
-        if len(raw) >= length:
-            wide = raw.astype(np.uint64)
-            two = wide[:-1] | (wide[1:] << np.uint64(8))
-            four = two[:-2] | (two[2:] << np.uint64(16))
-            eight = four[:-4] | (four[4:] << np.uint64(32))
-            n = len(raw) - GRAM + 1
-            hashes = mix(mix(eight[:n] + np.uint64(GRAM)) + eight[8 : 8 + n])
-            # The least hash, then the leftmost: both depend on the string alone.
-            low = np.uint64(max(len(raw).bit_length(), 1))
-            least = ((hashes >> low) << low) | np.arange(n, dtype=np.uint64)
-            done = 1
-            while done < span:
-                step = min(done, span - done)
-                least = np.minimum(least[:-step], least[step:])
-                done += step
-            places = (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-            for i in range(stop - at):
-                a, b = int(ends[i]), int(ends[i + 1]) - length + 1
-                if b > a:
-                    own = places[a:b]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    last = np.r_[first[1:], b - a] - 1
-                    yield at + i, hashes[own[first]].view(np.int64), first, last
-        at = stop
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, TEXT_BYTES):
+            window = text[at : at + TEXT_BYTES + length - 1] if len(text) > TEXT_BYTES else text
+            if held and size + len(window) > TEXT_BYTES:
+                yield _anchors(held, length, span)
+                held, size = [], 0
+            held.append((i, at, window))
+            size += len(window)
+    if held:
+        yield _anchors(held, length, span)
+
+
+def _anchors(held: list[tuple[int, int, bytes]], length: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    wide = np.frombuffer(b"".join(w for _, _, w in held), np.uint8).astype(np.uint64)
+    two = wide[:-1] | (wide[1:] << np.uint64(8))
+    four = two[:-2] | (two[2:] << np.uint64(16))
+    eight = four[:-4] | (four[4:] << np.uint64(32))
+    n = len(wide) - GRAM + 1
+    hashes = mix(mix(eight[:n] + np.uint64(GRAM)) + eight[8 : 8 + n])
+    # The least hash, then the leftmost: both depend on the string alone.
+    least = ((hashes >> PLACE) << PLACE) | np.arange(n, dtype=np.uint64)
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    places = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+    sizes = np.array([len(w) for _, _, w in held])
+    counts = sizes - length + 1
+    window = np.repeat(np.arange(len(held)), counts)
+    start = np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = places[start + np.repeat(np.cumsum(sizes) - sizes, counts)]
+    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (window[1:] != window[:-1])])
+    last = np.r_[first[1:], len(own)] - 1
+    text, begin = (np.array([x[k] for x in held])[window[first]] for k in (0, 1))
+    return text, hashes[own[first]].view(np.int64), begin + start[first], begin + start[last]
+
+
+def _groups(*ordered: np.ndarray) -> np.ndarray:
+    """Where a group of equal values begins."""
+    n = len(ordered[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for c in ordered:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, new][:n])
+
+
+def _blobs(h: np.ndarray, ids: np.ndarray, shared: bool, n_buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of anchors: its pairs of anchor and document, by document, as bytes."""
+    bucket = (((h.view(np.uint64) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((ids, bucket))
+    h, ids, bucket = h[order], ids[order], bucket[order]
+    first = _groups(bucket)
+    ends = pa.array(np.r_[first, len(h)] * 8, pa.int32())
+    raw = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(c).tobytes())]) for c in (h, ids)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), shared)), *raw], names=["bucket", "shared", "hs", "ids"])
+
+
+def _merged_spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the spans of each document."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    if not len(doc):
+        return doc, a, b
+    shift = doc * (int(b.max()) + 2)
+    reach = np.maximum.accumulate(b + shift)
+    new = np.r_[True, (a + shift)[1:] > reach[:-1]]
+    return doc[new], a[new], (reach - shift)[np.r_[new[1:], True]]
 
 
 def merge_sorted(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -90,15 +138,128 @@ def merge_sorted(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
+def shared_anchors(texts: DataFrame, length: int, total: int) -> DataFrame:
+    """``id`` and ``hs``, lists of 64-bit anchors in binary, for the anchors of ``texts`` (id, text) that two ids or more have."""
+    n_buckets = max(8, total // BUCKET_BYTES)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 14):
+            own = batch.column("id").to_numpy()
+            found = [(own[i], h) for i, h, _, _ in anchors(batch.column("text").to_pylist(), length)]
+            if not found:
+                continue
+            ids, h = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids, h))
+            ids, h = ids[order], h[order]
+            once = _groups(h, ids)
+            ids, h = ids[once], h[once]
+            first = _groups(h)
+            n = np.diff(np.r_[first, len(h)])
+            # What is shared here is known; its first and last document still meet the other parts.
+            yield _blobs(h[first], ids[first], False, n_buckets)
+            if (n > 1).any():
+                last = (first + n - 1)[n > 1]
+                yield _blobs(h[last], ids[last], False, n_buckets)
+                here = np.repeat(n > 1, n)
+                yield _blobs(h[here], ids[here], True, n_buckets)
+
+    def meet(held: pa.Table) -> pa.Table:
+        shared = held["shared"].to_numpy()
+        columns = []
+        for c in ("hs", "ids"):
+            raw = held[c].to_pylist()
+            columns.append([np.frombuffer(b"".join(x for x, s in zip(raw, shared, strict=True) if s == want), np.int64) for want in (False, True)])
+        (h, known_h), (ids, known_ids) = columns
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        first = _groups(h)
+        n = np.diff(np.r_[first, len(h)])
+        apart = np.repeat(ids[first] != ids[first + n - 1], n) if len(h) else np.empty(0, bool)
+        h, ids = np.r_[h[apart], known_h], np.r_[ids[apart], known_ids]
+        order = np.lexsort((h, ids))
+        h, ids = h[order], ids[order]
+        once = _groups(ids, h)
+        h, ids = h[once], ids[once]
+        first = _groups(ids)
+        ends = pa.array(np.r_[first, len(h)] * 8, pa.int32())
+        raw = pa.Array.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer(h.tobytes())])
+        return pa.Table.from_arrays([pa.array(ids[first]), raw], names=["id", "hs"])
+
+    found = texts.mapInArrow(find, "bucket int, shared boolean, hs binary, ids binary")
+    met = found.groupBy("bucket").applyInArrow(meet, "id long, hs binary")
+    return met.groupBy("id").agg(F.collect_list("hs").alias("hs"))
+
+
+def shared_pieces(texts: DataFrame, length: int) -> DataFrame:
+    """Pieces around the shared anchors of ``texts`` (id, fp, text, hs): h, name, id, fp, start, stop and piece.
+
+    Of a piece that several ids of a part of the texts have, the smallest one's goes on; what
+    others lose thereby comes as rows without a name.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 14):
+            text, own = batch.column("text").to_pylist(), batch.column("id").to_numpy()
+            shared = [np.sort(np.frombuffer(b"".join(x), np.int64)) for x in batch.column("hs").to_pylist()]
+            found = []
+            for who, h, a, b in anchors(text, length):
+                first = _groups(who)
+                keep = np.zeros(len(h), bool)
+                for lo, hi in zip(first.tolist(), np.r_[first[1:], len(who)].tolist(), strict=True):
+                    wanted = shared[who[lo]]
+                    keep[lo:hi] = wanted[np.minimum(np.searchsorted(wanted, h[lo:hi]), len(wanted) - 1)] == h[lo:hi]
+                found.append((who[keep], h[keep], a[keep], b[keep] + length))
+            if not found:
+                continue
+            who, h, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            pieces = [text[i][x:y] for i, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True)]
+            name = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)
+            ids = own[who]
+            order = np.lexsort((ids, name[:, 1], name[:, 0]))
+            first = _groups(name[order, 0], name[order, 1])
+            least = np.repeat(ids[order][first], np.diff(np.r_[first, len(order)]))
+            here = ids[order] == least
+            stay, gone = order[here], order[~here]
+            shown = np.zeros(len(order), bool)
+            shown[order[first]] = True
+            doc, x, y = _merged_spans(who[gone], a[gone], b[gone])
+            n = len(doc)
+            take = pa.array(np.r_[who[stay], doc])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(h[stay]), pa.nulls(n, pa.int64())]),
+                    pa.concat_arrays([pa.array([r.tobytes() for r in name[stay]], pa.binary()), pa.nulls(n, pa.binary())]),
+                    batch.column("id").take(take),
+                    batch.column("fp").take(take),
+                    pa.array(np.r_[a[stay], x]),
+                    pa.array(np.r_[b[stay], y]),
+                    pa.concat_arrays([pa.array([pieces[i] if shown[i] else None for i in stay.tolist()], pa.binary()), pa.nulls(n, pa.binary())]),
+                ],
+                names=["h", "name", "id", "fp", "start", "stop", "piece"],
+            )
+
+    return texts.mapInArrow(cut, "h long, name binary, id long, fp long, start long, stop long, piece binary")
+
+
+def _expand(row_piece: np.ndarray, run_piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and runs (both by number of their piece, runs in order) that belong together."""
+    counts = np.bincount(run_piece, minlength=n)
+    begin = np.cumsum(counts) - counts
+    of = counts[row_piece]
+    row = np.repeat(np.arange(len(row_piece)), of)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(of) - of, of) + np.repeat(begin[row_piece], of)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` (array of start, stop in bytes) and ``kept`` (binary).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts in a document with
     a smaller id. Strings are judged on the whole input and never cross documents; what is left
-    may cut characters of several bytes, so it is binary. A null or empty text has no bytes; null
-    ids come after all others and not before each other; rows that repeat a document get its
-    result and do not count against each other; an empty table gives an empty result. Columns of
-    the input with the results' names are replaced. ``id_col`` holds integers.
+    may cut characters of several bytes, so it is binary. A null or empty text has no bytes; long
+    texts are searched in overlapping windows; null ids come after all others and not before each
+    other; rows that repeat a document get its result and do not count against each other, nor do
+    texts of the same id; an empty table gives an empty result. Columns of the input with the
+    results' names are replaced. ``id_col`` holds integers.
     """
     spark = docs.sparkSession
     rows = packed(docs, id_col, text_col)
@@ -106,60 +267,57 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # A text that an earlier document has is repeated as a whole, and adds no string to others.
     narrow = save(source.select("id", "fp", F.md5("text").alias("same"), F.length("text").alias("n")), "texts")
-    first = narrow.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = save(narrow.where(F.col("n") >= length).join(first, "same").where("id > first").select("id", "fp").distinct(), "copies")
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    several = narrow.where(F.col("n") >= length).groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    several = save(several.select("same", "first"), "same-texts")
+    copies = save(join_keys(narrow, several, ["same"], ["id"]).where("id > first").select("id", "fp").distinct(), "copies")
+    drop_saved(narrow)
     unique = source.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["id", "fp"], "left_anti")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            who, found = [], []
-            for i, hashes, _, _ in anchors(batch.column("text").to_pylist(), length):
-                own = np.unique(hashes)
-                found.append(own)
-                who.append(np.full(len(own), i))
-            take = pa.array(np.concatenate(who) if who else np.empty(0, np.int64))
-            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([flat, batch.column("id").take(take), batch.column("fp").take(take)], names=["h", "id", "fp"])
-
-    found = save(unique.mapInArrow(find, "h long, id long, fp long"), "anchors")
-    spread = found.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("h")
-    flagged = save(found.join(spread, "h").groupBy("id", "fp").agg(F.collect_list("h").alias("hs")), "shared-anchors")
+    flagged = save(shared_anchors(unique.select("id", "text"), length, total), "shared-anchors")
+    release(spark)
+    places = save(shared_pieces(unique.join(flagged, "id").select("id", "fp", "text", "hs"), length), "pieces", "zstd")
+    drop_saved(flagged)
     release(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, shared = batch.column("text").to_pylist(), batch.column("hs")
-            who, h, start, pieces, names = [], [], [], [], []
-            for i, hashes, lo, hi in anchors(texts, length):
-                own = np.isin(hashes, shared[i].values.to_numpy())
-                for k, a, b in zip(hashes[own].tolist(), lo[own].tolist(), (hi[own] + length).tolist(), strict=True):
-                    piece = texts[i][a:b]
-                    who.append(i)
-                    h.append(k)
-                    start.append(a)
-                    pieces.append(piece)
-                    names.append(xxhash.xxh3_128_digest(piece))
-            take = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(names, pa.binary()), batch.column("id").take(take), batch.column("fp").take(take), pa.array(start, pa.int32()), pa.array(pieces, pa.binary())],
-                names=["h", "name", "id", "fp", "start", "piece"],
-            )
-
-    places = save(unique.join(flagged, ["id", "fp"]).select("id", "fp", "text", "hs").mapInArrow(cut, "h long, name binary, id long, fp long, start int, piece binary"), "pieces")
+    # Of equal pieces, those of later documents go; the first one's is compared with the different ones.
+    least = F.min("id").over(Window.partitionBy("name"))
+    shown = F.max("piece").over(Window.partitionBy("name"))
+    ranked = places.where("name IS NOT NULL").withColumns({"least": least, "shown": shown})
+    first = F.col("id") == F.col("least")
+    settled = save(ranked.select("h", F.when(first, F.col("name")).alias("name"), "id", "fp", "start", "stop", F.when(first, F.col("shown")).alias("piece")), "different-pieces", "zstd")
+    local = save(places.where("name IS NULL").select("id", "fp", "start", "stop"), "spans")
+    drop_saved(places)
     release(spark)
-    pieces = save(places.groupBy("h", "name").agg(F.first("piece").alias("piece"), F.min("id").alias("lo"), F.max("id").alias("hi")), "different-pieces")
-    sizes = save(pieces.groupBy("h").agg(F.sum(F.length("piece")).alias("bytes")), "piece-sizes")
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    n_shards = max(1, -(-total // shard_bytes))
-    large = sizes.where(F.col("bytes") > shard_bytes).select("h", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"))
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    dealt = pieces.join(large, "h", "left")
+    pieces = settled.where("name IS NOT NULL")
+    n_shards = max(1, -(-pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0] // shard_bytes))
+    large = pieces.groupBy("h").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > shard_bytes)
+    large = save(large.select("h", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts")), "large-anchors")
     # Anchors share shards; a large one has shards of its own.
+    dealt = join_keys(pieces, large, ["h"], ["name"], "left")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("h"), F.lit(n_shards))).otherwise(F.col("h"))
-    dealt = dealt.select("h", "name", "piece", "lo", "hi", shard.alias("shard"), F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), "parts").cast("int")).alias("part"))
+    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), "parts").cast("int"))
+    dealt = dealt.select("h", "name", "id", "fp", "start", "piece", shard.alias("shard"), part.alias("part"))
 
     def search(held: pa.Table) -> pa.Table:
-        data, part = held["piece"].to_pylist(), held["part"][0].as_py()
+        part, h = held["part"][0].as_py(), held["h"].to_numpy()
+        row_piece = held["name"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        once = np.unique(row_piece, return_index=True)[1]
+        if part < 0:
+            # An anchor with one piece has nothing to compare.
+            _, back, counts = np.unique(h[once], return_inverse=True, return_counts=True)
+            number = np.cumsum(counts[back] > 1) - 1
+            keep = (counts[back] > 1)[row_piece]
+            rows, row_piece, once = np.flatnonzero(keep), number[row_piece[keep]], once[counts[back] > 1]
+        else:
+            rows = np.arange(len(h))
+        names = ["h", "id", "fp", "a", "b", "least", "part", "number", "string"]
+        kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+        if not len(once):
+            return pa.Table.from_arrays([pa.nulls(0, k) for k in kinds], names=names)
+        data = held["piece"].take(pa.array(once)).to_pylist()
+        ids = held["id"].to_numpy()
+        own = ids[once]
         text = np.frombuffer(b"".join(data), np.uint8)
         sizes = np.array([len(x) for x in data])
         begins = np.cumsum(sizes) - sizes
@@ -171,31 +329,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         owner[starts] = piece
         ordered, number = equal_windows(text, starts, length)
         new = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        least = np.minimum.reduceat(held["lo"].to_numpy()[owner[ordered]], new)
+        least = np.minimum.reduceat(own[owner[ordered]], new)
         group = np.empty(len(text), np.int64)
         group[ordered] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(ordered)]))
         mine = group[starts]
-        # Neighbouring strings of a piece with the same answer are one run.
-        tell = mine if part >= 0 else least[mine]
+        if part < 0:
+            # Neighbouring strings of a piece that an earlier document has are one run.
+            tell = (least[mine] < own[piece]).astype(np.int64)
+        else:
+            tell = mine
         first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (tell[1:] != tell[:-1])])
         last = np.r_[first[1:], len(piece)] - 1
-        answer = least[mine[first]]
-        of = piece[first]
-        use = answer < held["hi"].to_numpy()[of] if part < 0 else np.ones(len(of), bool)
-        take = pa.array(of[use])
-        n = int(use.sum())
-        empty = pa.nulls(n, pa.binary())
-        runs = [held["h"].take(take), held["name"].take(take), pa.array(offset[first[use]], pa.int32()), pa.array(offset[last[use]], pa.int32()), pa.array(answer[use]), pa.array(np.full(n, part, np.int32)), pa.array(mine[first[use]] if part >= 0 else np.full(n, -1)), empty]
-        names = ["h", "name", "a", "b", "least", "part", "number", "string"]
-        out = [pa.Table.from_arrays(runs, names=names)]
+        if part < 0:
+            first, last = first[tell[first] > 0], last[tell[first] > 0]
+        row, run = _expand(row_piece, piece[first], len(data))
+        row, n = rows[row], len(row)
+        begin = held["start"].to_numpy()[row]
+        a, b = begin + offset[first[run]], begin + offset[last[run]] + length
+        columns = [h[row], ids[row], held["fp"].to_numpy()[row], a, b, np.full(n, -1) if part < 0 else least[mine[first[run]]], np.full(n, part, np.int32), np.full(n, -1) if part < 0 else mine[first[run]]]
+        out = [pa.Table.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.binary())], names=names)]
         if part >= 0:
             # For the other shards of this anchor: its different strings, in order.
             n, shown = len(new), [text[s : s + length].tobytes() for s in ordered[new]]
-            h = pa.array(np.full(n, held["h"][0].as_py()))
-            out.append(pa.Table.from_arrays([h, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(least), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.array(shown, pa.binary())], names=names))
+            none = pa.nulls(n, pa.int64())
+            out.append(pa.Table.from_arrays([pa.array(np.full(n, h[0])), none, none, none, none, pa.array(least), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.array(shown, pa.binary())], names=names))
         return pa.concat_tables(out)
 
-    searched = save(dealt.groupBy("shard", "part").applyInArrow(search, "h long, name binary, a int, b int, least long, part int, number long, string binary"), "runs")
+    searched = save(dealt.groupBy("shard", "part").applyInArrow(search, "h long, id long, fp long, a long, b long, least long, part int, number long, string binary"), "runs")
     release(spark)
 
     def merge(held: pa.Table) -> pa.Table:
@@ -211,18 +371,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         merged[order] = np.concatenate(merge_sorted(runs))
         return pa.Table.from_arrays([held["h"], held["part"], held["number"], pa.array(merged)], names=["h", "part", "number", "least"])
 
-    runs = searched.where("name IS NOT NULL")
     strings = searched.where("string IS NOT NULL")
     slice_of = F.pmod(F.xxhash64("string"), F.lit(max(1, -(-strings.count() * length // shard_bytes))))
     merged = strings.withColumn("slice", slice_of).groupBy("h", "slice").applyInArrow(merge, "h long, part int, number long, least long")
-    settled = runs.where("part < 0").select("h", "name", "a", "b", "least").unionByName(runs.where("part >= 0").drop("least").join(merged, ["h", "part", "number"]).select("h", "name", "a", "b", "least"))
-    gone = places.select("h", "name", "id", "fp", "start").join(settled, ["h", "name"]).where("least < id")
-    gone = gone.groupBy("id", "fp").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + length).alias("b"))).alias("gone"), F.lit(False).alias("whole"))
+    dealt_runs = searched.where("part >= 0 AND string IS NULL").drop("least").join(merged, ["h", "part", "number"]).where("least < id")
+    gone = searched.where("part < 0").select("id", "fp", "a", "b").unionByName(dealt_runs.select("id", "fp", "a", "b"))
+    whole_pieces = settled.where("name IS NULL").unionByName(local, allowMissingColumns=True).select("id", "fp", F.col("start").alias("a"), F.col("stop").alias("b"))
+    # A document's own spans meet in one list, no more.
+    gone = gone.unionByName(whole_pieces).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("gone"), F.lit(False).alias("whole"))
     whole = copies.select("id", "fp", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"), F.lit(True).alias("whole"))
     gone = save(gone.unionByName(whole), "removals")
+    for used in (settled, local, searched):
+        drop_saved(used)
     release(spark)
 
-    @F.arrow_udf("n long, removed long, spans array<struct<start:int,stop:int>>, kept binary")
     def drop(texts: pa.Array, gone: pa.Array, whole: pa.Array) -> pa.Array:
         n, removed, spans, kept = [], [], [], []
         for text, g, w in zip(texts, gone, whole, strict=True):
@@ -231,10 +393,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = [(0, len(text))]
             elif g.is_valid:
                 a, b = g.values.field("a").to_numpy(), g.values.field("b").to_numpy()
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
-                new = np.r_[True, a[1:] > reach[:-1]]
-                found = list(zip(a[new].tolist(), reach[np.r_[new[1:], True]].tolist(), strict=True))
+                found = list(zip(*(c.tolist() for c in _merged_spans(np.zeros(len(a), np.int64), a, b)[1:]), strict=True))
             edges = [0, *(e for s in found for e in s), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
             n.append(len(text))
@@ -245,7 +404,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = rows.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
     out = rows.join(gone, same_document(rows, gone), "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    out = out.withColumn("done", drop(text_bytes(f"in{docs.columns.index(text_col)}"), F.col("gone"), F.col("whole")))
+    dropped = row_udf(drop, "n long, removed long, spans array<struct<start:int,stop:int>>, kept binary")
+    out = out.withColumn("done", dropped(text_bytes(f"in{docs.columns.index(text_col)}"), F.col("gone"), F.col("whole")))
     return unpacked(out, docs.columns, n_bytes=F.col("done.n"), n_removed=F.col("done.removed"), spans=F.col("done.spans"), kept=F.col("done.kept"))
 
 
