@@ -118,7 +118,9 @@ def test_bpe_query_columns(docs):
     import tokenizers
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    out = bpe.decode(bpe.encode(docs)).select("text", "ids", bpe.ids_sha256("ids").alias("sha"), "decoded").collect()
+    out = bpe.round_trip(docs).select("text", "ids", F.col("ids_sha256").alias("sha"), "decoded").collect()
+    apart = bpe.decode(bpe.encode(docs)).select("text", "ids", "decoded").collect()
+    assert sorted((str(r["text"]), r["ids"], r["decoded"]) for r in apart) == sorted((str(r["text"]), r["ids"], r["decoded"]) for r in out)
     for r in out:
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
@@ -167,6 +169,27 @@ def test_jaccard(spark, width, percent):
     assert {(q["doc_id"], q["n_shingles"], q["component_id"]) for q in out} == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+def test_one_of_each_group(spark):
+    """Repeated rows and null ids leave one row of a group; documents without words stay, once each."""
+    base = " ".join(f"w{i}" for i in range(80))
+    near = lambda k: base.replace(f"w{k}", "changed")
+    rows = [(5, base, "a"), (5, base, "a"), (5, base, "b"), (None, near(70), "c"), (7, near(3), "d"), (None, "null ids alone " * 9, "e"), (None, "null ids alone " * 9, "f"), (8, "", "g"), (9, None, "h"), (9, None, "h"), (None, None, "i"), (3, "something else here", "j")]
+    out = jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted([("5", base), ("None", "null ids alone " * 9), ("8", ""), ("9", "None"), ("None", "None"), ("3", "something else here")])
+
+
+def test_join_keys_by_shuffle(spark, monkeypatch):
+    """A key table that is too long to broadcast is joined over salts, with the same rows; nulls are equal."""
+    from lodestone.llm import _common
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(200)], "id long, k long")
+    keys = _common.save(spark.createDataFrame([(0, "a"), (1, "b"), (None, "n"), (9, "z")], "k long, v string"), "keys")
+    shown = lambda how: sorted(map(str, _common.join_keys(rows, keys, ["k"], ["id"], how).collect()))
+    short = {how: shown(how) for how in ("inner", "left", "left_anti")}
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    assert {how: shown(how) for how in short} == short and len(short["left"]) == 200
+
+
 def test_shingles_of_pieces():
     texts = [b"", b" a\tb ", b"A b C d", LONG.encode(), b"c d a b c"]
     alone = [next(shingles.shingles([t], 3)) for t in texts]
@@ -289,6 +312,15 @@ def test_base_stats():
     assert quality.base_stats(("a " * 9).encode())[4] == 9
 
 
+def test_base_stats_of_long_texts(monkeypatch):
+    """Telling words apart by hashes gives what comparing them gives."""
+    r = random.Random(8)
+    texts = ["\n".join(" ".join(r.choice(["a", "B", "b", "é", "#x"]) for _ in range(r.randint(0, 12))) for _ in range(40)).encode() for _ in range(30)]
+    whole = [quality.base_stats(t) for t in texts]
+    monkeypatch.setattr(quality, "LONG_TEXT", 0)
+    assert [quality.base_stats(t) for t in texts] == whole
+
+
 def test_quality_takes_out_frequent_lines(spark):
     rows = [(i, f"Menu home {i % 10}\n" + " ".join(f"w{i}x{k}" for k in range(30)), "h") for i in range(15)] + [(i, "menu home 7\nmenu home 8 \n" + "q " * 2 + " ".join(f"z{k}" for k in range(18 if i == 99 else 19)), None) for i in (98, 99)]
     rows += [(50, "Menu Home 7\n" + "\n".join(["menu home 1"] * 30) + "\nlast words", "h")]
@@ -332,12 +364,24 @@ def test_lines_are_reversible(docs):
     assert counts(back) == counts(state)
 
 
+def test_lines_outgrow_their_shards(docs, monkeypatch):
+    """With more keys than the shards hold the state is dealt anew, and results stay."""
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 2)
+    early, late = docs.where("doc_id < 12"), docs.where("doc_id >= 12 OR doc_id IS NULL")
+    state = line_dedup.build_state(early, min_docs=3)
+    both = line_dedup.update_state(state, late, 1)
+    assert both.n_shards > 2 * state.n_shards
+    assert sorted(map(str, line_dedup.dedup_lines(docs, both).collect())) == sorted(map(str, line_dedup.dedup_lines(docs, min_docs=3).collect()))
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
     made = line_dedup.CuckooFilter.build(keys)
     assert made.contains(keys).all() and made.contains(keys + 1).mean() < 0.01
     made.remove(keys[:2000])
     assert made.contains(keys[2000:]).all() and made.contains(keys[:2000]).mean() < 0.01
+    full = line_dedup.CuckooFilter(8)
+    assert not full.insert(np.arange(200)), "a filter that is too small says so"
     again = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
     assert again.insert(keys[:2000]) and again.contains(keys).all()
 

@@ -1,12 +1,13 @@
 """Each stage of the corpus pipeline against brute force on its own input, and the queries against their SQL."""
 
+import hashlib
 import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import registry
+from lodestone.llm import _common, registry
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,7 +61,7 @@ def test_line_stage(stages):
 @pytest.mark.parametrize("broadcast", [0, 1_000_000])
 def test_line_stage_empties_boilerplate(spark, monkeypatch, broadcast):
     """Pages of different choices of frequent lines lose them all; texts of ten or more equal documents stay, those of fewer go."""
-    monkeypatch.setattr(corpus_pipeline, "BROADCAST_TEXTS", broadcast, raising=False)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", broadcast)
     pool = [f"navigation and licence line {k}" for k in range(6)]
     pages = [(i, "\n".join(x for k, x in enumerate(pool) if i + 1 & 1 << k)) for i in range(63)]
     copies = [(100 + i, "a copied text\nof two lines") for i in range(10)]
@@ -107,6 +108,45 @@ def test_encode_stage(stages):
     assert len(stages[5][1]) == len(stages[4][1])
     for r in stages[5][1]:
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest()
+
+
+CLASHING = SCHEMA + ", copy string, whole_text string, rest string, size long, n long, `a.b` string, copied boolean, salt int"
+
+
+def odd_rows():
+    """Nulls in every column, repeated rows, equal ids with other texts, a long text, copies, and columns with the stages' own names."""
+    say = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    base = [(1, say(40, 1), "en", "a", 9), (1, say(40, 1), "en", "a", 9), (1, say(40, 2), None, "a", None), (None, say(40, 3), "en", None, 1), (None, say(40, 3) + " more", "en", None, 1), (None, None, None, None, None), (4, "", "en", "b", 0), (5, say(200_000, 5), "en", "b", 3), (6, None, "en", "b", None)]
+    base += [(10 + i, say(30, 7) + "\n" + say(30, 8), "de", "b", 5) for i in range(12)]
+    return [(*r, "copy", "whole", "rest", 77, 78, "dot", None, 3) for r in base]
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_rows_and_empty_tables(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = spark.createDataFrame(odd_rows(), CLASHING)
+    out = stage(spark, docs, "")
+    rows, ids = out.collect(), [r[0] for r in odd_rows()]
+    assert {r["doc_id"] for r in rows} <= set(ids)
+    none = stage(spark, spark.createDataFrame([], CLASHING), "")
+    assert none.columns == out.columns and none.collect() == []
+    if k + 1 < len(corpus_pipeline.STAGES):
+        assert out.columns == docs.columns
+        assert all((r["copy"], r["whole_text"], r["rest"], r["size"], r["n"], r["a.b"], r["copied"], r["salt"]) == ("copy", "whole", "rest", 77, 78, "dot", None, 3) for r in rows)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows) or name != "line dedup"
+    count = lambda i: sum(r["doc_id"] == i for r in rows)
+    texts = {r["text"] for r in rows} if "text" in out.columns else set()
+    if name == "quality rules":
+        assert (count(1), count(None), count(4), count(5), count(6), count(10)) == (3, 2, 0, 1, 0, 0)
+    elif name == "line dedup":
+        assert len(rows) == len(ids) and texts == {r[1] or "" for r in odd_rows()}
+    elif name == "n-gram Jaccard join":
+        assert (count(1), count(None), count(4), count(5), count(6)) == (2, 2, 1, 1, 1) and sum(count(10 + i) for i in range(12)) == count(10) == 1
+    elif name == "mixing to target weights":
+        assert texts <= {r[1] for r in odd_rows()}
+    else:
+        assert len(rows) == len(ids) and count(None) == 3
 
 
 def test_queries_equal_sql(spark, tmp_path):
