@@ -102,7 +102,8 @@ def _groups(*ordered: np.ndarray) -> np.ndarray:
 
 def _blobs(h: np.ndarray, ids: np.ndarray, shared: bool, n_buckets: int) -> pa.RecordBatch:
     """A row for each bucket of anchors: its pairs of anchor and document, by document, as bytes."""
-    bucket = (((h.view(np.uint64) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+    # Anchors are least hashes, so most are small numbers; mixed again they spread evenly.
+    bucket = (((mix(h.view(np.uint64)) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((ids, bucket))
     h, ids, bucket = h[order], ids[order], bucket[order]
     first = _groups(bucket)
