@@ -3,7 +3,8 @@
 All documents' word n-grams have one global order: frequent ones last, and among the others
 long ones first. Similar documents must share an n-gram in the first part of their sets in that
 order, which gives candidate pairs. The order of n-grams is cut into fragments; the overlap of a
-candidate pair is counted in each fragment by itself, and the counts are summed per pair.
+candidate pair is counted in each fragment by itself, and the counts are summed per pair. All
+documents' n-grams tell where the order is cut; frequent ones are the last fragment.
 
 Documents with the same set are one node. Where many nodes share an n-gram, all are first
 compared with one of them; after that only nodes that are not in the same component yet are
@@ -18,10 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import packed, save, slices, table, text_bytes, unpacked
+from lodestone.llm._common import drop_saved, packed, save, slices, table, text_bytes, unpacked
 from lodestone.llm.components import components
 from lodestone.llm.shingles import shingles
 
@@ -68,18 +69,27 @@ def _bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _frequent(docs: DataFrame, width: int, pick: Callable[[np.ndarray], np.ndarray | None]) -> np.ndarray:
-    """The n-grams that ``pick`` names in more than FREQUENT documents, sorted."""
+def _frequent(docs: DataFrame, width: int, pick: Callable[[np.ndarray], np.ndarray | None], fragments: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that ``pick`` names in more than FREQUENT documents, sorted; and where the order of all n-grams is cut into equal fragments."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            picked = [p for s in shingles(batch.column("text").to_pylist(), width) if (p := pick(s)) is not None]
+            sets = list(shingles(batch.column("text").to_pylist(), width))
+            picked = [p for s in sets if (p := pick(s)) is not None]
             grams, n = np.unique(np.concatenate(picked), return_counts=True) if picked else (np.empty(0, np.int64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["g", "n"])
+            # The order's upper 12 bits tell where its parts are.
+            part, m = np.unique(np.concatenate(sets) >> 52, return_counts=True) if fragments > 1 and sets else (np.empty(0, np.int64), np.empty(0, np.int64))
+            kind = np.repeat([True, False], [len(grams), len(part)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[grams, part]), pa.array(np.r_[n, m].astype(np.int64))], names=["gram", "g", "n"])
 
-    counts = docs.mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    rows = counts.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).select("g").toArrow()
-    return np.sort(rows["g"].to_numpy())
+    counts = docs.mapInArrow(counted, "gram boolean, g long, n long").groupBy("gram", "g").agg(F.sum("n").alias("n"))
+    counts = save(counts.where(~F.col("gram") | (F.col("n") > FREQUENT)), "frequent")
+    hot = counts.where("gram").orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).select("g").toArrow()
+    parts = counts.where("NOT gram").orderBy("g").select("g", "n").toArrow()  # 4096 rows at most
+    drop_saved(counts)
+    size = np.cumsum(parts["n"].to_numpy())
+    at = np.searchsorted(size, size[-1] * np.arange(1, fragments) / fragments) if len(size) else np.empty(0, np.int64)
+    return np.sort(hot["g"].to_numpy()), (parts["g"].to_numpy()[at] + 1) << 52
 
 
 def _sets(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
@@ -129,73 +139,87 @@ def _unlike(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs (a, b) that are similar: bitmaps first, if nodes have them, then exact overlaps by fragment."""
-    own = [c for c in ("n", "bits") if c in nodes.columns]
-    left, right = (nodes.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}{s}") for c in own]) for s in "ab")
-    pairs = pairs.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
-    pairs = pairs.join(left, "a").join(right, "b")
+def _links(pairs: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], bits: DataFrame | None) -> DataFrame:
+    """The pairs (sig, n, sig2, n2) that are similar, as (a, b): bitmaps first, if there are any, then exact overlaps by fragment."""
+    swap = F.col("sig") > F.col("sig2")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    pairs = pairs.select(pick("sig", "sig2").alias("a"), pick("sig2", "sig").alias("b"), pick("n", "n2").alias("na"), pick("n2", "n").alias("nb")).distinct()
     total = F.col("na") + F.col("nb")
-    if "bits" in own:
+    if bits is not None:
+        left, right = (bits.select(F.col("sig").alias(c), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        pairs = pairs.join(left, "a").join(right, "b")
         # Similar sets differ in total - 2 * overlap members at most.
         most = total - 2 * F.ceil(total * percent / (100 + percent))
         pairs = pairs.where(_unlike(F.col("bitsa"), F.col("bitsb")) <= most)
     pairs = save(pairs.select("a", "b", "na", "nb"), "pairs")
+    segments = fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    left = pairs.join(segments.withColumnsRenamed({"sig": "a", "part": "part_a"}), "a")
+    met = left.join(segments.withColumnsRenamed({"sig": "b", "part": "part_b"}), ["b", "fragment"])
+    shared = met.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("s"))
+    summed = shared.groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("overlap"))
+    links = save(summed.where(F.col("overlap") * (100 + percent) >= total * percent).select("a", "b"), "links")
+    drop_saved(pairs)
+    return links
 
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    needed = save(needed.join(nodes, "sig").select("sig", F.col("rep.id").alias("rid"), F.col("rep.fp").alias("rfp")), "pair-nodes")
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
-    texts = docs.join(needed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("sig", "text")
+
+def segments_of(texts: DataFrame, width: int, hot: np.ndarray, edges: np.ndarray) -> DataFrame:
+    """The sets of ``texts`` (sig, text) cut by the fragments of the global order: sig, fragment, part.
+
+    ``edges``: where the order of the n-grams that aren't frequent is cut. Frequent ones, which
+    come last in the order, are a fragment of their own.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((hot, edges))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, edges = held.value
         for batch in slices(batches):
-            parts, where, who = [], [], []
+            pieces, where, who = [], [], []
             for i, s in enumerate(shingles(batch.column("text").to_pylist(), width)):
-                # The fragment by the hash bits; the low bits order the n-grams inside.
-                hashed = (s & ((1 << 56) - 1)).astype(np.uint64)
-                place = ((hashed >> np.uint64(24)) * np.uint64(fragments)) >> np.uint64(32)
-                order = np.argsort(place, kind="stable")
-                for k, part in enumerate(np.split(s[order], np.searchsorted(place[order], np.arange(1, fragments)))):
+                last = _in(hot, s)
+                own = s[~last]
+                for k, part in enumerate([*np.split(own, np.searchsorted(own, edges)), s[last]]):
                     if len(part):
-                        parts.append(part)
+                        pieces.append(part)
                         where.append(k)
                         who.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(who, pa.int64())), pa.array(where, pa.int32()), _lists(parts)], names=["sig", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(who, pa.int64())), pa.array(where, pa.int32()), _lists(pieces)], names=["sig", "fragment", "part"])
 
     # A row that repeats the representative gives its parts again.
-    segments = save(texts.mapInArrow(cut, "sig binary, fragment int, part array<long>").dropDuplicates(["sig", "fragment"]), "segments")
-    left = pairs.join(segments.withColumnsRenamed({"sig": "a", "part": "part_a"}), "a")
-    met = left.join(segments.withColumnsRenamed({"sig": "b", "part": "part_b"}), ["b", "fragment"])
-    shared = met.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("s"))
-    summed = shared.groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("overlap"))
-    return save(summed.where(F.col("overlap") * (100 + percent) >= total * percent).select("a", "b"), "links")
+    return save(texts.mapInArrow(cut, "sig binary, fragment int, part array<long>").dropDuplicates(["sig", "fragment"]), "segments")
+
 
+def shared_posts(posts: DataFrame) -> DataFrame:
+    """The posts whose gram several nodes have, with the node that has it nearest to its front (sig2, n2, pos2); one shuffle for both."""
+    of = Window.partitionBy("gram")
+    hub = F.min(F.struct("pos", "n", "sig")).over(of)
+    met = posts.withColumns({"hub": hub, "c": F.count("*").over(of)}).where("c > 1")
+    return save(met.select("gram", "sig", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("sig", "n", "pos")]), "posts")
 
-def linked_components(posts: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
-    """``node``, ``root`` for the nodes (sig) that links reach; posts that share a ``gram`` propose the pairs.
 
-    ``posts``: sig, n, gram and pos, the gram's place in its set's order (0 where there is none).
-    ``nodes``: sig, n, rep (id and fp of a text of ``docs`` with the set) and, perhaps, bits.
+def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], bits: DataFrame | None = None) -> DataFrame:
+    """``node``, ``root`` for the nodes (sig) that links reach; ``posts`` as :func:`shared_posts` gives them propose the pairs.
+
+    ``fetch`` gives the segments of nodes (sig) that it is asked for. ``bits``: sig and bitmap of all nodes.
     """
-    shared = posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    posts = save(posts.join(shared, "gram"), "posts")
-
-    # All nodes of an n-gram against the one that has it nearest to its front.
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("hub"))
-    hubs = hubs.select("gram", F.col("hub.sig").alias("sig2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2"))
-    pairs = posts.join(hubs, "gram").where((F.col("sig") != F.col("sig2")) & _may_link(percent))
-    links = _links(pairs, nodes, docs, width, percent, fragments)
+    # All nodes of an n-gram against its hub.
+    links = _links(posts.where((F.col("sig") != F.col("sig2")) & _may_link(percent)), percent, fetch, bits)
     roots = save(components(links), "roots")
 
     # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
-    placed = posts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = save(placed, "posts")
-    main = placed.groupBy("gram").agg(F.min_by("root", F.struct("pos", "n", "sig")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram", "main")
-    open_posts = placed.join(main, "gram")
+    placed = posts.select("gram", "sig", "n", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    of = Window.partitionBy("gram")
+    main = F.min(F.struct("pos", "n", "sig", "root")).over(of)
+    placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of)}).where("lo != hi")
+    open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main")), "open-posts")
     strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
     apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
-    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), nodes, docs, width, percent, fragments)
-    return save(components(links.unionByName(more)), "roots")
+    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), percent, fetch, bits)
+    drop_saved(open_posts)
+    drop_saved(roots)
+    roots = save(components(links.unionByName(more)), "roots")
+    for used in (links, more):
+        drop_saved(used)
+    return roots
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
@@ -206,24 +230,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
 
     # What is frequent among the fronts; then among the whole sets of documents whose fronts are
     # full of it, as those of copies and of short texts around a common passage are.
-    first = _frequent(texts, width, lambda s: _front(s, percent, None) if len(s) else None)
+    first, edges = _frequent(texts, width, lambda s: _front(s, percent, None) if len(s) else None, fragments)
 
     def full(s: np.ndarray) -> np.ndarray | None:
         front = _front(s, percent, None)
         return s if len(front) and _in(first, front).mean() >= FULL_SHARE else None
 
-    hot = np.union1d(first, _frequent(texts, width, full))
+    hot = np.union1d(first, _frequent(texts, width, full)[0])
     sets = save(_sets(source, width, percent, hot), "sets")
 
     nodes = sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "fp")).alias("rep"), F.first("front").alias("front"), F.first("bits").alias("bits"))
     nodes = save(nodes, "nodes")
-    posts = nodes.select("sig", "n", F.posexplode("front").alias("pos", "gram"))
-    roots = linked_components(posts, nodes, source, width, percent, fragments)
+    narrow = save(sets.select("id", "fp", "n", "sig"), "set-names")
+    drop_saved(sets)
+
+    def fetch(needed: DataFrame) -> DataFrame:
+        needed = save(needed.join(nodes, "sig").select("sig", F.col("rep.id").alias("rid"), F.col("rep.fp").alias("rfp")), "pair-nodes")
+        wanted = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
+        found = source.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("sig", "text")
+        segments = segments_of(found, width, hot, edges)
+        drop_saved(needed)
+        return segments
+
+    posts = shared_posts(nodes.select("sig", "n", F.posexplode("front").alias("pos", "gram")))
+    roots = linked_components(posts, percent, fetch, nodes.select("sig", "bits"))
+    drop_saved(posts)
 
     named = nodes.select("sig", "least_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = save(named.join(least, "root").select("sig", "root", "component_id"), "named")
-    found = sets.select("id", "fp", "n", "sig").dropDuplicates(["id", "fp"]).join(named, "sig", "left")
+    drop_saved(nodes)
+    drop_saved(roots)
+    found = narrow.dropDuplicates(["id", "fp"]).join(named, "sig", "left")
     return rows, found.select(F.col("id").alias("i"), F.col("fp").alias("f"), "n", "root", "component_id")
 
 

@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import inner, packed, same_document, save, slices, table, text_bytes, unpacked
+from lodestone.llm._common import drop_saved, inner, join_keys, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
 from lodestone.llm._release import release
-from lodestone.llm.jaccard import linked_components
+from lodestone.llm.jaccard import linked_components, segments_of, shared_posts
 from lodestone.llm.shingles import cut_words, mix, shingles
 
 #: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed. Paragraphs are
@@ -95,8 +95,8 @@ def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
     return list(zip(starts[at][long].tolist(), stops[to - 1][long].tolist(), follow[long].tolist(), strict=True))
 
 
-def _each(make: Callable[[list, list, list[bytes]], list[pa.Array]], names: list[str], min_words: int) -> Callable:
-    """For mapInArrow over id, fp, text: ``make`` gets the paragraphs' rows, numbers and bytes, a few texts at once."""
+def _each(make: Callable[[pa.RecordBatch, pa.Array, list[int], list[bytes]], pa.RecordBatch], min_words: int) -> Callable:
+    """For mapInArrow over rows with ``text``: ``make`` gets a few rows, and the rows, numbers and bytes of their paragraphs."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -106,16 +106,11 @@ def _each(make: Callable[[list, list, list[bytes]], list[pa.Array]], names: list
                     at.append(i)
                     pos.append(k)
                     lines.append(text[start:stop])
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), *make(batch.column("fp").take(take), pos, lines)], names=names)
+            yield make(batch, pa.array(at, pa.int64()), pos, lines)
 
     return mapped
 
 
-def _hashed(lines: list[bytes]) -> pa.Array:
-    return pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64))
-
-
 def dedup_paragraphs(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -123,7 +118,7 @@ def dedup_paragraphs(
     min_words: int = 8,
     width: int = 5,
     percent: int = 80,
-    recall: float = 0.999,
+    recall: float = 0.99,
 ) -> DataFrame:
     """``docs`` with ``text`` freed of repeated paragraphs, and ``n_bytes``, ``n_paragraphs``, ``n_dropped``, ``spans``.
 
@@ -144,45 +139,60 @@ def dedup_paragraphs(
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("fp"), text_bytes(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
-    def describe(fp: pa.Array, pos: list[int], lines: list[bytes]) -> list[pa.Array]:
+    def describe(batch: pa.RecordBatch, take: pa.Array, pos: list[int], lines: list[bytes]) -> pa.RecordBatch:
         sets = list(shingles(lines, width))
         n, sig = [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         bands = [bands_of(sets[i : i + SETS], n_bands).ravel() for i in range(0, len(sets), SETS)] or [np.empty(0, np.int64)]
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands)
-        return [fp, pa.array(pos, pa.int32()), _hashed(lines), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
+        columns = [batch.column("id").take(take), batch.column("fp").take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "fp", "pos", "n", "sig", "bands"])
 
-    names = ["id", "fp", "pos", "line", "n", "sig", "bands"]
-    found = source.mapInArrow(_each(describe, names, min_words), f"id {kind}, fp long, pos int, line long, n long, sig binary, bands array<long>")
+    # Equal sets are one node, which the first paragraph with it stands for.
+    found = source.mapInArrow(_each(describe, min_words), f"id {kind}, fp long, pos int, n int, sig binary, bands array<long>")
     found = save(found, "paragraphs")
     place = F.struct(F.isnull("id").alias("late"), "id", "fp", "pos")
-    nodes = found.groupBy("sig").agg(
-        F.first("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("id", F.col("line").alias("fp"))).alias("rep"), F.first("bands").alias("bands")
-    )
+    nodes = found.groupBy("sig").agg(F.first("n").alias("n"), F.min(place).alias("first"), F.count("*").alias("c"), F.first("bands").alias("bands"))
     nodes = save(nodes, "paragraph-nodes")
     release(spark)
 
-    lines = source.mapInArrow(_each(lambda fp, pos, lines: [_hashed(lines), pa.array(lines, pa.binary())], ["id", "fp", "text"], min_words), f"id {kind}, fp long, text binary")
-    posts = nodes.select("sig", "n", F.lit(0).alias("pos"), F.explode("bands").alias("gram"))
-    roots = linked_components(posts, nodes.drop("bands"), lines, width, percent, fragments=1)
+    # One shuffle by band, for nodes alone; those that share a band are cut out of their texts, once.
+    posts = shared_posts(nodes.select("sig", "n", F.lit(0).alias("pos"), F.explode("bands").alias("gram")))
+    release(spark)
+    narrow = save(found.select("id", "fp", "pos", "sig"), "paragraph-places")
+    drop_saved(found)
+    wanted = posts.select("sig").distinct().join(nodes.select("sig", "first"), "sig")
+    wanted = wanted.groupBy(F.col("first.id").alias("rid"), F.col("first.fp").alias("rfp")).agg(F.collect_list(F.struct("first.pos", "sig")).alias("wanted"))
+
+    def pick(batch: pa.RecordBatch, take: pa.Array, pos: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        sigs = [{w["pos"]: w["sig"] for w in row} for row in batch.column("wanted").to_pylist()]
+        chosen = [(sigs[i][k], line) for i, k, line in zip(take.to_pylist(), pos, lines, strict=True) if k in sigs[i]]
+        return pa.RecordBatch.from_arrays([pa.array([c[j] for c in chosen], pa.binary()) for j in (0, 1)], names=["sig", "text"])
+
+    cut = source.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("wanted", "text").mapInArrow(_each(pick, min_words), "sig binary, text binary")
+    segments = segments_of(cut, width, np.empty(0, np.int64), np.empty(0, np.int64))
+    release(spark)
+    roots = linked_components(posts, percent, lambda needed: segments)
+    for used in (posts, segments):
+        drop_saved(used)
     release(spark)
 
     # The first paragraph of each component, and of each set that occurs more than once without links.
-    ranged = nodes.select("sig", "first", "last")
-    linked = ranged.join(roots.withColumnRenamed("node", "sig"), "sig")
+    linked = nodes.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig")
     least = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    alone = ranged.where("first != last").join(roots.select(F.col("node").alias("sig")), "sig", "left_anti")
+    alone = nodes.where("c > 1").join(roots.select(F.col("node").alias("sig")), "sig", "left_anti")
     stays = save(linked.join(least, "root").select("sig", "stays").unionByName(alone.select("sig", F.col("first").alias("stays"))), "paragraph-stays")
+    for used in (nodes, roots):
+        drop_saved(used)
     # A document's own lines meet in one list, no more.
-    gone = found.join(stays, "sig").where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
+    gone = join_keys(narrow, stays, ["sig"], ["id", "fp", "pos"]).where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
 
-    @F.arrow_udf("n_bytes long, n_paragraphs long, n_dropped long, spans array<struct<start: long, stop: long>>, text string")
     def strip(texts: pa.Array, gone: pa.Array) -> pa.Array:
         rows = [strip_paragraphs(t.as_py(), set(g.as_py() or ()), min_words) for t, g in zip(texts, gone, strict=True)]
-        made = pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_paragraphs", pa.int64()), ("n_dropped", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("text", pa.string())]))
-        return made
+        return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_paragraphs", pa.int64()), ("n_dropped", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("text", pa.string())]))
 
+    stripped = row_udf(strip, "n_bytes long, n_paragraphs long, n_dropped long, spans array<struct<start: long, stop: long>>, text string")
     rows = packed(docs, id_col, text_col)
-    out = rows.join(gone, same_document(rows, gone), "left").withColumn("done", strip(text_bytes(inner(docs, text_col)), F.col("gone")))
+    out = rows.join(gone, same_document(rows, gone), "left").withColumn("done", stripped(text_bytes(inner(docs, text_col)), F.col("gone")))
     new: dict[str, Column] = {c: F.col(f"done.{c}") for c in ("n_bytes", "n_paragraphs", "n_dropped", "spans")}
     return unpacked(out, docs.columns, **new, **{text_col: F.col("done.text")})
 

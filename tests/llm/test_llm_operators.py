@@ -172,8 +172,9 @@ def test_jaccard(spark, width, percent):
 def test_one_of_each_group(spark):
     """Repeated rows and null ids leave one row of a group; documents without words stay, once each."""
     base = " ".join(f"w{i}" for i in range(80))
-    near = lambda k: base.replace(f"w{k}", "changed")
+    near = lambda k: base.replace(f"w{k} ", "changed ")
     rows = [(5, base, "a"), (5, base, "a"), (5, base, "b"), (None, near(70), "c"), (7, near(3), "d"), (None, "null ids alone " * 9, "e"), (None, "null ids alone " * 9, "f"), (8, "", "g"), (9, None, "h"), (9, None, "h"), (None, None, "i"), (3, "something else here", "j")]
+    assert near(3) != base != near(70)
     out = jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted([("5", base), ("None", "null ids alone " * 9), ("8", ""), ("9", "None"), ("None", "None"), ("3", "something else here")])
 
