@@ -28,8 +28,9 @@ from lodestone.llm._release import release
 from lodestone.llm.shingles import mix
 from lodestone.llm.suffix_arrays import equal_windows
 
-#: Bytes of a gram, which is what texts must share for their strings to be compared.
-GRAM = 16
+#: Bytes of a gram, which is what texts must share for their strings to be compared; three times eight.
+#: Shorter ones make fewer anchors, but more of them are shared by chance.
+GRAM = 24
 #: Bytes of pieces to a shard. An anchor with more is dealt over several.
 SHARD_BYTES = 1 << 21
 #: Tables of up to so many rows of 16 bytes are broadcast; longer ones are joined by shuffle.
@@ -71,7 +72,7 @@ def _anchors(held: list[tuple[int, int, bytes]], length: int, span: int) -> tupl
     four = two[:-2] | (two[2:] << np.uint64(16))
     eight = four[:-4] | (four[4:] << np.uint64(32))
     n = len(wide) - GRAM + 1
-    hashes = mix(mix(eight[:n] + np.uint64(GRAM)) + eight[8 : 8 + n])
+    hashes = mix(mix(mix(eight[:n] + np.uint64(GRAM)) + eight[8 : 8 + n]) + eight[16 : 16 + n])
     # The least hash, then the leftmost: both depend on the string alone.
     least = ((hashes >> PLACE) << PLACE) | np.arange(n, dtype=np.uint64)
     done = 1
@@ -140,7 +141,7 @@ def merge_sorted(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 
 def shared_anchors(texts: DataFrame, length: int, total: int) -> DataFrame:
-    """``id`` and ``hs``, lists of 64-bit anchors in binary, for the anchors of ``texts`` (id, text) that two ids or more have."""
+    """``id`` and ``hs``, the 64-bit anchors of ``texts`` (id, text) that two ids or more have."""
     n_buckets = max(8, total // BUCKET_BYTES)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,28 +181,25 @@ def shared_anchors(texts: DataFrame, length: int, total: int) -> DataFrame:
         order = np.lexsort((h, ids))
         h, ids = h[order], ids[order]
         once = _groups(ids, h)
-        h, ids = h[once], ids[once]
-        first = _groups(ids)
-        ends = pa.array(np.r_[first, len(h)] * 8, pa.int32())
-        raw = pa.Array.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer(h.tobytes())])
-        return pa.Table.from_arrays([pa.array(ids[first]), raw], names=["id", "hs"])
+        return pa.Table.from_arrays([pa.array(ids[once]), pa.array(h[once])], names=["id", "h"])
 
     found = texts.mapInArrow(find, "bucket int, shared boolean, hs binary, ids binary")
-    met = found.groupBy("bucket").applyInArrow(meet, "id long, hs binary")
-    return met.groupBy("id").agg(F.collect_list("hs").alias("hs"))
+    met = found.groupBy("bucket").applyInArrow(meet, "id long, h long")
+    return met.groupBy("id").agg(F.collect_list("h").alias("hs"))
 
 
 def shared_pieces(texts: DataFrame, length: int) -> DataFrame:
-    """Pieces around the shared anchors of ``texts`` (id, fp, text, hs): h, name, id, fp, start, stop and piece.
+    """Pieces around the shared anchors of ``texts`` (id, fp, text, hs): h, name, id, fp, starts, size and piece.
 
-    Of a piece that several ids of a part of the texts have, the smallest one's goes on; what
-    others lose thereby comes as rows without a name.
+    A piece that a text repeats is one row with several starts. Of a piece that several ids of a
+    part of the texts have, the smallest one's goes on; what others lose thereby comes as rows
+    without a name.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 14):
             text, own = batch.column("text").to_pylist(), batch.column("id").to_numpy()
-            shared = [np.sort(np.frombuffer(b"".join(x), np.int64)) for x in batch.column("hs").to_pylist()]
+            shared = [np.sort(x.values.to_numpy()) for x in batch.column("hs")]
             found = []
             for who, h, a, b in anchors(text, length):
                 first = _groups(who)
@@ -221,25 +219,29 @@ def shared_pieces(texts: DataFrame, length: int) -> DataFrame:
             least = np.repeat(ids[order][first], np.diff(np.r_[first, len(order)]))
             here = ids[order] == least
             stay, gone = order[here], order[~here]
-            shown = np.zeros(len(order), bool)
-            shown[order[first]] = True
+            stay = stay[np.lexsort((a[stay], who[stay], name[stay, 1], name[stay, 0]))]
+            row = _groups(who[stay], name[stay, 0], name[stay, 1])
+            new = _groups(name[stay[row], 0], name[stay[row], 1])
+            shown = np.zeros(len(row), bool)
+            shown[new] = True
             doc, x, y = _merged_spans(who[gone], a[gone], b[gone])
-            n = len(doc)
-            take = pa.array(np.r_[who[stay], doc])
+            n, one = len(doc), stay[row]
+            take = pa.array(np.r_[who[one], doc])
+            ends = pa.array(np.r_[row, len(stay), len(stay) + 1 + np.arange(n)] if len(stay) or n else [0], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(h[stay]), pa.nulls(n, pa.int64())]),
-                    pa.concat_arrays([pa.array([r.tobytes() for r in name[stay]], pa.binary()), pa.nulls(n, pa.binary())]),
+                    pa.concat_arrays([pa.array(h[one]), pa.nulls(n, pa.int64())]),
+                    pa.concat_arrays([pa.array([r.tobytes() for r in name[one]], pa.binary()), pa.nulls(n, pa.binary())]),
                     batch.column("id").take(take),
                     batch.column("fp").take(take),
-                    pa.array(np.r_[a[stay], x]),
-                    pa.array(np.r_[b[stay], y]),
-                    pa.concat_arrays([pa.array([pieces[i] if shown[i] else None for i in stay.tolist()], pa.binary()), pa.nulls(n, pa.binary())]),
+                    pa.ListArray.from_arrays(ends, pa.array(np.r_[a[stay], x])),
+                    pa.array(np.r_[b[one] - a[one], y - x]),
+                    pa.concat_arrays([pa.array([pieces[i] if show else None for i, show in zip(one.tolist(), shown.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary())]),
                 ],
-                names=["h", "name", "id", "fp", "start", "stop", "piece"],
+                names=["h", "name", "id", "fp", "starts", "size", "piece"],
             )
 
-    return texts.mapInArrow(cut, "h long, name binary, id long, fp long, start long, stop long, piece binary")
+    return texts.mapInArrow(cut, "h long, name binary, id long, fp long, starts array<long>, size long, piece binary")
 
 
 def _expand(row_piece: np.ndarray, run_piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +288,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shown = F.max("piece").over(Window.partitionBy("name"))
     ranked = places.where("name IS NOT NULL").withColumns({"least": least, "shown": shown})
     first = F.col("id") == F.col("least")
-    settled = save(ranked.select("h", F.when(first, F.col("name")).alias("name"), "id", "fp", "start", "stop", F.when(first, F.col("shown")).alias("piece")), "different-pieces", "zstd")
-    local = save(places.where("name IS NULL").select("id", "fp", "start", "stop"), "spans")
+    settled = save(ranked.select("h", F.when(first, F.col("name")).alias("name"), "id", "fp", "starts", "size", F.when(first, F.col("shown")).alias("piece")), "different-pieces", "zstd")
+    local = save(places.where("name IS NULL").select("id", "fp", "starts", "size"), "spans")
     drop_saved(places)
     release(spark)
     pieces = settled.where("name IS NOT NULL")
@@ -298,7 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = join_keys(pieces, large, ["h"], ["name"], "left")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("h"), F.lit(n_shards))).otherwise(F.col("h"))
     part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), "parts").cast("int"))
-    dealt = dealt.select("h", "name", "id", "fp", "start", "piece", shard.alias("shard"), part.alias("part"))
+    dealt = dealt.select("h", "name", "id", "fp", "starts", "piece", shard.alias("shard"), part.alias("part"))
 
     def search(held: pa.Table) -> pa.Table:
         part, h = held["part"][0].as_py(), held["h"].to_numpy()
@@ -343,9 +345,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         last = np.r_[first[1:], len(piece)] - 1
         if part < 0:
             first, last = first[tell[first] > 0], last[tell[first] > 0]
-        row, run = _expand(row_piece, piece[first], len(data))
-        row, n = rows[row], len(row)
-        begin = held["start"].to_numpy()[row]
+        # A row has its piece at one start or more.
+        lists = held["starts"].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        several = np.diff(at)[rows]
+        where = np.repeat(rows, several)
+        begin = flat[np.arange(len(where)) - np.repeat(np.cumsum(several) - several, several) + np.repeat(at[:-1][rows], several)]
+        row, run = _expand(np.repeat(row_piece, several), piece[first], len(data))
+        begin, row, n = begin[row], where[row], len(row)
         a, b = begin + offset[first[run]], begin + offset[last[run]] + length
         columns = [h[row], ids[row], held["fp"].to_numpy()[row], a, b, np.full(n, -1) if part < 0 else least[mine[first[run]]], np.full(n, part, np.int32), np.full(n, -1) if part < 0 else mine[first[run]]]
         out = [pa.Table.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.binary())], names=names)]
@@ -377,7 +384,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = strings.withColumn("slice", slice_of).groupBy("h", "slice").applyInArrow(merge, "h long, part int, number long, least long")
     dealt_runs = searched.where("part >= 0 AND string IS NULL").drop("least").join(merged, ["h", "part", "number"]).where("least < id")
     gone = searched.where("part < 0").select("id", "fp", "a", "b").unionByName(dealt_runs.select("id", "fp", "a", "b"))
-    whole_pieces = settled.where("name IS NULL").unionByName(local, allowMissingColumns=True).select("id", "fp", F.col("start").alias("a"), F.col("stop").alias("b"))
+    whole_pieces = settled.where("name IS NULL").unionByName(local, allowMissingColumns=True).select("id", "fp", F.explode("starts").alias("a"), "size").select("id", "fp", "a", (F.col("a") + F.col("size")).alias("b"))
     # A document's own spans meet in one list, no more.
     gone = gone.unionByName(whole_pieces).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("gone"), F.lit(False).alias("whole"))
     whole = copies.select("id", "fp", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"), F.lit(True).alias("whole"))
