@@ -189,9 +189,12 @@ def segments_of(texts: DataFrame, width: int, hot: np.ndarray, edges: np.ndarray
 
 
 def shared_posts(posts: DataFrame) -> DataFrame:
-    """The posts whose gram several nodes have, with the node that has it nearest to its front (sig2, n2, pos2); one shuffle for both."""
+    """The posts whose gram several nodes have, with the first of these in one order of all nodes (sig2, n2, pos2); one shuffle for both.
+
+    The order is the same for all n-grams, so the n-grams that a group of near copies shares have few different hubs.
+    """
     of = Window.partitionBy("gram")
-    hub = F.min(F.struct("pos", "n", "sig")).over(of)
+    hub = F.min(F.struct("sig", "n", "pos")).over(of)
     met = posts.withColumns({"hub": hub, "c": F.count("*").over(of)}).where("c > 1")
     return save(met.select("gram", "sig", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("sig", "n", "pos")]), "posts")
 
@@ -208,7 +211,7 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
     placed = posts.select("gram", "sig", "n", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of = Window.partitionBy("gram")
-    main = F.min(F.struct("pos", "n", "sig", "root")).over(of)
+    main = F.min(F.struct("sig", "n", "pos", "root")).over(of)
     placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of)}).where("lo != hi")
     open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main")), "open-posts")
     strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
