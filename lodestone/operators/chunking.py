@@ -1,215 +1,264 @@
-"""Documents' blocks to parent and child chunks: an ordered fold, one document at a time."""
+"""Documents' blocks to parent and child chunks.
+
+Everything but greedy filling is windows, explodes and joins of rows. Filling depends on what was
+filled before, so a small function numbers the groups from arrays of sizes: of a list's items, a
+table's rows, a document's blocks (numbers alone) or the units of one parent.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
-
-#: Token sizes. Fixed values.
-CHILD_TARGET, CHILD_MAX, OVERLAP, PROCEDURE_MAX, PARENT_MIN, PARENT_MAX, TAIL_MIN = 250, 380, 30, 800, 150, 1200, 40
-
-SCHEMA = "doc_id string, chunk_index int, parent_index int, is_parent boolean, section_path string, text string, page_from int, page_to int, kind string, part string"
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
+
+from lodestone.functions.text import token_estimate
+
+#: Stands before every description of a picture. Fixed value.
+FIGURE_MARK = "[FIGURE — machine-generated description, unverified]"
+#: Between a title and a section path, and between headings. Fixed values.
+TITLE_MARK, PATH_MARK = " › ", " > "
+#: Heading levels that are told apart.
+LEVELS = 9
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Tokens. Defaults are fixed values; ``of`` reads settings and says which it couldn't use."""
+
+    child_target: int = 250
+    child_max: int = 380
+    overlap: int = 30
+    procedure_max: int = 800
+    parent_min: int = 150
+    parent_max: int = 1200
+    tail_min: int = 40
+
+    @classmethod
+    def of(cls, settings: dict[str, object]) -> tuple[Sizes, list[str]]:
+        good, bad = {}, []
+        for name in cls.__dataclass_fields__:
+            if name in settings:
+                try:
+                    value = int(str(settings[name]))
+                except ValueError:
+                    value = -1
+                if value >= 0:
+                    good[name] = value
+                else:
+                    bad.append(name)
+        return cls(**good), bad
 
 
 def estimate(text: str) -> int:
     return math.ceil(len(text) / 4)
 
 
-@dataclass
-class Piece:
-    text: str
-    kind: str
-    first: float | None
-    last: float | None
-    part: str | None = None
-
-
-@dataclass
-class Section:
-    path: list[str]
-    pieces: list[Piece] = field(default_factory=list)
+def fill(sizes: list[int], room: int, head: int = 0) -> list[int]:
+    """Group numbers: a group takes what comes next while it has ``room``, and one item at least."""
+    out, group, held = [], 0, head
+    for k, size in enumerate(sizes):
+        if k and held + size > room:
+            group, held = group + 1, head
+        out.append(group)
+        held += size
+    return out
+
+
+def parents(sizes: list[int], opens: list[bool], least: int, most: int) -> list[int]:
+    """Group numbers of a document's blocks: a group ends before it would pass ``most``, and where a section opens once it has ``least``."""
+    out, group, held, empty = [], 0, 0, True
+    for size, new in zip(sizes, opens, strict=True):
+        if not empty and ((new and held >= least) or held + size > most):
+            group, held = group + 1, 0
+        out.append(group)
+        held += size
+        empty = False
+    return out
+
+
+def pieces(kinds: list[str], sizes: list[int], s: Sizes) -> list[int]:
+    """Piece numbers of a parent's units: short paragraphs (``fill``) run together up to the target, all others (``part`` of a long
+    paragraph, or what is no prose) stand alone; a prose piece under ``tail_min`` joins the prose before it if both fit ``child_max``."""
+    runs: list[list] = []  # prose, tokens, units
+    for i, (kind, size) in enumerate(zip(kinds, sizes, strict=True)):
+        if kind == "fill" and runs and runs[-1][3] and runs[-1][1] + size <= s.child_target:
+            runs[-1][1] += size
+            runs[-1][2].append(i)
+        else:
+            runs.append([kind in ("fill", "part"), size, [i], kind == "fill"])
+    out, number, last = [0] * len(kinds), -1, None
+    for prose, size, units, _ in runs:
+        if last and last[0] and prose and size < s.tail_min and last[1] + size <= s.child_max:
+            last[1] += size
+        else:
+            number += 1
+            last = [prose, size]
+        for i in units:
+            out[i] = number
+    return out
 
 
-def split_prose(text: str, most: int = CHILD_MAX, overlap: int = OVERLAP) -> list[str]:
+def split_prose(text: str, most: int = Sizes.child_max, overlap: int = Sizes.overlap) -> list[str]:
     """Cut at the coarsest mark that gives parts of ``most`` tokens or fewer; a part begins with up to ``overlap`` tokens of the one before."""
     if estimate(text) <= most:
         return [text]
     room = (most - overlap) * 4
     for mark in ("\n\n", "\n", ". ", "; ", ", ", " ", ""):
-        if mark == "" or mark in text:
-            units = re.split(f"(?<={re.escape(mark)})", text) if mark else list(text)
+        units = [u for u in re.split(f"(?<={re.escape(mark)})", text) if u] if mark else list(text)
+        if len(units) > 1:
             break
     parts, now = [], ""
     for unit in units:
-        if len(unit) > room and mark:
-            for sub in split_prose(unit, most - overlap, 0):
-                if now and len(now) + len(sub) > room:
-                    parts.append(now)
-                    now = ""
-                now += sub
-        else:
-            if now and len(now) + len(unit) > room:
+        for sub in split_prose(unit, most - overlap, 0) if len(unit) > room and mark else [unit]:
+            if now and len(now) + len(sub) > room:
                 parts.append(now)
                 now = ""
-            now += unit
+            now += sub
     parts += [now] if now.strip() else []
     out = parts[:1]
     for before, part in zip(parts, parts[1:], strict=False):
-        tail = before[-overlap * 4 :]
+        tail = before[-overlap * 4 :] if overlap else ""
         tail = tail[tail.find(" ") + 1 :] if " " in tail else ""
         out.append(tail + part)
     return [p.strip() for p in out]
 
 
-def _pages(block) -> tuple[float | None, float | None]:
-    first = block.get("page")
-    first = None if first is None or first != first else first
-    last = block.get("page_end")
-    return first, first if last is None or last != last else last
-
-
-def _list_pieces(block: dict, warnings: list[str]) -> Iterator[Piece]:
-    """A list is cut between items only; each part repeats the warnings."""
-    head = "\n".join(warnings)
-    items = [f"{i['marker']} {i['text']}".strip() for i in block["items"]]
-    groups, now = [], []
-    for item in items:
-        if now and estimate("\n".join([head, *now, item])) > PROCEDURE_MAX:
-            groups.append(now)
-            now = []
-        now.append(item)
-    groups.append(now)
-    first, last = _pages(block)
-    for k, group in enumerate(groups, 1):
-        yield Piece("\n".join([*warnings, *group]), "list", first, last, f"part {k}/{len(groups)}" if len(groups) > 1 else None)
-
-
-def _table_pieces(block: dict) -> Iterator[Piece]:
-    head, *rows = block["text"].split("\n")
-    groups, now = [], []
-    for row in rows:
-        if now and estimate("\n".join([head, *now, row])) > PROCEDURE_MAX:
-            groups.append(now)
-            now = []
-        now.append(row)
-    groups.append(now)
-    first, last = _pages(block)
-    for k, group in enumerate(groups, 1):
-        yield Piece("\n".join([head, *group]), "table", first, last, f"part {k}/{len(groups)}" if len(groups) > 1 else None)
-
-
-def sections_of(blocks: list[dict]) -> list[Section]:
-    """Blocks by heading path. A callout goes with the list after it, or else with the one before."""
-    path: list[tuple[int, str]] = []
-    out = [Section([])]
-    waiting: list[dict] = []
-    prose: list[Piece] = []
-
-    def settle() -> None:
-        # Fill prose to the target; a short tail joins the piece before.
-        now: list[Piece] = []
-        made: list[Piece] = []
-        for p in [*prose, None]:
-            if p is None or (now and estimate("\n".join(x.text for x in [*now, p])) > CHILD_TARGET):
-                if now:
-                    pages = [v for x in now for v in (x.first, x.last) if v is not None]
-                    made.append(Piece("\n".join(x.text for x in now), "prose", min(pages, default=None), max(pages, default=None)))
-                now = []
-            if p is not None:
-                now.append(p)
-        if len(made) > 1 and estimate(made[-1].text) < TAIL_MIN:
-            tail = made.pop()
-            made[-1] = Piece(made[-1].text + "\n" + tail.text, "prose", made[-1].first, tail.last if tail.last is not None else made[-1].last)
-        out[-1].pieces += made
-        prose.clear()
-
-    def stand_alone() -> None:
-        for c in waiting:
-            before = out[-1].pieces[-1] if out[-1].pieces and not prose else None
-            if before is not None and before.kind == "list":
-                before.text += "\n" + c["text"]
-            else:
-                settle()
-                out[-1].pieces.append(Piece(c["text"], "warning", *_pages(c)))
-        waiting.clear()
-
-    for b in blocks:
-        if b["type"] == "callout":
-            settle()
-            waiting.append(b)
-        elif b["type"] == "list":
-            settle()
-            out[-1].pieces += _list_pieces(b, [c["text"] for c in waiting])
-            waiting.clear()
-        else:
-            stand_alone()
-            if b["type"] == "heading":
-                settle()
-                while path and path[-1][0] >= b["level"]:
-                    path.pop()
-                path.append((b["level"], b["text"]))
-                out.append(Section([t for _, t in path]))
-            elif b["type"] == "table":
-                settle()
-                out[-1].pieces += _table_pieces(b)
-            else:
-                prose.extend(Piece(t, "prose", *_pages(b)) for t in split_prose(b["text"] or ""))
-    stand_alone()
-    settle()
-    return [s for s in out if s.pieces]
-
-
-def chunks_of(blocks: list[dict]) -> Iterator[dict]:
-    """Parents, each before its children, under one running index. A parent ends at a section's end once it has
-    PARENT_MIN tokens, or before it would pass PARENT_MAX."""
-    groups: list[list[tuple[str, Piece]]] = []
-    now: list[tuple[str, Piece]] = []
-    size = 0
-    for section in sections_of(blocks):
-        path = " > ".join(section.path)
-        for piece in section.pieces:
-            if now and size + estimate(piece.text) > PARENT_MAX:
-                groups.append(now)
-                now, size = [], 0
-            now.append((path, piece))
-            size += estimate(piece.text)
-        if size >= PARENT_MIN:
-            groups.append(now)
-            now, size = [], 0
-    groups += [now] if now else []
-    index = 0
-    for group in groups:
-        pages = [v for _, p in group for v in (p.first, p.last) if v is not None]
-        paths = list(dict.fromkeys(p for p, _ in group))
-        parent = index
-        yield {"chunk_index": parent, "parent_index": None, "is_parent": True, "section_path": "; ".join(paths), "text": "\n\n".join(p.text for _, p in group), "page_from": min(pages, default=None), "page_to": max(pages, default=None), "kind": "parent", "part": None}
-        for path, p in group:
-            index += 1
-            yield {"chunk_index": index, "parent_index": parent, "is_parent": False, "section_path": path, "text": p.text, "page_from": p.first, "page_to": p.last, "kind": p.kind, "part": p.part}
-        index += 1
-
-
-def chunk_blocks(blocks: DataFrame) -> DataFrame:
-    """Chunks of all documents. ``blocks``: doc_id, pos, type, text, level, items (marker, text), page, page_end.
-
-    A document is one group, since each step depends on those before; groups are spread by document.
-    """
+def _numbers(make: Callable[..., list]) -> Callable[..., Column]:
+    """``make`` over lists, as a column of int arrays."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([make(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.list_(pa.int32()))
 
-        rows = pdf.sort_values("pos").to_dict("records")
-        out = pd.DataFrame(list(chunks_of(rows)), columns=SCHEMA_NAMES[1:])
-        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        for c in ("chunk_index", "parent_index", "page_from", "page_to"):
-            out[c] = out[c].astype("Int32")
-        return out
+    return F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR)
 
-    return blocks.groupBy("doc_id").applyInPandas(run, SCHEMA)
 
+def section_paths(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, pos, type, text, level, title) with ``section_path``, the headings that hold at each block, or else the title, and ``opens``.
 
-SCHEMA_NAMES = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+    A heading ends those of its level and below. For each level the last heading counts if none above came after it.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heads = {f"_h{k}": F.last(F.when((F.col("type") == "heading") & (F.col("level") == k), F.struct("pos", "text")), ignorenulls=True).over(w) for k in range(1, LEVELS + 1)}
+    out = blocks.withColumns(heads)
+    path = []
+    for k in range(1, LEVELS + 1):
+        above = F.greatest(*[F.coalesce(F.col(f"_h{j}.pos"), F.lit(-1)) for j in range(1, k)], F.lit(-1)) if k > 1 else F.lit(-1)
+        path.append(F.when(F.col(f"_h{k}.pos") > above, F.col(f"_h{k}.text")))
+    joined = F.nullif(F.concat_ws(PATH_MARK, *path), F.lit(""))
+    return out.withColumns({"section_path": F.coalesce(joined, "title"), "opens": F.col("type") == "heading"}).drop(*heads)
+
+
+def rendered() -> Column:
+    """A block as its parent shows it."""
+    items = F.array_join(F.transform("items", lambda i: F.concat_ws(" ", i["marker"], i["text"])), "\n")
+    text = F.coalesce("text", F.lit(""))
+    named = F.concat(F.upper(F.coalesce("callout_kind", F.lit("note"))), F.lit(": "), text)
+    return F.when(F.col("type") == "list", items).when(F.col("type") == "callout", named).when(F.col("type") == "figure", F.concat(F.lit(FIGURE_MARK + "\n"), text)).otherwise(text)
+
+
+def _split_tables(blocks: DataFrame, s: Sizes) -> DataFrame:
+    """Tables of over ``procedure_max`` tokens as several, cut between rows, each with the header; ``sub`` numbers them."""
+    rows = F.split("text", "\n")
+    sizes = F.transform(rows, lambda r: F.ceil(F.length(r) / 4).cast("int"))
+    group = _numbers(lambda own: fill(own[1:], s.procedure_max, own[0]))
+    large = (F.col("type") == "table") & (token_estimate(F.col("text")) > s.procedure_max)
+    cut = blocks.where(large).withColumn("_g", group(sizes)).withColumn("_rows", F.slice(rows, F.lit(2), F.size(rows) - 1)).withColumn("_head", F.element_at(rows, 1))
+    cut = cut.withColumn("sub", F.explode(F.array_distinct("_g")))
+    own = F.transform(F.filter(F.arrays_zip("_g", "_rows"), lambda x: x["_g"] == F.col("sub")), lambda x: x["_rows"])
+    cut = cut.withColumn("text", F.array_join(F.concat(F.array("_head"), own), "\n")).drop("_g", "_rows", "_head")
+    return blocks.where(~F.coalesce(large, F.lit(False))).withColumn("sub", F.lit(0)).unionByName(cut)
+
+
+def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """Chunks of all documents: doc_id, chunk_index, parent_index, is_parent, section_path, text, page_from, page_to, kind, has_warning, step_count, part.
+
+    ``blocks``: doc_id, title, pos, type (heading, paragraph, caption, list, table, callout, figure, or any other, which is
+    prose), text, level, items (marker, text), ordered, callout_kind, page, page_end. A parent is followed by its children
+    under one running index. Figures without a text are left out; pages are null where no block has one.
+    """
+    s = sizes or Sizes()
+    usable = blocks.where((F.col("type") != "figure") | (F.coalesce("text", F.lit("")) != ""))
+    rows = section_paths(_split_tables(usable, s).withColumn("pos", F.col("pos") * 10_000 + F.col("sub")).drop("sub"))
+    rows = rows.withColumn("shown", rendered()).withColumn("tokens", token_estimate(F.col("shown")).cast("int"))
+
+    # A document's sizes in order, as numbers, to the number of each block's parent.
+    order = F.sort_array(F.collect_list(F.struct("pos", "tokens", "opens")))
+    flat = rows.groupBy("doc_id").agg(order.alias("b"))
+    group = _numbers(lambda own, opens: parents(own, opens, s.parent_min, s.parent_max))(F.col("b.tokens"), F.col("b.opens"))
+    groups = flat.select("doc_id", F.explode(F.arrays_zip(F.col("b.pos").alias("pos"), group.alias("parent"))).alias("x")).select("doc_id", "x.pos", "x.parent")
+    rows = rows.join(groups, ["doc_id", "pos"])
+
+    of_parent = Window.partitionBy("doc_id", "parent").orderBy("pos")
+    before, after = of_parent.rowsBetween(Window.unboundedPreceding, -1), of_parent.rowsBetween(1, Window.unboundedFollowing)
+    other = F.when(F.col("type") != "callout", F.struct("pos", "type"))
+    rows = rows.withColumns({"_next": F.first(other, ignorenulls=True).over(after), "_last": F.last(other, ignorenulls=True).over(before)})
+    goes_before = (F.col("type") == "callout") & (F.col("_next.type") == "list")
+    goes_after = (F.col("type") == "callout") & F.col("_next").isNull() & (F.col("_last.type") == "list")
+    rows = rows.withColumns({"list_before": F.when(goes_before, F.col("_next.pos")), "list_after": F.when(goes_after, F.col("_last.pos"))})
+
+    page_end = F.coalesce("page_end", "page")
+    span = {"page_from": F.least("page", page_end), "page_to": F.greatest("page", page_end)}
+    rows = rows.withColumns(span)
+
+    # Callouts that belong to a list, by that list.
+    bound = rows.where("list_before IS NOT NULL OR list_after IS NOT NULL").select("doc_id", F.coalesce("list_before", "list_after").alias("pos"), F.col("list_before").isNotNull().alias("first"), F.struct(F.col("pos").alias("p"), "shown", "section_path").alias("c"), "page_from", "page_to")
+    bound = bound.groupBy("doc_id", "pos").agg(
+        F.sort_array(F.collect_list(F.when(F.col("first"), F.col("c")))).alias("heads"), F.sort_array(F.collect_list(F.when(~F.col("first"), F.col("c")))).alias("tails"), F.min("page_from").alias("cfrom"), F.max("page_to").alias("cto")
+    )
+    base = rows.where("type != 'heading' AND list_before IS NULL AND list_after IS NULL").join(bound, ["doc_id", "pos"], "left")
+    none = F.array().cast("array<string>")
+    base = base.withColumns({"heads": F.coalesce(F.col("heads.shown"), none), "tails": F.coalesce(F.col("tails.shown"), none), "first_path": F.coalesce(F.get(F.col("heads.section_path"), F.lit(0)), "section_path")})
+
+    # Units: a block, or a part of a long one.
+    item_sizes = F.transform("items", lambda i: F.ceil(F.length(F.concat_ws(" ", i["marker"], i["text"])) / 4).cast("int"))
+    long_list = token_estimate(F.array_join(F.concat("heads", F.array("shown"), "tails"), "\n\n")) > s.procedure_max
+    number = F.when(long_list, _numbers(lambda own: fill(own or [], s.procedure_max))(item_sizes)).otherwise(F.transform("items", lambda i: F.lit(0)))
+    lists = base.where("type = 'list'").withColumn("_g", number).withColumn("_n", F.greatest(F.array_max("_g") + 1, F.lit(1)))
+    lists = lists.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = F.transform(F.filter(F.arrays_zip("_g", "items"), lambda x: x["_g"] == F.col("unit")), lambda x: F.concat_ws(" ", x["items"]["marker"], x["items"]["text"]))
+    lists = lists.withColumn("_own", own).select(
+        "doc_id", "parent", "pos", "unit", F.array_join(F.concat("heads", F.array(F.array_join("_own", "\n")), "tails"), "\n\n").alias("body"), F.when(F.coalesce("ordered", F.lit(False)), "procedure").otherwise("list").alias("kind"),
+        F.col("first_path").alias("section_path"), F.least("page_from", "cfrom").alias("page_from"), F.greatest("page_to", "cto").alias("page_to"), (F.size("heads") + F.size("tails") > 0).alias("has_warning"), F.size("_own").alias("step_count"), F.when(F.col("_n") > 1, F.concat_ws("/", F.col("unit") + 1, "_n")).alias("part"),
+    )
+
+    def parts(texts: pa.Array) -> pa.Array:
+        return pa.array([split_prose(t or "", s.child_max, s.overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    split = F.arrow_udf(parts, "array<string>", ArrowUDFType.SCALAR)
+    others = base.where("type != 'list'").withColumn("long", (token_estimate(F.coalesce("text", F.lit(""))) > s.child_max) & ~F.col("type").isin("table", "callout"))
+    # Only the few long texts pass the splitter.
+    long = others.where("long").withColumn("_parts", split(F.col("text"))).select("*", F.posexplode("_parts").alias("unit", "body")).drop("_parts")
+    short = others.where("NOT long").withColumns({"unit": F.lit(0), "body": F.when(F.col("type") == "figure", F.col("text")).otherwise(F.col("shown"))})
+    kind = F.when(F.col("type").isin("table", "callout", "figure"), F.col("type")).when(F.col("long"), "part").otherwise("fill")
+    body = F.when(F.col("type") == "figure", F.concat(F.lit(FIGURE_MARK + "\n"), "body")).otherwise(F.col("body"))
+    others = long.unionByName(short).select(
+        "doc_id", "parent", "pos", "unit", body.alias("body"), kind.alias("kind"), "section_path", "page_from", "page_to", (F.col("type") == "callout").alias("has_warning"), F.lit(None).cast("int").alias("step_count"), F.lit(None).cast("string").alias("part")
+    )
+    units = lists.unionByName(others).withColumn("tokens", token_estimate(F.col("body")).cast("int"))
+
+    # A parent's units in order to the number of each one's piece.
+    listed = units.groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "kind", "tokens"))).alias("u"))
+    piece = _numbers(lambda kinds, own: pieces(kinds, own, s))(F.col("u.kind"), F.col("u.tokens"))
+    numbered = listed.select("doc_id", "parent", F.explode(F.arrays_zip(F.col("u.pos").alias("pos"), F.col("u.unit").alias("unit"), piece.alias("piece"))).alias("x")).select("doc_id", "parent", "x.*")
+    units = units.join(numbered, ["doc_id", "parent", "pos", "unit"])
+    place = F.struct("pos", "unit")
+    children = units.groupBy("doc_id", "parent", "piece").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit", "body"))), lambda x: x["body"]), "\n\n").alias("body"), F.min_by("section_path", place).alias("section_path"), F.min("page_from").alias("page_from"), F.max("page_to").alias("page_to"),
+        F.min_by(F.when(F.col("kind").isin("fill", "part"), "prose").otherwise(F.col("kind")), place).alias("kind"), F.bool_or("has_warning").alias("has_warning"), F.max("step_count").alias("step_count"), F.max("part").alias("part"),
+    )
+    whole = rows.groupBy("doc_id", "parent").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n\n").alias("body"), F.min_by("section_path", "pos").alias("section_path"), F.min("page_from").alias("page_from"), F.max("page_to").alias("page_to"), F.lit("parent").alias("kind"), F.lit(False).alias("has_warning"), F.lit(None).cast("int").alias("step_count"), F.lit(None).cast("string").alias("part"), F.first("title").alias("title")
+    )
+    children = children.join(whole.select("doc_id", "parent", "title"), ["doc_id", "parent"])
+    both = whole.withColumn("piece", F.lit(-1)).unionByName(children)
+    text = F.concat("title", F.lit(TITLE_MARK), "section_path", F.when(F.col("piece") < 0, "\n\n").otherwise("\n"), "body")
+    by_place = Window.partitionBy("doc_id").orderBy("parent", "piece")
+    out = both.withColumns({"text": text, "chunk_index": F.row_number().over(by_place) - 1, "is_parent": F.col("piece") < 0})
+    out = out.withColumn("parent_index", F.when(~F.col("is_parent"), F.max(F.when(F.col("is_parent"), F.col("chunk_index"))).over(by_place)))
+    return out.select("doc_id", "chunk_index", "parent_index", "is_parent", "section_path", "text", "page_from", "page_to", "kind", "has_warning", "step_count", "part")

@@ -24,7 +24,57 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Cal
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+    """``old`` and the rows of ``new`` whose key it lacks; of rows of ``new`` that share one, one goes in."""
+    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys))
+
+
+def kept_unless_changed(column: str, changes: str) -> Callable[[Column, Column], Column]:
+    """A rule for :func:`upsert`: the old value of ``column`` while ``changes`` is the same in both (nulls equal), else null."""
+    return lambda a, b: F.when(F.col(f"o.{changes}").eqNullSafe(F.col(f"n.{changes}")), F.col(f"o.{column}"))
+
+
+def purge(tables: dict[str, DataFrame], gone: DataFrame, key: str, cleared: dict[str, str], busy: DataFrame, audit: str, as_of: Column) -> dict[str, DataFrame]:
+    """``tables`` without the rows of the keys in ``gone``.
+
+    Keys that ``busy`` has stay. In the tables named in ``cleared`` the given column is set to null
+    instead. One row for each purged key (key, action, at) is appended to the table ``audit``.
+    """
+    free = gone.select(key).distinct().join(busy.select(key), key, "left_anti")
+    out = {}
+    for name, table in tables.items():
+        if name == audit:
+            out[name] = table.unionByName(free.select(key, F.lit("purged").alias("action"), as_of.alias("at")))
+        elif name in cleared:
+            c = cleared[name]
+            marked = table.join(free.select(F.col(key).alias("_gone")), F.col(c) == F.col("_gone"), "left")
+            out[name] = marked.withColumn(c, F.when(F.col("_gone").isNull(), F.col(c))).drop("_gone")
+        else:
+            out[name] = table.join(free, key, "left_anti")
+    return out
+
+
+def outbox(old: DataFrame, events: DataFrame) -> DataFrame:
+    """``old`` (id, status, attempts, body) after ``events`` (id, event, body): append, sent, failed, discarded; one for each id.
+
+    Sent and discarded entries leave; a failed one counts an attempt; an append of a known id changes nothing.
+    """
+    o, e = old.alias("o"), events.alias("e")
+    both = o.join(e, F.col("o.id") == F.col("e.id"), "full")
+    event, new = F.coalesce("e.event", F.lit("")), F.col("o.id").isNull()
+    out = both.where(F.when(new, event == "append").otherwise(~event.isin("sent", "discarded")))
+    failed = event == "failed"
+    return out.select(
+        F.coalesce("o.id", "e.id").alias("id"),
+        F.when(failed, "failed").otherwise(F.coalesce("o.status", F.lit("queued"))).alias("status"),
+        (F.coalesce("o.attempts", F.lit(0)) + failed.cast("int")).alias("attempts"),
+        F.coalesce("o.body", "e.body").alias("body"),
+    )
+
+
+def orphans(files: DataFrame, references: DataFrame, key: str, as_of: Column, minutes: int = 10) -> DataFrame:
+    """The files that nothing refers to and that are older than ``minutes``."""
+    old = files.where(F.col("modified") < as_of - F.make_dt_interval(mins=F.lit(minutes)))
+    return old.join(references.where(F.col(key).isNotNull()).select(key), key, "left_anti")
 
 
 def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -41,24 +91,6 @@ def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> D
 
 
 def keep_smallest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def publish_version(chunks: DataFrame, documents: DataFrame, doc_id: str, version: int) -> DataFrame:
-    """``chunks`` with ``version`` of the document live and lower versions superseded.
-
-    Raises if the version is missing, is not the current one, has no child chunk, or has one
-    without a vector; then nothing changes.
-    """
-    mine = (F.col("doc_id") == doc_id) & (F.col("version") == version)
-    current = documents.where(F.col("doc_id") == doc_id).select("version").first()
-    if current is None or current[0] != version:
-        raise ValueError("the version is missing or isn't the current one")
-    n, bare = chunks.where(mine & ~F.col("is_parent") & F.col("deleted_at").isNull()).agg(F.count("*"), F.count(F.when(F.col("embedding").isNull(), 1))).first()
-    if not n or bare:
-        raise ValueError("the version has no chunks" if not n else "a chunk has no vector")
-    lower = (F.col("doc_id") == doc_id) & (F.col("version") < version)
-    live = F.when(mine & F.col("deleted_at").isNull(), ~F.col("is_parent")).when(lower, F.lit(False)).otherwise(F.col("is_live"))
-    gone = F.when(lower & F.col("deleted_at").isNull(), F.current_timestamp()).otherwise(F.col("deleted_at"))
-    return chunks.withColumns({"is_live": live, "deleted_at": gone})
+    """The row of each key with the smallest ``order``; partial minima, so no key's rows meet in one task."""
+    least = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(order))
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(least.alias("_r")).select("_r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import term_count
+from lodestone.functions.text import has_code, term_count
 from lodestone.functions.vector import cosine
 
 
@@ -41,14 +41,15 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int = 8, constant: int = 60, b
     return both.orderBy(F.desc("score"), F.asc("id")).limit(k).select("id", "dense_rank", "lexical_rank", "score")
 
 
-def admission(matches: DataFrame, has_exact_code: Column, floor: float = 0.35) -> DataFrame:
-    """One row: admit, reason, top_similarity. ``matches`` has similarity and lexical_rank.
+def admission(matches: DataFrame, gates: DataFrame) -> DataFrame:
+    """For each gate (gate, floor, has_code): admit, reason, top_similarity. ``matches`` has similarity and lexical_rank; one pass over them.
 
     In this order: nothing found; similar enough; an exact code in the question with a lexical hit; below the floor.
     """
     top = matches.agg(F.count("*").alias("n"), F.coalesce(F.max(F.coalesce("similarity", F.lit(0.0))), F.lit(0.0)).alias("top_similarity"), F.count("lexical_rank").alias("hits"))
-    reason = F.when(F.col("n") == 0, "no_matches").when(F.col("top_similarity") >= floor, "similarity").when(has_exact_code & (F.col("hits") > 0), "exact_code").otherwise("below_threshold")
-    return top.select(reason.isin("similarity", "exact_code").alias("admit"), reason.alias("reason"), "top_similarity")
+    reason = F.when(F.col("n") == 0, "no_matches").when(F.col("top_similarity") >= F.col("floor"), "similarity").when(F.col("has_code") & (F.col("hits") > 0), "exact_code").otherwise("below_threshold")
+    out = gates.crossJoin(F.broadcast(top))
+    return out.select("gate", reason.isin("similarity", "exact_code").alias("admit"), reason.alias("reason"), "top_similarity")
 
 
 def best_per(df: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -57,12 +58,46 @@ def best_per(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def clarification_options(best: DataFrame, gap: float = 0.05, fewest: int = 2, most: int = 4) -> DataFrame:
-    """Titles whose best similarity is within ``gap`` of the top; none unless there are ``fewest`` to ``most``. ``best`` has title, similarity."""
+#: Words of a title that tell no document from another. Fixed values.
+GENERIC_WORDS = (
+    "guide guides install installation installer manual manuals instructions instruction "
+    "user quick start quickstart reference card document doc pdf docx copy the "
+    "and for with how setup set up new old version rev app"
+).split()
+
+
+def title_words(text: Column) -> Column:
+    """The different words of three letters or more, hyphens kept inside."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
+
+
+def clarification_options(evidence: DataFrame, question: str, gap: float = 0.05, fewest: int = 2, most: int = 4) -> DataFrame:
+    """The titles to choose from, best first: title, id, similarity, rank; none where there is nothing to ask.
+
+    ``evidence`` has title (cleaned), id, similarity and rank. Of each title the best row counts,
+    the earliest of equals. Up to ``most`` titles within ``gap`` of the top are options. Nothing is
+    asked with fewer than ``fewest``, for a question with a part code, or for one with a word that
+    some, but not all, of the options' titles have.
+    """
+    best = best_per(evidence.where(F.col("title") != ""), F.col("title"), F.desc("similarity"), F.asc("rank"))
     top = best.agg(F.max("similarity").alias("top"))
+    order = (F.desc("similarity"), F.asc("rank"))
     near = best.join(F.broadcast(top), F.round(F.col("top") - F.col("similarity"), 6) <= gap).drop("top")
-    n = near.agg(F.count("*").alias("n")).where(F.col("n").between(fewest, most))
-    return near.join(F.broadcast(n), F.lit(True), "left_semi")
+    near = near.orderBy(*order).limit(most).withColumn("option", F.row_number().over(Window.orderBy(*order)))
+    own = near.withColumn("words", F.array_except(title_words(F.col("title")), F.array(*[F.lit(w) for w in GENERIC_WORDS])))
+    # ``most`` rows at most meet here.
+    asked = F.array_intersect(F.col("words"), title_words(F.lit(question)))
+    every = own.agg(F.count("*").alias("n"), F.collect_list(asked).alias("lists"))
+    single = F.size(F.array_distinct(F.flatten("lists"))) > F.size(F.aggregate("lists", F.element_at("lists", 1), lambda s, x: F.array_intersect(s, x)))
+    ask = every.where((F.col("n") >= fewest) & ~F.coalesce(single, F.lit(False)) & ~has_code(F.lit(question)))
+    return near.join(F.broadcast(ask.select("n")), F.lit(True), "left_semi").select("title", "id", "similarity", F.col("option").alias("rank"))
+
+
+def with_clarification(question: Column, value: Column, skipped: Column) -> Column:
+    """The question with the pick behind it, if there is one."""
+    pick = F.trim(F.substring(F.trim(F.coalesce(value, F.lit(""))), 1, 200))
+    return F.when((pick == "") | F.coalesce(skipped, F.lit(False)), question).otherwise(F.concat(F.trim(question), F.lit(" ("), pick, F.lit(")")))
 
 
 def recall_at_k(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
@@ -71,7 +106,12 @@ def recall_at_k(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
     return hits.select("hits", F.round(F.col("hits") / F.nullif(F.lit(k), F.lit(0)), 3).alias("recall"))
 
 
-def add_without_repeats(first: DataFrame, then: DataFrame, most: int = 3) -> DataFrame:
-    """Up to ``most`` rows of ``first`` that ``then`` lacks by id and by text, before the rows of ``then``. Both have id, text, ord."""
-    new = first.join(then.select("id"), "id", "left_anti").join(then.select("text"), "text", "left_anti").orderBy("ord", "id").limit(most)
-    return new.select("id", "text", F.lit(0).alias("part"), "ord").unionByName(then.select("id", "text", F.lit(1).alias("part"), "ord"))
+def add_without_repeats(found: DataFrame, most: int = 3) -> DataFrame:
+    """Up to ``most`` rows of part 0 that part 1 lacks by id and by text, in order, before the rows of part 1.
+
+    ``found`` (id, text, ord, part) has the few rows of both, so its windows are small.
+    """
+    has = lambda c: F.max("part").over(Window.partitionBy(c)) == 1
+    rows = found.withColumn("new", (F.col("part") == 1) | ~(has("id") | has("text"))).where("new")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("ord", "id")))
+    return rows.where((F.col("part") == 1) | (F.col("n") <= most)).select("id", "text", "part", "ord")

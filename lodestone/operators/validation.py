@@ -23,38 +23,70 @@ def stem(circuit: Column) -> Column:
     return F.regexp_replace(F.lower(circuit), r",?\s*pin\s*[0-9]+\s*$", "")
 
 
-def validate(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``entries`` with its own rules' notes and the state they give, and the report.
-
-    Columns: entry_id, year, make, model, circuit, cell_kind, cell_raw, connector_pins, pin,
-    validation_notes (map). V1: pin above the connector's pins. V2: a run of three years or more
-    in which pin and year both rise by one on one stem. V4: the same text on another circuit of
-    the vehicle. V5: another text for the same vehicle and circuit. V1 and V5 quarantine, any
-    other note flags; foreign notes stay.
+#: The rules that :func:`validate` owns, and what its report calls them. Fixed values.
+RULES = {
+    "V1": "V1 pin exceeds connector pin count (quarantine)",
+    "V2": "V2 drag-fill pattern (flag)",
+    "V4": "V4 identical 12v and ignition (flag)",
+    "V5": "V5 conflicting duplicates (quarantine)",
+}
+
+
+def validate(entries: DataFrame, org: str, sheet_version: int) -> tuple[DataFrame, DataFrame]:
+    """``entries`` with notes and state of one sheet version, and the report (rule, affected).
+
+    Columns: entry_id, org_id, sheet_version, deleted_at, year, make, model, start_type, circuit,
+    cell_kind, cell_raw, connector_pins, pin, validation_notes (map). V1: pin above the
+    connector's pins. V2: inline cells of one vehicle, circuit and stem whose pin and year both
+    rise by one, over three rows or more; equal years are one step. V4: an inline cell's text on
+    another circuit of the vehicle. V5: another text for the same vehicle and circuit. V1 and V5
+    quarantine, any other note flags; notes of other rules stay. Rows of other versions, other
+    organisations and deleted ones are returned as they are.
+
+    Each rule is a window; none joins the sheet with itself.
     """
-    own = ["V1", "V2", "V4", "V5"]
-    e = entries.withColumns({"lmake": F.lower("make"), "lmodel": F.lower("model"), "lcell": F.lower("cell_raw"), "cell_stem": stem(F.col("cell_raw"))})
-    v1 = e.where(F.col("pin") > F.col("connector_pins")).select("entry_id", F.lit("V1").alias("rule"), F.format_string("pin %d exceeds %d pins", "pin", "connector_pins").alias("note"))
-    keys = ["make", "model", "circuit", "cell_stem"]
-    inline = e.where((F.col("cell_kind") == "inline") & F.col("pin").isNotNull())
-    steps = inline.withColumns({"_pin": previous("pin", keys, "year"), "_year": previous("year", keys, "year")})
-    found = runs(steps, keys, "year", (F.col("pin") == F.col("_pin") + 1) & (F.col("year") == F.col("_year") + 1)).where("run_length >= 3")
-    v2 = found.select("entry_id", F.lit("V2").alias("rule"), F.format_string("run of %d", "run_length").alias("note"))
-    vehicle = Window.partitionBy("lmake", "lmodel", "year", "lcell")
-    texts = e.where("cell_kind = 'inline'")
-    v4 = texts.where("lcell IS NOT NULL").withColumns({"_lo": F.min("circuit").over(vehicle), "_hi": F.max("circuit").over(vehicle)}).where("_lo <> _hi").select("entry_id", F.lit("V4").alias("rule"), F.lit("same text on another circuit").alias("note"))
-    slot = Window.partitionBy("lmake", "lmodel", "year", "circuit")
-    v5 = e.withColumns({"_lo": F.min("lcell").over(slot), "_hi": F.max("lcell").over(slot)}).where("_lo <> _hi").select("entry_id", F.lit("V5").alias("rule"), F.lit("conflicting texts").alias("note"))
-    hits = v1.unionByName(v2).unionByName(v4).unionByName(v5)
-    notes = hits.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", "note"))).alias("new_notes"))
-    kept = F.map_filter(F.coalesce("validation_notes", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*own))
-    out = entries.join(notes, "entry_id", "left").withColumn("validation_notes", F.when(F.col("new_notes").isNull(), kept).otherwise(F.map_concat(kept, "new_notes"))).drop("new_notes")
-    bad = F.map_contains_key("validation_notes", "V1") | F.map_contains_key("validation_notes", "V5")
-    out = out.withColumn("validation_state", F.when(bad, "quarantined").when(F.size("validation_notes") > 0, "flagged").otherwise("ok"))
-    spark = entries.sparkSession
-    rules = spark.createDataFrame([(r,) for r in own], "item string").join(hits.groupBy(F.col("rule").alias("item")).count(), "item", "left").select("item", F.coalesce("count", F.lit(0)).alias("n"))
-    report = rules.unionByName(out.groupBy(F.concat(F.lit("state: "), "validation_state").alias("item")).agg(F.count("*").alias("n")))
-    return out, report
+    mine = (F.col("org_id") == org) & (F.col("sheet_version") == sheet_version) & F.col("deleted_at").isNull()
+    start = F.coalesce("start_type", F.lit(""))
+    inline = mine & (F.col("cell_kind") == "inline")
+    v1 = mine & (F.col("pin") > F.col("connector_pins"))
+
+    # V2: rows that take no part are a partition of their own.
+    steps = inline & F.col("pin").isNotNull()
+    cell = Window.partitionBy(F.coalesce(steps, F.lit(False)), "org_id", "sheet_version", "make", "model", start, "circuit", stem(F.col("cell_raw")))
+    by_row, by_year = cell.orderBy("year", "entry_id"), cell.orderBy("year")
+    goes_on = (F.col("pin") - F.lag("pin").over(by_row) == 1) & (F.col("year") - F.lag("year").over(by_row) == 1)
+    e = entries.withColumns({"_in": F.coalesce(mine, F.lit(False)), "_steps": F.coalesce(steps, F.lit(False)), "_inline": F.coalesce(inline, F.lit(False))})
+    e = e.withColumn("_break", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_break").over(by_year))
+    run = Window.partitionBy("_steps", "org_id", "sheet_version", "make", "model", start, "circuit", stem(F.col("cell_raw")), "_run")
+    e = e.withColumn("_length", F.when(F.col("_steps"), F.count("*").over(run)))
+
+    vehicle = ["org_id", "sheet_version", "year", F.lower("make"), F.lower("model"), start]
+    text = F.lower("cell_raw")
+    same_text = Window.partitionBy("_inline", *vehicle, text)
+    slot = Window.partitionBy("_in", *vehicle, "circuit")
+    e = e.withColumns({"_v4": F.min("circuit").over(same_text) != F.max("circuit").over(same_text), "_v5": F.min(text).over(slot) != F.max(text).over(slot)})
+    notes = {
+        "V1": (v1, F.format_string("pin %d on a %d-pin connector", "pin", "connector_pins")),
+        "V2": (F.col("_length") >= 3, F.format_string("pin rises by 1 each model year across %d consecutive years on the same connector", "_length")),
+        "V4": (F.col("_inline") & text.isNotNull() & F.col("_v4"), F.lit("12v and ignition cells are identical for this vehicle")),
+        "V5": (F.col("_in") & text.isNotNull() & F.col("_v5"), F.lit("the same vehicle and circuit appear more than once with different values")),
+    }
+    found = F.filter(F.array(*[F.when(hit, F.struct(F.lit(rule).alias("k"), note.alias("v"))) for rule, (hit, note) in notes.items()]), lambda x: x.isNotNull())
+    before = F.coalesce("validation_notes", F.create_map().cast("map<string,string>"))
+    kept = F.map_concat(F.map_filter(before, lambda k, _: ~k.isin(*RULES)), F.map_from_entries(found))
+    state = F.when(F.map_contains_key("_notes", "V1") | F.map_contains_key("_notes", "V5"), "quarantined").when(F.size("_notes") > 0, "flagged").otherwise("ok")
+    e = e.withColumn("_notes", kept).withColumn("_state", state)
+    columns = [c for c in entries.columns if c not in ("validation_notes", "validation_state")]
+    old = F.col("validation_state") if "validation_state" in entries.columns else F.lit(None).cast("string")
+    out = e.select(*columns, F.when(F.col("_in"), F.col("_notes")).otherwise(F.col("validation_notes")).alias("validation_notes"), F.when(F.col("_in"), F.col("_state")).otherwise(old).alias("validation_state"))
+    return out, report(out.where(mine))
+
+
+def report(validated: DataFrame) -> DataFrame:
+    """One row for each rule, with 0 where no row breaks it, then one for each state."""
+    rules = validated.agg(*[F.count(F.when(F.map_contains_key("validation_notes", r), 1)).alias(r) for r in RULES])
+    rules = rules.select(F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(r).alias("affected")) for r, name in RULES.items()])))
+    return rules.unionByName(validated.groupBy(F.concat(F.lit("state: "), "validation_state").alias("rule")).agg(F.count("*").alias("affected")))
 
 
 def lookup(entries: DataFrame, make: str, model: str, year: int, circuit: str | None = None, start_type: str | None = None) -> DataFrame:

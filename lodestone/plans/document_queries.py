@@ -9,10 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
-from lodestone.operators.conversation import history
+from lodestone.operators.conversation import history, steps
 from lodestone.plans.retrieval_queries import table
 from lodestone.sources.frames import answer_text, parse_frames
-from lodestone.streaming.jobs import count_states
+from lodestone.sources.wires import page_heads, parse_wires
+from lodestone.streaming.jobs import drain
 
 
 def history_budget(spark, sf_dir):
@@ -52,14 +53,35 @@ FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY user_id"""
 
 
 def html_title_links(spark, sf_dir):
-    html = F.col("html")
-    items = F.size(F.regexp_extract_all(html, F.lit(r"<li[^>]*>"), F.lit(0))).cast("long")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", ""))
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), items.alias("items"))
+    """Each page's title and its links in order."""
+    return page_heads(table(spark, sf_dir, "pages")).select("page_id", "title", F.size("links").cast("long").alias("n"), F.array_join("links", " ").alias("links"))
 
 
-TITLE_SQL = """SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS title,
-  len(regexp_extract_all(html, '<li[^>]*>'))::BIGINT AS items FROM pages"""
+TITLE_SQL = """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
+  len(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1))::BIGINT AS n, array_to_string(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1), ' ') AS links FROM pages"""
+
+
+def wire_rows(spark, sf_dir):
+    """Rows of wires made of pages: their URL's parts as cells, sections and notes between."""
+    cell = lambda c: F.concat(F.lit('<td class="wires">'), c, F.lit("</td>"))
+    part = lambda i: F.coalesce(F.get(F.split("url", "/"), F.lit(i)), F.lit("none"))
+    row = F.concat(F.lit('<tr class="title"><td>Host '), part(2), F.lit('</td></tr><tr class="row1">'), cell(part(2)), cell(part(3)), cell(F.lit("+&nbsp;<b>x</b>")), cell(part(0)), F.lit('</tr><tr class="wirenote"><td>Note '), part(3), F.lit('</td></tr><tr class="row2">'), cell(F.lit("Ignition")), cell(F.lit("blue")), cell(F.lit("-")), cell(F.lit("kick")), F.lit("</tr>"))
+    out = parse_wires(table(spark, sf_dir, "pages").select("page_id", row.alias("html")))
+    return out.select("page_id", "ordinal", "section", "function", "color", "polarity", "location", "notes")
+
+
+WIRE_SQL = """WITH p AS (SELECT page_id, string_split(url, '/') AS u FROM pages)
+SELECT page_id, 1::INT AS ordinal, 'Host ' || u[3] AS section, u[3] AS function, coalesce(u[4], 'none') AS color, '+ x' AS polarity, u[1] AS location, 'Note ' || coalesce(u[4], 'none') AS notes FROM p
+UNION ALL SELECT page_id, 2, 'Host ' || u[3], 'Ignition', 'blue', '-', 'kick', NULL FROM p"""
+
+
+def answer_steps(spark, sf_dir):
+    """Numbered steps of answers; a conversation's words after its marks stand for an answer."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("Do this:\n1. Caution "), F.substring("text", 1, 20), F.lit("\n"), F.when(F.col("turn") == 1, F.lit("3")).otherwise(F.lit("2")), F.lit(") Next\nDone")).alias("text"))
+    return steps(c.withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key").select("key", "n", "warns")
+
+
+STEPS_SQL = """SELECT conv_id || '-' || turn AS key, n::INT AS n, n = 1 AS warns FROM conversations, (VALUES (1), (2)) v(n) WHERE turn <> 1"""
 
 
 def repeated_lines(spark, sf_dir):
@@ -92,12 +114,21 @@ PACK_SQL = """SELECT source, min(t) AS least, list_sort(list(t))[floor(count(*)
 FROM (SELECT source, ceil(length(text) / 4.0)::BIGINT AS t FROM documents) GROUP BY source"""
 
 
+def shared_folder(spark):
+    """A new folder that driver and executors share; only a local session may use one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def stream_counts(spark, sf_dir):
     """Events by user and kind, from the same file as a stream; the SQL counts them at rest."""
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return count_states(spark, stream, f"{base}/stream-{uuid.uuid4().hex}", f"stream_{uuid.uuid4().hex}")
+    return drain(stream, ["user_id", "event_type"], shared_folder(spark))
 
 
 STREAM_SQL = "SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL"
@@ -111,4 +142,6 @@ PAIRS = {
     "paragraph_explode": (paragraph_explode, PARAGRAPH_SQL),
     "chunk_pack_stats": (chunk_pack_stats, PACK_SQL),
     "stream_counts": (stream_counts, STREAM_SQL),
+    "wire_rows": (wire_rows, WIRE_SQL),
+    "answer_steps": (answer_steps, STEPS_SQL),
 }

@@ -9,8 +9,6 @@ from lodestone.operators import merging as m
 from lodestone.operators.validation import previous, runs
 from lodestone.plans.retrieval_queries import table
 
-AS_OF = "1996-06-01 00:00:00"
-
 
 def drag_fill_runs(spark, sf_dir):
     """Stretches of three or more days in a row on which a user was active."""
@@ -25,81 +23,8 @@ g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT
 SELECT user_id, count(*)::BIGINT AS days, min(day)::VARCHAR AS first_day FROM g GROUP BY user_id, grp HAVING count(*) >= 3"""
 
 
-def v1_threshold(spark, sf_dir):
-    bad = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 48)
-    return bad.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_quantity").cast("double").alias("most"))
-
-
-V1_SQL = "SELECT l_orderkey, count(*)::BIGINT AS n, max(l_quantity)::DOUBLE AS most FROM lineitem WHERE l_quantity > 48 GROUP BY l_orderkey"
-
-
-def v4_identical_pairs(spark, sf_dir):
-    """Orders in which one flag stands on more than one line status: the self-join as an aggregate."""
-    line = table(spark, sf_dir, "lineitem")
-    found = line.groupBy("l_orderkey", "l_returnflag").agg(F.count_distinct("l_linestatus").alias("statuses"), F.count("*").alias("n"))
-    return found.where("statuses > 1").select("l_orderkey", "l_returnflag", "n")
-
-
-V4_SQL = """SELECT a.l_orderkey, a.l_returnflag, count(DISTINCT a.rowid)::BIGINT AS n
-FROM (SELECT *, row_number() OVER () AS rowid FROM lineitem) a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus <> b.l_linestatus GROUP BY ALL"""
-
-
-def v5_conflicts(spark, sf_dir):
-    """Order lines with more than one flag for the same order and line number."""
-    line = table(spark, sf_dir, "lineitem")
-    return line.groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct(F.lower("l_returnflag")).alias("flags"), F.count("*").alias("n")).where("flags > 1")
-
-
-V5_SQL = "SELECT l_orderkey, l_linenumber, count(DISTINCT lower(l_returnflag))::BIGINT AS flags, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT lower(l_returnflag)) > 1"
-
-
-def _states(spark, sf_dir):
-    """Per order, the keys of the rules that it breaks."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.max(F.col("l_quantity") > 48).alias("V1"), F.max((F.col("l_discount") >= 0.09) & (F.col("l_tax") >= 0.07)).alias("V4"), (F.count_distinct("l_linestatus") > 1).alias("V5")
-    )
-    notes = F.filter(F.array(*[F.when(F.col(v), F.lit(v)) for v in ("V1", "V4", "V5")]), lambda x: x.isNotNull())
-    state = F.when(F.col("V1") | F.col("V5"), "quarantined").when(F.size("notes") > 0, "flagged").otherwise("ok")
-    return line.withColumn("notes", notes).withColumn("state", state)
-
-
-STATES = """s AS (SELECT l_orderkey, bool_or(l_quantity > 48) AS v1, bool_or(l_discount >= 0.09 AND l_tax >= 0.07) AS v4, count(DISTINCT l_linestatus) > 1 AS v5 FROM lineitem GROUP BY l_orderkey),
-t AS (SELECT l_orderkey, list_filter([CASE WHEN v1 THEN 'V1' END, CASE WHEN v4 THEN 'V4' END, CASE WHEN v5 THEN 'V5' END], lambda x: x IS NOT NULL) AS notes,
-  CASE WHEN v1 OR v5 THEN 'quarantined' WHEN v4 THEN 'flagged' ELSE 'ok' END AS state FROM s)"""
-
-
-def validation_state(spark, sf_dir):
-    return _states(spark, sf_dir).select("l_orderkey", F.array_join("notes", ",").alias("notes"), "state")
-
-
-def validation_report(spark, sf_dir):
-    s = _states(spark, sf_dir)
-    rules = s.select(F.explode("notes").alias("item"))
-    return rules.unionByName(s.select(F.concat(F.lit("state: "), "state").alias("item"))).groupBy("item").agg(F.count("*").alias("n"))
-
-
-STATE_SQL = f"WITH {STATES} SELECT l_orderkey, array_to_string(notes, ',') AS notes, state FROM t"
-REPORT_SQL = f"WITH {STATES} SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(notes) AS item FROM t UNION ALL SELECT 'state: ' || state FROM t) GROUP BY item"
-
-
-def lookup_exact(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where((F.lower("p_brand") == "brand#12") & (F.col("p_size") == 10))
-    return p.select("p_partkey", "p_name", "p_type")
-
-
-def lookup_masked(spark, sf_dir):
-    masked = F.col("p_size") > 25
-    p = table(spark, sf_dir, "part").where(F.lower("p_brand") == "brand#12")
-    return p.select("p_partkey", F.when(~masked, F.col("p_retailprice")).alias("p_retailprice"), F.when(masked, "quarantined").otherwise("ok").alias("state"))
-
-
-LOOKUP_SQL = "SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_brand) = 'brand#12' AND p_size = 10"
-MASKED_SQL = "SELECT p_partkey, CASE WHEN p_size <= 25 THEN p_retailprice END AS p_retailprice, CASE WHEN p_size > 25 THEN 'quarantined' ELSE 'ok' END AS state FROM part WHERE lower(p_brand) = 'brand#12'"
-
-
 def queue_stats_zero_filled(spark, sf_dir):
-    domain = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "status string")
+    domain = spark.sql("SELECT * FROM VALUES ('F'), ('O'), ('P'), ('X') AS d(status)")
     found = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return domain.join(found, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -145,15 +70,6 @@ def distinct_on_hash(spark, sf_dir):
 HASH_SQL = "SELECT sha256(text) AS hash, max(doc_id) AS doc_id, count(*)::BIGINT AS versions FROM documents GROUP BY 1"
 
 
-def jobless(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(AS_OF).cast("timestamp_ntz"))
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return o.join(line, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-JOBLESS_SQL = f"SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '{AS_OF}' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
-
-
 def report_chain(spark, sf_dir):
     """Customers, their orders and the lines of those, none of which need exist."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
@@ -199,7 +115,7 @@ SELECT doc_id, hit FROM documents JOIN h ON md5(text) = k WHERE doc_id % 2 = 0 U
 
 
 def role_matrix(spark, sf_dir):
-    grants = spark.createDataFrame([("AFRICA", "read"), ("ASIA", "read"), ("ASIA", "write"), ("NOWHERE", "read")], "role string, permission string")
+    grants = spark.sql("SELECT * FROM VALUES ('AFRICA', 'read'), ('ASIA', 'read'), ('ASIA', 'write'), ('NOWHERE', 'read') AS g(role, permission)")
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     return grants.join(region, F.col("role") == F.col("r_name")).join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select("role", "permission", "n_name")
 
@@ -209,14 +125,15 @@ JOIN region ON r_name = role JOIN nation ON n_regionkey = r_regionkey"""
 
 
 def _halves(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    old = o.where("o_orderkey % 3 <> 0")
-    new = o.where("o_orderkey % 2 = 0").withColumns({"o_totalprice": F.round(F.col("o_totalprice") * 2, 2), "o_orderpriority": F.lit("new")})
+    """All orders, and a sheet of news with all of them: changed prices, and new keys where an order is finished."""
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    key = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") + 1_000_000_000).otherwise(F.col("o_orderkey"))
+    new = old.withColumns({"o_orderkey": key, "o_totalprice": F.round(F.col("o_totalprice") * 2, 2), "o_orderpriority": F.when(F.col("o_orderpriority") != "5-LOW", "new").otherwise("5-LOW")})
     return old, new
 
 
-HALVES = """a AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice, 'new' AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)"""
+HALVES = """a AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
+b AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey, o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice, CASE WHEN o_orderpriority <> '5-LOW' THEN 'new' ELSE '5-LOW' END AS o_orderpriority FROM orders)"""
 
 
 def upsert_preserve(spark, sf_dir):
@@ -237,7 +154,7 @@ def replace_children(spark, sf_dir):
 
 def patch_columns(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
-    changes = new.select("o_orderkey", (F.col("o_orderkey") % 4 == 0).alias("set_o_orderstatus"), F.lit(None).cast("string").alias("o_orderstatus"), F.lit(True).alias("set_o_totalprice"), "o_totalprice")
+    changes = new.select("o_orderkey", (F.col("o_orderstatus") == "O").alias("set_o_orderstatus"), F.lit(None).cast("string").alias("o_orderstatus"), F.lit(True).alias("set_o_totalprice"), "o_totalprice")
     return m.patch(old, changes, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
@@ -245,30 +162,14 @@ UPSERT_SQL = f"""WITH {HALVES} SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_
   coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey"""
 IGNORE_SQL = f"WITH {HALVES} SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)"
 CHILDREN_SQL = f"WITH {HALVES} SELECT * FROM a WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM b) UNION ALL SELECT * FROM b"
-PATCH_SQL = f"""WITH {HALVES} SELECT a.o_orderkey, CASE WHEN b.o_orderkey % 4 = 0 THEN NULL ELSE a.o_orderstatus END AS o_orderstatus,
+PATCH_SQL = f"""WITH {HALVES} SELECT a.o_orderkey, CASE WHEN b.o_orderstatus = 'O' THEN NULL ELSE a.o_orderstatus END AS o_orderstatus,
   coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, a.o_orderpriority FROM a LEFT JOIN b ON a.o_orderkey = b.o_orderkey"""
 
 
-def keep_smallest_duplicate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
-SMALLEST_SQL = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"
-
-
-def pending_set(spark, sf_dir):
-    """Documents without a label, or whose label isn't settled."""
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    d = table(spark, sf_dir, "documents").select("doc_id").join(lab, "doc_id", "left")
-    return d.where("quality IS NULL OR quality = 0").select("doc_id", F.when(F.col("quality").isNull(), "new").otherwise("again").alias("why"))
-
-
 def set_difference(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-PENDING_SQL = "SELECT d.doc_id, CASE WHEN quality IS NULL THEN 'new' ELSE 'again' END AS why FROM documents d LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 0"
 DIFFERENCE_SQL = "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels"
 
 
@@ -316,7 +217,7 @@ SELECT user_id, event_type, count(*)::BIGINT AS n, min(event_id) AS least FROM g
 
 
 def section_carry_forward(spark, sf_dir):
-    """The last error before or at each event of a user."""
+    """The last purchase before or at each event of a user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
     return table(spark, sf_dir, "events").select("event_id", kind.alias("section"))
@@ -335,14 +236,6 @@ def vector_reuse_split(spark, sf_dir):
 REUSE_SQL = "SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY text), doc_id) AS reused FROM documents"
 
 
-def backoff_schedule(spark, sf_dir):
-    n = spark.range(1, 9).withColumnRenamed("id", "attempt")
-    return n.select("attempt", F.least(F.lit(900), 30 * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long").alias("seconds"), F.when(F.col("attempt") >= 3, "failed").otherwise("pending").alias("status"))
-
-
-BACKOFF_SQL = "SELECT attempt, least(900, 30 * pow(2, attempt - 1))::BIGINT AS seconds, CASE WHEN attempt >= 3 THEN 'failed' ELSE 'pending' END AS status FROM range(1, 9) t(attempt)"
-
-
 def stale_leases(spark, sf_dir):
     """Leases over 15 minutes old at the time of the last event: back to pending, or failed for good."""
     e = table(spark, sf_dir, "events")
@@ -355,14 +248,6 @@ STALE_SQL = """SELECT CASE WHEN user_id % 4 = 3 THEN 'failed' ELSE 'pending' END
 FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTES GROUP BY 1"""
 
 
-def claim_next(spark, sf_dir):
-    due = table(spark, sf_dir, "events").where("event_type = 'click'").orderBy("ts", "event_id").limit(1)
-    return due.select("event_id", F.lit("running").alias("status"))
-
-
-CLAIM_SQL = "SELECT event_id, 'running' AS status FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 1"
-
-
 def json_extract_group(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
@@ -406,19 +291,11 @@ FROM (SELECT DISTINCT c_nationkey AS n FROM customer) a FULL JOIN (SELECT DISTIN
 
 PAIRS = {
     "drag_fill_runs": (drag_fill_runs, DRAG_SQL),
-    "v1_threshold": (v1_threshold, V1_SQL),
-    "v4_identical_pairs": (v4_identical_pairs, V4_SQL),
-    "v5_conflicts": (v5_conflicts, V5_SQL),
-    "validation_state": (validation_state, STATE_SQL),
-    "validation_report": (validation_report, REPORT_SQL),
-    "lookup_exact": (lookup_exact, LOOKUP_SQL),
-    "lookup_masked": (lookup_masked, MASKED_SQL),
     "queue_stats_zero_filled": (queue_stats_zero_filled, QUEUE_SQL),
     "count_by_make": (count_by_make, MAKE_SQL),
     "docs_page_with_counts": (docs_page_with_counts, PAGE_SQL),
     "latest_review": (latest_review, LATEST_SQL),
     "distinct_on_hash": (distinct_on_hash, HASH_SQL),
-    "jobless": (jobless, JOBLESS_SQL),
     "report_chain": (report_chain, CHAIN_SQL),
     "report_pivot": (report_pivot, PIVOT_SQL),
     "figure_or_join": (figure_or_join, FIGURE_SQL),
@@ -427,8 +304,6 @@ PAIRS = {
     "insert_ignore": (insert_ignore, IGNORE_SQL),
     "replace_children": (replace_children, CHILDREN_SQL),
     "patch_columns": (patch_columns, PATCH_SQL),
-    "keep_smallest_duplicate": (keep_smallest_duplicate, SMALLEST_SQL),
-    "pending_set": (pending_set, PENDING_SQL),
     "set_difference": (set_difference, DIFFERENCE_SQL),
     "weighted_mode": (weighted_mode, MODE_SQL),
     "upper_median": (upper_median, MEDIAN_SQL),
@@ -436,9 +311,7 @@ PAIRS = {
     "run_demotion": (run_demotion, RUN_SQL),
     "section_carry_forward": (section_carry_forward, CARRY_SQL),
     "vector_reuse_split": (vector_reuse_split, REUSE_SQL),
-    "backoff_schedule": (backoff_schedule, BACKOFF_SQL),
     "stale_leases": (stale_leases, STALE_SQL),
-    "claim_next": (claim_next, CLAIM_SQL),
     "json_extract_group": (json_extract_group, JSON_SQL),
     "invariants": (invariants, INVARIANT_SQL),
     "reconcile": (reconcile, RECONCILE_SQL),

@@ -84,12 +84,9 @@ def admission_gate(spark, sf_dir):
     dense = r.dense_arm(_vectors(spark, sf_dir).where(F.col("id") != QUESTION), _question(spark, sf_dir), 20)
     lexical = r.lexical_arm(_texts(spark, sf_dir), TERMS, 20).withColumnRenamed("rank", "lexical_rank")
     matches = dense.join(lexical, "id", "full")
-    gates = [r.admission(matches, F.lit(code), floor).withColumn("gate", F.lit(name)) for name, code, floor in (("open", False, 0.1), ("strict", False, 0.99), ("code", True, 0.99))]
-    gates.append(r.admission(matches.where("id < 0"), F.lit(True)).withColumn("gate", F.lit("none")))
-    out = gates[0]
-    for g in gates[1:]:
-        out = out.unionByName(g)
-    return out
+    gates = spark.sql("SELECT * FROM VALUES ('open', 0.1D, false), ('strict', 0.99D, false), ('code', 0.99D, true) AS g(gate, floor, has_code)")
+    none = r.admission(matches.limit(0), spark.sql("SELECT 'none' AS gate, 0.35D AS floor, true AS has_code"))
+    return r.admission(matches, gates).unionByName(none)
 
 
 ADMISSION_SQL = f"""WITH {DENSE},
@@ -112,19 +109,6 @@ PARENT_SQL = f"""WITH {DENSE}, d AS (SELECT *, row_number() OVER (ORDER BY simil
 SELECT label AS parent, id, similarity, rank FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY rank) = 1"""
 
 
-def clarify_options(spark, sf_dir):
-    top = r.dense_arm(_vectors(spark, sf_dir).where(F.col("id") != QUESTION), _question(spark, sf_dir), 100)
-    titles = _texts(spark, sf_dir, F.col("source").alias("title")).drop("text").join(F.broadcast(top), "id")
-    best = r.best_per(titles, F.col("title"), F.desc("similarity"), F.asc("rank"))
-    return r.clarification_options(best, gap=0.05, most=8).select("title", "id", "similarity")
-
-
-CLARIFY_SQL = f"""WITH {DENSE}, d AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM sims WHERE id <> 7 QUALIFY rank <= 100),
-b AS (SELECT source AS title, id, similarity FROM d JOIN documents ON doc_id = id QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, rank) = 1),
-n AS (SELECT * FROM b WHERE round((SELECT max(similarity) FROM b) - similarity, 6) <= 0.05)
-SELECT * FROM n WHERE (SELECT count(*) FROM n) BETWEEN 2 AND 8"""
-
-
 def recall_at_k(spark, sf_dir):
     """Exact neighbours against those by the first half of the components."""
     q = _question(spark, sf_dir)
@@ -140,12 +124,11 @@ FROM (SELECT id FROM sims ORDER BY similarity DESC, id LIMIT 20) JOIN (SELECT id
 
 
 def faq_evidence(spark, sf_dir):
-    """Texts of the nearest vectors, before the texts that the terms found, without repeats."""
-    near = r.dense_arm(_vectors(spark, sf_dir), _question(spark, sf_dir), 10).select("id", F.col("rank").alias("ord"))
-    hits = r.lexical_arm(_texts(spark, sf_dir), TERMS, 10).select("id", F.col("rank").alias("ord"))
-    texts = _texts(spark, sf_dir)
-    out = r.add_without_repeats(texts.join(F.broadcast(near), "id"), texts.join(F.broadcast(hits), "id"))
-    return out.select("part", "ord", "id", F.md5("text").alias("text_md5"))
+    """Texts of the nearest vectors, before the texts that the terms found, without repeats; texts are fetched once, for the ids found."""
+    near = r.dense_arm(_vectors(spark, sf_dir), _question(spark, sf_dir), 10).select("id", F.col("rank").alias("ord"), F.lit(0).alias("part"))
+    hits = r.lexical_arm(_texts(spark, sf_dir), TERMS, 10).select("id", F.col("rank").alias("ord"), F.lit(1).alias("part"))
+    found = _texts(spark, sf_dir).join(F.broadcast(near.unionByName(hits)), "id")
+    return r.add_without_repeats(found).select("part", "ord", "id", F.md5("text").alias("text_md5"))
 
 
 FAQ_SQL = f"""WITH {DENSE},
@@ -261,7 +244,6 @@ PAIRS = {
     "lexical_or_rank": (lexical_or_rank, LEXICAL_SQL),
     "admission_gate": (admission_gate, ADMISSION_SQL),
     "parent_dedup": (parent_dedup, PARENT_SQL),
-    "clarify_options": (clarify_options, CLARIFY_SQL),
     "recall_at_k": (recall_at_k, RECALL_SQL),
     "faq_evidence": (faq_evidence, FAQ_SQL),
     "citation_validity": (citation_validity, CITATION_SQL),

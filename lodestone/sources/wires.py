@@ -16,6 +16,13 @@ def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
 
 
+def page_heads(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` with ``title`` (tags out, white space squeezed; empty without one) and ``links``, the targets in order."""
+    title = F.regexp_replace(F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]*>", " ")
+    links = F.regexp_extract_all(html_col, F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return pages.withColumns({"title": F.trim(F.regexp_replace(title, r"\s+", " ")), "links": links})
+
+
 def parse_wires(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each wire: page, ordinal, section, function, color, polarity, location, notes, image_url.
 

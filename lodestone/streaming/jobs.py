@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds before the first retry and at most, and attempts. Fixed values.
@@ -24,9 +24,32 @@ def next_state(df: DataFrame) -> DataFrame:
     return df.withColumn("next", status.otherwise(s)).withColumn("wait", F.when((e == "fail") & (F.col("next") == "pending"), backoff(F.col("attempts"))))
 
 
-def count_states(spark: SparkSession, stream: DataFrame, checkpoint: str, name: str) -> DataFrame:
-    """Events of each kind by user, drained from a stream into a table in memory and read back."""
-    counts = stream.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def claim(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """The pending job that is due first, running, with one attempt more; one writer claims at a time."""
+    due = jobs.where((F.col("status") == "pending") & (F.col("run_at") <= as_of)).orderBy("run_at", "job_id").limit(1)
+    return due.withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1})
+
+
+def cancel(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``jobs`` with ``was``, where the unfinished ones of ``sources`` (source) are cancelled; ``was`` is the state before, null where nothing changed."""
+    hit = jobs.join(F.broadcast(sources.select("source").distinct().withColumn("_hit", F.lit(True))), "source", "left")
+    ends = F.col("_hit") & F.col("status").isin("pending", "running")
+    return hit.withColumn("was", F.when(ends, F.col("status"))).withColumn("status", F.when(ends, "cancelled").otherwise(F.col("status"))).drop("_hit")
+
+
+def drain(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Rows by ``keys`` of all that a stream holds now: key columns and n.
+
+    Each micro-batch writes its own partial counts to ``folder``, under its number, so one that runs again
+    replaces its files; the counts are summed when read. Nothing passes the driver, and no state is kept.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema.fields)
+    counts = spark.read.schema(f"{kinds}, n long").parquet(f"{folder}/counts")
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))

@@ -3,19 +3,19 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import merging
-from lodestone.operators.chunking import PROCEDURE_MAX, chunk_blocks, estimate, split_prose
+from lodestone.operators import knowledge, layout, merging, publication
+from lodestone.operators.chunking import FIGURE_MARK, Sizes, chunk_blocks, estimate, fill, parents, pieces, split_prose
 from lodestone.operators.conversation import steps
 from lodestone.operators.validation import lookup, validate
 from lodestone.sources.frames import answer_text, parse_frames
 from lodestone.sources.wires import circuit, parse_wires
-from lodestone.streaming.jobs import next_state
+from lodestone.streaming.jobs import cancel, next_state
 
-ENTRY = "entry_id string, year int, make string, model string, circuit string, cell_kind string, cell_raw string, wire_colour string, connector_pins int, pin int, start_type string, is_live boolean, deleted_at timestamp, validation_notes map<string,string>"
+ENTRY = "entry_id string, org_id string, sheet_version int, year int, make string, model string, circuit string, cell_kind string, cell_raw string, wire_colour string, connector_pins int, pin int, start_type string, is_live boolean, deleted_at timestamp, validation_notes map<string,string>"
 
 
 def entry(i, year, circ, raw, pins, pin, notes=None, model="RDX", start=None):
-    return (i, year, "Acura", model, circ, "inline", raw, "red", pins, pin, start, True, None, notes)
+    return (i, "o", 1, year, "Acura", model, circ, "inline", raw, "red", pins, pin, start, True, None, notes)
 
 
 def drag_fill():
@@ -24,55 +24,77 @@ def drag_fill():
 
 
 def test_drag_fill(spark):
-    out, report = validate(spark.createDataFrame(drag_fill(), ENTRY))
-    assert {r["item"]: r["n"] for r in report.collect()} == {"V1": 3, "V2": 10, "V4": 0, "V5": 0, "state: quarantined": 3, "state: flagged": 7}
-    again, _ = validate(out.drop("validation_state"))
+    out, report = validate(spark.createDataFrame(drag_fill(), ENTRY), "o", 1)
+    assert {r["rule"][:2] if r["rule"][0] == "V" else r["rule"]: r["affected"] for r in report.collect()} == {"V1": 3, "V2": 10, "V4": 0, "V5": 0, "state: quarantined": 3, "state: flagged": 7}
+    again, _ = validate(out.drop("validation_state"), "o", 1)
     assert sorted(map(str, again.select(*out.columns).collect())) == sorted(map(str, out.collect()))
 
 
 def test_rules_and_foreign_notes(spark):
     rows = [entry("x", 2008, "12v", "Same", 9, None), entry("y", 2008, "ignition", "SAME", 9, None), entry("z", 2009, "12v", "one", 9, None, {"V6": "low"}), entry("p", 2010, "12v", "one", 9, None), entry("q", 2010, "12v", "two", 9, None), entry("r", 2011, "12v", "fine", 9, None)]
     rows += [entry(f"s{y}", y, "12v", f"w, pin {p}", 9, p, model="TL") for y, p in ((2008, 1), (2009, 2), (2011, 3))]
-    found = {r["entry_id"]: (r["validation_state"], sorted(r["validation_notes"])) for r in validate(spark.createDataFrame(rows, ENTRY))[0].collect()}
+    found = {r["entry_id"]: (r["validation_state"], sorted(r["validation_notes"])) for r in validate(spark.createDataFrame(rows, ENTRY), "o", 1)[0].collect()}
     assert found["x"] == found["y"] == ("flagged", ["V4"]) and found["z"] == ("flagged", ["V6"])
     assert found["p"] == found["q"] == ("quarantined", ["V5"]) and found["r"] == ("ok", [])
     assert all(found[f"s{y}"][0] == "ok" for y in (2008, 2009, 2011))
+    # Start types are vehicles of their own; other versions and deleted rows take no part.
+    apart = [entry("x", 2008, "12v", "same", 9, None), entry("y", 2008, "ignition", "same", 9, None, start="key"), entry("z", 2008, "12v", "other", 9, None, start="key")]
+    other = [(i, "o", 2, *r) for i, _, _, *r in [entry("w", 2008, "ignition", "same", 9, None)]]
+    out = validate(spark.createDataFrame(apart + other, ENTRY), "o", 1)[0].collect()
+    assert {r["entry_id"]: r["validation_state"] for r in out} == {"x": "ok", "y": "ok", "z": "ok", "w": None}
 
 
 def test_lookup_masks(spark):
-    out = validate(spark.createDataFrame(drag_fill() + [entry("k", 2012, "12v", "free", 9, 1, start="key")], ENTRY))[0]
+    out = validate(spark.createDataFrame(drag_fill() + [entry("k", 2012, "12v", "free", 9, 1, start="key")], ENTRY), "o", 1)[0]
     got = lookup(out, "acura", "rdx", 2012, "ignition").collect()
     assert [(r["entry_id"], r["pin"], r["cell_raw"]) for r in got] == [("b2012", None, None)]
     assert lookup(out, "acura", "rdx", 2013).collect() == [] and [r["start_type"] for r in lookup(out, "ACURA", "RDX", 2012, "12v").collect()] == [None, "key"]
 
 
+BLOCK = "doc_id string, title string, pos int, type string, text string, level int, items array<struct<marker:string,text:string>>, ordered boolean, callout_kind string, page int, page_end int"
+
+
 def blocks(rows):
-    return [(d, i, t, text, level, items, page, page) for i, (d, t, text, level, items, page) in enumerate(rows)]
+    return [("d", "Guide", i, t, text, level, items, bool(items), "warning" if t == "callout" else None, page, None) for i, (t, text, level, items, page) in enumerate(rows)]
 
 
-BLOCK = "doc_id string, pos int, type string, text string, level int, items array<struct<marker:string,text:string>>, page int, page_end int"
+def test_filling():
+    assert fill([5, 5, 5, 20, 1], 10) == [0, 0, 1, 2, 3] and fill([], 10) == [] and fill([5, 5], 10, head=5) == [0, 1]
+    assert parents([100, 60, 10, 1300, 5], [True, False, True, False, True], 150, 1200) == [0, 0, 1, 2, 3]
+    s = Sizes()
+    assert pieces(["fill", "fill", "fill", "table", "fill", "part", "fill"], [200, 40, 30, 9, 100, 300, 10], s) == [0, 0, 0, 1, 2, 3, 3]
+    assert Sizes.of({"child_target": "200", "child_max": "many", "overlap": -1, "other": 3}) == (Sizes(child_target=200), ["child_max", "overlap"])
 
 
 def test_chunks(spark):
-    item = lambda i: (f"{i}.", f"step {i} " + "turn the screw " * 12)
-    rows = [("d", "heading", "A", 1, None, 1), ("d", "callout", "WARNING: hot", None, None, 1), ("d", "list", None, None, [item(i) for i in range(1, 41)], 2), ("d", "heading", "B", 2, None, 3)]
-    rows += [("d", "paragraph", "Some words go here. " * 120, None, None, 3), ("d", "table", "h1 | h2\n" + "\n".join(f"r{i} | " + "x" * 60 for i in range(80)), None, None, 4), ("d", "callout", "Note: last", None, None, None)]
+    item = lambda i: (f"{i}.", f"step {i} " + "turn the screw " * 6)
+    rows = [("heading", "A", 1, None, 1), ("callout", "hot", None, None, 1), ("list", None, None, [item(i) for i in range(1, 41)], 2), ("callout", "then more prose", None, None, 2), ("paragraph", "after", None, None, 2), ("heading", "B", 2, None, 3)]
+    rows += [("paragraph", "Some words go here. " * 120, None, None, 3), ("table", "h1 | h2\n" + "\n".join(f"r{i} | " + "x" * 60 for i in range(80)), None, None, 4), ("figure", "a pump", None, None, 5), ("figure", None, None, None, 5), ("other", "kept anyway", None, None, None), ("list", None, None, [item(1), item(2)], 6), ("callout", "last", None, None, 7)]
     out = chunk_blocks(spark.createDataFrame(blocks(rows), BLOCK)).orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in out] == list(range(len(out)))
-    lists = [r for r in out if r["kind"] == "list"]
-    assert len(lists) > 1 and all(r["text"].startswith("WARNING: hot") and estimate(r["text"]) <= PROCEDURE_MAX for r in lists)
-    said = "\n".join(r["text"] for r in lists)
-    assert all(f"step {i} " in said for i in range(1, 41)) and [r["part"] for r in lists] == [f"part {k}/{len(lists)}" for k in range(1, len(lists) + 1)]
+    lists = [r for r in out if r["kind"] == "procedure"]
+    long, last = lists[:-1], lists[-1]
+    head = "Guide › A\nWARNING: hot\n\n"
+    assert len(long) > 1 and all(r["text"].startswith(head) and r["has_warning"] and estimate(r["text"]) <= Sizes.procedure_max + 20 for r in long)
+    said = "\n".join(r["text"] for r in long)
+    assert all(f"step {i} " in said for i in range(1, 41)) and [r["part"] for r in long] == [f"{k}/{len(long)}" for k in range(1, len(long) + 1)]
+    assert last["part"] is None and last["text"].endswith("\n\nWARNING: last") and (last["page_from"], last["page_to"], last["step_count"]) == (6, 7, 2)
+    alone = [r for r in out if r["kind"] == "callout"]
+    assert [r["text"] for r in alone] == ["Guide › A\nWARNING: then more prose"], "prose follows, so it belongs to no list"
     tables = [r for r in out if r["kind"] == "table"]
-    assert len(tables) > 1 and all(r["text"].startswith("h1 | h2") for r in tables)
-    assert {r["section_path"] for r in out if not r["is_parent"]} == {"A", "A > B"} and any(r["kind"] == "warning" for r in out)
-    assert all(not r["is_parent"] or r["parent_index"] is None for r in out) and all(r["parent_index"] is not None for r in out if not r["is_parent"])
+    assert len(tables) > 1 and all(r["text"].startswith("Guide › A > B\nh1 | h2") for r in tables)
+    assert [r["text"] for r in out if r["kind"] == "figure"] == [f"Guide › A > B\n{FIGURE_MARK}\na pump"] and any("kept anyway" in r["text"] for r in out if r["kind"] == "prose")
+    tops = [r for r in out if r["is_parent"]]
+    assert tops[0]["text"].startswith("Guide › A\n\nA\n\nWARNING: hot") and all(r["parent_index"] is None for r in tops)
+    index = {r["chunk_index"] for r in tops}
+    assert all(r["parent_index"] in index and r["parent_index"] < r["chunk_index"] for r in out if not r["is_parent"])
 
 
 def test_split_prose():
     text = "word " * 2000
     parts = split_prose(text.strip())
     assert all(estimate(p) <= 380 for p in parts) and len(parts) > 5 and split_prose("short") == ["short"]
+    assert "".join(split_prose("x" * 2000 + ". ", overlap=0)).startswith("x" * 2000)
 
 
 def test_wires(spark):
@@ -103,9 +125,76 @@ def test_publish(spark):
     schema = "chunk_id string, doc_id string, version int, is_parent boolean, embedding array<float>, is_live boolean, deleted_at timestamp"
     rows = [("a", "d", 1, False, [1.0], True, None), ("b", "d", 2, True, None, False, None), ("c", "d", 2, False, [1.0], False, None), ("e", "x", 1, False, None, False, None)]
     chunks, docs = spark.createDataFrame(rows, schema), spark.createDataFrame([("d", 2), ("x", 1), ("y", 1)], "doc_id string, version int")
-    out = merging.publish_version(chunks, docs, "d", 2)
+    out = publication.publish_version(chunks, docs, "d", 2, F.current_timestamp())
     live = lambda d: {r["chunk_id"] for r in d.where("is_live").collect()}
-    assert live(out) == {"c"} == live(merging.publish_version(out, docs, "d", 2)) and {r["chunk_id"] for r in out.where("deleted_at IS NOT NULL").collect()} == {"a"}
+    assert live(out) == {"c"} == live(publication.publish_version(out, docs, "d", 2, F.current_timestamp())) and {r["chunk_id"] for r in out.where("deleted_at IS NOT NULL").collect()} == {"a"}
     for doc, version in (("d", 1), ("x", 1), ("y", 1), ("z", 1)):
         with pytest.raises(ValueError, match="version|vector"):
-            merging.publish_version(chunks, docs, doc, version)
+            publication.publish_version(chunks, docs, doc, version, F.current_timestamp())
+
+
+def test_sheet_without_rows(spark):
+    with pytest.raises(ValueError, match="no rows"):
+        publication.publish_sheet(spark.createDataFrame([], ENTRY), "o", 1, F.current_timestamp())
+    with pytest.raises(ValueError, match="status"):
+        publication.retire(*[spark.createDataFrame([], "doc_id string, status string, is_live boolean")] * 3, "d", "gone")
+
+
+def test_clear_unpublished(spark):
+    rows = [(1, "d", 1, True), (2, "d", 2, False), (3, "d", 2, True), (4, "e", 2, False)]
+    assert sorted(r[0] for r in publication.clear_unpublished(spark.createDataFrame(rows, "id int, doc_id string, version int, is_live boolean"), "d", 2).collect()) == [1, 3, 4]
+
+
+def test_questions():
+    found = knowledge.parse_question('pump or "fuse box" -radio the pump')
+    assert found == knowledge.Query(("pump",), (("fuse", "box"),), ("radio",)) and knowledge.parse_question(None) == knowledge.Query(())
+
+
+def test_cancel(spark):
+    jobs = spark.createDataFrame([(1, "a", "running"), (2, "a", "completed"), (3, "b", "pending")], "job_id int, source string, status string")
+    assert {r["job_id"]: (r["status"], r["was"]) for r in cancel(jobs, spark.createDataFrame([("a",)], "source string")).collect()} == {1: ("cancelled", "running"), 2: ("completed", None), 3: ("pending", None)}
+
+
+def test_merge_keeps_or_resets(spark):
+    old, new = spark.createDataFrame([(1, 5, "x"), (2, 5, "y")], "k int, t int, d string"), spark.createDataFrame([(1, 5, None), (2, 6, None), (3, 1, None), (3, 1, None)], "k int, t int, d string")
+    out = merging.upsert(old, new.dropDuplicates(["k"]), ["k"], {"d": merging.kept_unless_changed("d", "t")})
+    assert sorted(map(tuple, out.collect())) == [(1, 5, "x"), (2, 6, None), (3, 1, None)]
+    assert sorted(r["k"] for r in merging.insert_ignore(old, new, ["k"]).collect()) == [1, 2, 3]
+
+
+ITEM = "doc_id int, page int, text string, x double, y double, width double, size double, bold boolean"
+
+
+def test_columns_are_read_one_after_the_other(spark):
+    left = [(1, 1, f"l{i}", 10.0, 700.0 - 14 * i, 90.0, 10.0, False) for i in range(5)]
+    right = [(1, 1, f"r{i}", 200.0, 700.0 - 14 * i, 90.0, 10.0, False) for i in range(5)]
+    out = layout.regions(spark.createDataFrame(left + right, ITEM)).collect()
+    by_region = {}
+    for r in sorted(out, key=lambda r: (r["region"], -r["y"])):
+        by_region.setdefault(r["region"], []).append(r["text"])
+    assert [by_region[k] for k in sorted(by_region)] == [[f"l{i}" for i in range(5)], [f"r{i}" for i in range(5)]]
+
+
+def test_lines_and_heads(spark):
+    rows = [(1, 1, "Pin", 10.0, 500.0, 20.0, 10.0, True), (1, 1, "3", 33.0, 500.5, 5.0, 10.0, True), (1, 1, "red", 90.0, 500.0, 20.0, 10.0, True), (1, 1, "next", 10.0, 480.0, 20.0, 10.0, False)]
+    got = layout.lines(spark.createDataFrame(rows, ITEM), ["doc_id", "page"]).orderBy("line").collect()
+    assert [(r["text"], r["bold"]) for r in got] == [("Pin 3 | red", True), ("next", False)]
+    pages = spark.createDataFrame([(1, p, 800.0) for p in range(1, 5)], "doc_id int, page int, height double")
+    text = [(1, p, f"Manual {p}", 790.0) for p in range(1, 5)] + [(1, 1, "Only here", 790.0), (1, 2, "page 2 of 4", 5.0), (1, 3, "Manual 3", 400.0)]
+    kept = layout.without_running_heads(spark.createDataFrame(text, "doc_id int, page int, text string, y double"), pages)
+    assert sorted(r["text"] for r in kept.collect()) == ["Manual 3", "Only here"]
+
+
+def test_lines_to_blocks(spark):
+    said = ["INSTALLATION", "Read all of this before you start to work.", "WARNING: hot parts", "keep away from them", "1. Open the box", "and look inside", "2. Close it", "Figure 4 the box", "3. Done", "Pin | Colour", "1 | red", "2.1 Wires", "Some more text about the wires here", "of the second kind."]
+    y, rows = 700.0, []
+    for i, t in enumerate(said):
+        y -= 40 if t in ("Pin | Colour", "2.1 Wires", "1. Open the box") else 14
+        rows.append((1, i, 1, "0", y, 10.0, t, False))
+    found = spark.createDataFrame(rows, "doc_id int, pos int, page int, region string, y double, size double, text string, bold boolean")
+    kinds = layout.demote(layout.classify(found, F.lit(10.0), F.lit(0.1)), 14.0)
+    got = layout.blocks(kinds, 14.0).orderBy("pos").collect()
+    assert [r["type"] for r in got] == ["heading", "paragraph", "callout", "list", "caption", "table", "heading", "paragraph"]
+    assert got[2]["text"] == "hot parts keep away from them" and got[2]["callout_kind"] == "warning"
+    assert [(i["marker"], i["text"]) for i in got[3]["items"]] == [("1.", "Open the box and look inside"), ("2.", "Close it"), ("3.", "Done")] and got[3]["ordered"]
+    assert got[5]["text"] == "Pin | Colour\n1 | red" and got[6]["level"] == 2 and got[7]["text"].endswith("of the second kind.")

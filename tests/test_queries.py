@@ -24,7 +24,7 @@ def shown(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the shared tables aren't here")
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, con, name):
     own = QUERIES[name](spark, FOLDER)
     columns = sorted(own.columns)
