@@ -4,11 +4,11 @@ A string of ``length`` bytes is handled where its anchor is: the place of the le
 its ``GRAM``-byte grams, so that equal strings have equal anchors. Texts are read a few megabytes
 at once, and of an anchor that several documents of such a part have, only two go on to meet the
 other parts: an anchor that a third of all documents have is no large group anywhere. Anchors
-that only one document has are dropped. Around each other anchor, the piece of text with its
-strings is cut out; of equal pieces only the first document's goes on, and the others are
-repeated whole.
+that only one document has are dropped. Around each other anchor lies a piece of text with its
+strings. Pieces meet by hash first, without their text: of equal ones, those of later documents
+are repeated whole, and the first goes on only where its anchor has other pieces too.
 
-Different pieces of an anchor meet in a shard, which builds a suffix array by Larsson-Sadakane
+These few are cut out and meet by anchor in a shard, which builds a suffix array by Larsson-Sadakane
 refinement and finds equal strings by Kasai's common prefixes. An anchor with very many different
 pieces is dealt over several shards, whose sorted strings are merged by binary search.
 """
@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import drop_saved, join_keys, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
@@ -188,17 +189,18 @@ def shared_anchors(texts: DataFrame, length: int, total: int) -> DataFrame:
     return met.groupBy("id").agg(F.collect_list("h").alias("hs"))
 
 
-def shared_pieces(texts: DataFrame, length: int) -> DataFrame:
-    """Pieces around the shared anchors of ``texts`` (id, fp, text, hs): h, name, id, fp, starts, size and piece.
+def piece_fates(texts: DataFrame, length: int, total: int) -> DataFrame:
+    """What becomes of the pieces around the shared anchors of ``texts`` (id, fp, text, hs): id, fp, a, b, h.
 
-    A piece that a text repeats is one row with several starts. Of a piece that several ids of a
-    part of the texts have, the smallest one's goes on; what others lose thereby comes as rows
-    without a name.
+    Without ``h``: bytes from a to b are those of a piece that a smaller id has. With it: the piece is
+    the first of its kind, and must be compared with others of the anchor ``h``.
     """
+    n_buckets = max(8, total // BUCKET_BYTES)
+    packed_names = ["bucket", "h", "name", "id", "fp", "start", "size"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 14):
-            text, own = batch.column("text").to_pylist(), batch.column("id").to_numpy()
+            text, own, fps = batch.column("text").to_pylist(), batch.column("id").to_numpy(), batch.column("fp").to_numpy()
             shared = [np.sort(x.values.to_numpy()) for x in batch.column("hs")]
             found = []
             for who, h, a, b in anchors(text, length):
@@ -211,37 +213,66 @@ def shared_pieces(texts: DataFrame, length: int) -> DataFrame:
             if not found:
                 continue
             who, h, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            pieces = [text[i][x:y] for i, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True)]
-            name = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)
-            ids = own[who]
-            order = np.lexsort((ids, name[:, 1], name[:, 0]))
-            first = _groups(name[order, 0], name[order, 1])
+            name = np.fromiter((xxhash.xxh3_64_intdigest(text[i][x:y]) for i, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True)), np.uint64, len(who)).view(np.int64)
+            ids, size = own[who], b - a
+            # What a smaller id here has is settled here; the others go on.
+            order = np.lexsort((ids, name, h))
+            first = _groups(h[order], name[order])
             least = np.repeat(ids[order][first], np.diff(np.r_[first, len(order)]))
             here = ids[order] == least
-            stay, gone = order[here], order[~here]
-            stay = stay[np.lexsort((a[stay], who[stay], name[stay, 1], name[stay, 0]))]
-            row = _groups(who[stay], name[stay, 0], name[stay, 1])
-            new = _groups(name[stay[row], 0], name[stay[row], 1])
-            shown = np.zeros(len(row), bool)
-            shown[new] = True
-            doc, x, y = _merged_spans(who[gone], a[gone], b[gone])
-            n, one = len(doc), stay[row]
-            take = pa.array(np.r_[who[one], doc])
-            ends = pa.array(np.r_[row, len(stay), len(stay) + 1 + np.arange(n)] if len(stay) or n else [0], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(h[one]), pa.nulls(n, pa.int64())]),
-                    pa.concat_arrays([pa.array([r.tobytes() for r in name[one]], pa.binary()), pa.nulls(n, pa.binary())]),
-                    batch.column("id").take(take),
-                    batch.column("fp").take(take),
-                    pa.ListArray.from_arrays(ends, pa.array(np.r_[a[stay], x])),
-                    pa.array(np.r_[b[one] - a[one], y - x]),
-                    pa.concat_arrays([pa.array([pieces[i] if show else None for i, show in zip(one.tolist(), shown.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary())]),
-                ],
-                names=["h", "name", "id", "fp", "starts", "size", "piece"],
-            )
-
-    return texts.mapInArrow(cut, "h long, name binary, id long, fp long, starts array<long>, size long, piece binary")
+            doc, x, y = _merged_spans(who[order[~here]], a[order[~here]], b[order[~here]])
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array([len(doc) % n_buckets], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([np.ascontiguousarray(c, np.int64).tobytes()], pa.binary()) for c in (own[doc], fps[doc], x, y - x))], names=packed_names)
+            stay = order[here]
+            bucket = (((mix(h[stay].view(np.uint64)) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+            sort = np.lexsort((a[stay], who[stay], bucket))
+            stay, bucket = stay[sort], bucket[sort]
+            at = _groups(bucket)
+            ends = pa.array(np.r_[at, len(stay)] * 8, pa.int32())
+            raw = [pa.Array.from_buffers(pa.binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(c[stay], np.int64).tobytes())]) for c in (h, name, ids, fps[who], a, size)]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *raw], names=packed_names)
+
+    def meet(held: pa.Table) -> pa.Table:
+        flat = lambda rows, c: np.frombuffer(b"".join(rows[c].to_pylist()), np.int64)
+        local = held.filter(pc.is_null(held["h"]))
+        held = held.filter(pc.is_valid(held["h"]))
+        h, name, ids, fp, start, size = (flat(held, c) for c in packed_names[1:])
+        order = np.lexsort((ids, name, h))
+        h, name, ids, fp, start, size = (c[order] for c in (h, name, ids, fp, start, size))
+        first = _groups(h, name)
+        least = np.repeat(ids[first], np.diff(np.r_[first, len(h)]))
+        of = _groups(h)
+        kinds = np.repeat(np.add.reduceat(np.isin(np.arange(len(h)), first).astype(np.int64), of), np.diff(np.r_[of, len(h)])) if len(h) else np.empty(0, np.int64)
+        later, compared = ids > least, (ids == least) & (kinds > 1)
+        lid, lfp, la, lsize = (flat(local, c) for c in packed_names[3:])
+        parts = [np.r_[c[later], c[compared], d] for c, d in ((ids, lid), (fp, lfp), (start, la), (size, lsize))]
+        anchor = pa.array(np.r_[np.zeros(int(later.sum()), np.int64), h[compared], np.zeros(len(lid), np.int64)], mask=np.r_[np.ones(int(later.sum()), bool), np.zeros(int(compared.sum()), bool), np.ones(len(lid), bool)])
+        return pa.Table.from_arrays([pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2]), pa.array(parts[2] + parts[3]), anchor], names=["id", "fp", "a", "b", "h"])
+
+    found = texts.mapInArrow(cut, "bucket int, " + ", ".join(f"{c} binary" for c in packed_names[1:]))
+    return found.groupBy("bucket").applyInArrow(meet, "id long, fp long, a long, b long, h long")
+
+
+def cut_pieces(texts: DataFrame) -> DataFrame:
+    """The pieces of ``texts`` (id, fp, text, wanted) at ``wanted`` (a, b, h), each different one of a text once: h, id, fp, starts, piece."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            who, h, starts, pieces = [], [], [], []
+            for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                places: dict[tuple[int, bytes], set[int]] = {}
+                for w in wanted:
+                    places.setdefault((w["h"], text[w["a"] : w["b"]]), set()).add(w["a"])
+                for (k, piece), at in places.items():
+                    who.append(i)
+                    h.append(k)
+                    starts.append(sorted(at))
+                    pieces.append(piece)
+            take = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column("id").take(take), batch.column("fp").take(take), pa.array(starts, pa.list_(pa.int64())), pa.array(pieces, pa.binary())], names=["h", "id", "fp", "starts", "piece"])
+
+    return texts.mapInArrow(cut, "h long, id long, fp long, starts array<long>, piece binary")
 
 
 def _expand(row_piece: np.ndarray, run_piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,32 +310,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     flagged = save(shared_anchors(unique.select("id", "text"), length, total), "shared-anchors")
     release(spark)
-    places = save(shared_pieces(unique.join(flagged, "id").select("id", "fp", "text", "hs"), length), "pieces", "zstd")
+    fates = save(piece_fates(unique.join(flagged, "id").select("id", "fp", "text", "hs"), length, total), "piece-fates")
     drop_saved(flagged)
     release(spark)
 
-    # Of equal pieces, those of later documents go; the first one's is compared with the different ones.
-    least = F.min("id").over(Window.partitionBy("name"))
-    shown = F.max("piece").over(Window.partitionBy("name"))
-    ranked = places.where("name IS NOT NULL").withColumns({"least": least, "shown": shown})
-    first = F.col("id") == F.col("least")
-    settled = save(ranked.select("h", F.when(first, F.col("name")).alias("name"), "id", "fp", "starts", "size", F.when(first, F.col("shown")).alias("piece")), "different-pieces", "zstd")
-    local = save(places.where("name IS NULL").select("id", "fp", "starts", "size"), "spans")
-    drop_saved(places)
+    # The text of the pieces that must be compared, and of no others.
+    wanted = fates.where("h IS NOT NULL").groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b", "h")).alias("wanted"))
+    pieces = save(cut_pieces(unique.join(wanted, ["id", "fp"]).select("id", "fp", "text", "wanted")), "pieces", "zstd")
     release(spark)
-    pieces = settled.where("name IS NOT NULL")
     n_shards = max(1, -(-pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0] // shard_bytes))
     large = pieces.groupBy("h").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > shard_bytes)
     large = save(large.select("h", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts")), "large-anchors")
     # Anchors share shards; a large one has shards of its own.
-    dealt = join_keys(pieces, large, ["h"], ["name"], "left")
+    dealt = join_keys(pieces, large, ["h"], ["piece"], "left")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("h"), F.lit(n_shards))).otherwise(F.col("h"))
-    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), "parts").cast("int"))
-    dealt = dealt.select("h", "name", "id", "fp", "starts", "piece", shard.alias("shard"), part.alias("part"))
+    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("piece"), "parts").cast("int"))
+    dealt = dealt.select("h", "id", "fp", "starts", "piece", shard.alias("shard"), part.alias("part"))
 
     def search(held: pa.Table) -> pa.Table:
         part, h = held["part"][0].as_py(), held["h"].to_numpy()
-        row_piece = held["name"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        row_piece = held["piece"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         once = np.unique(row_piece, return_index=True)[1]
         if part < 0:
             # An anchor with one piece has nothing to compare.
@@ -384,12 +409,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = strings.withColumn("slice", slice_of).groupBy("h", "slice").applyInArrow(merge, "h long, part int, number long, least long")
     dealt_runs = searched.where("part >= 0 AND string IS NULL").drop("least").join(merged, ["h", "part", "number"]).where("least < id")
     gone = searched.where("part < 0").select("id", "fp", "a", "b").unionByName(dealt_runs.select("id", "fp", "a", "b"))
-    whole_pieces = settled.where("name IS NULL").unionByName(local, allowMissingColumns=True).select("id", "fp", F.explode("starts").alias("a"), "size").select("id", "fp", "a", (F.col("a") + F.col("size")).alias("b"))
     # A document's own spans meet in one list, no more.
-    gone = gone.unionByName(whole_pieces).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("gone"), F.lit(False).alias("whole"))
+    gone = gone.unionByName(fates.where("h IS NULL").drop("h")).groupBy("id", "fp").agg(F.collect_set(F.struct("a", "b")).alias("gone"), F.lit(False).alias("whole"))
     whole = copies.select("id", "fp", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"), F.lit(True).alias("whole"))
     gone = save(gone.unionByName(whole), "removals")
-    for used in (settled, local, searched):
+    for used in (fates, pieces, searched):
         drop_saved(used)
     release(spark)
 
