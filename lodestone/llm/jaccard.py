@@ -6,10 +6,10 @@ order, which gives candidate pairs. The order of n-grams is cut into fragments;
 candidate pair is counted in each fragment by itself, and the counts are summed per pair. All
 documents' n-grams tell where the order is cut; frequent ones are the last fragment.
 
-Documents with the same set are one node. Where many nodes share an n-gram, all are first
-compared with one of them; after that only nodes that are not in the same component yet are
-compared with each other, so a large group of near copies costs about one comparison for each
-member, and no link between components is lost.
+Documents with the same set are one node. Where many nodes share an n-gram, one of them is its
+hub. Every node is compared with one hub first, then with the hubs of its other n-grams that are
+not in its component yet, and last nodes that are still apart with each other. So a large group of
+near copies costs about one comparison for each member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -189,12 +189,9 @@ def segments_of(texts: DataFrame, width: int, hot: np.ndarray, edges: np.ndarray
 
 
 def shared_posts(posts: DataFrame) -> DataFrame:
-    """The posts whose gram several nodes have, with the first of these in one order of all nodes (sig2, n2, pos2); one shuffle for both.
-
-    The order is the same for all n-grams, so the n-grams that a group of near copies shares have few different hubs.
-    """
+    """The posts whose gram several nodes have, with the node that has it nearest to its front (sig2, n2, pos2); one shuffle for both."""
     of = Window.partitionBy("gram")
-    hub = F.min(F.struct("sig", "n", "pos")).over(of)
+    hub = F.min(F.struct("pos", "n", "sig")).over(of)
     met = posts.withColumns({"hub": hub, "c": F.count("*").over(of)}).where("c > 1")
     return save(met.select("gram", "sig", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("sig", "n", "pos")]), "posts")
 
@@ -204,14 +201,25 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
 
     ``fetch`` gives the segments of nodes (sig) that it is asked for. ``bits``: sig and bitmap of all nodes.
     """
-    # All nodes of an n-gram against its hub.
-    links = _links(posts.where((F.col("sig") != F.col("sig2")) & _may_link(percent)), percent, fetch, bits)
+    # Every node against one of its n-grams' hubs, which is enough for most of a group of near copies;
+    # then against the others, where that left the two apart.
+    near = posts.where((F.col("sig") != F.col("sig2")) & _may_link(percent)).select("sig", "n", "sig2", "n2").distinct()
+    near = save(near, "hub-pairs")
+    one = near.groupBy("sig", "n").agg(F.min(F.struct("sig2", "n2")).alias("hub")).select("sig", "n", "hub.*")
+    links = _links(one, percent, fetch, bits)
+    roots = save(components(links), "roots")
+    for c in ("sig", "sig2"):
+        near = near.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    rest = near.where(~F.coalesce("sig_root", "sig").eqNullSafe(F.coalesce("sig2_root", "sig2")))
+    others = _links(rest.join(one.select("sig", F.col("sig2").alias("tried")), "sig").where("sig2 != tried").drop("tried"), percent, fetch, bits)
+    links = links.unionByName(others)
+    drop_saved(roots)
     roots = save(components(links), "roots")
 
     # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
     placed = posts.select("gram", "sig", "n", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of = Window.partitionBy("gram")
-    main = F.min(F.struct("sig", "n", "pos", "root")).over(of)
+    main = F.min(F.struct("pos", "n", "sig", "root")).over(of)
     placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of)}).where("lo != hi")
     open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main")), "open-posts")
     strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
@@ -219,10 +227,7 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), percent, fetch, bits)
     drop_saved(open_posts)
     drop_saved(roots)
-    roots = save(components(links.unionByName(more)), "roots")
-    for used in (links, more):
-        drop_saved(used)
-    return roots
+    return save(components(links.unionByName(more)), "roots")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
