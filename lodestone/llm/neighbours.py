@@ -78,20 +78,27 @@ def nearest(
     gets one more component that brings it to the greatest length; queries get 0 there.
 
     Rows whose id or vector is null, and vectors that are empty, zero, hold a null or a component
-    that isn't finite, or have another length than most, take no part. Rows that repeat an id
-    with its vector are one row; fewer than ``k`` candidates are all returned; an empty table
-    gives an empty result. Other columns are not carried.
+    that isn't finite, take no part. Vectors of one length are searched among their own, each length
+    with an index of its own. Rows that repeat an id with its vector are one row; fewer than ``k``
+    candidates are all returned; an empty table gives an empty result. Other columns are not carried.
     """
-    spark = vectors.sparkSession
     c = F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), c.alias("v"), is_query.alias("asks"))
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(usable)
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        found = _of_length(rows.where(F.size("v") == dim), dim, k, n_pivots, n_drawn, depth, posts, probes, rerank_share, rerank_least)
+        out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
+
+def _of_length(rows: DataFrame, dim: int, k: int, n_pivots: int, n_drawn: int, depth: int, posts: int, probes: int, rerank_share: float, rerank_least: int) -> DataFrame:
+    """:func:`nearest` among usable vectors (id, v, asks) of one length."""
+    spark = rows.sparkSession
     # + 0.0 makes a negative zero equal to zero.
-    rows = rows.where(F.size("v") == size["n"]).withColumn("v", F.transform("v", lambda x: x + 0.0))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
 
     ids = Window.partitionBy("h1", "h2").orderBy("id")
@@ -109,7 +116,6 @@ def nearest(
     points = np.concatenate([points, np.sqrt(np.maximum(greatest - (points**2).sum(1), 0))[:, None]], 1)
     held = spark.sparkContext.broadcast((standing_apart(points, n_pivots), points[:n_drawn]))
     apart = min(n_pivots, len(points))
-    dim = size["n"]
 
     def index(asks: bool, files: int):
         def run(batches):

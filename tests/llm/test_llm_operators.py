@@ -238,6 +238,12 @@ def test_neighbours_beside_a_dense_group(spark):
         assert len(hits) >= 40 and np.mean(hits) >= 0.93, (inside, np.mean(hits))
 
 
+def test_neighbours_of_each_length(spark):
+    rows = [(20, [1.0, 0.0]), (3, [0.5, 0.0]), (40, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [2.0, 1.0, 0.0]), (60, [1.0])]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in out) == [(20, 1, 3, 0.5), (40, 1, 5, 2.0), (40, 2, 4, 0.0)]
+
+
 def test_neighbours_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     few = spark.createDataFrame([(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.5, 0.1])], schema)
