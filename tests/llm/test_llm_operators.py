@@ -373,7 +373,7 @@ def test_lines_are_reversible(docs):
 
 def test_lines_outgrow_their_shards(docs, monkeypatch):
     """With more keys than the shards hold the state is dealt anew, and results stay."""
-    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 2)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 1)
     early, late = docs.where("doc_id < 12"), docs.where("doc_id >= 12 OR doc_id IS NULL")
     state = line_dedup.build_state(early, min_docs=3)
     both = line_dedup.update_state(state, late, 1)
