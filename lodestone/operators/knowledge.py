@@ -259,4 +259,4 @@ def citation_keys(sources: DataFrame) -> DataFrame:
     where = F.when(F.col("page").isNotNull(), F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise(last_segment(F.col("section")))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.concat(F.lit("p"), F.col("page").cast("string")), F.concat(F.lit("s"), "section"), F.lit("")))
     named = sources.select("answer_id", key.alias("key"), F.concat_ws(", ", "title", F.nullif(where, F.lit(""))).alias("label"), "ord")
-    return named.groupBy("answer_id", "key").agg(F.max_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
+    return named.groupBy("answer_id", "key").agg(F.max_by("label", F.struct("ord", "label")).alias("label"), F.min("ord").alias("ord"))

@@ -256,7 +256,7 @@ def citation_keys(spark, sf_dir):
 
 KEYS_SQL = """WITH s AS (SELECT l_orderkey AS answer_id, l_partkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS ord, l_suppkey % 5 AS doc_id, 'Guide ' || l_returnflag AS title, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS page, l_linestatus AS tail FROM lineitem),
 n AS (SELECT answer_id, ord, doc_id || ':' || coalesce('p' || page, 'sWiring > ' || tail) AS key, title || ', ' || coalesce('Page ' || page, tail) AS label FROM s)
-SELECT answer_id, key, arg_max(label, ord) AS label, min(ord) AS ord FROM n GROUP BY ALL"""
+SELECT answer_id, key, arg_max(label, (ord, label)) AS label, min(ord) AS ord FROM n GROUP BY ALL"""
 
 
 def gap_records(spark, sf_dir):
