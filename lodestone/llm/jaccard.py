@@ -212,9 +212,10 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
         near = near.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     rest = near.where(~F.coalesce("sig_root", "sig").eqNullSafe(F.coalesce("sig2_root", "sig2")))
     others = _links(rest.join(one.select("sig", F.col("sig2").alias("tried")), "sig").where("sig2 != tried").drop("tried"), percent, fetch, bits)
-    links = links.unionByName(others)
-    drop_saved(roots)
-    roots = save(components(links), "roots")
+    if not others.isEmpty():
+        links = links.unionByName(others)
+        drop_saved(roots)
+        roots = save(components(links), "roots")
 
     # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
     placed = posts.select("gram", "sig", "n", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -226,6 +227,8 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
     more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), percent, fetch, bits)
     drop_saved(open_posts)
+    if more.isEmpty():
+        return roots
     drop_saved(roots)
     return save(components(links.unionByName(more)), "roots")
 

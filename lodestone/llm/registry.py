@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, jaccard, line_dedup, mixing, neighbours, paragraph_dedup, quality, substring_dedup, token_count, url_filter
+from lodestone.llm import bpe, cap_filters, hard_negatives, jaccard, line_dedup, merkle, mixing, neighbours, paragraph_dedup, quality, substring_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_cap_filters": cap_filters.op11_cap_filters,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 #: The mix is a seeded choice, the index and MinHash are approximate, the tokenizers are libraries, and
@@ -24,4 +27,8 @@ SQL = {
     "op8_url_filters": url_filter.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    # Cap filters find all but one in ten thousand of the pairs that are just similar.
+    "op11_cap_filters": cap_filters.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
