@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.lexemes import STOP_WORDS, with_stems
 from lodestone.functions.text import last_segment, tokens
 from lodestone.functions.vector import cosine
+from lodestone.operators.postings import Postings, occurrences
 from lodestone.operators.retrieval import best_per, dense_arm, ranked
 
 #: Weights of a vendor, model and language that fit. Fixed values.
@@ -57,69 +57,30 @@ def lexicon(texts: DataFrame) -> DataFrame:
     return with_stems(found.where(~F.col("token").isin(*STOP_WORDS)))
 
 
-def surface_forms(words: list[str], known: DataFrame) -> dict[str, list[str]]:
-    """For each word the tokens of the lexicon ``known`` with its stem: a handful, which comes to the driver."""
-    spark = known.sparkSession
-    asked = with_stems(spark.sql("SELECT explode(:words) AS token", args={"words": F.array(*[F.lit(w) for w in words])})).select(F.col("token").alias("word"), "stem")
-    out: dict[str, list[str]] = {w: [] for w in words}
-    for row in known.join(F.broadcast(asked), "stem").groupBy("word").agg(F.sort_array(F.collect_set("token")).alias("forms")).collect():
-        out[row["word"]] = row["forms"]
-    return out
-
-
-def text_search(texts: DataFrame, query: Query, known: DataFrame, k: int = 20) -> DataFrame:
-    """id, hits, rank of the ``k`` texts (id, text) that match, by occurrences of the words and phrases, ties by id.
+def text_search(index: Postings, live: DataFrame, query: Query, k: int = 20) -> DataFrame:
+    """id, hits, rank of the ``k`` of the ``live`` texts (id) that match, by occurrences of the words and phrases, ties by id.
 
     A text matches if it has one of the words or phrases by stem, or lacks an ``absent`` word. Each
-    occurrence is a cover by itself, so their number is the rank's order.
+    occurrence is a cover by itself, so their number is the rank's order. Only postings of the
+    question's stems are read; no text is.
     """
-    every = list(dict.fromkeys([*query.words, *(w for p in query.phrases for w in p), *query.absent]))
-    if not every:
-        return ranked(texts.select("id", F.lit(0).cast("long").alias("hits")).limit(0), k, F.asc("id"))
-    forms = surface_forms(every, known)
-    held = texts.select("id", tokens(F.col("text")).alias("t"))
-    hits = F.lit(0)
-    wanted = [f for w in query.words for f in forms[w]]
-    if wanted:
-        hits = hits + F.size(F.filter("t", lambda t: t.isin(*wanted)))
-    for phrase in query.phrases:
-        starts = F.sequence(F.lit(0), F.size("t") - len(phrase))
-        begins = _begins([forms[w] for w in phrase])
-        hits = hits + F.when(F.size("t") >= len(phrase), F.size(F.filter(starts, begins))).otherwise(0)
-    lacks = F.lit(False)
-    for w in query.absent:
-        lacks = lacks | ~F.exists("t", _among(forms[w]))
-    found = held.select("id", hits.cast("long").alias("hits"), lacks.alias("lacks")).where("hits > 0 OR lacks").drop("lacks")
+    if not (query.words or query.phrases or query.absent):
+        return ranked(live.select("id", F.lit(0).cast("long").alias("hits")).limit(0), k, F.asc("id"))
+    found = occurrences(index, live, list(query.words), list(query.phrases), list(query.absent))
     return ranked(found, k, F.desc("hits"), F.asc("id"))
 
 
-def _among(forms: list[str]) -> Callable[[Column], Column]:
-    return lambda t: t.isin(*forms) if forms else F.lit(False)
-
-
-def _begins(phrase: list[list[str]]) -> Callable[[Column], Column]:
-    """Whether the words of a phrase, each by its forms, stand from a place on."""
-
-    def here(i: Column) -> Column:
-        out = F.lit(True)
-        for j, forms in enumerate(phrase):
-            out = out & _among(forms)(F.get("t", i + j))
-        return out
-
-    return here
-
-
-def match_chunks(chunks: DataFrame, vector: Column, query: Query, known: DataFrame, org: str, source_types: list[str] | None = None, k: int = 8, candidates: int = 20, constant: int = 60, **wanted: str) -> DataFrame:
+def match_chunks(chunks: DataFrame, vector: Column, query: Query, index: Postings, org: str, source_types: list[str] | None = None, k: int = 8, candidates: int = 20, constant: int = 60, **wanted: str) -> DataFrame:
     """The ``k`` best chunks: id, doc_id, parent_id, dense_rank, lexical_rank, similarity, score.
 
     ``chunks``: id, doc_id, parent_id, org_id, is_live, deleted_at, source_type, text, vector, vendor,
-    models (array), language. Two arms over the live rows are fused by reciprocal ranks; a vendor,
+    models (array), language; ``index``: postings of their texts. Two arms over the live rows are fused by reciprocal ranks; a vendor,
     model or language that is ``wanted`` adds its weight. The similarity is that of every row, of those
     that only the words found too. Ties go by id.
     """
     live = live_rows(chunks, org, source_types)
     dense = dense_arm(live, vector, candidates).select("id", F.col("rank").alias("dense_rank"))
-    lexical = text_search(live, query, known, candidates).select("id", F.col("rank").alias("lexical_rank"))
+    lexical = text_search(index, live, query, candidates).select("id", F.col("rank").alias("lexical_rank"))
     both = dense.join(lexical, "id", "full")
     # The arms have a few rows; one more pass fetches what belongs to them.
     facts = live.join(F.broadcast(both), "id")

@@ -9,6 +9,7 @@ from lodestone.functions.text import clean_title, tokens
 from lodestone.operators import knowledge as k
 from lodestone.operators import publication as p
 from lodestone.operators import retrieval as r
+from lodestone.operators.postings import index_texts
 from lodestone.operators.chunking import chunk_blocks, section_paths
 from lodestone.plans.retrieval_queries import DENSE, _question, table
 
@@ -69,8 +70,8 @@ STEM_SQL = stems_sql("(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[
 
 def text_search(spark, sf_dir):
     """Words, a phrase and an absent word, by stems, over live rows."""
-    live = k.live_rows(_chunks(spark, sf_dir), ORG)
-    return k.text_search(live, k.parse_question(QUESTION), k.lexicon(live))
+    chunks = _chunks(spark, sf_dir)
+    return k.text_search(index_texts(chunks), k.live_rows(chunks, ORG), k.parse_question(QUESTION))
 
 
 SEARCH_SQL = f"WITH {CHUNKS}, {SEARCH} SELECT id, hits, rank FROM lexical"
@@ -78,8 +79,7 @@ SEARCH_SQL = f"WITH {CHUNKS}, {SEARCH} SELECT id, hits, rank FROM lexical"
 
 def match_chunks(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
-    known = k.lexicon(k.live_rows(chunks, ORG))
-    return k.match_chunks(chunks, _question(spark, sf_dir), k.parse_question(QUESTION), known, ORG, vendor="src1", model="src2", language="en")
+    return k.match_chunks(chunks, _question(spark, sf_dir), k.parse_question(QUESTION), index_texts(chunks), ORG, vendor="src1", model="src2", language="en")
 
 
 MATCH_SQL = f"""WITH {CHUNKS}, {SEARCH}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7),
