@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,45 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
+from lodestone.shared import drop_saved, save, shared_dir  # noqa: F401  the operators' tables
+
 #: ASCII white space that separates words: space, \t, \n, \v, \f, \r. ``bytes.split()`` uses just these.
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session (tests, one machine) gets a folder of its own where the setting is missing.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(spark.sparkContext, "_lodestone_dir", None)
-    if own is None:
-        own = spark.sparkContext._lodestone_dir = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return own
-
-
-def save(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a re-computation, and later
-    stages share the rows without caching them in executor memory.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete what :func:`save` wrote for ``df``; nothing may read it afterwards."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def inner(docs: DataFrame, column: str) -> str:
     """The name that :func:`packed` gives a column of the caller."""
     return f"in{docs.columns.index(column)}"

@@ -15,24 +15,21 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import drop_saved, join_keys, packed, save, table, unpacked
-from lodestone.llm.components import components
+from lodestone.llm._common import join_keys, packed, table, unpacked
+from lodestone.operators.bucket_links import edges, links
+from lodestone.operators.components import components
+from lodestone.shared import drop_saved, save
 
 #: Filters of a code that a random vector falls into, about: few, as then those of similar vectors agree most.
 PER_CODE = 0.8
 #: Pairs in the trial that sets ``alpha`` and the number of codes.
 TRIAL = 2000
-#: Vectors of a filter that are compared at once; the larger ones are cut into blocks that meet pair by pair.
-BLOCK = 2048
-#: Rows of small filters, about, that one call of the comparison takes.
-BUNDLE = 4096
 #: Vectors that are decoded at once.
 AT_ONCE = 512
 
@@ -105,7 +102,7 @@ def _units(vectors: pa.Array, dim: int) -> np.ndarray:
 
 
 def _posts(nodes: DataFrame, width: int, cosine: float, recall: float) -> DataFrame:
-    """A row for each vector and filter that it falls into: label, dim, filter, id, h."""
+    """A row for each vector and filter that it falls into: label, dim, bucket, id, h."""
     kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("label", "id")}
 
     def run(batches):
@@ -121,80 +118,9 @@ def _posts(nodes: DataFrame, width: int, cosine: float, recall: float) -> DataFr
                         row, found = decoded(v, code, width, alpha)
                         take = pa.array(row)
                         columns = [part.column(c).take(take) for c in ("label", "dim", "id", "h")]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(found + code * width**2)], names=["label", "dim", "id", "h", "filter"])
-
-    return nodes.select("label", "dim", "id", "h", "v").mapInArrow(run, f"label {kinds['label']}, dim int, id {kinds['id']}, h long, filter long")
-
-
-def _linked(v: np.ndarray, w: np.ndarray, cosine: float) -> np.ndarray:
-    """Which rows of ``v`` and ``w`` have a cosine of ``cosine`` or more."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        return v @ w.T / np.sqrt((v**2).sum(1)[:, None] * (w**2).sum(1)[None, :]) >= cosine
-
-
-def _first_shared(filters: list[np.ndarray], own: int, n: int) -> np.ndarray:
-    """Which of the first ``n`` vectors and the others, or all if ``n`` is 0, share no filter before ``own``."""
-    size = [int(np.searchsorted(f, own)) for f in filters]
-    names, number, count = np.unique(np.concatenate([f[:s] for f, s in zip(filters, size, strict=True)]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(filters)), size)
-    many = count[number] > 1
-    row, number = row[many], np.unique(number[many], return_inverse=True)[1]
-    shared = np.zeros((n or len(filters), len(filters) - n), np.float32)
-    for at in range(0, int(number.max(initial=-1)) + 1, 4096):
-        inside = (number >= at) & (number < at + 4096)
-        held = np.zeros((len(filters), 4096), np.float32)
-        held[row[inside], number[inside] - at] = 1
-        shared += held[: n or None] @ held[n:].T
-    return shared == 0
-
-
-def _compare(cosine: float, kind: str):
-    """Of the vectors of some filters: for each one with links how many it has there, and the first one that it is connected with."""
-
-    def one(v: np.ndarray, weight: np.ndarray, filters: list[np.ndarray], own: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows with links, their links, and the row that stands for their component. ``n``: of the first block, 0 if there is one."""
-        met = _linked(v[: n or None], v[n:], cosine)
-        if not n:
-            np.fill_diagonal(met, False)
-        rows = np.unique(np.r_[np.flatnonzero(met.any(1)), n + np.flatnonzero(met.any(0))])
-        if not len(rows):
-            return rows, rows, rows
-        left, right = rows[rows < n] if n else rows, rows[rows >= n] - n
-        met = met[np.ix_(left, right)]
-        counted = met & _first_shared([filters[i] for i in rows], own, len(left) if n else 0)
-        w = weight[rows]
-        k = len(left) if n else 0
-        # Both directions, if the blocks are two.
-        links = np.r_[counted @ w[k:], w[:k] @ counted] if n else counted @ w
-        root = np.arange(len(rows))
-        while True:
-            if n:
-                low = np.minimum(root[:k], np.where(met, root[None, k:], len(rows)).min(1))
-                new = np.r_[low, np.minimum(root[k:], np.where(met, low[:, None], len(rows)).min(0))]
-            else:
-                new = np.minimum(root, np.where(met, root[None, :], len(rows)).min(1))
-            if (new == root).all():
-                return rows, links, rows[root]
-            root = new
-
-    def run(found: pa.Table) -> pa.Table:
-        found = found.combine_chunks().sort_by([("dim", "ascending"), ("group", "ascending"), ("filter", "ascending"), ("second", "ascending"), ("id", "ascending"), ("h", "ascending")])
-        dims, groups, names, second = (found[c].to_numpy() for c in ("dim", "group", "filter", "second"))
-        weight, lists = found["weight"].to_numpy(), found["filters"].combine_chunks()
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        edge = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (groups[1:] != groups[:-1]) | (names[1:] != names[:-1]), True])
-        who, links, root = [], [], []
-        for at, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            v = found["v"].slice(at, end - at).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(end - at, -1)
-            own = [flat[ends[i] : ends[i + 1]] for i in range(at, end)]
-            n = int((~second[at:end]).sum()) if second[at:end].any() else 0
-            rows, count, stands = one(v, weight[at:end], own, names[at], n)
-            who.append(rows + at), links.append(count), root.append(stands + at)
-        take, lead = (pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (who, root))
-        count = np.concatenate(links) if links else np.empty(0, np.int64)
-        return pa.table([found["id"].take(take), found["h"].take(take), pa.array(count, pa.int64()), found["id"].take(lead), found["h"].take(lead)], names=["id", "h", "links", "rid", "rh"])
-
-    return run, f"id {kind}, h long, links long, rid {kind}, rh long"
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(found + code * width**2)], names=["label", "dim", "id", "h", "bucket"])
+
+    return nodes.select("label", "dim", "id", "h", "v").mapInArrow(run, f"label {kinds['label']}, dim int, id {kinds['id']}, h long, bucket long")
 
 
 def near_duplicates(
@@ -233,37 +159,14 @@ def near_duplicates(
     width = min(4096, max(64, 1 << math.ceil(math.log2(4 * most) / 2)))
 
     posts = save(_posts(nodes, width, cosine, recall), "cap-posts")
-    # A filter of one vector tells nothing; those that have the same vectors tell the same.
-    sums = [F.sum(F.xxhash64(F.lit(k), "id", "h").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
-    filters = posts.groupBy("label", "dim", "filter").agg(F.count("*").alias("c"), *sums).where("c > 1")
-    filters = save(filters.groupBy("label", "dim", "c", "s1", "s2").agg(F.min("filter").alias("filter")).select("label", "dim", "filter", "c"), "cap-filters")
-    shared = join_keys(posts, filters, ["label", "dim", "filter"], ["id", "h"])
-    member = shared.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("filter", "c"))).alias("in"))
-    member = member.withColumnsRenamed({"id": "mid", "h": "mh"}).join(nodes, (F.col("mid") == F.col("id")) & (F.col("mh") == F.col("h")))
-
-    small = filters.where(F.col("c") <= BLOCK).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    bundles = max(1, math.ceil(small / BUNDLE))
-    each = member.select("id", "h", "label", "dim", "v", "weight", F.transform("in", lambda x: x["filter"]).alias("filters"), F.explode("in").alias("own"))
-    each = each.select("*", F.col("own.filter").alias("filter"), F.ceil(F.col("own.c") / BLOCK).cast("int").alias("parts")).drop("own")
-    each = each.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id", "h"), "parts").cast("int"))
-    # A block meets itself, those before it as the second one, and those after it as the first one.
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    each = each.withColumns({"second": F.col("part") > F.col("other"), "group": F.xxhash64("label", lo, hi)})
-    bundle = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label", "dim", "filter"), F.lit(bundles)).cast("long")).otherwise(F.lit(-1).cast("long"))
-    whole = F.when(F.col("parts") > 1, F.struct("label", "dim", "filter", lo.alias("lo"), hi.alias("hi")))
-    run, schema = _compare(cosine, nodes.schema["id"].dataType.simpleString())
-    fields = ["id", "h", "dim", "v", "weight", "filters", "filter", "group", "second"]
-    found = each.select(*fields, bundle.alias("bundle"), whole.alias("whole")).groupBy("bundle", "whole").applyInArrow(_only(run, fields), schema)
-    found = save(found, "cap-links")
+    found = links(nodes, posts, cosine)
 
     counts = found.groupBy("id", "h").agg(F.sum("links").alias("links"))
-    edges = found.select(F.struct("id", "h").alias("a"), F.struct(F.col("rid").alias("id"), F.col("rh").alias("h")).alias("b")).distinct()
-    roots = save(components(edges), "cap-roots").select(F.col("node.id").alias("id"), F.col("node.h").alias("h"), F.col("root.id").alias("least"))
+    roots = save(components(edges(found)), "cap-roots").select(F.col("node.id").alias("id"), F.col("node.h").alias("h"), F.col("root.id").alias("least"))
     known = nodes.select("h1", "h2", "id", "h", "weight").join(counts, ["id", "h"], "left").join(roots, ["id", "h"], "left")
     known = known.where("weight > 1 OR links IS NOT NULL").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("least", "id").alias("least"))
     known = save(known, "cap-known")
-    for saved in (posts, filters, found):
+    for saved in (posts, found):
         drop_saved(saved)
     # All rows without a hash, or of one vector, may be any share of all.
     out = join_keys(rows.drop("v", "label"), known, ["h1", "h2"], ["id"], "left")
@@ -271,10 +174,6 @@ def near_duplicates(
     return unpacked(out, vectors.columns, n_links=F.coalesce("n", F.lit(0)).cast("long"), component_id=component, kept=component.eqNullSafe(F.col("id")))
 
 
-def _only(run, fields: list[str]):
-    return lambda found: run(found.select(fields))
-
-
 def op11_cap_filters(spark, sf_dir):
     """All vectors against those of their label."""
     return near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")

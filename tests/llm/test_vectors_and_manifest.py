@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import _common, cap_filters, components, hard_negatives, merkle
+from lodestone.llm import _common, cap_filters, hard_negatives, merkle
+from lodestone.operators import bucket_links, components
 
 VECTORS = "vec_id long, label int, embedding array<float>, n_links string, h1 string, kept string, id string"
 
@@ -42,8 +43,9 @@ def finite(v):
 @pytest.mark.parametrize("small", [False, True])
 def test_cap_filters(table, monkeypatch, small):
     if small:
-        monkeypatch.setattr(cap_filters, "BLOCK", 30)
-        monkeypatch.setattr(cap_filters, "BUNDLE", 50)
+        monkeypatch.setattr(bucket_links, "BLOCK", 30)
+        monkeypatch.setattr(bucket_links, "BUNDLE", 50)
+        monkeypatch.setattr(bucket_links, "BROADCAST_BUCKETS", 0)
         monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(components, "EDGES_AT_ONCE", 0)
     rows = vectors()
