@@ -23,22 +23,48 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 NOT_FIRST_BYTES = bytes(range(0x80, 0xC0))
 SPACES = b" \t\n\x0b\x0c\r"
-#: Bytes beyond which the words of a text are told apart by 64-bit hashes, so that they needn't be objects.
-LONG_TEXT = 1 << 20
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+#: Windows of one hash whose words are objects at once.
+LIKE = 4096
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words inside windows of ``width`` words that the text has twice or more, the first included."""
-    if len(words) <= width:
-        return 0
-    ids: dict[bytes, int] = {}
-    order = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
-    at, h = repeated_windows(order, width)
-    # Hashes only propose; the windows themselves decide.
-    windows = [tuple(order[i : i + width].tolist()) for i in at.tolist()]
-    often = Counter(windows)
-    return covered(at[[often[w] > 1 for w in windows]], len(words), width) if len(at) else 0
+def repeated_words(text: bytes, width: int = WINDOW) -> tuple[int, int]:
+    """The words of a text, and those inside windows of ``width`` words that it has twice or more, the first included.
+
+    Words are hashes at first, so that those of a long text needn't be objects. Hashes only propose
+    repeated windows; the windows' words decide.
+    """
+    hashes = word_hashes(text)
+    at, h = repeated_windows(hashes, width)
+    if not len(at):
+        return len(hashes), 0
+    start, stop = word_spans(text)
+    order = np.argsort(h, kind="stable")
+    at = at[order]
+    edges = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1], True]).tolist()
+    again = np.ones(len(at), bool)
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        places = at[first:last]
+        spans = [text[i:j] for i, j in zip(start[places].tolist(), stop[places + width - 1].tolist(), strict=True)] if last - first <= LIKE else None
+        if spans is None:
+            # Very many of one hash: one by one against the first, which they all but surely equal.
+            own = text[start[places[0]] : stop[places[0] + width - 1]].split()
+            if all(text[i:j].split() == own for i, j in zip(start[places].tolist(), stop[places + width - 1].tolist(), strict=True)):
+                continue
+            spans = [text[i:j] for i, j in zip(start[places].tolist(), stop[places + width - 1].tolist(), strict=True)]
+        if any(x != spans[0] for x in spans):
+            words = [tuple(x.split()) for x in spans]
+            often = Counter(words)
+            again[first:last] = [often[w] > 1 for w in words]
+    return len(hashes), covered(at[again], len(hashes), width)
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and stops, in bytes."""
+    space = np.concatenate([[True], IS_SPACE[np.frombuffer(text, np.uint8)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[0::2], edges[1::2]
 
 
 def repeated_windows(order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +100,8 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
             twice += 1
         elif line.strip():
             seen.add(line)
-    if len(text) > LONG_TEXT:
-        hashes = word_hashes(text)
-        n, again = len(hashes), covered(repeated_windows(hashes, WINDOW)[0], len(hashes), WINDOW)
-        joined = text.translate(None, SPACES)
-    else:
-        words = text.split()
-        n, again, joined = len(words), repeated_words(words), b"".join(words)
+    n, again = repeated_words(text)
+    joined = text.translate(None, SPACES)
     return (
         n,
         len(joined) - (0 if joined.isascii() else len(joined) - len(joined.translate(None, NOT_FIRST_BYTES))),

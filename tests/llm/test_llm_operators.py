@@ -319,13 +319,27 @@ def test_base_stats():
     assert quality.base_stats(("a " * 9).encode())[4] == 9
 
 
-def test_base_stats_of_long_texts(monkeypatch):
-    """Telling words apart by hashes gives what comparing them gives."""
-    r = random.Random(8)
-    texts = ["\n".join(" ".join(r.choice(["a", "B", "b", "é", "#x"]) for _ in range(r.randint(0, 12))) for _ in range(40)).encode() for _ in range(30)]
-    whole = [quality.base_stats(t) for t in texts]
-    monkeypatch.setattr(quality, "LONG_TEXT", 0)
-    assert [quality.base_stats(t) for t in texts] == whole
+def test_repeated_words_against_brute_force(monkeypatch):
+    """Texts of every size, past 1 MiB too, also where all windows have one hash."""
+    r = random.Random(4)
+    some = lambda n, k: b" ".join(b"w%d" % r.randrange(k) for _ in range(n))
+    texts = [b"", b" \n ", b"a " * 7, b"a " * 9, b"A a " * 30, some(500, 3), some(5000, 40).replace(b" ", b" \n", 900), b"one two\tthree  four five\nsix seven eight " * 3]
+    texts += [some(260_000, 10**6) + b" " + LONG.encode() * 20 + some(40_000, 4), b"x " * 600_000]
+
+    def brute(text):
+        w = text.split()
+        often, hit = {}, set()
+        for i in range(len(w) - 7):
+            often.setdefault(tuple(w[i : i + 8]), []).append(i)
+        for places in often.values():
+            if len(places) > 1:
+                hit.update(p + j for p in places for j in range(8))
+        return len(w), len(hit)
+
+    want = [brute(t) for t in texts]
+    assert [quality.repeated_words(t) for t in texts] == want and len(texts[-2]) > 1 << 20
+    monkeypatch.setattr(quality, "repeated_windows", lambda h, width: (np.arange(max(0, len(h) - width + 1)), np.zeros(max(0, len(h) - width + 1), np.uint64)))
+    assert [quality.repeated_words(t) for t in texts[:-2]] == want[:-2]
 
 
 def test_quality_takes_out_frequent_lines(spark):
