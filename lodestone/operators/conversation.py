@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters kept of a turn by role, of a history, and turns of a history. Fixed values.
@@ -29,3 +29,58 @@ def steps(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = Window.partitionBy(key)
     lines = lines.withColumn("ok", ok).withColumns({"all_ok": F.min(F.col("ok").cast("int")).over(whole), "count": F.count("*").over(whole)})
     return lines.where((F.col("all_ok") == 1) & (F.col("count") >= 2)).select(key, "n", "step", F.col("step").rlike(r"(?i)^(warning|caution|danger)\b").alias("warns"))
+
+
+#: A numbered line, a step that is a precaution, and a mark of a source. Fixed values.
+NUMBERED, PRECAUTION = r"^\s*(\d{1,2})[.)]\s+(\S.*)$", r"(?i)^(warning|caution|danger|safety)\b"
+SOURCE_REF = r"(?i)\s*\(\s*(?:pages?\s+[\d,\s&–-]+|section:\s*[^)]+)\)"
+
+
+def without_sources(text: Column) -> Column:
+    """A text without the marks of its sources, and without the blanks that they leave."""
+    t = F.regexp_replace(F.regexp_replace(text, SOURCE_REF, ""), r"\s+([.,;:!?])", "$1")
+    return F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+
+
+def procedures(answers: DataFrame, key: str, text: str = "text", sources: str | None = None) -> DataFrame:
+    """Answers as steps to show: key, pos from 0, n, note, text, warns, with_sources.
+
+    A procedure has two numbered lines or more, the first one 1, and none after its closing: an
+    introduction (n 0), its steps, and a closing (n 0) that carries the sources. A line behind a step goes on
+    with it until a blank line; the first line after that closes. Anything else is one block (n 1) as it was written. An
+    introduction is left out if empty, a closing if it is empty and ``sources`` (an array) too. Null texts are blocks without a text.
+
+    The lines of an answer are rows; what comes before and after is told by windows over them.
+    """
+    cited = F.size(F.coalesce(sources, F.array())) > 0 if sources else F.lit(False)
+    held = answers.select(key, F.col(text).alias("_text"), cited.alias("_cited"))
+    lines = held.select(key, "_cited", F.posexplode(F.split(F.regexp_replace("_text", "\r\n", "\n"), "\n", -1)).alias("_i", "_line"))
+    number = F.regexp_extract("_line", NUMBERED, 1)
+    w = Window.partitionBy(key).orderBy("_i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # White space as a text's ends lose it.
+    bare = F.regexp_replace("_line", r"^\s+|\s+$", "")
+    lines = lines.withColumns({"_n": F.nullif(number, F.lit("")).cast("int"), "_bare": bare}).withColumn("_step", F.count("_n").over(upto))
+    in_step = Window.partitionBy(key, "_step").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    blank_before = F.coalesce(F.max((F.col("_bare") == "").cast("int")).over(in_step), F.lit(0)) == 1
+    closes = (F.col("_step") > 0) & F.col("_n").isNull() & (F.col("_bare") != "") & blank_before
+    lines = lines.withColumn("_closed", F.coalesce(F.max(closes.cast("int")).over(upto), F.lit(0)) == 1)
+    whole = lines.groupBy(key).agg(F.count("_n").alias("_steps"), F.min_by("_n", F.when(F.col("_n").isNotNull(), F.col("_i"))).alias("_first"), F.max((F.col("_closed") & F.col("_n").isNotNull()).cast("int")).alias("_late"))
+    good = whole.where((F.col("_steps") >= 2) & (F.col("_first") == 1) & (F.col("_late") == 0)).select(key)
+    part = F.when(F.col("_closed"), F.lit(2)).when(F.col("_step") == 0, F.lit(0)).otherwise(F.lit(1))
+    own = lines.join(good, key, "left_semi").withColumns({"_part": part, "_said": F.when(F.col("_n").isNotNull(), F.trim(F.regexp_extract("_line", NUMBERED, 2))).otherwise(F.col("_bare"))})
+    own = own.withColumn("_group", F.when(F.col("_part") == 1, F.col("_step")).otherwise(0)).where("_part != 1 OR _said != ''")
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_said"))), lambda x: x["_said"])
+    made = own.groupBy(key, "_part", "_group").agg(joined.alias("_lines"), F.first("_cited").alias("_cited"))
+    tidy = F.regexp_replace(F.regexp_replace(F.array_join("_lines", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    step = F.array_join("_lines", " ")
+    made = made.withColumn("_whole", F.when(F.col("_part") == 1, step).otherwise(tidy))
+    note = F.col("_part") != 1
+    shown = made.select(key, "_part", "_group", F.when(note, 0).otherwise(F.col("_group")).cast("int").alias("n"), note.alias("note"), without_sources(F.col("_whole")).alias("text"), (~note & F.col("_whole").rlike(PRECAUTION)).alias("warns"), ((F.col("_part") == 2) & F.col("_cited")).alias("with_sources"), (F.col("_part") == 0).alias("_intro"), F.col("_whole").alias("_raw"), "_cited")
+    shown = shown.where("NOT note OR (_intro AND _raw != '') OR (NOT _intro AND (text != '' OR _cited))").drop("_intro", "_raw", "_cited")
+    # A procedure without a closing line still shows its sources.
+    open_ends = held.join(good, key, "left_semi").join(shown.where("_part = 2").select(key), key, "left_anti").where("_cited")
+    shown = shown.unionByName(open_ends.select(key, F.lit(2).alias("_part"), F.lit(0).cast("long").alias("_group"), F.lit(0).alias("n"), F.lit(True).alias("note"), F.lit("").alias("text"), F.lit(False).alias("warns"), F.lit(True).alias("with_sources")))
+    blocks = held.join(good, key, "left_anti").select(key, F.lit(1).alias("_part"), F.lit(1).cast("long").alias("_group"), F.lit(1).alias("n"), F.lit(False).alias("note"), F.col("_text").alias("text"), F.lit(False).alias("warns"), F.col("_cited").alias("with_sources"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_group")) - 1
+    return shown.unionByName(blocks).withColumn("pos", place).select(key, "pos", "n", "note", "text", "warns", "with_sources")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import save
+
 #: How lines begin. Fixed values.
 CALLOUT = r"^(WARNING|CAUTION|DANGER|NOTICE|IMPORTANT|ATTENTION|NOTE)\b\s*[!:.\-–—]*\s*|^(Warning|Caution|Danger|Notice|Important|Attention|Note)\s*[!:]\s*"
 CAPTION = r"(?i)^(FIGURE|FIG\.?|TABLE|DIAGRAM|PHOTO|IMAGE)\s*[A-Z]?\d+"
@@ -29,27 +33,52 @@ def gaps(items: DataFrame, keys: list[str], start: str, size: str) -> DataFrame:
     return out.where(F.col("gap_from") < F.col(start)).select(*keys, "gap_from", F.col(start).alias("gap_to"), "before")
 
 
-def regions(items: DataFrame, rounds: int = 4) -> DataFrame:
-    """``items`` (page, x, y, width, size, ...; y grows upward) with ``region``, whose order is the reading order.
-
-    Each round cuts every region of six items or more in two: at its widest gutter of 12 points and 4
-    percent of its width with three items at either side, or else at its widest band of 4 points and
-    1.5 median sizes between lines. The left or upper part comes first.
+#: A gutter in points and as a share of the page's width, a band in points and in median sizes, and items of a region that is cut. Fixed values.
+GUTTER, GUTTER_SHARE, BAND_POINTS, BAND_SIZES, FEWEST, FEWEST_BESIDE = 12.0, 0.04, 4.0, 1.5, 6, 3
+
+
+def _cuts(items: DataFrame, key: list[str]) -> DataFrame:
+    """Where each region is cut, if it is: key, at_x, at_y."""
+    sizes = F.sort_array(F.collect_list("size"))
+    of = items.groupBy(*key).agg(F.count("*").alias("n"), F.element_at(sizes, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("mid"), F.first("_wide").alias("_wide")).where(F.col("n") >= FEWEST)
+    middle, gap = (F.col("gap_from") + F.col("gap_to")) / 2, F.col("gap_to") - F.col("gap_from")
+    widest = F.max_by("at", F.struct("gap", -F.col("at")))
+    across = gaps(items, key, "x", "width").select(*key, middle.alias("at"), gap.alias("gap")).distinct().join(of, key)
+    across = across.where(F.col("gap") >= F.greatest(F.lit(GUTTER), F.col("_wide") * GUTTER_SHARE))
+    # A page is so wide that it has few gutters, each of which meets the page's items.
+    centres = items.select(*key, (F.col("x") + F.col("width") / 2).alias("centre"))
+    before = F.count(F.when(F.col("centre") < F.col("at"), 1))
+    across = across.join(centres, key).groupBy(*key, "at", "gap", "n").agg(before.alias("before"))
+    gutter = across.where((F.col("before") >= FEWEST_BESIDE) & (F.col("n") - F.col("before") >= FEWEST_BESIDE)).groupBy(*key).agg(widest.alias("at_x"))
+    tall = items.withColumns({"_low": F.col("y") - F.col("size") * 0.25, "_tall": F.col("size") * 1.25})
+    down = gaps(tall, key, "_low", "_tall").select(*key, middle.alias("at"), gap.alias("gap")).join(of, key)
+    band = down.where(F.col("gap") >= F.greatest(F.lit(BAND_POINTS), F.col("mid") * BAND_SIZES)).groupBy(*key).agg(widest.alias("at_y"))
+    return of.select(*key).join(gutter, key, "left").join(band, key, "left").where("at_x IS NOT NULL OR at_y IS NOT NULL")
+
+
+def regions(items: DataFrame, keys: list[str] | None = None, page_width: Column | None = None) -> DataFrame:
+    """``items`` (x, y, width, size, and ``keys``, by default the page; y grows upward) with ``region``, whose order is the reading order.
+
+    A region of six items or more is cut at its widest gutter, of 12 points and 4 percent of the page's width, with
+    three items' centres at either side; without one at its widest band, of 4 points and 1.5 median
+    sizes, between lines. The left or upper part comes first, and each part is cut again until none
+    can be. Every round cuts all regions of all pages that are still open and is written; there are as many
+    rounds as the deepest page has cuts inside each other. ``page_width`` is by default that of the page's items.
     """
-    out = items.withColumn("region", F.lit("0"))
-    key = ["page", "region"]
-    for _ in range(rounds):
-        n = out.groupBy(*key).agg(F.count("*").alias("n"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("wide"), F.percentile_approx("size", 0.5, 10000).alias("mid")).where("n >= 6")
-        across = gaps(out, key, "x", "width").join(n, key)
-        across = across.where((F.col("gap_to") - F.col("gap_from") >= F.greatest(F.lit(12.0), F.col("wide") * 0.04)) & (F.col("before") >= 3) & (F.col("n") - F.col("before") >= 3))
-        gutter = across.groupBy(*key).agg(F.max_by("gap_to", F.struct(F.col("gap_to") - F.col("gap_from"), -F.col("gap_to"))).alias("at_x"))
-        down = gaps(out.withColumn("_y", -F.col("y") - F.col("size")), key, "_y", "size").join(n, key)
-        down = down.where(F.col("gap_to") - F.col("gap_from") >= F.greatest(F.lit(4.0), F.col("mid") * 1.5))
-        band = down.groupBy(*key).agg(F.max_by("gap_to", F.struct(F.col("gap_to") - F.col("gap_from"), -F.col("gap_to"))).alias("at_y"))
-        out = out.join(gutter, key, "left").join(band, key, "left")
-        side = F.when(F.col("at_x").isNotNull(), (F.col("x") >= F.col("at_x")).cast("int")).when(F.col("at_y").isNotNull(), (-F.col("y") - F.col("size") >= F.col("at_y")).cast("int")).otherwise(0)
-        out = out.withColumn("region", F.concat("region", side.cast("string"))).drop("at_x", "at_y")
-    return out
+    keys = keys or ["page"]
+    whole = Window.partitionBy(*keys)
+    wide = page_width if page_width is not None else F.max(F.col("x") + F.col("width")).over(whole) - F.min("x").over(whole)
+    key = [*keys, "region"]
+    open_items, closed = items.withColumns({"region": F.lit(""), "_wide": wide}), []
+    while True:
+        met = open_items.join(_cuts(open_items, key), key, "left")
+        later = F.when(F.col("at_x").isNotNull(), F.col("x") + F.col("width") / 2 >= F.col("at_x")).when(F.col("at_y").isNotNull(), F.col("y") < F.col("at_y"))
+        met = save(met.withColumn("_later", later).drop("at_x", "at_y"), "regions")
+        closed.append(met.where("_later IS NULL").drop("_later", "_wide"))
+        open_items = met.where("_later IS NOT NULL")
+        if open_items.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
+        open_items = open_items.withColumn("region", F.concat("region", F.col("_later").cast("int").cast("string"))).drop("_later")
 
 
 def lines(items: DataFrame, keys: list[str]) -> DataFrame:
