@@ -61,9 +61,9 @@ def _in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's members by hash; two bitmaps differ in no more bits than two sets in members."""
+    """Parities of the set's members by hash, four bits a member at least; two bitmaps differ in no more bits than two sets in members."""
     bits = 128
-    while bits < len(found) // 2:
+    while bits < 4 * len(found):
         bits *= 2
     odd = np.bincount((found & (bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -203,14 +203,14 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     """
     # Every node against one of its n-grams' hubs, which is enough for most of a group of near copies;
     # then against the others, where that left the two apart.
-    near = posts.where((F.col("sig") != F.col("sig2")) & _may_link(percent)).select("sig", "n", "sig2", "n2").distinct()
+    near = posts.where((F.col("sig") != F.col("sig2")) & _may_link(percent)).groupBy("sig", "n", "sig2", "n2").agg(F.count("*").alias("shared"))
     near = save(near, "hub-pairs")
-    one = near.groupBy("sig", "n").agg(F.min(F.struct("sig2", "n2")).alias("hub")).select("sig", "n", "hub.*")
+    # The hub that shares most of a node's front is the one that it most likely links with.
+    one = near.groupBy("sig", "n").agg(F.max(F.struct("shared", "sig2", "n2")).alias("hub")).select("sig", "n", "hub.sig2", "hub.n2")
+    near = near.drop("shared")
     links = _links(one, percent, fetch, bits)
     roots = save(components(links), "roots")
-    for c in ("sig", "sig2"):
-        near = near.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    rest = near.where(~F.coalesce("sig_root", "sig").eqNullSafe(F.coalesce("sig2_root", "sig2")))
+    rest = _apart(near, roots)
     others = _links(rest.join(one.select("sig", F.col("sig2").alias("tried")), "sig").where("sig2 != tried").drop("tried"), percent, fetch, bits)
     if not others.isEmpty():
         links = links.unionByName(others)
@@ -233,6 +233,14 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     return save(components(links.unionByName(more)), "roots")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (sig, sig2, ...) that are of two components, ``roots`` of which has those of two nodes or more."""
+    for c in ("sig", "sig2"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    met = pairs.where(~F.coalesce("sig_root", "sig").eqNullSafe(F.coalesce("sig2_root", "sig2")))
+    return met.drop("sig_root", "sig2_root")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
     """The packed rows of ``docs``, and for each document (i, f): n, root (of its component; null without words) and component_id."""
     rows = packed(docs, id_col, text_col)
