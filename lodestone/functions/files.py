@@ -32,10 +32,14 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
 
 
+#: Codes of a network that failed for the moment, and the name of a call that ran out of time. Fixed values.
+NETWORK, ABORTED = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "EAI_AGAIN"), "AbortError"
+
+
 def retries(status: Column, code: Column, always_without_status: bool = False) -> Column:
-    """Whether a failed call is worth another try: 408, 429 and 5xx; without a status by the network's code, or always for a worker."""
-    none = F.lit(True) if always_without_status else F.coalesce(code.isin("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "EAI_AGAIN", "ENOTFOUND", "EPIPE"), F.lit(False))
-    return F.when(status.isNull(), none).otherwise(status.isin(408, 429) | (status >= 500))
+    """Whether a failed call is worth another try: 408, 429 and 500 to 599; without a status by the network's code or the error's name, or always for a worker."""
+    none = F.lit(True) if always_without_status else F.coalesce(code.isin(*NETWORK, ABORTED), F.lit(False))
+    return F.when(status.isNull(), none).otherwise(status.isin(408, 429) | status.between(500, 599))
 
 
 def contains_escaped(column: Column, part: str) -> Column:

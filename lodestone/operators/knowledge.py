@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.lexemes import STOP_WORDS, with_stems
 from lodestone.functions.text import last_segment, tokens
 from lodestone.functions.vector import cosine
+from lodestone.operators.graph_index import nearest_exactly
 from lodestone.operators.postings import Postings, occurrences
 from lodestone.operators.retrieval import best_per, dense_arm, ranked
 
@@ -98,9 +99,8 @@ def with_parents(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     ``matches`` has id, parent_id and rank; ``chunks`` id, text and title.
     """
     best = best_per(matches, F.coalesce("parent_id", "id"), F.asc("rank"))
-    few = F.broadcast(best)
-    own = chunks.select("id", F.col("text").alias("_own"), "title").join(few, "id")
-    parent = chunks.select(F.col("id").alias("parent_id"), F.col("text").alias("_parent")).join(F.broadcast(best.select("parent_id").distinct()), "parent_id")
+    own = chunks.select("id", F.col("text").alias("_own"), "title").join(best, "id")
+    parent = chunks.select(F.col("id").alias("parent_id"), F.col("text").alias("_parent")).join(best.select("parent_id").distinct(), "parent_id")
     return own.join(parent, "parent_id", "left").select(*matches.columns, F.coalesce("_parent", "_own").alias("content"), "title")
 
 
@@ -109,8 +109,8 @@ def images_for_chunks(chunk_ids: DataFrame, chunks: DataFrame, images: DataFrame
 
     Ordered by chunk, page (none last) and image.
     """
-    places = chunks.join(F.broadcast(chunk_ids.select("id").distinct()), "id").select("id", "doc_id", F.col("page").alias("_page"))
-    found = images.where("NOT decorative").join(F.broadcast(places), "doc_id").where(F.col("_page").isNull() | (F.col("page") == F.col("_page")))
+    places = chunks.join(chunk_ids.select("id").distinct(), "id").select("id", "doc_id", F.col("page").alias("_page"))
+    found = images.where("NOT decorative").join(places, "doc_id").where(F.col("_page").isNull() | (F.col("page") == F.col("_page")))
     return found.select("id", "image_id", "doc_id", "page", "caption").orderBy("id", F.asc_nulls_last("page"), "image_id")
 
 
@@ -156,16 +156,19 @@ def record_resolutions(faqs: DataFrame, turns: DataFrame, same: float = 0.97) ->
     verified, question, vector, chunk_ids. A rating other than ``resolved`` takes the turn's question out.
     A resolved, verified answer with a question and sources goes in, unless an active question is as
     similar as ``same``: then the nearest one counts a use. The turns of a batch meet the questions from
-    before it, each turn its nearest. A batch is small, so it is what is sent to the tasks that hold the questions.
+    before it, each turn its nearest, in blocks of a bounded size.
     """
     skip = F.when(F.col("outcome") != "answered", "not an answer").when(~F.coalesce("verified", F.lit(True)), "the answer was flagged unverified")
     skip = skip.when(F.col("question").isNull() | (F.size(F.coalesce("chunk_ids", F.array().cast("array<string>"))) == 0), "no question or sources were recorded")
     rated = turns.withColumns({"reason": F.when(F.col("rating") == "resolved", skip), "resolved": F.col("rating") == "resolved"})
     adds = rated.where("resolved AND reason IS NULL")
-    known = faqs.where("active").select(F.col("id").alias("known"), F.col("vector").alias("_v"))
-    near = known.join(F.broadcast(adds.select("turn_id", "vector")), cosine(F.col("vector"), F.col("_v")) >= same)
-    best = near.groupBy("turn_id").agg(F.max_by("known", cosine(F.col("vector"), F.col("_v"))).alias("known"))
-    placed = adds.join(best, "turn_id", "left")
+    # Ids of any kind as numbers, for the search.
+    numbered = lambda df, c: df.select(F.xxhash64(c).alias("id"), "vector")
+    near = nearest_exactly(numbered(faqs.where("active"), "id"), numbered(adds, "turn_id"), 1).where(F.col("similarity") >= same)
+    ids = faqs.where("active").select(F.col("id").alias("known"), F.xxhash64("id").alias("_faq"))
+    best = near.join(ids, F.col("id") == F.col("_faq")).select(F.col("query_id").alias("_turn"), "known")
+    adds = adds.withColumn("_turn", F.xxhash64("turn_id"))
+    placed = adds.join(best, "_turn", "left")
     uses = placed.where("known IS NOT NULL").groupBy(F.col("known").alias("id")).agg(F.count("*").alias("more"))
     out = rated.where("NOT resolved").select("turn_id", F.lit(True).alias("out"))
     kept = faqs.join(uses, "id", "left").join(out, "turn_id", "left")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
 from lodestone.operators.conversation import history, steps
 from lodestone.plans.retrieval_queries import table
+from lodestone.shared import new_folder
 from lodestone.sources.frames import answer_text, parse_frames
 from lodestone.sources.wires import page_heads, parse_wires
 from lodestone.streaming.jobs import drain
@@ -114,21 +112,11 @@ PACK_SQL = """SELECT source, min(t) AS least, list_sort(list(t))[floor(count(*)
 FROM (SELECT source, ceil(length(text) / 4.0)::BIGINT AS t FROM documents) GROUP BY source"""
 
 
-def shared_folder(spark):
-    """A new folder that driver and executors share; only a local session may use one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_counts(spark, sf_dir):
     """Events by user and kind, from the same file as a stream; the SQL counts them at rest."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return drain(stream, ["user_id", "event_type"], shared_folder(spark))
+    return drain(stream, ["user_id", "event_type"], new_folder(spark, "stream"))
 
 
 STREAM_SQL = "SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL"

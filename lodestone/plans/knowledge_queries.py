@@ -9,8 +9,8 @@ from lodestone.functions.text import clean_title, tokens
 from lodestone.operators import knowledge as k
 from lodestone.operators import publication as p
 from lodestone.operators import retrieval as r
-from lodestone.operators.postings import index_texts
 from lodestone.operators.chunking import chunk_blocks, section_paths
+from lodestone.operators.postings import index_texts
 from lodestone.plans.retrieval_queries import DENSE, _question, table
 
 QUESTION = 'erating or "eriner thanea" -nd anated'
@@ -24,7 +24,7 @@ def _chunks(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
     first = d.groupBy("source", "lang").agg(F.min("id").alias("parent"))
-    d = d.join(labels, "id", "left").join(vectors, "id", "left").join(F.broadcast(first), ["source", "lang"])
+    d = d.join(labels, "id", "left").join(vectors, "id", "left").join(first, ["source", "lang"])
     return d.select(
         "id", F.col("source").alias("doc_id"), F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent_id"), F.col("lang").alias("org_id"), (F.coalesce("toxic", F.lit(0)) == 0).alias("is_live"), F.lit(None).cast("timestamp").alias("deleted_at"),
         F.when(F.col("source") == "src0", "web").otherwise("manual").alias("source_type"), "text", "vector", F.col("source").alias("vendor"), F.array("source", "lang").alias("models"), F.col("lang").alias("language"), F.concat(F.lit("Copy of "), "source", F.lit(".pdf")).alias("title"), F.floor(F.col("n_chars") / 1000).cast("int").alias("page"),

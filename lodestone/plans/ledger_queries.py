@@ -10,7 +10,9 @@ from lodestone.operators import sync as s
 from lodestone.operators.layout import gaps, lines
 from lodestone.operators.merging import keep_smallest
 from lodestone.plans.retrieval_queries import table
+from lodestone.shared import new_folder
 from lodestone.streaming.jobs import backoff, claim, next_state
+from lodestone.streaming.leases import follow_leases, stale_leases
 
 #: What "now" is for the ledgers.
 AS_OF = "2024-01-25 16:54:57"
@@ -297,7 +299,39 @@ def page_gaps(spark, sf_dir):
 GAPS_SQL = f"""WITH {ITEMS}, r AS (SELECT page, x, max(x + width) OVER (PARTITION BY page ORDER BY x, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY page ORDER BY x, width) - 1 AS before FROM t)
 SELECT page, reach AS gap_from, x AS gap_to, before::INT AS before FROM r WHERE reach < x"""
 
+def _lease_events(spark, sf_dir):
+    """A user's events as those of a job: every fourth claims it, the next two are heartbeats, the fourth its end."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("ord"), F.element_at(F.array(*[F.lit(x) for x in ("claim", "heartbeat", "heartbeat", "done")]), (F.col("event_id") % 4 + 1).cast("int")).alias("event"))
+
+
+def lease_ends(spark, sf_dir):
+    """Leases of six hours that ran out, by windows over all events."""
+    return stale_leases(_lease_events(spark, sf_dir), 6 * 3600)
+
+
+def lease_stream(spark, sf_dir):
+    """The same from a stream of four batches, by state and timers."""
+    events = _lease_events(spark, sf_dir)
+    first, last = events.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    folder = new_folder(spark, "leases")
+    if first is not None:
+        for part in range(4):
+            since, until = (F.lit(first) + F.make_dt_interval(secs=F.lit((last - first).total_seconds() * p / 4)) for p in (part, part + 1))
+            at = F.col("ts").cast("timestamp")
+            events.where((at >= since) & (at < until if part < 3 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    return follow_leases(stream, folder, 6 * 3600)
+
+
+LEASES_SQL = """WITH e AS (SELECT user_id::VARCHAR AS job, epoch_us(ts) // 1000 AS ms, event_id AS ord, event_id % 4 AS k FROM events),
+w AS (SELECT *, lead(ms) OVER v AS next, count(*) FILTER (k = 0) OVER v AS attempts, count(*) FILTER (k IN (0, 3)) OVER v AS lease, max(ms) OVER () AS now FROM e WINDOW v AS (PARTITION BY job ORDER BY ms, ord ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT job, lease, arg_min(k, (ms, ord)) AS first, min(ms) FILTER (coalesce(next, now) - ms > 21600000) AS last, max(attempts) AS attempts FROM w GROUP BY ALL)
+SELECT job, last + 21600000 AS ended, attempts::INT AS attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status FROM g WHERE first = 0 AND last IS NOT NULL"""
+
 PAIRS = {
+    "lease_ends": (lease_ends, LEASES_SQL),
+    "lease_stream": (lease_stream, LEASES_SQL),
     "live_runs": (live_runs, LIVE_SQL),
     "settle_dead": (settle_dead, SETTLE_SQL),
     "jobless": (jobless, JOBLESS_SQL),

@@ -30,11 +30,16 @@ def save(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a re-computation, and later
     stages share the rows without caching them in executor memory.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of that name that nothing has used, inside the shared one; nothing is written yet."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete what :func:`save` wrote for ``df``; nothing may read it afterwards."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ def claim(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 def cancel(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     """``jobs`` with ``was``, where the unfinished ones of ``sources`` (source) are cancelled; ``was`` is the state before, null where nothing changed."""
-    hit = jobs.join(F.broadcast(sources.select("source").distinct().withColumn("_hit", F.lit(True))), "source", "left")
+    hit = jobs.join(sources.select("source").distinct().withColumn("_hit", F.lit(True)), "source", "left")
     ends = F.col("_hit") & F.col("status").isin("pending", "running")
     return hit.withColumn("was", F.when(ends, F.col("status"))).withColumn("status", F.when(ends, "cancelled").otherwise(F.col("status"))).drop("_hit")
 

@@ -3,13 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import knowledge, layout, merging, publication
+from lodestone.functions.files import retries
+from lodestone.operators import crawl, knowledge, layout, listing, merging, publication, vocabulary
 from lodestone.operators.chunking import FIGURE_MARK, Sizes, chunk_blocks, estimate, fill, parents, pieces, split_prose
-from lodestone.operators.conversation import steps
+from lodestone.operators.conversation import procedures, steps
 from lodestone.operators.validation import lookup, validate
+from lodestone.sources import catalog
 from lodestone.sources.frames import answer_text, parse_frames
 from lodestone.sources.wires import circuit, parse_wires
 from lodestone.streaming.jobs import cancel, next_state
+from lodestone.streaming.leases import stale_leases
 
 ENTRY = "entry_id string, org_id string, sheet_version int, year int, make string, model string, circuit string, cell_kind string, cell_raw string, wire_colour string, connector_pins int, pin int, start_type string, is_live boolean, deleted_at timestamp, validation_notes map<string,string>"
 
@@ -198,3 +201,159 @@ def test_lines_to_blocks(spark):
     assert got[2]["text"] == "hot parts keep away from them" and got[2]["callout_kind"] == "warning"
     assert [(i["marker"], i["text"]) for i in got[3]["items"]] == [("1.", "Open the box and look inside"), ("2.", "Close it"), ("3.", "Done")] and got[3]["ordered"]
     assert got[5]["text"] == "Pin | Colour\n1 | red" and got[6]["level"] == 2 and got[7]["text"].endswith("of the second kind.")
+
+
+def test_retries(spark):
+    rows = [(408, None, True, True), (429, None, True, True), (500, "AbortError", True, True), (599, None, True, True), (600, None, False, False), (404, "ETIMEDOUT", False, False), (None, "AbortError", True, True), (None, "EAI_AGAIN", True, True), (None, "ENOTFOUND", False, True), (None, "EPIPE", False, True), (None, None, False, True)]
+    out = spark.createDataFrame(rows, "status int, code string, call boolean, worker boolean").select("call", "worker", retries(F.col("status"), F.col("code")).alias("a"), retries(F.col("status"), F.col("code"), True).alias("b")).collect()
+    assert all(r["a"] == r["call"] and r["b"] == r["worker"] for r in out)
+
+
+def read_by_hand(items):
+    """The regions of one page's items (text, x, y, width, size) in order, by the rule as it is stated."""
+    wide = max(i[1] + i[3] for i in items) - min(i[1] for i in items)
+
+    def gaps(spans, least):
+        spans, found = sorted(spans), []
+        reach = spans[0][1]
+        for start, end in spans[1:]:
+            if start - reach >= least:
+                found.append(((reach + start) / 2, start - reach))
+            reach = max(reach, end)
+        return found
+
+    def cut(own):
+        if len(own) < 6:
+            return [own]
+        beside = lambda at: sum(i[1] + i[3] / 2 < at for i in own)
+        across = [g for g in gaps([(i[1], i[1] + i[3]) for i in own], max(12, wide * 0.04)) if 3 <= beside(g[0]) <= len(own) - 3]
+        if across:
+            at = max(across, key=lambda g: (g[1], -g[0]))[0]
+            return cut([i for i in own if i[1] + i[3] / 2 < at]) + cut([i for i in own if i[1] + i[3] / 2 >= at])
+        down = gaps([(i[2] - i[4] / 4, i[2] + i[4]) for i in own], max(4, sorted(i[4] for i in own)[len(own) // 2] * 1.5))
+        if down:
+            at = max(down, key=lambda g: (g[1], -g[0]))[0]
+            return cut([i for i in own if i[2] >= at]) + cut([i for i in own if i[2] < at])
+        return [own]
+
+    return cut(items)
+
+
+def test_reading_order_goes_on(spark):
+    """Columns inside bands inside columns, deeper than a few cuts; pages that can't be cut stay whole."""
+    items, n = [], 0
+
+    def place(x, y, wide, depth):
+        nonlocal n
+        for i in range(3):
+            items.append((1, 1, f"{n:03d}", x, y - 12.0 * i, wide if depth else wide * 0.9, 10.0 + n % 3, False))
+            n += 1
+        if depth:
+            # A head over two columns that each go on so.
+            for k in range(2):
+                place(x + k * wide / 2, y - 70.0 - depth, wide / 2 - 90 * k - 90, depth - 1)
+
+    place(0.0, 4000.0, 2200.0, 4)
+    few = [(2, 1, "a", 0.0, 10.0, 5.0, 10.0, False), (2, 1, "b", 500.0, 10.0, 5.0, 10.0, False)]
+    out = layout.regions(spark.createDataFrame(items + few, ITEM), ["doc_id", "page"]).collect()
+    got = {}
+    for r in out:
+        got.setdefault((r["doc_id"], r["region"]), set()).add(r["text"])
+    want = [{i[0] for i in region} for region in read_by_hand([(t, x, y, w, size) for _, _, t, x, y, w, size, _ in items])]
+    assert [got[k] for k in sorted(got) if k[0] == 1] == want and got[2, ""] == {"a", "b"}
+    assert len(want) > 8 and max(len(k[1]) for k in got) > 4
+    assert layout.regions(spark.createDataFrame([], ITEM)).collect() == []
+
+
+def test_procedures(spark):
+    texts = {
+        "steps": "Do it like this:\r\n\n\n\n1. Open the box (Page 7).\nand look inside\n2) Warning: hot (Section: Power, a)\n\nDone , as said  (Pages 7, 8).\nReally",
+        "late": "1. a\n2. b\n\nso\n3. c", "one": "1. a\nb", "second": "2. a\n3. b", "bare": "1. a\n2. b", "text": "no steps", "empty": "", "null": None,
+    }
+    rows = [(k, t, ["c"] if k in ("bare", "null") else None) for k, t in texts.items()]
+    out = procedures(spark.createDataFrame(rows, "k string, text string, sources array<string>"), "k", sources="sources").orderBy("k", "pos").collect()
+    of = lambda k: [(r["n"], r["text"], r["warns"], r["with_sources"]) for r in out if r["k"] == k]
+    assert of("steps") == [(0, "Do it like this:", False, False), (1, "Open the box. and look inside", False, False), (2, "Warning: hot", True, False), (0, "Done, as said.\nReally", False, False)]
+    assert of("bare") == [(1, "a", False, False), (2, "b", False, False), (0, "", False, True)]
+    for k in ("late", "one", "second", "text", "empty", "null"):
+        assert of(k) == [(1, texts[k], False, k == "null")]
+
+
+def test_crawl_goes_on(spark):
+    """A run over a part and one over all leave what one over all does; errors are taken up again."""
+    makes, years = [("a",), ("b",), ("c",)], [("a", "1"), ("a", "2"), ("b", "1")]
+    models = [("a", "1", "x"), ("a", "1", "y"), ("b", "1", "x")]
+    keys = [("a", "1", "x", "1", "key"), ("a", "1", "x", "2", "pts"), ("b", "1", "x", "3", None), ("b", "1", "x", "3", None), ("b", "1", "x", "4", None)]
+    pages = [("a", "1", "x", "1", 2, None), ("a", "1", "x", "2", 0, None), ("b", "1", "x", "3", None, "timeout")]
+    names = "make string, year string, model string"
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = [make(makes, "make string"), make(years, "make string, year string"), make(models, names), make(keys, names + ", recnum string, key_type string")]
+    got = make(pages, names + ", recnum string, wires int, problem string")
+    none = make([], names + ", state string"), make([], names + ", recnum string, key_type string, status string, problem string")
+    marks, vehicles = crawl.resume(*tables, got, *none)
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert {tuple(r) for r in marks.collect()} == {("c", "", "", "no_years"), ("a", "2", "", "no_models"), ("a", "1", "y", "no_keys"), ("a", "1", "x", "done")}
+    assert {(r["recnum"], r["status"], r["problem"]) for r in vehicles.collect()} == {("1", "ok", None), ("2", "no wire table", None), ("3", "error", "timeout"), ("4", "error", "no page"), (None, "no key types", None)}
+    again = crawl.resume(*tables, got, marks, vehicles)
+    assert shown(again[0]) == shown(marks) and shown(again[1]) == shown(vehicles)
+    part = crawl.resume(*[t.where("make = 'a'") for t in tables], got, *none)
+    both = crawl.resume(*tables, got, *part)
+    assert shown(both[0]) == shown(marks) and shown(both[1]) == shown(vehicles)
+    mended = make([("b", "1", "x", "3", 1, None), ("b", "1", "x", "4", 1, None)], names + ", recnum string, wires int, problem string")
+    marks, vehicles = crawl.resume(*tables, mended, marks, vehicles)
+    assert ("b", "1", "x", "done") in {tuple(r) for r in marks.collect()} and vehicles.where("status = 'error'").count() == 0 and vehicles.count() == 5
+
+
+def test_pictures_by_two_keys(spark):
+    fetched = [(1, "u1", "h1"), (2, "u2", "h1"), (3, "u1", "h9"), (4, "u3", None), (5, "u3", "h2"), (6, "u4", None), (7, "old", "h3"), (8, "u5", "h7"), (9, None, "h8")]
+    out, new = crawl.store_pictures(spark.createDataFrame(fetched, "seq long, url string, hash string"), spark.createDataFrame([("old", "i0")], "url string, image_id string"), spark.createDataFrame([("i0", "h5"), ("i7", "h7")], "image_id string, hash string"))
+    got = {r["url"]: (r["image_id"], r["how"]) for r in out.collect()}
+    assert got["old"] == ("i0", "url") and got["u5"] == ("i7", "content") and got["u1"][0] == got["u2"][0] and (got["u1"][1], got["u2"][1], got["u3"][1]) == ("new", "content", "new")
+    assert set(got) == {"old", "u1", "u2", "u3", "u5"} and sorted(r["hash"] for r in new.collect()) == ["h1", "h2"]
+
+
+def test_tracker(spark):
+    vehicles = spark.createDataFrame([(1, "B", "2010", "m", "ok"), (2, "B", "classic", "m", "error"), (3, "A", "9", "m", "no wire table"), (4, "B", "2009", "m", "ok")], "vehicle int, make string, year string, model string, status string")
+    rows = [(1, 1, "Constant +12 Volts (2)", "Red", "null", "kick", "30A", "p"), (1, 2, "constant 12v", None, "", "dash", None, None), (1, 3, "Ignition", "blue", "+", None, None, None), (1, 4, "Ignition", "blue", "+", None, "later", None), (1, 5, "Ignition Interrupt", "x", "+", None, None, "p"), (2, 1, "Ignition", "x", "+", None, None, "p")]
+    wires = spark.createDataFrame(rows, "vehicle int, pos int, function string, color string, polarity string, location string, notes string, photo string")
+    out = crawl.tracker(vehicles, wires).orderBy(*crawl.report_order()).collect()
+    assert [(r["vehicle"], r["ordinal"], r["power_label"], r["ignition_label"]) for r in out] == [(3, 1, "Not found on site", "Not found on site"), (4, 1, "Not found on site", "Not found on site"), (1, 1, "Found", "Not found on site"), (1, 2, "Not found on site", ""), (2, 1, "Error", "Error")]
+    assert out[2]["power_option"] == "Constant +12 Volts (2): Red kick (30A)" and out[2]["ignition_option"] == "Ignition: blue +" and out[2]["embedded"] and not crawl.tracker(vehicles, wires, 1).first()["embedded"]
+
+
+def test_listing(spark):
+    """Shortcuts, cycles, folders of one name, files named twice, and kinds that are skipped."""
+    d, s, pdf = listing.FOLDER, listing.SHORTCUT, "application/pdf"
+    rows = [("F", "b", d, "root", None, None), ("G", "a", d, "F", None, None), ("H", "a", d, "root", None, None), ("X", "x", d, "Y", None, None), ("Y", "y", d, "X", None, None), ("Z", "z", d, "gone", None, None)]
+    rows += [("1", "one", pdf, "root", None, None), ("2", "two.pdf", pdf, "G", None, None), ("3", "three.doc", "application/msword", "H", None, None), ("4", "lost.pdf", pdf, "X", None, None), ("5", "cut", s, "H", "2", pdf), ("6", "to folder", s, "root", "F", d), ("7", "no target", s, "root", None, None), ("8", "sheet", "application/vnd.google-apps.document", "H", None, None), ("9", "n", None, "root", None, None)]
+    files, skipped = listing.listing(spark.createDataFrame(rows, "id string, name string, mime string, parent string, target_id string, target_mime string"), "root")
+    assert [(r["id"], r["file_name"], r["type"], r["folder"], r["rank"]) for r in listing.position(files).orderBy("rank").collect()] == [("1", "one.pdf", "PDF", "", 1), ("2", "cut.pdf", "PDF", "a", 2), ("8", "sheet.pdf", "Google Doc", "a", 3)]
+    assert {r["type"]: r["n"] for r in skipped.collect()} == {"Old Word (.doc)": 1, "Shortcut to a folder": 1, "Shortcut": 1, "Shortcut to a file already listed": 1, "Other": 1}
+
+
+def test_near_words(spark):
+    words = ["red", "rde", "redd", "rd", "bed", "blue", "bluee", "lue", "bue", "b", "", None, "greeen", "grey"]
+    vocab = ["red", "blue", "green", "gray", None, ""]
+    one = lambda a, b: a != b and (
+        (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1) or (abs(len(a) - len(b)) == 1 and any(max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1 :] == min(a, b, key=len) for i in range(max(len(a), len(b)))))
+    )
+    index = vocabulary.vocabulary_index(spark.createDataFrame([(v,) for v in vocab], "word string"))
+    got = {r["word"]: r["meant"] for r in vocabulary.near_words(spark.createDataFrame([(w,) for w in words], "word string"), index).collect()}
+    want = {w: min(v for v in vocab if v and one(w, v)) for w in words if w and w not in vocab and any(v and one(w, v) for v in vocab)}
+    assert got == want and len(want) >= 6
+
+
+def test_catalogue_falls_back(spark):
+    rows = [("makes", 1, None, None, None, "[]"), ("page", 1, None, None, None, '<select id="make"><option value="">-</option><option value="Acura">A</option></select>'), ("years", 1, "Acura", None, None, "oops"), ("years", 2, "Acura", None, None, '[2010, "2011", {"year": 2012}, {"y": 1}]'), ("models", 1, "Acura", "2010", None, '[{"name": "TL"}]'), ("models", 2, "Acura", "2010", None, '["never"]'), ("models", 1, "Acura", "1999", None, '["lost"]'), ("keys", 1, "Acura", "2010", "TL", '[{"pid": 7, "kt": "key"}, {"kt": "none"}]')]
+    makes, years, models, keys = catalog.lattice(spark.createDataFrame(rows, "api string, source int, make string, year string, model string, body string"))
+    assert [r[0] for r in makes.collect()] == ["Acura"] and sorted(r["year"] for r in years.collect()) == ["2010", "2011", "2012"]
+    assert [tuple(r) for r in models.collect()] == [("Acura", "2010", "TL")] and [tuple(r) for r in keys.collect()] == [("Acura", "2010", "TL", "7", "key")]
+
+
+def test_leases(spark):
+    """A lease that is prolonged, one that ends late, one that is claimed again, and events that mean nothing."""
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = [("a", at(0), 1, "claim"), ("a", at(10), 2, "heartbeat"), ("a", at(20), 3, "done"), ("b", at(0), 4, "claim"), ("b", at(30), 5, "heartbeat"), ("b", at(40), 6, "claim"), ("c", at(5), 7, "heartbeat"), ("d", at(30), 8, "claim"), ("e", at(44), 9, "claim"), ("b", at(59), 10, "done"), ("f", at(0), 11, "claim"), ("f", at(15), 12, "done")]
+    out = stale_leases(spark.createDataFrame(rows, "job string, ts string, ord int, event string"), 900, 2).collect()
+    base = 1704067200000
+    assert sorted((r["job"], (r["ended"] - base) // 60000, r["attempts"], r["status"]) for r in out) == [("b", 15, 1, "pending"), ("b", 55, 2, "failed"), ("d", 45, 1, "pending")]
