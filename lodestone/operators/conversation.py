@@ -84,3 +84,20 @@ def procedures(answers: DataFrame, key: str, text: str = "text", sources: str |
     blocks = held.join(good, key, "left_anti").select(key, F.lit(1).alias("_part"), F.lit(1).cast("long").alias("_group"), F.lit(1).alias("n"), F.lit(False).alias("note"), F.col("_text").alias("text"), F.lit(False).alias("warns"), F.col("_cited").alias("with_sources"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_group")) - 1
     return shown.unionByName(blocks).withColumn("pos", place).select(key, "pos", "n", "note", "text", "warns", "with_sources")
+
+
+def with_topic(turns: DataFrame, key: str, order: str, leans: Column, role: str = "role", text: str = "text", asker: str = "user") -> DataFrame:
+    """Questions with ``asked``: one that ``leans`` on what was said before has the asker's last question before it, unless it holds it already."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = turns.withColumn("_last", F.last(F.when(F.col(role) == asker, F.col(text)), ignorenulls=True).over(before)).where(F.col(role) == asker)
+    joined = F.coalesce(leans, F.lit(False)) & F.col("_last").isNotNull() & ~F.contains(text, "_last")
+    return own.withColumn("asked", F.when(joined, F.concat_ws(" ", "_last", text)).otherwise(F.col(text))).drop("_last")
+
+
+def log_turns(log: DataFrame, turns: DataFrame) -> DataFrame:
+    """``log`` (session_id, turn_id, seq, ...) with new ``turns`` (without seq) behind each session's last one; a turn that is logged already, or comes twice, counts once."""
+    fresh = turns.dropDuplicates(["turn_id"]).join(log.select("turn_id"), "turn_id", "left_anti")
+    last = log.groupBy("session_id").agg(F.max("seq").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_id"))
+    fresh = fresh.join(last, "session_id", "left").withColumn("seq", (F.coalesce("_last", F.lit(0)) + place).cast(log.schema["seq"].dataType))
+    return log.unionByName(fresh.select(*log.columns))

@@ -71,6 +71,12 @@ EMBED_CAP = 1000
 WIRE = ["function", "color", "polarity", "location"]
 
 
+def circuit_flags(wires: DataFrame) -> DataFrame:
+    """For each vehicle of ``wires`` (vehicle, function, photo) whether each circuit was found, and with a photo."""
+    power, ignition, photo = F.coalesce(F.col("function").rlike(POWER), F.lit(False)), F.coalesce(F.col("function").rlike(IGNITION), F.lit(False)), F.col("photo").isNotNull()
+    return wires.groupBy("vehicle").agg(F.bool_or(power).alias("found_power"), F.bool_or(power & photo).alias("photo_power"), F.bool_or(ignition).alias("found_ignition"), F.bool_or(ignition & photo).alias("photo_ignition"))
+
+
 def described() -> Column:
     """A wire in words: ``Constant +12 Volts: Red (+) Fuse box (30A)``."""
     said = F.concat_ws(" ", *[F.when((F.lower(c) != "null") & (F.col(c) != ""), F.col(c)) for c in WIRE[1:]])

@@ -25,6 +25,21 @@ HEADING_RATIO, BOLD_SHARE = 1.3, 0.35
 BAND, REPEATS = 0.07, 0.3
 
 
+def displayed(items: DataFrame) -> DataFrame:
+    """Texts as a page shows them: ``items`` with str, x, y, width and size for those that read from left to right on screen.
+
+    ``items`` has str, a to f (the text's matrix), va to vf (the page's, which turns a rotated one), page_height, and the
+    measured w and h. Both matrices are multiplied, so a landscape page keeps its text; what is turned as displayed and what
+    is blank goes. A symbol font's bullet, which comes as NUL, is one. y grows upward.
+    """
+    m0, m1 = F.col("va") * F.col("a") + F.col("vc") * F.col("b"), F.col("vb") * F.col("a") + F.col("vd") * F.col("b")
+    m3 = F.col("vb") * F.col("c") + F.col("vd") * F.col("d")
+    m4, m5 = F.col("va") * F.col("e") + F.col("vc") * F.col("f") + F.col("ve"), F.col("vb") * F.col("e") + F.col("vd") * F.col("f") + F.col("vf")
+    size = F.coalesce(F.nullif("h", F.lit(0.0)), F.nullif(F.abs(m3), F.lit(0.0)), F.lit(1.0))
+    kept = items.where((F.abs(m1) < 0.01) & (m0 > 0) & (F.trim("str") != ""))
+    return kept.withColumns({"str": F.translate("str", "\x00", "•"), "x": m4, "y": F.col("page_height") - m5, "width": F.coalesce("w", F.lit(0.0)), "size": size})
+
+
 def gaps(items: DataFrame, keys: list[str], start: str, size: str) -> DataFrame:
     """Empty stretches between the items of each key along one axis: keys, gap_from, gap_to, before (items that end before it)."""
     w = Window.partitionBy(*keys).orderBy(start, size)

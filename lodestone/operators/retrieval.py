@@ -115,3 +115,14 @@ def add_without_repeats(found: DataFrame, most: int = 3) -> DataFrame:
     rows = found.withColumn("new", (F.col("part") == 1) | ~(has("id") | has("text"))).where("new")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("ord", "id")))
     return rows.where((F.col("part") == 1) | (F.col("n") <= most)).select("id", "text", "part", "ord")
+
+
+def admission_with_faq(admitted: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``admitted`` (gate, admit, reason, top_similarity) where a question that was refused is let in by a resolved one that is all but the same.
+
+    ``resolved``: similarity and strong, a row for each passage behind resolved questions; reason ``faq``, with the best similarity.
+    """
+    best = resolved.agg(F.max("similarity").alias("_best"), F.coalesce(F.bool_or("strong"), F.lit(False)).alias("_strong"))
+    out = admitted.crossJoin(F.broadcast(best))
+    turned = ~F.col("admit") & F.col("_strong")
+    return out.select("gate", (F.col("admit") | turned).alias("admit"), F.when(turned, "faq").otherwise(F.col("reason")).alias("reason"), F.when(turned, F.col("_best")).otherwise(F.col("top_similarity")).alias("top_similarity"))

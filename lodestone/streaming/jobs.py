@@ -13,6 +13,29 @@ def backoff(attempt):
     return F.least(F.lit(LONGEST_WAIT), FIRST_WAIT * F.pow(F.lit(2), attempt - 1)).cast("long")
 
 
+#: The share of a wait that chance may add. Fixed value.
+JITTER = 0.3
+
+
+def fail(jobs: DataFrame, failed_at: Column, retryable: Column, most: Column | None = None) -> DataFrame:
+    """``jobs`` (job_id, status, attempts, run_at, last_error) after each failed with ``error`` at a time: pending again, or failed.
+
+    One that used up its attempts, or whose error isn't worth a retry, has failed. Others wait, twice as
+    long each time, and up to ``JITTER`` of that longer, by a hash of the job and its attempt, so that a plan that
+    runs again waits alike. What was cancelled stays so. Errors are cut at 1000 characters.
+    """
+    over = ~retryable | (F.col("attempts") >= (F.lit(ATTEMPTS) if most is None else most))
+    chance = F.pmod(F.xxhash64("job_id", "attempts"), F.lit(1_000_000)) / 1_000_000
+    wait = backoff(F.col("attempts")) * 1000
+    later = failed_at + F.make_dt_interval(secs=((wait + F.floor(chance * JITTER * wait + 0.5)) / 1000).cast("decimal(18,6)"))
+    stays = F.col("status") == "cancelled"
+    return jobs.withColumns({
+        "status": F.when(stays, F.col("status")).when(over, "failed").otherwise("pending"),
+        "run_at": F.when(~stays & ~over, later).otherwise(F.col("run_at")),
+        "last_error": F.when(stays, F.col("last_error")).otherwise(F.substring("error", 1, 1000)),
+    }).drop("error")
+
+
 def next_state(df: DataFrame) -> DataFrame:
     """``df`` (event: claim, done, fail, cancel; status; attempts) with the status that follows.
 
