@@ -23,8 +23,6 @@ from lodestone.functions.text import token_estimate
 FIGURE_MARK = "[FIGURE — machine-generated description, unverified]"
 #: Between a title and a section path, and between headings. Fixed values.
 TITLE_MARK, PATH_MARK = " › ", " > "
-#: Heading levels that are told apart.
-LEVELS = 9
 
 
 @dataclass(frozen=True)
@@ -141,17 +139,20 @@ def _numbers(make: Callable[..., list]) -> Callable[..., Column]:
 def section_paths(blocks: DataFrame) -> DataFrame:
     """``blocks`` (doc_id, pos, type, text, level, title) with ``section_path``, the headings that hold at each block, or else the title, and ``opens``.
 
-    A heading ends those of its level and below. For each level the last heading counts if none above came after it.
+    A heading ends those of its level and below. For each level that occurs, the last heading counts if none above came
+    after it. The levels that occur, a few numbers, come to the driver.
     """
+    heading = F.col("type") == "heading"
+    levels = sorted(r["level"] for r in blocks.where(heading & F.col("level").isNotNull()).select("level").distinct().collect())
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = {f"_h{k}": F.last(F.when((F.col("type") == "heading") & (F.col("level") == k), F.struct("pos", "text")), ignorenulls=True).over(w) for k in range(1, LEVELS + 1)}
+    heads = {f"_h{i}": F.last(F.when(heading & (F.col("level") == k), F.struct("pos", "text")), ignorenulls=True).over(w) for i, k in enumerate(levels)}
     out = blocks.withColumns(heads)
-    path = []
-    for k in range(1, LEVELS + 1):
-        above = F.greatest(*[F.coalesce(F.col(f"_h{j}.pos"), F.lit(-1)) for j in range(1, k)], F.lit(-1)) if k > 1 else F.lit(-1)
-        path.append(F.when(F.col(f"_h{k}.pos") > above, F.col(f"_h{k}.text")))
+    path, above = [F.lit(None).cast("string")], F.lit(-1).cast("long")
+    for c in heads:
+        path.append(F.when(F.col(f"{c}.pos") > above, F.col(f"{c}.text")))
+        above = F.greatest(above, F.coalesce(F.col(f"{c}.pos").cast("long"), F.lit(-1)))
     joined = F.nullif(F.concat_ws(PATH_MARK, *path), F.lit(""))
-    return out.withColumns({"section_path": F.coalesce(joined, "title"), "opens": F.col("type") == "heading"}).drop(*heads)
+    return out.withColumns({"section_path": F.coalesce(joined, "title"), "opens": heading}).drop(*heads)
 
 
 def rendered() -> Column:
@@ -184,7 +185,9 @@ def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """
     s = sizes or Sizes()
     usable = blocks.where((F.col("type") != "figure") | (F.coalesce("text", F.lit("")) != ""))
-    rows = section_paths(_split_tables(usable, s).withColumn("pos", F.col("pos") * 10_000 + F.col("sub")).drop("sub"))
+    # Parts of a table are blocks of their own: the document's blocks are numbered anew.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub"))
+    rows = section_paths(_split_tables(usable, s).withColumn("pos", place).drop("sub"))
     rows = rows.withColumn("shown", rendered()).withColumn("tokens", token_estimate(F.col("shown")).cast("int"))
 
     # A document's sizes in order, as numbers, to the number of each block's parent.

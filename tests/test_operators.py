@@ -357,3 +357,14 @@ def test_leases(spark):
     out = stale_leases(spark.createDataFrame(rows, "job string, ts string, ord int, event string"), 900, 2).collect()
     base = 1704067200000
     assert sorted((r["job"], (r["ended"] - base) // 60000, r["attempts"], r["status"]) for r in out) == [("b", 15, 1, "pending"), ("b", 55, 2, "failed"), ("d", 45, 1, "pending")]
+
+
+def test_deep_headings_and_long_tables(spark):
+    """Levels beyond any usual one hold, and the parts of a table with very many rows don't meet the next block."""
+    long = "\n".join(["head"] + [f"row {i} " + "x" * 3300 for i in range(60)])
+    rows = [("heading", f"L{k}", k, None, 1) for k in (1, 4, 12, 30)] + [("paragraph", "deep " * 30, None, None, 1), ("heading", "again", 12, None, 2), ("table", long, None, None, 2), ("paragraph", "after " * 30, None, None, 3)]
+    out = chunk_blocks(spark.createDataFrame(blocks(rows), BLOCK)).orderBy("chunk_index").collect()
+    assert next(r["section_path"] for r in out if "deep deep" in r["text"] and not r["is_parent"]) == "L1 > L4 > L12 > L30"
+    tables = [r for r in out if r["kind"] == "table"]
+    assert len(tables) == 60 and all(r["section_path"] == "L1 > L4 > again" and "head\n" in r["text"] for r in tables)
+    assert [t["text"].split("row ")[1].split(" ")[0] for t in tables] == [str(i) for i in range(60)] and "after" in out[-1]["text"]
