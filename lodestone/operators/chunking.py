@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from lodestone.functions.text import token_estimate
+from lodestone.shared import save
 
 #: Stands before every description of a picture. Fixed value.
 FIGURE_MARK = "[FIGURE — machine-generated description, unverified]"
@@ -187,7 +188,8 @@ def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     usable = blocks.where((F.col("type") != "figure") | (F.coalesce("text", F.lit("")) != ""))
     # Parts of a table are blocks of their own: the document's blocks are numbered anew.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub"))
-    rows = section_paths(_split_tables(usable, s).withColumn("pos", place).drop("sub"))
+    # Read many times below, so written once.
+    rows = section_paths(save(_split_tables(usable, s).withColumn("pos", place).drop("sub"), "blocks"))
     rows = rows.withColumn("shown", rendered()).withColumn("tokens", token_estimate(F.col("shown")).cast("int"))
 
     # A document's sizes in order, as numbers, to the number of each block's parent.
@@ -195,7 +197,7 @@ def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     flat = rows.groupBy("doc_id").agg(order.alias("b"))
     group = _numbers(lambda own, opens: parents(own, opens, s.parent_min, s.parent_max))(F.col("b.tokens"), F.col("b.opens"))
     groups = flat.select("doc_id", F.explode(F.arrays_zip(F.col("b.pos").alias("pos"), group.alias("parent"))).alias("x")).select("doc_id", "x.pos", "x.parent")
-    rows = rows.join(groups, ["doc_id", "pos"])
+    rows = save(rows.join(groups, ["doc_id", "pos"]), "placed-blocks")
 
     of_parent = Window.partitionBy("doc_id", "parent").orderBy("pos")
     before, after = of_parent.rowsBetween(Window.unboundedPreceding, -1), of_parent.rowsBetween(1, Window.unboundedFollowing)
@@ -243,7 +245,7 @@ def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     others = long.unionByName(short).select(
         "doc_id", "parent", "pos", "unit", body.alias("body"), kind.alias("kind"), "section_path", "page_from", "page_to", (F.col("type") == "callout").alias("has_warning"), F.lit(None).cast("int").alias("step_count"), F.lit(None).cast("string").alias("part")
     )
-    units = lists.unionByName(others).withColumn("tokens", token_estimate(F.col("body")).cast("int"))
+    units = save(lists.unionByName(others).withColumn("tokens", token_estimate(F.col("body")).cast("int")), "units")
 
     # A parent's units in order to the number of each one's piece.
     listed = units.groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "kind", "tokens"))).alias("u"))
