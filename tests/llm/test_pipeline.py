@@ -155,8 +155,12 @@ def test_queries_equal_sql(spark, tmp_path):
     spark.createDataFrame([r for r in rows() if r[3] is not None or r[1] is not None], SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
     urls = [None, "", "x", "http://A.example.ORG/es/1?q", "https://b.com/fr/#t", "http://com/de/", "ftp://org/", "http://x.example.org/en/10"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    r = random.Random(2)
+    vectors = [(i, i % 3 if i % 20 else None, [r.gauss(0, 1) for _ in range(8)]) for i in range(240)]
+    vectors += [(300 + i, 1, [x + 0.01 * i for x in vectors[1][2]]) for i in range(9)] + [(400, 1, None), (401, 1, [float("nan")] * 8), (402, 1, [None] * 8), (403, 2, [0.0] * 8), (404, 1, vectors[1][2])]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
     for name, sql in registry.SQL.items():
         own = registry.QUERIES[name](spark, folder)
