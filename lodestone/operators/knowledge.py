@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from lodestone.functions.vector import cosine
 from lodestone.operators.graph_index import nearest_exactly
 from lodestone.operators.postings import Postings, occurrences
 from lodestone.operators.retrieval import best_per, dense_arm, ranked
+from lodestone.shared import save
 
 #: Weights of a vendor, model and language that fit. Fixed values.
 BOOSTS = {"vendor": 0.003, "model": 0.002, "language": 0.001}
@@ -179,18 +181,27 @@ def record_resolutions(faqs: DataFrame, turns: DataFrame, same: float = 0.97) ->
     return kept.unionByName(new), became.select("turn_id", faq.alias("faq"), "reason")
 
 
-def citation_text(chunks: DataFrame, citations: DataFrame) -> DataFrame:
+def citation_text(chunks: DataFrame, citations: DataFrame, shown: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """``citations`` (cite_id, doc_id, page, section) with the text they mean: that of the page, or of the chunks whose section path ends so.
 
     ``chunks``: doc_id, chunk_index, page_from, page_to, section_path, text, live ones or not. Texts in order, a blank line between.
+    A page or section is put together once, however many cite it; ``shown`` makes of its text what citations get.
     """
-    by_page = chunks.join(citations.where("page IS NOT NULL").select("cite_id", "doc_id", "page"), "doc_id").where(F.col("page").between(F.col("page_from"), F.coalesce("page_to", "page_from")))
-    tail = chunks.withColumn("section", F.lower(last_segment(F.col("section_path"))))
-    by_section = tail.join(citations.where("page IS NULL").select("cite_id", "doc_id", F.lower(F.trim("section")).alias("section")), ["doc_id", "section"])
-    found = by_page.select("cite_id", "chunk_index", "text").unionByName(by_section.select("cite_id", "chunk_index", "text"))
+    paged, named = citations.where("page IS NOT NULL"), citations.where("page IS NULL").select("doc_id", F.lower(F.trim("section")).alias("_section"))
+    # The pages of a document that are cited meet each of its chunks in one row.
+    cited = paged.groupBy("doc_id").agg(F.collect_set("page").alias("_cited"))
+    within = F.filter("_cited", lambda p: p.between(F.col("page_from"), F.coalesce("page_to", "page_from")))
+    none = F.lit(None).cast("string")
+    by_page = chunks.join(cited, "doc_id").select("doc_id", F.explode(within).alias("_page"), none.alias("_section"), "chunk_index", "text")
+    tail = chunks.withColumn("_section", F.lower(last_segment(F.col("section_path")))).join(named.distinct(), ["doc_id", "_section"])
+    by_section = tail.select("doc_id", F.lit(None).cast(citations.schema["page"].dataType).alias("_page"), "_section", "chunk_index", "text")
     # A page or section has few chunks.
-    joined = found.groupBy("cite_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    return citations.join(joined, "cite_id", "left").select(*citations.columns, "text")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n")
+    places = by_page.unionByName(by_section).groupBy("doc_id", "_page", "_section").agg(text.alias("text"))
+    places = save(places.select("doc_id", "_page", "_section", shown(F.col("text")).alias("text")), "cited-places")
+    keyed = citations.withColumns({"_page": F.col("page"), "_section": F.when(F.col("page").isNull(), F.lower(F.trim("section")))})
+    same = (keyed["doc_id"] == places["doc_id"]) & keyed["_page"].eqNullSafe(places["_page"]) & keyed["_section"].eqNullSafe(places["_section"])
+    return keyed.join(places, same, "left").select(*[keyed[c] for c in citations.columns], places["text"])
 
 
 #: Literals that an answer may only say if its evidence does: measures with a unit, colours of wires, pins. Fixed values.

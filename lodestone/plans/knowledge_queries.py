@@ -223,7 +223,7 @@ def citations_resolve(spark, sf_dir):
     """Citations by page and by section to the texts that they mean."""
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.floor(F.col("n_chars") / 1000).cast("int").alias("page_from"), F.floor(F.col("n_chars") / 900).cast("int").alias("page_to"), F.concat_ws(" > ", "source", F.concat(F.lit("Part "), "lang")).alias("section_path"), F.md5("text").alias("text"))
     cites = table(spark, sf_dir, "pages").select(F.col("page_id").alias("cite_id"), F.concat(F.lit("src"), (F.col("page_id") % 25).cast("string")).alias("doc_id"), F.when(F.contains("url", F.lit("?")), F.floor(F.length("html") / 500).cast("int")).alias("page"), F.when(~F.contains("url", F.lit("?")), F.lit(" part EN ")).alias("section"))
-    return k.citation_text(chunks, cites).select("cite_id", "page", F.md5("text").alias("text_md5"))
+    return k.citation_text(chunks, cites, F.md5).select("cite_id", "page", F.col("text").alias("text_md5"))
 
 
 RESOLVE_SQL = """WITH c AS (SELECT source AS doc_id, doc_id AS i, floor(n_chars / 1000)::INT AS a, floor(n_chars / 900)::INT AS b, 'part ' || lang AS section, md5(text) AS text FROM documents),
