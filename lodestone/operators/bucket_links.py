@@ -118,7 +118,8 @@ def links(nodes: DataFrame, posts: DataFrame, cosine: float) -> DataFrame:
     else:
         # A bucket may hold any share of all vectors.
         salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        shared = posts.withColumn("salt", F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
+        # The estimate of its size leaves the salts out, so it is said that it must not be broadcast.
+        shared = posts.withColumn("salt", F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*on, "salt"])
     member = shared.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("in")).withColumnsRenamed({"id": "mid", "h": "mh"})
     member = member.join(nodes, (F.col("mid") == F.col("id")) & (F.col("mh") == F.col("h")))
     each = member.select("id", "h", "label", "dim", "v", "weight", F.transform("in", lambda x: x["bucket"]).alias("buckets"), F.explode("in").alias("own"))

@@ -1,7 +1,9 @@
 """Work that must not grow faster than its tables: what is handed on between the steps, and the same results."""
 
 from pyspark.sql import functions as F
-from lodestone.operators import knowledge
+
+from lodestone.operators import bucket_links, knowledge
+from lodestone.shared import save
 
 
 def kept(monkeypatch, module):
@@ -21,3 +23,15 @@ def test_cited_places_are_put_together_once(spark, monkeypatch):
     want = [(c, section if c < 50 and d == "d" else page if c < 90 and d == "d" else "u" if c in (0, 90) else None) for c, d, _, _ in cites]
     assert sorted(((r["cite_id"], r["text"]) for r in found.collect()), key=str) == sorted(want, key=str)
     assert saved["cited-places"].count() == 4
+
+
+def test_salted_buckets_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bucket_links, "BROADCAST_BUCKETS", 0)
+    joins = []
+    monkeypatch.setattr(bucket_links, "save", lambda df, label, *more: (joins.append(df._jdf.queryExecution().executedPlan().toString()) if label == "bucket-links" else None, save(df, label, *more))[1])
+    nodes = save(spark.range(400).selectExpr("id", "id h", "1L weight", "array(1D, double(id % 100)) v", "2 dim", "0 label"), "nodes")
+    posts = save(nodes.selectExpr("label", "dim", "id", "h", "id % 100 bucket"), "posts")
+    found = bucket_links.links(nodes, posts, 0.999999)
+    assert found.agg(F.sum("links")).first()[0] == 400 * 3
+    met = [line for line in joins[0].splitlines() if "Join" in line and "salt" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
