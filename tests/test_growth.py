@@ -1,8 +1,9 @@
 """Work that must not grow faster than its tables: what is handed on between the steps, and the same results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import bucket_links, knowledge
+from lodestone.operators import bucket_links, graph_index, knowledge
 from lodestone.shared import save
 
 
@@ -35,3 +36,18 @@ def test_salted_buckets_are_not_broadcast(spark, monkeypatch):
     assert found.agg(F.sum("links")).first()[0] == 400 * 3
     met = [line for line in joins[0].splitlines() if "Join" in line and "salt" in line]
     assert met and all("SortMergeJoin" in line for line in met)
+
+
+def test_only_products_among_the_best_are_sorted(monkeypatch):
+    r = np.random.default_rng(3)
+    q, u = r.integers(-3, 4, (50, 8)) / 10, r.integers(-3, 4, (3000, 8)) / 10
+    ids, sorted_rows = r.permutation(3000), []
+    lexsort = np.lexsort
+    monkeypatch.setattr(graph_index.np, "lexsort", lambda keys, *more: (sorted_rows.append(len(keys[0])), lexsort(keys, *more))[1])
+    best = np.full((50, 7), -np.inf), np.full((50, 7), -1, np.int64)
+    for at in [0, 3, 500, 1000]:
+        end = {0: 3, 3: 500, 500: 1000, 1000: 3000}[at]
+        best = graph_index._merge(best, q, u[at:end], ids[at:end], 7)
+    want = [lexsort((ids, -s))[:7] for s in np.round(q @ u.T, 6)]
+    assert best[1].tolist() == [ids[w].tolist() for w in want]
+    assert np.allclose(best[0], [np.round(q[i] @ u[w].T, 6) for i, w in enumerate(want)]) and sum(sorted_rows) < 50 * 3000 / 5
