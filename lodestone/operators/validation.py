@@ -43,27 +43,31 @@ def validate(entries: DataFrame, org: str, sheet_version: int) -> tuple[DataFram
     quarantine, any other note flags; notes of other rules stay. Rows of other versions, other
     organisations and deleted ones are returned as they are.
 
-    Each rule is a window; none joins the sheet with itself.
+    Each rule is a window; none joins the sheet with itself. Rows are dealt once, by make, model and start
+    type, which all windows have among their keys.
     """
     mine = (F.col("org_id") == org) & (F.col("sheet_version") == sheet_version) & F.col("deleted_at").isNull()
     start = F.coalesce("start_type", F.lit(""))
     inline = mine & (F.col("cell_kind") == "inline")
     v1 = mine & (F.col("pin") > F.col("connector_pins"))
+    text = F.lower("cell_raw")
+    own = {"_make": F.lower("make"), "_model": F.lower("model"), "_start": start, "_text": text, "_stem": stem(F.col("cell_raw"))}
+    own |= {"_in": F.coalesce(mine, F.lit(False)), "_steps": F.coalesce(inline & F.col("pin").isNotNull(), F.lit(False)), "_inline": F.coalesce(inline, F.lit(False))}
+    # A number for all three, as constants among keys are dropped from a window and not from a deal.
+    e = entries.withColumns(own).withColumn("_vehicle", F.xxhash64("_make", "_model", "_start")).repartition("_vehicle")
+    sheet = ["_vehicle", "org_id", "sheet_version", "_make", "_model", "_start"]
 
     # V2: rows that take no part are a partition of their own.
-    steps = inline & F.col("pin").isNotNull()
-    cell = Window.partitionBy(F.coalesce(steps, F.lit(False)), "org_id", "sheet_version", "make", "model", start, "circuit", stem(F.col("cell_raw")))
+    cell_keys = ["_steps", *sheet, "make", "model", "circuit", "_stem"]
+    cell = Window.partitionBy(*cell_keys)
     by_row, by_year = cell.orderBy("year", "entry_id"), cell.orderBy("year")
     goes_on = (F.col("pin") - F.lag("pin").over(by_row) == 1) & (F.col("year") - F.lag("year").over(by_row) == 1)
-    e = entries.withColumns({"_in": F.coalesce(mine, F.lit(False)), "_steps": F.coalesce(steps, F.lit(False)), "_inline": F.coalesce(inline, F.lit(False))})
     e = e.withColumn("_break", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_break").over(by_year))
-    run = Window.partitionBy("_steps", "org_id", "sheet_version", "make", "model", start, "circuit", stem(F.col("cell_raw")), "_run")
-    e = e.withColumn("_length", F.when(F.col("_steps"), F.count("*").over(run)))
+    e = e.withColumn("_length", F.when(F.col("_steps"), F.count("*").over(Window.partitionBy(*cell_keys, "_run"))))
 
-    vehicle = ["org_id", "sheet_version", "year", F.lower("make"), F.lower("model"), start]
-    text = F.lower("cell_raw")
-    same_text = Window.partitionBy("_inline", *vehicle, text)
-    slot = Window.partitionBy("_in", *vehicle, "circuit")
+    same_text = Window.partitionBy("_inline", *sheet, "year", "_text")
+    slot = Window.partitionBy("_in", *sheet, "year", "circuit")
+    text = F.col("_text")
     e = e.withColumns({"_v4": F.min("circuit").over(same_text) != F.max("circuit").over(same_text), "_v5": F.min(text).over(slot) != F.max(text).over(slot)})
     notes = {
         "V1": (v1, F.format_string("pin %d on a %d-pin connector", "pin", "connector_pins")),

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import bucket_links, graph_index, knowledge
+from lodestone.operators import bucket_links, graph_index, knowledge, validation
 from lodestone.shared import save
 
 
@@ -51,3 +51,14 @@ def test_only_products_among_the_best_are_sorted(monkeypatch):
     want = [lexsort((ids, -s))[:7] for s in np.round(q @ u.T, 6)]
     assert best[1].tolist() == [ids[w].tolist() for w in want]
     assert np.allclose(best[0], [np.round(q[i] @ u[w].T, 6) for i, w in enumerate(want)]) and sum(sorted_rows) < 50 * 3000 / 5
+
+
+def test_rules_deal_the_sheet_once(spark):
+    names = "entry_id string, org_id string, sheet_version int, deleted_at timestamp, year int, make string, model string, start_type string, circuit string, cell_kind string, cell_raw string, connector_pins int, pin int, validation_notes map<string,string>"
+    row = lambda i, make, year, circuit, pin, raw: (i, "o", 1, None, year, make, "M", None, circuit, "inline", raw, 9, pin, None)
+    rows = [row(f"a{y}", "Kia", 2000 + y, "A", y, f"BCM 1, pin {y}") for y in range(1, 4)] + [row("b", "KIA", 2001, "B", 7, "bcm 1, PIN 1"), row("c", "kia", 2004, "A", 4, "BCM 1, pin 4")]
+    out = validation.validate(spark.createDataFrame(rows, names), "o", 1)[0]
+    assert {r["entry_id"]: sorted(r["validation_notes"]) for r in out.collect()} == {"a1": ["V2", "V4"], "a2": ["V2"], "a3": ["V2"], "b": ["V4"], "c": []}
+    constant = out.sparkSession.createDataFrame(rows, names).withColumn("model", F.lit("M"))
+    for found in (out, validation.validate(constant, "o", 1)[0]):
+        assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
