@@ -11,13 +11,43 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from lodestone.functions.lexemes import STOP_WORDS, with_stems
 from lodestone.functions.text import tokens
 from lodestone.shared import save
 
+#: Different tokens with their stems that are sent to all tasks; more of them are joined by shuffles.
+BROADCAST_STEMS = 500_000
+#: Tokens that are put in order at once, about.
+TOKENS_AT_ONCE = 1_000_000
+
+
+def _by_token(texts: pa.ListArray) -> pa.ListArray:
+    """For each list of tokens the different ones, each with its places."""
+    size = texts.value_lengths().to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(texts)), size)
+    coded = texts.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    place = (np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    order = np.lexsort((place, code, text))
+    text, code, place = text[order], code[order], place[order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (code[1:] != code[:-1])]) if len(text) else np.empty(0, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(text)], pa.int32()), pa.array(place))
+    held = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[first])), places], ["token", "places"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(len(texts) + 1)), pa.int32()), held)
+
+
+def _held(texts: pa.Array) -> pa.Array:
+    """The same, a few texts at once."""
+    size = np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False)) // TOKENS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([_by_token(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
+
 
 @dataclass(frozen=True)
 class Postings:
@@ -37,14 +67,20 @@ class Postings:
 def index_texts(texts: DataFrame) -> Postings:
     """The postings of ``texts`` (id, text). Null and empty texts have none; stop words are counted as places but not posted.
 
-    Each different token is stemmed once; tokens meet their stems by a join that splits frequent ones.
+    Each different token is stemmed once. A text's places of a token become one row in the task that reads the text, so postings
+    are shuffled once, by the ranges of their files, and tokens of one stem meet there.
     """
-    places = texts.select("id", F.posexplode(tokens(F.col("text"))).alias("place", "token")).where(~F.col("token").isin(*STOP_WORDS))
-    # A text's places of a token become one row before anything is shuffled by token.
-    held = save(places.groupBy("id", "token").agg(F.collect_list("place").alias("places")), "token-places")
-    known = save(with_stems(held.select("token").distinct()), "token-stems")
-    merged = held.join(known, "token").groupBy("stem", "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
-    return Postings((save(merged.repartitionByRange("stem", "id").sortWithinPartitions("stem", "id"), "postings"),))
+    words = texts.select("id", tokens(F.col("text")).alias("tokens"))
+    seen = words.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct().where(~F.col("token").isin(*STOP_WORDS))
+    known = save(with_stems(seen), "token-stems")
+    if known.count() <= BROADCAST_STEMS:
+        known = F.broadcast(known)
+    by_token = F.arrow_udf(_held, "array<struct<token:string,places:array<int>>>", ArrowUDFType.SCALAR)
+    held = words.select("id", F.explode(by_token("tokens")).alias("t")).select("id", "t.token", "t.places")
+    # Stop words have no stem here.
+    dealt = held.join(known, "token").select("stem", "id", "places").repartitionByRange("stem", "id")
+    merged = dealt.groupBy("stem", "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    return Postings((save(merged.sortWithinPartitions("stem", "id"), "postings"),))
 
 
 def stems_of(spark, words: list[str]) -> dict[str, str]:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import aliases, bucket_links, graph_index, knowledge, validation
+from lodestone.operators import aliases, bucket_links, graph_index, knowledge, postings, validation
 from lodestone.shared import save
 
 
@@ -76,3 +76,21 @@ def test_names_meet_by_the_rarest_trigrams_of_their_length(spark):
     want = [(a["asked_id"], i) for a in asked.collect() for i, g in own if (q := grams(a["asked"])) and len(q & g) / len(q | g) >= 0.7]
     assert sorted((r["asked_id"], r["id"]) for r in found.collect()) == sorted(want)
     assert re.search(r"Join \[gram#\d+, size#\d+\], \[gram#\d+, size#\d+\], Inner", found._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(postings, "TOKENS_AT_ONCE", 4)
+    plans = {}
+    monkeypatch.setattr(postings, "save", lambda df, label, *more: (plans.__setitem__(label, df._jdf.queryExecution().executedPlan().toString()), save(df, label, *more))[1])
+    texts = [(1, "Valve valves, the VALVE and a pump"), (2, None), (3, ""), (4, "the and"), (5, "pumps pump valve " * 5), (6, "x9 pump")]
+    rows = {}
+    for i, text in texts:
+        for place, token in enumerate(re.findall("[a-z0-9]+", (text or "").lower())):
+            if token not in ("the", "and", "a"):
+                rows.setdefault((token.removesuffix("s").replace("valve", "valv"), i), []).append(place)
+    for most in (postings.BROADCAST_STEMS, 0):
+        monkeypatch.setattr(postings, "BROADCAST_STEMS", most)
+        index = postings.index_texts(spark.createDataFrame(texts, "id long, text string"))
+        assert {(r["stem"], r["id"]): r["places"] for r in index.segments[0].collect()} == rows
+        if most:
+            assert set(plans) == {"token-stems", "postings"} and len(re.findall(r"\bExchange ", plans["postings"])) == 1
