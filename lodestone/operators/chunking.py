@@ -137,15 +137,20 @@ def _numbers(make: Callable[..., list]) -> Callable[..., Column]:
     return F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR)
 
 
-def section_paths(blocks: DataFrame) -> DataFrame:
+def _levels(blocks: DataFrame) -> list[int]:
+    """The levels of headings that occur, a few numbers, which come to the driver."""
+    return sorted(r["level"] for r in blocks.where((F.col("type") == "heading") & F.col("level").isNotNull()).select("level").distinct().collect())
+
+
+def section_paths(blocks: DataFrame, levels: list[int] | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``blocks`` (doc_id, pos, type, text, level, title) with ``section_path``, the headings that hold at each block, or else the title, and ``opens``.
 
     A heading ends those of its level and below. For each level that occurs, the last heading counts if none above came
-    after it. The levels that occur, a few numbers, come to the driver.
+    after it. ``levels`` are by default those that occur; ``order`` is any order of columns in which ``pos`` ascends.
     """
     heading = F.col("type") == "heading"
-    levels = sorted(r["level"] for r in blocks.where(heading & F.col("level").isNotNull()).select("level").distinct().collect())
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    levels = _levels(blocks) if levels is None else levels
+    w = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     heads = {f"_h{i}": F.last(F.when(heading & (F.col("level") == k), F.struct("pos", "text")), ignorenulls=True).over(w) for i, k in enumerate(levels)}
     out = blocks.withColumns(heads)
     path, above = [F.lit(None).cast("string")], F.lit(-1).cast("long")
@@ -166,15 +171,15 @@ def rendered() -> Column:
 
 def _split_tables(blocks: DataFrame, s: Sizes) -> DataFrame:
     """Tables of over ``procedure_max`` tokens as several, cut between rows, each with the header; ``sub`` numbers them."""
-    rows = F.split("text", "\n")
-    sizes = F.transform(rows, lambda r: F.ceil(F.length(r) / 4).cast("int"))
-    group = _numbers(lambda own: fill(own[1:], s.procedure_max, own[0]))
-    large = (F.col("type") == "table") & (token_estimate(F.col("text")) > s.procedure_max)
-    cut = blocks.where(large).withColumn("_g", group(sizes)).withColumn("_rows", F.slice(rows, F.lit(2), F.size(rows) - 1)).withColumn("_head", F.element_at(rows, 1))
-    cut = cut.withColumn("sub", F.explode(F.array_distinct("_g")))
-    own = F.transform(F.filter(F.arrays_zip("_g", "_rows"), lambda x: x["_g"] == F.col("sub")), lambda x: x["_rows"])
-    cut = cut.withColumn("text", F.array_join(F.concat(F.array("_head"), own), "\n")).drop("_g", "_rows", "_head")
-    return blocks.where(~F.coalesce(large, F.lit(False))).withColumn("sub", F.lit(0)).unionByName(cut)
+    large = F.coalesce((F.col("type") == "table") & (token_estimate(F.col("text")) > s.procedure_max), F.lit(False))
+    rows = F.when(large, F.split("text", "\n"))
+    group = _numbers(lambda own: fill(own[1:], s.procedure_max, own[0]) if own else [])
+    cut = blocks.withColumn("_rows", rows).withColumn("_g", group(F.transform("_rows", lambda r: F.ceil(F.length(r) / 4).cast("int"))))
+    # A table of one row has no part; the numbers of what isn't cut are one 0.
+    cut = cut.withColumn("sub", F.explode(F.when(F.col("_rows").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct("_g"))))
+    own = F.transform(F.filter(F.arrays_zip("_g", F.slice("_rows", F.lit(2), F.size("_rows") - 1).alias("_own")), lambda x: x["_g"] == F.col("sub")), lambda x: x["_own"])
+    text = F.when(F.col("_rows").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.array(F.element_at("_rows", 1)), own), "\n"))
+    return cut.withColumn("text", text).drop("_g", "_rows")
 
 
 def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
@@ -183,84 +188,83 @@ def chunk_blocks(blocks: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     ``blocks``: doc_id, title, pos, type (heading, paragraph, caption, list, table, callout, figure, or any other, which is
     prose), text, level, items (marker, text), ordered, callout_kind, page, page_end. A parent is followed by its children
     under one running index. Figures without a text are left out; pages are null where no block has one.
+
+    All steps keep a document's rows together, so texts are dealt by document once for the parents and once for the children.
     """
     s = sizes or Sizes()
     usable = blocks.where((F.col("type") != "figure") | (F.coalesce("text", F.lit("")) != ""))
-    # Parts of a table are blocks of their own: the document's blocks are numbered anew.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub"))
-    # Read many times below, so written once.
-    rows = section_paths(save(_split_tables(usable, s).withColumn("pos", place).drop("sub"), "blocks"))
-    rows = rows.withColumn("shown", rendered()).withColumn("tokens", token_estimate(F.col("shown")).cast("int"))
+    opens = F.col("type") == "heading"
+
+    def parts(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else split_prose(t, s.child_max, s.overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    # What Python does with single blocks comes before they are dealt, since its results don't keep what is known of the rows' places.
+    split = F.arrow_udf(parts, "array<string>", ArrowUDFType.SCALAR)
+    long = (token_estimate(F.coalesce("text", F.lit(""))) > s.child_max) & ~F.col("type").isin("list", "table", "callout")
+    item_sizes = F.transform("items", lambda i: F.ceil(F.length(F.concat_ws(" ", i["marker"], i["text"])) / 4).cast("int"))
+    number = _numbers(lambda own: fill(own or [], s.procedure_max))(F.when(F.col("type") == "list", item_sizes))
+    # Only the few long texts pass the splitter. Read many times below, so written once.
+    saved = _split_tables(usable, s).withColumns({"tokens": token_estimate(rendered()).cast("int"), "_filled": number, "_parts": split(F.when(long, F.col("text")))})
+    saved = save(saved, "blocks")
 
     # A document's sizes in order, as numbers, to the number of each block's parent.
-    order = F.sort_array(F.collect_list(F.struct("pos", "tokens", "opens")))
-    flat = rows.groupBy("doc_id").agg(order.alias("b"))
-    group = _numbers(lambda own, opens: parents(own, opens, s.parent_min, s.parent_max))(F.col("b.tokens"), F.col("b.opens"))
-    groups = flat.select("doc_id", F.explode(F.arrays_zip(F.col("b.pos").alias("pos"), group.alias("parent"))).alias("x")).select("doc_id", "x.pos", "x.parent")
-    rows = save(rows.join(groups, ["doc_id", "pos"]), "placed-blocks")
+    order = F.sort_array(F.collect_list(F.struct("pos", "sub", "tokens", opens.alias("opens"))))
+    flat = saved.select("doc_id", "pos", "sub", "tokens", "type").groupBy("doc_id").agg(order.alias("b"))
+    groups = flat.select("doc_id", _numbers(lambda own, opens: parents(own, opens, s.parent_min, s.parent_max))(F.col("b.tokens"), F.col("b.opens")).alias("_parents"))
+    # Parts of a table are blocks of their own: the document's blocks are numbered anew.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub", "tokens", opens))
+    rows = saved.withColumn("pos", place).drop("sub").join(groups, "doc_id").withColumn("parent", F.element_at("_parents", F.col("pos"))).drop("_parents")
+    # Parents ascend with the blocks, so one order serves the document's windows and the parents'.
+    rows = section_paths(rows, _levels(saved), ("parent", "pos")).withColumn("shown", rendered())
+    page_end = F.coalesce("page_end", "page")
+    rows = rows.withColumns({"page_from": F.least("page", page_end), "page_to": F.greatest("page", page_end)})
 
     of_parent = Window.partitionBy("doc_id", "parent").orderBy("pos")
     before, after = of_parent.rowsBetween(Window.unboundedPreceding, -1), of_parent.rowsBetween(1, Window.unboundedFollowing)
     other = F.when(F.col("type") != "callout", F.struct("pos", "type"))
-    rows = rows.withColumns({"_next": F.first(other, ignorenulls=True).over(after), "_last": F.last(other, ignorenulls=True).over(before)})
+    base = rows.withColumns({"_next": F.first(other, ignorenulls=True).over(after), "_last": F.last(other, ignorenulls=True).over(before)})
     goes_before = (F.col("type") == "callout") & (F.col("_next.type") == "list")
     goes_after = (F.col("type") == "callout") & F.col("_next").isNull() & (F.col("_last.type") == "list")
-    rows = rows.withColumns({"list_before": F.when(goes_before, F.col("_next.pos")), "list_after": F.when(goes_after, F.col("_last.pos"))})
+    base = base.withColumns({"list_before": F.when(goes_before, F.col("_next.pos")), "list_after": F.when(goes_after, F.col("_last.pos"))}).where("type != 'heading'")
 
-    page_end = F.coalesce("page_end", "page")
-    span = {"page_from": F.least("page", page_end), "page_to": F.greatest("page", page_end)}
-    rows = rows.withColumns(span)
-
-    # Callouts that belong to a list, by that list.
-    bound = rows.where("list_before IS NOT NULL OR list_after IS NOT NULL").select("doc_id", F.coalesce("list_before", "list_after").alias("pos"), F.col("list_before").isNotNull().alias("first"), F.struct(F.col("pos").alias("p"), "shown", "section_path").alias("c"), "page_from", "page_to")
-    bound = bound.groupBy("doc_id", "pos").agg(
-        F.sort_array(F.collect_list(F.when(F.col("first"), F.col("c")))).alias("heads"), F.sort_array(F.collect_list(F.when(~F.col("first"), F.col("c")))).alias("tails"), F.min("page_from").alias("cfrom"), F.max("page_to").alias("cto")
-    )
-    base = rows.where("type != 'heading' AND list_before IS NULL AND list_after IS NULL").join(bound, ["doc_id", "pos"], "left")
-    none = F.array().cast("array<string>")
-    base = base.withColumns({"heads": F.coalesce(F.col("heads.shown"), none), "tails": F.coalesce(F.col("tails.shown"), none), "first_path": F.coalesce(F.get(F.col("heads.section_path"), F.lit(0)), "section_path")})
+    # Callouts that belong to a list are told to it.
+    base = base.withColumn("_of", F.coalesce("list_before", "list_after", "pos"))
+    together = Window.partitionBy("doc_id", "parent", "_of")
+    said = F.struct("pos", "shown", "section_path")
+    bound = {"heads": F.sort_array(F.collect_list(F.when(F.col("list_before").isNotNull(), said)).over(together)), "tails": F.sort_array(F.collect_list(F.when(F.col("list_after").isNotNull(), said)).over(together))}
+    base = base.withColumns(bound | {"page_from": F.min("page_from").over(together), "page_to": F.max("page_to").over(together)}).where("_of = pos")
+    base = base.withColumns({"first_path": F.coalesce(F.get(F.col("heads.section_path"), F.lit(0)), "section_path"), "heads": F.col("heads.shown"), "tails": F.col("tails.shown")})
 
     # Units: a block, or a part of a long one.
-    item_sizes = F.transform("items", lambda i: F.ceil(F.length(F.concat_ws(" ", i["marker"], i["text"])) / 4).cast("int"))
-    long_list = token_estimate(F.array_join(F.concat("heads", F.array("shown"), "tails"), "\n\n")) > s.procedure_max
-    number = F.when(long_list, _numbers(lambda own: fill(own or [], s.procedure_max))(item_sizes)).otherwise(F.transform("items", lambda i: F.lit(0)))
-    lists = base.where("type = 'list'").withColumn("_g", number).withColumn("_n", F.greatest(F.array_max("_g") + 1, F.lit(1)))
-    lists = lists.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    listed = F.col("type") == "list"
+    long_list = listed & (token_estimate(F.array_join(F.concat("heads", F.array("shown"), "tails"), "\n\n")) > s.procedure_max)
+    base = base.withColumn("_g", F.when(long_list, F.col("_filled")).otherwise(F.transform("items", lambda i: F.lit(0))))
+    whole_body = F.when(F.col("type") == "figure", F.col("text")).otherwise(F.col("shown"))
+    n = F.when(listed, F.greatest(F.array_max("_g") + 1, F.lit(1))).when(F.col("_parts").isNotNull(), F.size("_parts")).otherwise(1)
+    units = base.withColumn("_n", n).where("_n > 0").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     own = F.transform(F.filter(F.arrays_zip("_g", "items"), lambda x: x["_g"] == F.col("unit")), lambda x: F.concat_ws(" ", x["items"]["marker"], x["items"]["text"]))
-    lists = lists.withColumn("_own", own).select(
-        "doc_id", "parent", "pos", "unit", F.array_join(F.concat("heads", F.array(F.array_join("_own", "\n")), "tails"), "\n\n").alias("body"), F.when(F.coalesce("ordered", F.lit(False)), "procedure").otherwise("list").alias("kind"),
-        F.col("first_path").alias("section_path"), F.least("page_from", "cfrom").alias("page_from"), F.greatest("page_to", "cto").alias("page_to"), (F.size("heads") + F.size("tails") > 0).alias("has_warning"), F.size("_own").alias("step_count"), F.when(F.col("_n") > 1, F.concat_ws("/", F.col("unit") + 1, "_n")).alias("part"),
-    )
-
-    def parts(texts: pa.Array) -> pa.Array:
-        return pa.array([split_prose(t or "", s.child_max, s.overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    split = F.arrow_udf(parts, "array<string>", ArrowUDFType.SCALAR)
-    others = base.where("type != 'list'").withColumn("long", (token_estimate(F.coalesce("text", F.lit(""))) > s.child_max) & ~F.col("type").isin("table", "callout"))
-    # Only the few long texts pass the splitter.
-    long = others.where("long").withColumn("_parts", split(F.col("text"))).select("*", F.posexplode("_parts").alias("unit", "body")).drop("_parts")
-    short = others.where("NOT long").withColumns({"unit": F.lit(0), "body": F.when(F.col("type") == "figure", F.col("text")).otherwise(F.col("shown"))})
-    kind = F.when(F.col("type").isin("table", "callout", "figure"), F.col("type")).when(F.col("long"), "part").otherwise("fill")
-    body = F.when(F.col("type") == "figure", F.concat(F.lit(FIGURE_MARK + "\n"), "body")).otherwise(F.col("body"))
-    others = long.unionByName(short).select(
-        "doc_id", "parent", "pos", "unit", body.alias("body"), kind.alias("kind"), "section_path", "page_from", "page_to", (F.col("type") == "callout").alias("has_warning"), F.lit(None).cast("int").alias("step_count"), F.lit(None).cast("string").alias("part")
-    )
-    units = save(lists.unionByName(others).withColumn("tokens", token_estimate(F.col("body")).cast("int")), "units")
-
-    # A parent's units in order to the number of each one's piece.
-    listed = units.groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "kind", "tokens"))).alias("u"))
+    units = units.withColumn("_own", F.when(listed, own)).withColumn("_body", F.when(F.col("_parts").isNotNull(), F.get("_parts", F.col("unit"))).otherwise(whole_body))
+    body = F.when(listed, F.array_join(F.concat("heads", F.array(F.array_join("_own", "\n")), "tails"), "\n\n")).when(F.col("type") == "figure", F.concat(F.lit(FIGURE_MARK + "\n"), "_body")).otherwise(F.col("_body"))
+    kind = F.when(listed, F.when(F.coalesce("ordered", F.lit(False)), "procedure").otherwise("list")).when(F.col("type").isin("table", "callout", "figure"), F.col("type")).when(F.col("_parts").isNotNull(), "part").otherwise("fill")
+    warning = F.when(listed, F.size("heads") + F.size("tails") > 0).otherwise(F.col("type") == "callout")
+    part = F.when(listed & (F.col("_n") > 1), F.concat_ws("/", F.col("unit") + 1, "_n"))
+    path = F.when(listed, F.col("first_path")).otherwise(F.col("section_path"))
+    units = units.select("doc_id", "title", "parent", "pos", "unit", body.alias("body"), kind.alias("kind"), path.alias("section_path"), "page_from", "page_to", warning.alias("has_warning"), F.when(listed, F.size("_own")).alias("step_count"), part.alias("part"))
+    units = units.withColumn("tokens", token_estimate(F.col("body")).cast("int"))
+
+    # A parent's units in order, to the number of each one's piece; a parent is of a bounded size, or one block.
+    every = F.sort_array(F.collect_list(F.struct("pos", "unit", "kind", "tokens", "body", "section_path", "page_from", "page_to", "has_warning", "step_count", "part")))
+    held = units.groupBy("doc_id", "parent").agg(every.alias("u"), F.first("title").alias("title"))
     piece = _numbers(lambda kinds, own: pieces(kinds, own, s))(F.col("u.kind"), F.col("u.tokens"))
-    numbered = listed.select("doc_id", "parent", F.explode(F.arrays_zip(F.col("u.pos").alias("pos"), F.col("u.unit").alias("unit"), piece.alias("piece"))).alias("x")).select("doc_id", "parent", "x.*")
-    units = units.join(numbered, ["doc_id", "parent", "pos", "unit"])
+    units = held.withColumn("_piece", piece).repartition("doc_id").select("doc_id", "parent", "title", F.explode(F.arrays_zip("u", "_piece")).alias("x")).select("doc_id", "parent", "title", F.col("x._piece").alias("piece"), "x.u.*")
     place = F.struct("pos", "unit")
     children = units.groupBy("doc_id", "parent", "piece").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit", "body"))), lambda x: x["body"]), "\n\n").alias("body"), F.min_by("section_path", place).alias("section_path"), F.min("page_from").alias("page_from"), F.max("page_to").alias("page_to"),
-        F.min_by(F.when(F.col("kind").isin("fill", "part"), "prose").otherwise(F.col("kind")), place).alias("kind"), F.bool_or("has_warning").alias("has_warning"), F.max("step_count").alias("step_count"), F.max("part").alias("part"),
+        F.min_by(F.when(F.col("kind").isin("fill", "part"), "prose").otherwise(F.col("kind")), place).alias("kind"), F.bool_or("has_warning").alias("has_warning"), F.max("step_count").alias("step_count"), F.max("part").alias("part"), F.first("title").alias("title"),
     )
     whole = rows.groupBy("doc_id", "parent").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n\n").alias("body"), F.min_by("section_path", "pos").alias("section_path"), F.min("page_from").alias("page_from"), F.max("page_to").alias("page_to"), F.lit("parent").alias("kind"), F.lit(False).alias("has_warning"), F.lit(None).cast("int").alias("step_count"), F.lit(None).cast("string").alias("part"), F.first("title").alias("title")
     )
-    children = children.join(whole.select("doc_id", "parent", "title"), ["doc_id", "parent"])
     both = whole.withColumn("piece", F.lit(-1)).unionByName(children)
     text = F.concat("title", F.lit(TITLE_MARK), "section_path", F.when(F.col("piece") < 0, "\n\n").otherwise("\n"), "body")
     by_place = Window.partitionBy("doc_id").orderBy("parent", "piece")

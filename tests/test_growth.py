@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import aliases, bucket_links, graph_index, knowledge, postings, validation
+from lodestone.operators import aliases, bucket_links, chunking, graph_index, knowledge, postings, validation
 from lodestone.shared import save
 
 
@@ -94,3 +94,23 @@ def test_postings_are_shuffled_once(spark, monkeypatch):
         assert {(r["stem"], r["id"]): r["places"] for r in index.segments[0].collect()} == rows
         if most:
             assert set(plans) == {"token-stems", "postings"} and len(re.findall(r"\bExchange ", plans["postings"])) == 1
+
+
+def test_chunks_are_dealt_by_document(spark, monkeypatch):
+    saved = kept(monkeypatch, chunking)
+    names = "doc_id long, title string, pos int, type string, text string, level int, items array<struct<marker:string,text:string>>, ordered boolean, callout_kind string, page int, page_end int"
+    item = [("1.", "turn it")]
+    rows = [(1, "T", 0, "heading", "Head", 1, None, None, None, 0, None), (1, "T", 1, "callout", "hot", None, None, None, "warning", 0, None), (1, "T", 2, "list", None, None, item, True, None, 1, None), (1, "T", 3, "callout", "cold", None, None, None, None, 2, None)]
+    rows += [(1, "T", 4, "table", "a | b\n" + "c | d\n" * 900, None, None, None, None, 3, 4), (2, "U", 0, "paragraph", "word " * 1000, None, None, None, None, None, None), (2, "U", 1, "list", None, None, item * 900, False, None, 1, None)]
+    out = chunking.chunk_blocks(spark.createDataFrame(rows, names))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert set(saved) == {"blocks"} and plan.count("FileScan parquet") == 4
+    # Beside what Spark deals by document itself, children are dealt once, by document.
+    planned = re.findall(r"\bExchange hashpartitioning\((.*?)\d+L?, \d+\)", out._jdf.queryExecution().executedPlan().toString())
+    assert planned and set(planned) == {"doc_id#"} and len(planned) <= 5
+    found = out.orderBy("doc_id", "chunk_index").collect()
+    for doc in (1, 2):
+        assert [r["chunk_index"] for r in found if r["doc_id"] == doc] == list(range(sum(r["doc_id"] == doc for r in found)))
+    steps = [r for r in found if r["kind"] == "procedure"]
+    assert [(r["text"], r["has_warning"], r["step_count"], r["page_from"], r["page_to"]) for r in steps] == [("T › Head\nWARNING: hot\n\n1. turn it", True, 1, 0, 1)]
+    assert {r["part"] for r in found if r["kind"] == "list"} == {f"{i}/4" for i in (1, 2, 3, 4)} and sum(r["kind"] == "table" for r in found) == 3
