@@ -106,17 +106,20 @@ def lines(items: DataFrame, keys: list[str]) -> DataFrame:
     down = Window.partitionBy(*keys).orderBy(F.desc("y"), "x", "text")
     items = items.withColumn("_new", F.when(F.lag("y").over(down) - F.col("y") <= F.greatest(F.lit(1.0), F.col("size") * 0.35), 0).otherwise(1))
     items = items.withColumn("line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    along = Window.partitionBy(*keys, "line").orderBy("x", "y", "text")
-    gap = F.col("x") - (F.lag("x").over(along) + F.lag("width").over(along))
-    size = F.greatest("size", F.lag("size").over(along))
-    mark = F.when(gap > size * 2, " | ").when(gap > size * 0.12, " ").otherwise("")
-    items = items.withColumns({"_mark": F.coalesce(mark, F.lit("")), "_chars": F.length("text"), "_at": F.row_number().over(along)})
-    weight = items.groupBy(*keys, "line", F.round("size", 1).alias("_size")).agg(F.sum("_chars").alias("_w"))
-    weight = weight.groupBy(*keys, "line").agg(F.max_by("_size", F.struct("_w", "_size")).alias("size"))
-    # The items of a line are few.
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.concat("_mark", "text").alias("t")))), lambda i: i["t"]), "")
-    out = items.groupBy(*keys, "line").agg(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), F.min("x").alias("x"), F.max("y").alias("y"), F.sum("_chars").alias("chars"), F.min("bold").alias("bold"))
-    return out.join(weight, [*keys, "line"])
+    # The items of a line are few, so what a line says of them is told from one array, and a page's items are put in order once.
+    held = F.sort_array(F.collect_list(F.struct("x", "y", "text", "width", "size")))
+    out = items.groupBy(*keys, "line").agg(held.alias("_held"), F.min("x").alias("x"), F.max("y").alias("y"), F.sum(F.length("text")).alias("chars"), F.min("bold").alias("bold"))
+
+    def said(item: Column, i: Column) -> Column:
+        before = F.get("_held", i - 1)
+        gap, size = item["x"] - (before["x"] + before["width"]), F.greatest(item["size"], before["size"])
+        return F.concat(F.when(gap > size * 2, " | ").when(gap > size * 0.12, " ").otherwise(""), item["text"])
+
+    sizes = F.array_distinct(F.transform("_held", lambda i: F.round(i["size"], 1)))
+    chars = lambda s: F.aggregate(F.filter("_held", lambda i: F.round(i["size"], 1).eqNullSafe(s)), F.lit(None).cast("long"), lambda n, i: F.coalesce(n + F.length(i["text"]), n, F.length(i["text"])))
+    most = F.array_max(F.transform(sizes, lambda s: F.struct(chars(s).alias("w"), s.alias("size"))))["size"]
+    text = F.array_join(F.transform("_held", said), "")
+    return out.select(*keys, "line", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), "x", "y", "chars", "bold", most.alias("size"))
 
 
 def without_running_heads(found: DataFrame, pages: DataFrame) -> DataFrame:

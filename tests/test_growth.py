@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import aliases, bucket_links, chunking, graph_index, knowledge, postings, validation
+from lodestone.operators import aliases, bucket_links, chunking, graph_index, knowledge, layout, postings, validation
 from lodestone.shared import save
 
 
@@ -114,3 +114,17 @@ def test_chunks_are_dealt_by_document(spark, monkeypatch):
     steps = [r for r in found if r["kind"] == "procedure"]
     assert [(r["text"], r["has_warning"], r["step_count"], r["page_from"], r["page_to"]) for r in steps] == [("T › Head\nWARNING: hot\n\n1. turn it", True, 1, 0, 1)]
     assert {r["part"] for r in found if r["kind"] == "list"} == {f"{i}/4" for i in (1, 2, 3, 4)} and sum(r["kind"] == "table" for r in found) == 3
+
+
+def exchanges(df):
+    """Shuffles and sorts of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"\bExchange ", plan)), len(re.findall(r"\bSort ", plan))
+
+
+def test_lines_are_made_of_one_order(spark):
+    items = [(1, "b", 20.0, 100.0, 5.0, 10.0, True), (1, "a", 0.0, 101.0, 10.0, 10.0, True), (1, "c", 60.0, 100.0, 5.0, 9.0, False), (1, "dd", 0.0, 80.0, 5.0, None, None), (1, None, 5.0, 80.0, 5.0, 8.0, True), (2, "e", 1.0, 1.0, 1.0, 8.04, True), (2, "f", 2.0, 1.0, 1.0, 8.0, True)]
+    out = layout.lines(spark.createDataFrame(items, "page long, text string, x double, y double, width double, size double, bold boolean"), ["page"])
+    rows = [tuple(r[c] for c in ("page", "line", "text", "x", "y", "size", "chars", "bold")) for r in out.orderBy("page", "line").collect()]
+    assert rows == [(1, 1, "a b | c", 0.0, 101.0, 10.0, 3, False), (1, 2, "dd", 0.0, 80.0, None, 2, True), (2, 1, "ef", 1.0, 1.0, 8.0, 2, True)]
+    assert exchanges(out) == (1, 1)
