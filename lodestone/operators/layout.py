@@ -178,9 +178,11 @@ def demote(found: DataFrame, pitch: float) -> DataFrame:
     weak = (F.col("type") == "heading") & F.col("basis").isin("caps", "bold") & ~F.coalesce(prose, F.lit(False))
     out = found.withColumn("type", F.when(weak, "text").otherwise(F.col("type")))
     same = (F.lag("type").over(w) == "heading") & (F.lag("page").over(w) == F.col("page")) & (F.lag("region").over(w) == F.col("region")) & (F.abs(F.lag("size").over(w) - F.col("size")) < 0.05) & (F.col("type") == "heading")
-    out = out.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count("*").over(Window.partitionBy("doc_id", "_run"))
-    return out.withColumn("type", F.when((F.col("type") == "heading") & (size >= 3), "text").otherwise(F.col("type"))).drop("_new", "_run")
+    # A row is one of three or more if two rows side by side, among it and its neighbours, go on with those before them.
+    out = out.withColumn("_same", F.coalesce(same, F.lit(False)))
+    at = lambda n: F.coalesce(F.lead("_same", n).over(w), F.lit(False))
+    long = (F.col("_same") & F.coalesce(F.lag("_same").over(w), F.lit(False))) | (F.col("_same") & at(1)) | (at(1) & at(2))
+    return out.withColumn("type", F.when((F.col("type") == "heading") & long, "text").otherwise(F.col("type"))).drop("_same")
 
 
 def blocks(found: DataFrame, pitch: float) -> DataFrame:
@@ -197,9 +199,8 @@ def blocks(found: DataFrame, pitch: float) -> DataFrame:
     broke = ~F.coalesce((F.lag("page").over(w) == F.col("page")) & (F.lag("region").over(w) == F.col("region")) & (F.lag("y").over(w) - F.col("y") <= pitch * 1.55), F.lit(False))
     out = found.withColumn("broke", broke)
     # A callout holds whatever comes before the next break, but for captions and callouts.
-    out = out.withColumn("_open", F.sum(F.when(F.col("broke") | F.col("type").isin("callout", "caption"), 1).otherwise(0)).over(upto))
-    head = Window.partitionBy("doc_id", "_open").orderBy("pos")
-    inside = (F.first("type").over(head) == "callout") & ~F.col("type").isin("callout", "caption")
+    opens = F.col("broke") | F.col("type").isin("callout", "caption")
+    inside = (F.last(F.when(opens, F.col("type")), ignorenulls=True).over(upto) == "callout") & ~F.col("type").isin("callout", "caption")
     out = out.withColumn("role", F.when(inside, "text").otherwise(F.col("type")))
     # The number of the last item, captions aside, tells whether a list goes on.
     other = F.when(F.col("role") != "caption", F.struct("role", "number", "basis", "pos"))

@@ -128,3 +128,15 @@ def test_lines_are_made_of_one_order(spark):
     rows = [tuple(r[c] for c in ("page", "line", "text", "x", "y", "size", "chars", "bold")) for r in out.orderBy("page", "line").collect()]
     assert rows == [(1, 1, "a b | c", 0.0, 101.0, 10.0, 3, False), (1, 2, "dd", 0.0, 80.0, None, 2, True), (2, 1, "ef", 1.0, 1.0, 8.0, 2, True)]
     assert exchanges(out) == (1, 1)
+
+
+def test_blocks_put_lines_in_order_twice(spark):
+    kinds = [("heading", "caps")] * 2 + [("text", None)] + [("heading", "size")] * 3 + [("callout", None), ("item", "num"), ("text", None), ("caption", None), ("heading", "size"), ("heading", "size")]
+    rows = [(d, i, 0, "0", 700.0 - 14 * i, 9.0, f"text number {i} goes on and on", t, b, False, 1 if b == "num" else None, f"text number {i}", None) for d in (1, 2) for i, (t, b) in enumerate(kinds)]
+    found = spark.createDataFrame(rows, "doc_id long, pos int, page int, region string, y double, size double, text string, type string, basis string, bold boolean, number int, rest string, callout_kind string")
+    out = layout.demote(found, 14.0)
+    assert [r["type"] for r in out.where("doc_id = 1").orderBy("pos").collect()] == ["text", "heading", "text", "text", "text", "text", "callout", "item", "text", "caption", "heading", "heading"]
+    assert exchanges(out) == (1, 1)
+    made = layout.blocks(out, 14.0)
+    assert [(r["pos"], r["type"]) for r in made.where("doc_id = 2").orderBy("pos").collect()] == [(0, "paragraph"), (1, "heading"), (2, "paragraph"), (6, "callout"), (9, "caption"), (10, "heading")]
+    assert exchanges(made)[0] == 1
