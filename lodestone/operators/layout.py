@@ -53,22 +53,38 @@ GUTTER, GUTTER_SHARE, BAND_POINTS, BAND_SIZES, FEWEST, FEWEST_BESIDE = 12.0, 0.0
 
 
 def _cuts(items: DataFrame, key: list[str]) -> DataFrame:
-    """Where each region is cut, if it is: key, at_x, at_y."""
-    sizes = F.sort_array(F.collect_list("size"))
-    of = items.groupBy(*key).agg(F.count("*").alias("n"), F.element_at(sizes, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("mid"), F.first("_wide").alias("_wide")).where(F.col("n") >= FEWEST)
-    middle, gap = (F.col("gap_from") + F.col("gap_to")) / 2, F.col("gap_to") - F.col("gap_from")
-    widest = F.max_by("at", F.struct("gap", -F.col("at")))
-    across = gaps(items, key, "x", "width").select(*key, middle.alias("at"), gap.alias("gap")).distinct().join(of, key)
-    across = across.where(F.col("gap") >= F.greatest(F.lit(GUTTER), F.col("_wide") * GUTTER_SHARE))
+    """``items`` with at_x and at_y, where each one's region is cut, if it is.
+
+    All is told by windows over a region, so its items are dealt once.
+    """
+    whole = Window.partitionBy(*key)
+    named = F.lit(True)
+    for k in key:
+        named = named & F.col(k).isNotNull()
+    # The size in the middle.
+    by_size = whole.orderBy(F.asc_nulls_last("size"))
+    out = items.withColumns({"_n": F.when(named, F.count("*").over(whole)), "_place": F.row_number().over(by_size)})
+    out = out.withColumn("_mid", F.max(F.when(F.col("_place") == F.floor(F.col("_n") / 2) + 1, F.col("size"))).over(whole)).drop("_place")
+
+    def gap(start: Column, size: Column) -> tuple[Column, Column]:
+        reach = F.max(start + size).over(whole.orderBy(start, size).rowsBetween(Window.unboundedPreceding, -1))
+        return (reach + start) / 2, F.when(reach < start, start - reach)
+
+    def widest(fits: Column) -> Column:
+        """The cut of the widest gap, the first of equal ones."""
+        return -F.max(F.when(fits & (F.col("_n") >= FEWEST), F.struct("_gap", (-F.col("_at")).alias("at")))).over(whole)["at"]
+
+    at, wide = gap(F.col("x"), F.col("width"))
+    centre = F.col("x") + F.col("width") / 2
+    out = out.withColumns({"_at": at, "_gap": wide, "_centres": F.collect_list(centre).over(whole)})
+    gutter = F.col("_gap") >= F.greatest(F.lit(GUTTER), F.col("_wide") * GUTTER_SHARE)
     # A page is so wide that it has few gutters, each of which meets the page's items.
-    centres = items.select(*key, (F.col("x") + F.col("width") / 2).alias("centre"))
-    before = F.count(F.when(F.col("centre") < F.col("at"), 1))
-    across = across.join(centres, key).groupBy(*key, "at", "gap", "n").agg(before.alias("before"))
-    gutter = across.where((F.col("before") >= FEWEST_BESIDE) & (F.col("n") - F.col("before") >= FEWEST_BESIDE)).groupBy(*key).agg(widest.alias("at_x"))
-    tall = items.withColumns({"_low": F.col("y") - F.col("size") * 0.25, "_tall": F.col("size") * 1.25})
-    down = gaps(tall, key, "_low", "_tall").select(*key, middle.alias("at"), gap.alias("gap")).join(of, key)
-    band = down.where(F.col("gap") >= F.greatest(F.lit(BAND_POINTS), F.col("mid") * BAND_SIZES)).groupBy(*key).agg(widest.alias("at_y"))
-    return of.select(*key).join(gutter, key, "left").join(band, key, "left").where("at_x IS NOT NULL OR at_y IS NOT NULL")
+    out = out.withColumn("_before", F.when(gutter, F.size(F.filter("_centres", lambda c: c < F.col("_at"))))).drop("_centres")
+    out = out.withColumn("at_x", widest(gutter & (F.col("_before") >= FEWEST_BESIDE) & (F.col("_n") - F.col("_before") >= FEWEST_BESIDE)))
+    at, wide = gap(F.col("y") - F.col("size") * 0.25, F.col("size") * 1.25)
+    out = out.withColumns({"_at": at, "_gap": wide})
+    out = out.withColumn("at_y", widest(F.col("_gap") >= F.greatest(F.lit(BAND_POINTS), F.col("_mid") * BAND_SIZES)))
+    return out.drop("_n", "_mid", "_at", "_gap", "_before")
 
 
 def regions(items: DataFrame, keys: list[str] | None = None, page_width: Column | None = None) -> DataFrame:
@@ -86,7 +102,7 @@ def regions(items: DataFrame, keys: list[str] | None = None, page_width: Column
     key = [*keys, "region"]
     open_items, closed = items.withColumns({"region": F.lit(""), "_wide": wide}), []
     while True:
-        met = open_items.join(_cuts(open_items, key), key, "left")
+        met = _cuts(open_items, key)
         later = F.when(F.col("at_x").isNotNull(), F.col("x") + F.col("width") / 2 >= F.col("at_x")).when(F.col("at_y").isNotNull(), F.col("y") < F.col("at_y"))
         met = save(met.withColumn("_later", later).drop("at_x", "at_y"), "regions")
         closed.append(met.where("_later IS NULL").drop("_later", "_wide"))

@@ -140,3 +140,12 @@ def test_blocks_put_lines_in_order_twice(spark):
     made = layout.blocks(out, 14.0)
     assert [(r["pos"], r["type"]) for r in made.where("doc_id = 2").orderBy("pos").collect()] == [(0, "paragraph"), (1, "heading"), (2, "paragraph"), (6, "callout"), (9, "caption"), (10, "heading")]
     assert exchanges(made)[0] == 1
+
+
+def test_regions_are_dealt_once_a_round(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(layout, "save", lambda df, label, *more: (plans.append(exchanges(df)[0]), save(df, label, *more))[1])
+    items = [(p, 100.0 * (i % 2), 20.0 * i, 30.0, 10.0) for p in (1, None) for i in range(8)]
+    out = layout.regions(spark.createDataFrame(items, "page long, x double, y double, width double, size double"), page_width=F.lit(130.0))
+    assert {(r["page"], r["region"], r["count"]) for r in out.groupBy("page", "region").count().collect()} == {(1, "0", 4), (1, "1", 4), (None, "", 8)}
+    assert set(plans) == {1}
