@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import save
+
 COMBO = ["make", "year", "model"]
 KEY = [*COMBO, "recnum"]
 #: Marks of levels without anything below them, and of finished ones; states of vehicles. Fixed values.
@@ -29,16 +31,19 @@ def resume(makes: DataFrame, years: DataFrame, models: DataFrame, keys: DataFram
     todo = models.select(*COMBO).distinct().join(seen, COMBO, "left_anti")
     keyless = todo.join(keys, COMBO, "left_anti")
     recorded = vehicles.where((F.col("status") != ERROR) & F.col("recnum").isNotNull()).select(*KEY)
-    wanted = keys.join(todo, COMBO, "left_semi").dropDuplicates(KEY).join(recorded, KEY, "left_anti")
+    # Dealt before repeats go, so that no task sorts all keys of a part of a file to find that few repeat.
+    wanted = keys.join(todo, COMBO, "left_semi").repartition(*KEY).dropDuplicates(KEY).join(recorded, KEY, "left_anti")
     problem = F.when(F.col("problem").isNotNull() | F.col("wires").isNull(), F.coalesce("problem", F.lit("no page")))
     fetched = wanted.join(pages.select(*KEY, "wires", "problem"), KEY, "left").withColumn("problem", problem)
     status = F.when(F.col("problem").isNotNull(), ERROR).when(F.col("wires") == 0, NO_TABLE).otherwise(OK)
-    fetched = fetched.select(*KEY, "key_type", status.alias("status"), "problem")
+    # Both ledgers and the next run read what was fetched, so it is written once.
+    fetched = save(fetched.select(*KEY, "key_type", status.alias("status"), "problem"), "fetched")
     failed = fetched.where(F.col("status") == ERROR).select(*COMBO)
     done = todo.join(keys, COMBO, "left_semi").join(failed, COMBO, "left_anti").withColumn("state", F.lit(DONE))
     fresh = bare.unionByName(hollow).join(seen, COMBO, "left_anti").unionByName(done).unionByName(keyless.withColumn("state", F.lit(NO_KEYS)))
     without = keyless.select(*COMBO, F.lit(None).cast("string").alias("recnum"), F.lit(None).cast("string").alias("key_type"), F.lit(NO_KEY_TYPES).alias("status"), F.lit(None).cast("string").alias("problem"))
-    kept = vehicles.join(fetched.select(*KEY), KEY, "left_anti")
+    # A file's size says little of its rows in memory, so they are not broadcast.
+    kept = vehicles.join(fetched.select(*KEY).hint("merge"), KEY, "left_anti")
     return marks.unionByName(fresh), kept.select(without.columns).unionByName(fetched).unionByName(without)
 
 

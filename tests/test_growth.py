@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import aliases, bucket_links, chunking, graph_index, knowledge, layout, postings, validation
+from lodestone.operators import aliases, bucket_links, chunking, crawl, graph_index, knowledge, layout, postings, validation
 from lodestone.shared import save
 
 
@@ -149,3 +149,19 @@ def test_regions_are_dealt_once_a_round(spark, monkeypatch):
     out = layout.regions(spark.createDataFrame(items, "page long, x double, y double, width double, size double"), page_width=F.lit(130.0))
     assert {(r["page"], r["region"], r["count"]) for r in out.groupBy("page", "region").count().collect()} == {(1, "0", 4), (1, "1", 4), (None, "", 8)}
     assert set(plans) == {1}
+
+
+def test_a_run_of_the_crawl_is_written_once(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(crawl, "save", lambda df, label, *more: saved.append((label, save(df, label, *more))) or saved[-1][1])
+    table = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    keys = table([("A", "1", "m", str(i), "k") for i in range(3)], "make year model recnum key_type")
+    pages = spark.createDataFrame([("A", "1", "m", "0", 0, None), ("A", "1", "m", "1", 3, None), ("A", "1", "m", "2", None, "late")], "make string, year string, model string, recnum string, wires int, problem string")
+    levels = table([("A",)], "make"), table([("A", "1")], "make year"), table([("A", "1", "m")], "make year model"), keys
+    marks, vehicles = crawl.resume(*levels, pages, table([], "make year model state"), table([], "make year model recnum key_type status problem"))
+    assert [(n, df.count()) for n, df in saved] == [("fetched", 3)] and marks.count() == 0
+    assert sorted((r["recnum"], r["status"], r["problem"]) for r in vehicles.collect()) == [("0", "no wire table", None), ("1", "ok", None), ("2", "error", "late")]
+    fixed = pages.withColumns({"wires": F.lit(3), "problem": F.lit(None).cast("string")})
+    marks, vehicles = crawl.resume(*levels, fixed, marks, vehicles)
+    assert [(r["make"], r["state"]) for r in marks.collect()] == [("A", "done")]
+    assert sorted((r["recnum"], r["status"]) for r in vehicles.collect()) == [("0", "no wire table"), ("1", "ok"), ("2", "ok")]
