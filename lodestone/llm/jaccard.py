@@ -60,7 +60,7 @@ def _in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _bitmap(found: np.ndarray) -> np.ndarray:
+def bitmap(found: np.ndarray) -> np.ndarray:
     """Parities of the set's members by hash, four bits a member at least; two bitmaps differ in no more bits than two sets in members."""
     bits = 128
     while bits < 4 * len(found):
@@ -103,7 +103,7 @@ def _sets(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFra
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 front.append(_front(s, percent, held.value) if len(s) else s)
-                bits.append(_bitmap(s))
+                bits.append(bitmap(s))
             lists = [_lists(x) for x in (front, bits)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *lists], names=["id", "fp", "n", "sig", "front", "bits"])
 
@@ -139,6 +139,11 @@ def _unlike(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
+def _most_unlike(total: Column, percent: int) -> Column:
+    """Members in which two similar sets of ``total`` members together differ at most: all but twice the overlap."""
+    return total - 2 * F.ceil(total * percent / (100 + percent))
+
+
 def _links(pairs: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], bits: DataFrame | None) -> DataFrame:
     """The pairs (sig, n, sig2, n2) that are similar, as (a, b): bitmaps first, if there are any, then exact overlaps by fragment."""
     swap = F.col("sig") > F.col("sig2")
@@ -148,9 +153,7 @@ def _links(pairs: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFram
     if bits is not None:
         left, right = (bits.select(F.col("sig").alias(c), F.col("bits").alias(f"bits{c}")) for c in "ab")
         pairs = pairs.join(left, "a").join(right, "b")
-        # Similar sets differ in total - 2 * overlap members at most.
-        most = total - 2 * F.ceil(total * percent / (100 + percent))
-        pairs = pairs.where(_unlike(F.col("bitsa"), F.col("bitsb")) <= most)
+        pairs = pairs.where(_unlike(F.col("bitsa"), F.col("bitsb")) <= _most_unlike(total, percent))
     pairs = save(pairs.select("a", "b", "na", "nb"), "pairs")
     segments = fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
     left = pairs.join(segments.withColumnsRenamed({"sig": "a", "part": "part_a"}), "a")
@@ -189,17 +192,23 @@ def segments_of(texts: DataFrame, width: int, hot: np.ndarray, edges: np.ndarray
 
 
 def shared_posts(posts: DataFrame) -> DataFrame:
-    """The posts whose gram several nodes have, with the node that has it nearest to its front (sig2, n2, pos2); one shuffle for both."""
+    """The posts whose gram several nodes have, with the node that has it nearest to its front (sig2, n2, pos2); one shuffle for both. Bitmaps in ``bits`` stay beside them."""
     of = Window.partitionBy("gram")
     hub = F.min(F.struct("pos", "n", "sig")).over(of)
     met = posts.withColumns({"hub": hub, "c": F.count("*").over(of)}).where("c > 1")
-    return save(met.select("gram", "sig", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("sig", "n", "pos")]), "posts")
+    return save(met.select("gram", "sig", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("sig", "n", "pos")], *_own_bits(posts)), "posts")
+
+
+def _own_bits(posts: DataFrame) -> list[str]:
+    return [c for c in posts.columns if c == "bits"]
 
 
 def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], bits: DataFrame | None = None) -> DataFrame:
     """``node``, ``root`` for the nodes (sig) that links reach; ``posts`` as :func:`shared_posts` gives them propose the pairs.
 
-    ``fetch`` gives the segments of nodes (sig) that it is asked for. ``bits``: sig and bitmap of all nodes.
+    ``fetch`` gives the segments of nodes (sig) that it is asked for. ``bits``: sig and bitmap of all nodes. Where sets are
+    small, posts may have bitmaps themselves (``bits``): then unlike nodes that share a gram are told apart where they
+    meet, and their pairs, which can be the square of a gram's nodes, are never rows.
     """
     # Every node against one of its n-grams' hubs, which is enough for most of a group of near copies;
     # then against the others, where that left the two apart.
@@ -218,14 +227,16 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
         roots = save(components(links), "roots")
 
     # Then whatever is still apart: nodes outside the hub's component against all nodes outside their own.
-    placed = posts.select("gram", "sig", "n", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = posts.drop("sig2", "n2", "pos2").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of = Window.partitionBy("gram")
     main = F.min(F.struct("pos", "n", "sig", "root")).over(of)
     placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of)}).where("lo != hi")
-    open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main")), "open-posts")
-    strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
+    own = _own_bits(posts)
+    open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main"), *own), "open-posts")
+    strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root", *own)])
     apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
-    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent)), percent, fetch, bits)
+    alike = _unlike(F.col("bits"), F.col("bits2")) <= _most_unlike(F.col("n") + F.col("n2"), percent) if own else F.lit(True)
+    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent) & alike), percent, fetch, bits)
     drop_saved(open_posts)
     if more.isEmpty():
         return roots

@@ -17,19 +17,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import drop_saved, inner, join_keys, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
+from lodestone.llm._common import BROADCAST_ROWS, drop_saved, inner, packed, row_udf, same_document, save, slices, table, text_bytes, unpacked
 from lodestone.llm._release import release
-from lodestone.llm.jaccard import linked_components, segments_of, shared_posts
-from lodestone.llm.shingles import cut_words, mix, shingles
+from lodestone.llm.jaccard import bitmap, linked_components, shared_posts
+from lodestone.llm.shingles import Words, mix, pieces
 
 #: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed. Paragraphs are
 #: short, so unlike ones seldom share a shingle, while every band is a row to shuffle for each paragraph.
 ROWS = 1
-#: Sets that are hashed at once.
-SETS = 4096
 
 
 def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
@@ -39,9 +37,13 @@ def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
 
 def bands_of(sets: list[np.ndarray], n_bands: int, rows: int = ROWS) -> np.ndarray:
     """For each set of shingles (none empty) one hash for each band; the band's number is part of it."""
-    flat = np.concatenate(sets).view(np.uint64)
-    at = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.tile(np.arange(n_bands, dtype=np.uint64), (len(sets), 1))
+    return _bands(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), n_bands, rows)
+
+
+def _bands(flat: np.ndarray, at: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """:func:`bands_of` of sets that stand in ``flat`` one behind another, each from its place in ``at``."""
+    flat = flat.view(np.uint64)
+    out = np.tile(np.arange(n_bands, dtype=np.uint64), (len(at), 1))
     k = np.arange(1, n_bands * rows + 1, dtype=np.uint64)
     turn, odd = mix(k), mix(k + np.uint64(1 << 32)) | np.uint64(1)
     for r in range(rows):
@@ -52,28 +54,23 @@ def bands_of(sets: list[np.ndarray], n_bands: int, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
-def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
-    """Start, stop and following start in bytes of each paragraph; the last one of a line is followed by its own stop.
-
-    Consecutive lines of fewer than ``min_words`` words each, blank ones between them aside, are one line here. A line is cut at a word where the hash of it and the next two is less than at the
-    ``min_words`` - 1 words before and not more than at as many after, all in the line, and both
-    parts keep ``min_words`` words. A line of fewer words has no paragraph.
-    """
-    hashes, starts, stops = cut_words(text, 3)
-    n, reach = len(starts), min_words - 1
-    if n < min_words:
-        return []
-    raw = np.frombuffer(text, np.uint8)
-    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+def _cut(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last one (not included) and following byte of each paragraph of some texts, as :func:`paragraphs` tells them."""
+    n, reach, starts = len(words.starts), min_words - 1, words.starts
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    line = np.searchsorted(words.lines, starts)
     new = np.concatenate([[True], line[1:] != line[:-1]])
     first = np.flatnonzero(new)
     short = np.diff(np.append(first, n)) < min_words
-    new[first[1:][short[1:] & short[:-1]]] = False
+    text = words.text[first]
+    new[first[1:][short[1:] & short[:-1] & (text[1:] == text[:-1])]] = False
     first = np.flatnonzero(new)
     rank = np.cumsum(new) - 1
     begin, end = first[rank], np.append(first[1:], n)[rank]
     word, most = np.arange(n), np.uint64((1 << 64) - 1)
     own = np.full(n, most)
+    hashes = words.runs(3)
     own[: len(hashes)] = hashes
     own[word + 3 > end] = most
     cut = np.zeros(n, bool)
@@ -82,7 +79,7 @@ def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
         slot = word + reach * (rank + 1)
         spread = np.full(n + reach * (len(first) + 2), most)
         spread[slot] = own
-        least = np.lib.stride_tricks.sliding_window_view(spread, reach).min(axis=1)
+        least = _least_of(spread, reach)
         cut = (own < least[slot - reach]) & (own <= least[slot + 1])
     else:
         cut[:] = True
@@ -90,23 +87,57 @@ def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
     at = np.flatnonzero(cut | new)
     to = np.append(at[1:], n)
     inside = np.append(~new[at[1:]], False)
-    follow = np.where(inside, starts[np.minimum(to, n - 1)], stops[to - 1])
+    follow = np.where(inside, starts[np.minimum(to, n - 1)], words.stops[to - 1])
     long = to - at >= min_words
-    return list(zip(starts[at][long].tolist(), stops[to - 1][long].tolist(), follow[long].tolist(), strict=True))
+    return at[long], to[long], follow[long]
 
 
-def _each(make: Callable[[pa.RecordBatch, pa.Array, list[int], list[bytes]], pa.RecordBatch], min_words: int) -> Callable:
-    """For mapInArrow over rows with ``text``: ``make`` gets a few rows, and the rows, numbers and bytes of their paragraphs."""
+def _least_of(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each ``reach`` values in a row."""
+    n, have = len(values) - reach + 1, 1
+    while have < reach:
+        step = min(have, reach - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values[:n]
+
+
+def paragraphs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
+    """Start, stop and following start in bytes of each paragraph; the last one of a line is followed by its own stop.
+
+    Consecutive lines of fewer than ``min_words`` words each, blank ones between them aside, are one line here. A line is cut at a word where the hash of it and the next two is less than at the
+    ``min_words`` - 1 words before and not more than at as many after, all in the line, and both
+    parts keep ``min_words`` words. A line of fewer words has no paragraph.
+    """
+    return paragraphs_of([text], min_words)[0]
+
+
+def paragraphs_of(texts: list[bytes], min_words: int) -> list[list[tuple[int, int, int]]]:
+    """:func:`paragraphs` of several texts, which are cut at once."""
+    out = []
+    for lo, hi in pieces(texts):
+        words = Words(texts[lo:hi])
+        at, to, follow = _cut(words, min_words)
+        of = words.text[at]
+        base = words.places[of]
+        found = list(zip((words.starts[at] - base).tolist(), (words.stops[to - 1] - base).tolist(), (follow - base).tolist(), strict=True))
+        ends = np.searchsorted(of, np.arange(hi - lo + 1)).tolist()
+        out += [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
+def _each(make: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], min_words: int, width: int) -> Callable:
+    """For mapInArrow over rows with ``text``: ``make`` gets a few rows; and of their paragraphs the rows, the numbers, all shingles, and where each one's start."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, pos, lines = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, (start, stop, _) in enumerate(paragraphs(text, min_words)):
-                    at.append(i)
-                    pos.append(k)
-                    lines.append(text[start:stop])
-            yield make(batch, pa.array(at, pa.int64()), pos, lines)
+            texts = batch.column("text").to_pylist()
+            for lo, hi in pieces(texts):
+                words = Words(texts[lo:hi])
+                at, to, _ = _cut(words, min_words)
+                if len(at):
+                    of = words.text[at]
+                    yield make(batch.slice(lo, hi - lo), of, np.arange(len(of)) - np.searchsorted(of, of), *words.sets(at, to, width))
 
     return mapped
 
@@ -139,55 +170,80 @@ def dedup_paragraphs(
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("fp"), text_bytes(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
-    def describe(batch: pa.RecordBatch, take: pa.Array, pos: list[int], lines: list[bytes]) -> pa.RecordBatch:
-        sets = list(shingles(lines, width))
-        n, sig = [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        bands = [bands_of(sets[i : i + SETS], n_bands).ravel() for i in range(0, len(sets), SETS)] or [np.empty(0, np.int64)]
-        ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands)
-        columns = [batch.column("id").take(take), batch.column("fp").take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))]
+    def describe(batch: pa.RecordBatch, of: np.ndarray, pos: np.ndarray, flat: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(at, len(flat))
+        held, ends = memoryview(flat.tobytes()), ends.tolist()
+        sig = [xxhash.xxh3_128_digest(held[8 * a : 8 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n_bands), pa.array(_bands(flat, at, n_bands).ravel()))
+        take = pa.array(of)
+        columns = [batch.column("id").take(take), batch.column("fp").take(take), pa.array(pos.astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.array(sig, pa.binary()), bands]
         return pa.RecordBatch.from_arrays(columns, names=["id", "fp", "pos", "n", "sig", "bands"])
 
     # Equal sets are one node, which the first paragraph with it stands for.
-    found = source.mapInArrow(_each(describe, min_words), f"id {kind}, fp long, pos int, n int, sig binary, bands array<long>")
+    found = source.mapInArrow(_each(describe, min_words, width), f"id {kind}, fp long, pos int, n int, sig binary, bands array<long>")
     found = save(found, "paragraphs")
     place = F.struct(F.isnull("id").alias("late"), "id", "fp", "pos")
     nodes = found.groupBy("sig").agg(F.first("n").alias("n"), F.min(place).alias("first"), F.count("*").alias("c"), F.first("bands").alias("bands"))
     nodes = save(nodes, "paragraph-nodes")
     release(spark)
-
-    # One shuffle by band, for nodes alone; those that share a band are cut out of their texts, once.
-    posts = shared_posts(nodes.select("sig", "n", F.lit(0).alias("pos"), F.explode("bands").alias("gram")))
-    release(spark)
     narrow = save(found.select("id", "fp", "pos", "sig"), "paragraph-places")
     drop_saved(found)
-    wanted = posts.select("sig").distinct().join(nodes.select("sig", "first"), "sig")
-    wanted = wanted.groupBy(F.col("first.id").alias("rid"), F.col("first.fp").alias("rfp")).agg(F.collect_list(F.struct("first.pos", "sig")).alias("wanted"))
 
-    def pick(batch: pa.RecordBatch, take: pa.Array, pos: list[int], lines: list[bytes]) -> pa.RecordBatch:
-        sigs = [{w["pos"]: w["sig"] for w in row} for row in batch.column("wanted").to_pylist()]
-        chosen = [(sigs[i][k], line) for i, k, line in zip(take.to_pylist(), pos, lines, strict=True) if k in sigs[i]]
-        return pa.RecordBatch.from_arrays([pa.array([c[j] for c in chosen], pa.binary()) for j in (0, 1)], names=["sig", "text"])
+    # One shuffle by band, for nodes alone and of nothing but their names; of those that share a band the rest is fetched.
+    bands = nodes.select(F.explode("bands").alias("gram"), F.xxhash64("sig").alias("name"))
+    shared = save(bands.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "name"), "paragraph-bands")
+    release(spark)
+    named = shared.select("name").distinct()
+    named = save(nodes.select(F.xxhash64("sig").alias("name"), "sig", "n", "first").join(_sent(named), "name", "left_semi"), "near-nodes")
+    release(spark)
+    # What shares a band is cut out of its text, once.
+    wanted = named.groupBy(F.col("first.id").alias("rid"), F.col("first.fp").alias("rfp")).agg(F.collect_list(F.struct("first.pos", "sig")).alias("wanted"))
 
-    cut = source.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("wanted", "text").mapInArrow(_each(pick, min_words), "sig binary, text binary")
-    segments = segments_of(cut, width, np.empty(0, np.int64), np.empty(0, np.int64))
+    def pick(batch: pa.RecordBatch, of: np.ndarray, pos: np.ndarray, flat: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        sigs = [{w["pos"]: w["sig"] for w in row} for row in batch.column("wanted").to_pylist()]
+        ends, sig, parts, bits = np.append(at, len(flat)).tolist(), [], [], []
+        for i, (row, k) in enumerate(zip(of.tolist(), pos.tolist(), strict=True)):
+            if k in sigs[row]:
+                sig.append(sigs[row][k])
+                parts.append(flat[ends[i] : ends[i + 1]])
+                bits.append(bitmap(parts[-1]))
+        columns = [pa.array(sig, pa.binary()), pa.array(np.zeros(len(sig), np.int32)), pa.array(parts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["sig", "fragment", "part", "bits"])
+
+    cut = source.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("wanted", "text")
+    # A row that repeats a document gives its parts again.
+    segments = save(cut.mapInArrow(_each(pick, min_words, width), "sig binary, fragment int, part array<long>, bits array<long>").dropDuplicates(["sig", "fragment"]), "segments")
+    release(spark)
+    known = segments.select(F.xxhash64("sig").alias("name"), "sig", F.size("part").alias("n"), "bits")
+    posts = shared_posts(shared.join(_sent(known), "name").select("sig", "n", F.lit(0).alias("pos"), "gram", "bits"))
+    for used in (shared, named):
+        drop_saved(used)
     release(spark)
-    roots = linked_components(posts, percent, lambda needed: segments)
+    parts = segments.drop("bits")
+    roots = linked_components(posts, percent, lambda needed: parts)
     for used in (posts, segments):
         drop_saved(used)
     release(spark)
 
     # The first paragraph of each component, and of each set that occurs more than once without links.
-    linked = nodes.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig")
+    linked = nodes.select("sig", "first").join(_sent(roots.withColumnRenamed("node", "sig")), "sig")
     least = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    alone = nodes.where("c > 1").join(roots.select(F.col("node").alias("sig")), "sig", "left_anti")
+    alone = nodes.where("c > 1").join(_sent(roots.select(F.col("node").alias("sig"))), "sig", "left_anti")
     stays = save(linked.join(least, "root").select("sig", "stays").unionByName(alone.select("sig", F.col("first").alias("stays"))), "paragraph-stays")
     for used in (nodes, roots):
         drop_saved(used)
+    release(spark)
     # A document's own lines meet in one list, no more.
-    gone = join_keys(narrow, stays, ["sig"], ["id", "fp", "pos"]).where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
+    gone = narrow.join(_sent(stays), "sig").where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
+    gone = save(gone, "paragraphs-gone")
+    for used in (narrow, stays):
+        drop_saved(used)
+    release(spark)
 
     def strip(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        rows = [strip_paragraphs(t.as_py(), set(g.as_py() or ()), min_words) for t, g in zip(texts, gone, strict=True)]
+        texts = texts.to_pylist()
+        cut = paragraphs_of(texts, min_words)
+        rows = [strip_paragraphs(t, set(g or ()), found) for t, g, found in zip(texts, gone.to_pylist(), cut, strict=True)]
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_paragraphs", pa.int64()), ("n_dropped", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("text", pa.string())]))
 
     stripped = row_udf(strip, "n_bytes long, n_paragraphs long, n_dropped long, spans array<struct<start: long, stop: long>>, text string")
@@ -197,9 +253,14 @@ def dedup_paragraphs(
     return unpacked(out, docs.columns, **new, **{text_col: F.col("done.text")})
 
 
-def strip_paragraphs(text: bytes, gone: set[int], min_words: int) -> dict:
-    """A text without the paragraphs numbered in ``gone``, and what went."""
-    found, left, spans, at = paragraphs(text, min_words), [], [], 0
+def _sent(keys: DataFrame) -> DataFrame:
+    """``keys``, to be sent to all tasks if they are few; else Spark shuffles both sides, and splits the large partitions that one key makes."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def strip_paragraphs(text: bytes, gone: set[int], found: list[tuple[int, int, int]]) -> dict:
+    """A text without those of its paragraphs that are numbered in ``gone``, and what went."""
+    left, spans, at = [], [], 0
     for k in sorted(gone):
         start, _, stop = found[k]
         if spans and spans[-1]["stop"] == start:

@@ -36,8 +36,8 @@ BLOCK = 1 << 16
 _UP, _DOWN = _powers(int(ODD), BLOCK + 1), _powers(pow(int(ODD), -1, 1 << 64), BLOCK + 1)
 
 
-def _words(texts: list[bytes], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and length in bytes of every word, and the number of words before each text and the end.
+def _words(texts: list[bytes], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length in bytes of every word, the number of words before each text and the end, and each word's place in the texts joined by a byte.
 
     Without ``exact``, A-Z are lower-cased. A word's hash is a sum over its letters, each times a power of its place. The sums before all
     borders of words come from blocks of the joined texts, so a long text takes about 12 bytes for each of its own.
@@ -63,7 +63,7 @@ def _words(texts: list[bytes], exact: bool = False) -> tuple[np.ndarray, np.ndar
     lengths = (edges[1::2] - starts).astype(np.uint64)
     hashes = mix((before[1::2] - before[0::2]) * shift[0::2] + lengths)
     text_starts = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, lengths, np.searchsorted(starts, text_starts)
+    return hashes, lengths, np.searchsorted(starts, text_starts), starts - 1
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -72,13 +72,8 @@ def shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     The upper eight bits hold 255 less the shingle's length in bytes, so that long shingles, which
     are rare, sort first. A text with fewer than ``width`` words, but some, has one shingle.
     """
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PIECE):
-            size += len(texts[stop])
-            stop += 1
-        hashes, lengths, cuts = _words(texts[at:stop])
+    for at, stop in pieces(texts):
+        hashes, lengths, cuts, _ = _words(texts[at:stop])
         n = max(len(hashes) - width + 1, 0)
         keys = _key(*_join(hashes, lengths, n, width))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -88,7 +83,6 @@ def shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield _key(*_join(hashes[a:b], lengths[a:b], 1, b - a))
             else:
                 yield np.empty(0, np.int64)
-        at = stop
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -96,12 +90,51 @@ def word_hashes(text: bytes) -> np.ndarray:
     return _words([text], exact=True)[0]
 
 
-def cut_words(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of ``width`` words, A-Z lower-cased, and each word's start and stop in bytes."""
-    space = np.concatenate([[True], _SPACE[np.frombuffer(text, np.uint8)], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    hashes, lengths, _ = _words([text])
-    return _join(hashes, lengths, max(len(hashes) - width + 1, 0), width)[0], edges[0::2], edges[1::2]
+class Words:
+    """The words of several texts: ``hashes`` (A-Z lower-cased) and ``lengths``; ``starts`` and ``stops`` in the texts joined by a byte, ``text`` of each, and each text's place in ``places``."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.hashes, self.lengths, self.cuts, self.starts = _words(texts)
+        self.stops = self.starts + self.lengths.astype(np.int64)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.cuts))
+        self.places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.lines = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hash of each run of ``width`` words, whatever texts they are in."""
+        return _join(self.hashes, self.lengths, max(len(self.hashes) - width + 1, 0), width)[0]
+
+    def sets(self, at: np.ndarray, to: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`shingles` gives them for the words from ``at`` to ``to``, one word or more each: all of them, and where each set starts."""
+        n = np.maximum(to - at - width + 1, 1)
+        keys = _key(*_join(self.hashes, self.lengths, max(len(self.hashes) - width + 1, 0), width))
+        of = np.repeat(np.arange(len(n)), n)
+        flat = np.empty(len(of), np.int64)
+        whole = (to - at >= width)[of]
+        flat[whole] = keys[(np.arange(len(of)) + (at - (np.cumsum(n) - n))[of])[whole]]
+        size = to - at
+        for k in np.unique(size[size < width]).tolist():
+            short = np.flatnonzero(size == k)
+            flat[of.searchsorted(short)] = _key(*_join(self.hashes, self.lengths, len(self.hashes) - k + 1, k))[at[short]]
+        order = np.argsort(flat)
+        # Small numbers are sorted by radix.
+        order = order[np.argsort(of.astype(np.uint16 if len(n) < 1 << 16 else np.int64)[order], kind="stable")]
+        flat, of = flat[order], of[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+        return flat[new], np.searchsorted(of[new], np.arange(len(n)))
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """First and last (not included) of the texts to hash at once, of PIECE bytes at most or one."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PIECE):
+            size += len(texts[stop])
+            stop += 1
+        yield at, stop
+        at = stop
 
 
 def _join(hashes: np.ndarray, lengths: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -505,3 +505,40 @@ def test_paragraphs_against_brute_force(spark):
         assert row["text"].split() == short + [w for x in left for w in x.split()]
         assert row["n_dropped"] == sum((*key, i) in gone for i in range(len(lines))) and row["n_bytes"] == len(text.encode())
         assert sum(len(text.encode()[s["start"] : s["stop"]].split()) for s in row["spans"]) == sum(len(x.split()) for i, x in enumerate(lines) if (*key, i) in gone)
+
+
+def test_paragraphs_of_many_texts_at_once():
+    """Texts that are cut and hashed together have the paragraphs and shingles that each has by itself."""
+    r = random.Random(12)
+    texts = ["\n".join(" ".join(f"W{r.randrange(50)}" for _ in range(r.randrange(14))) for _ in range(r.randrange(6))).encode() for _ in range(300)]
+    texts += [b"", b" \n", b"one two three four\n", b"five six seven eight nine\n\nten"]
+    for min_words in (1, 3, 8):
+        alone = [paragraph_dedup.paragraphs(t, min_words) for t in texts]
+        assert paragraph_dedup.paragraphs_of(texts, min_words) == alone
+        words = shingles.Words(texts)
+        at, to, _ = paragraph_dedup._cut(words, min_words)
+        flat, starts = words.sets(at, to, 5)
+        want = list(shingles.shingles([t[a:b] for t, found in zip(texts, alone, strict=True) for a, b, _ in found], 5))
+        assert [s.tolist() for s in np.split(flat, starts[1:])] == [s.tolist() for s in want]
+
+
+def test_paragraphs_bands_are_shuffled_by_name(spark, monkeypatch):
+    """What is written beside the paragraphs themselves: of bands only those of several nodes, and no key is repeated for each salt."""
+    r = random.Random(13)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    common = say(30)
+    docs = spark.createDataFrame([(i, f"{say(60)}\n{common}") for i in range(60)], "doc_id long, text string")
+    saved = {}
+
+    def save(df, label, *more):
+        out = kept(df, label, *more)
+        saved[label] = (out.columns, out.count())
+        return out
+
+    kept = paragraph_dedup.save
+    monkeypatch.setattr(paragraph_dedup, "save", save)
+    monkeypatch.setattr(paragraph_dedup, "BROADCAST_ROWS", 0, raising=False)
+    out = {x["doc_id"]: x for x in paragraph_dedup.dedup_paragraphs(docs).collect()}
+    assert out[0]["n_dropped"] == 0 and all(out[i]["text"].endswith("\n") and out[i]["n_dropped"] > 0 for i in range(1, 60))
+    columns, n = saved["paragraph-bands"]
+    assert columns == ["gram", "name"] and n < saved["paragraph-nodes"][1]
