@@ -6,7 +6,7 @@ paragraphs inside, whatever stands before and after it. Paragraphs with the same
 shingles are one node; a node's MinHash values are cut into bands, so many that a pair at the
 similarity limit shares one with the wanted recall. Colliding nodes are joined, their exact
 Jaccard similarity is computed from their texts, and of each component of links only the first
-paragraph stays.
+paragraph stays. Paragraphs with no band of another are told by a filter first, and go no further.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from lodestone.llm.shingles import Words, mix, pieces
 #: MinHash values to a band; with more, fewer unlike pairs collide, but more bands are needed. Paragraphs are
 #: short, so unlike ones seldom share a shingle, while every band is a row to shuffle for each paragraph.
 ROWS = 1
+#: Bits for each key of the filter of bands, and of the whole filter at most (64 MB).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 29
 
 
 def tune_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
@@ -182,12 +184,12 @@ def dedup_paragraphs(
     # Equal sets are one node, which the first paragraph with it stands for.
     found = source.mapInArrow(_each(describe, min_words, width), f"id {kind}, fp long, pos int, n int, sig binary, bands array<long>")
     found = save(found, "paragraphs")
+    near = save(_near(found), "near-paragraphs")
+    drop_saved(found)
     place = F.struct(F.isnull("id").alias("late"), "id", "fp", "pos")
-    nodes = found.groupBy("sig").agg(F.first("n").alias("n"), F.min(place).alias("first"), F.count("*").alias("c"), F.first("bands").alias("bands"))
+    nodes = near.groupBy("sig").agg(F.first("n").alias("n"), F.min(place).alias("first"), F.count("*").alias("c"), F.first("bands").alias("bands"))
     nodes = save(nodes, "paragraph-nodes")
     release(spark)
-    narrow = save(found.select("id", "fp", "pos", "sig"), "paragraph-places")
-    drop_saved(found)
 
     # One shuffle by band, for nodes alone and of nothing but their names; of those that share a band the rest is fetched.
     bands = nodes.select(F.explode("bands").alias("gram"), F.xxhash64("sig").alias("name"))
@@ -234,9 +236,9 @@ def dedup_paragraphs(
         drop_saved(used)
     release(spark)
     # A document's own lines meet in one list, no more.
-    gone = narrow.join(_sent(stays), "sig").where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
+    gone = near.select("id", "fp", "pos", "sig").join(_sent(stays), "sig").where(place != F.col("stays")).groupBy("id", "fp").agg(F.collect_set("pos").alias("gone"))
     gone = save(gone, "paragraphs-gone")
-    for used in (narrow, stays):
+    for used in (near, stays):
         drop_saved(used)
     release(spark)
 
@@ -253,6 +255,35 @@ def dedup_paragraphs(
     return unpacked(out, docs.columns, **new, **{text_col: F.col("done.text")})
 
 
+def _near(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` with a band that another row has too, and a few others; most have none and are never shuffled.
+
+    Only bands are, each summed up where it is read. Those of several rows set two bits each of a filter of bounded size,
+    which goes to all tasks. A full one lets more rows through; none that shares a band is lost.
+    """
+    common = save(found.select(F.explode("bands").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"), "common-bands")
+    release(found.sparkSession)
+    size = min(MOST_FILTER_BITS, max(1 << 15, 1 << (FILTER_BITS * common.count()).bit_length()))
+    low = size - 1
+    at = common.select(F.explode(F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 32).bitwiseAND(low))).alias("at")).select(F.col("at") + 1)
+    bits = at.toDF("at").groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    held = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for bucket, own in zip(bits["bucket"].to_pylist(), bits["bits"], strict=True):
+        held[bucket - 1] = np.frombuffer(own.as_buffer(), np.uint8)
+    held = found.sparkSession.sparkContext.broadcast(held.ravel())
+    drop_saved(common)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            met = np.ones(len(gram), bool)
+            for place in (gram & np.uint64(low), gram >> np.uint64(32) & np.uint64(low)):
+                met &= (held.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(met.reshape(len(batch), -1).any(1) if len(batch) else met))
+
+    return found.mapInArrow(pick, found.schema)
+
+
 def _sent(keys: DataFrame) -> DataFrame:
     """``keys``, to be sent to all tasks if they are few; else Spark shuffles both sides, and splits the large partitions that one key makes."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -542,3 +542,24 @@ def test_paragraphs_bands_are_shuffled_by_name(spark, monkeypatch):
     assert out[0]["n_dropped"] == 0 and all(out[i]["text"].endswith("\n") and out[i]["n_dropped"] > 0 for i in range(1, 60))
     columns, n = saved["paragraph-bands"]
     assert columns == ["gram", "name"] and n < saved["paragraph-nodes"][1]
+
+
+def test_paragraphs_met_by_none_are_not_shuffled(spark, monkeypatch):
+    """Only paragraphs that share a band with another become nodes."""
+    r = random.Random(14)
+    say = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    near = say(40)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(x) for x in (say(60), near[:38] + say(1) + near[39:] if i % 20 == 0 else say(40), say(60)))) for i in range(200)], "doc_id long, text string")
+    saved = {}
+
+    def save(df, label, *more):
+        out = kept(df, label, *more)
+        saved[label] = out.count()
+        return out
+
+    kept = paragraph_dedup.save
+    monkeypatch.setattr(paragraph_dedup, "save", save)
+    out = sorted(map(str, paragraph_dedup.dedup_paragraphs(docs).collect()))
+    assert 10 <= saved["paragraph-nodes"] < saved["paragraphs"] / 4
+    assert sum("n_dropped=0" not in x for x in out) == 9
+
