@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.shared import save
+from lodestone.shared import drop_saved, save
 
 #: Links of a vector, candidates for them, and the beam of a search. Fixed values.
 LINKS, BREADTH, BEAM = 16, 200, 100
@@ -52,11 +52,16 @@ def _apart(u: np.ndarray, own: np.ndarray, near: np.ndarray, links: int) -> np.n
         x, cand = u[own[at : at + ROWS_AT_ONCE]], near[at : at + ROWS_AT_ONCE]
         taken, n, row = np.full((len(x), links), -1, np.int64), np.zeros(len(x), np.int64), np.arange(len(x))
         for j in range(cand.shape[1]):
-            c = u[cand[:, j]]
-            between = np.where(taken >= 0, np.einsum("rd,rkd->rk", c, u[taken]), -np.inf).max(1)
-            good = (n < links) & ((c * x).sum(1) > between)
-            taken[row[good], n[good]] = cand[good, j]
-            n += good
+            # Rows with all their links are over; most are long before the last candidate.
+            row = row[n[row] < links]
+            if not len(row):
+                break
+            c, most = u[cand[row, j]], max(1, n[row].max())
+            held = taken[row, :most]
+            between = np.where(held >= 0, np.einsum("rd,rkd->rk", c, u[held]), -np.inf).max(1)
+            good = row[(c * x[row]).sum(1) > between]
+            taken[good, n[good]] = cand[good, j]
+            n[good] += 1
         out[at : at + ROWS_AT_ONCE] = taken
     return out
 
@@ -129,14 +134,18 @@ def _usable(vectors: DataFrame, *more: str) -> DataFrame:
 
 
 def build(vectors: DataFrame, links: int = LINKS, breadth: int = BREADTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index of ``vectors`` (id, vector): a saved row for each shard with dim, ids, units and links packed.
+    """The index of ``vectors`` (id, vector): a saved row for each shard with its number, dim, ids, units and links packed.
 
     Vectors of each length have shards of their own; null ids and vectors that are null, empty, zero or
-    not finite are left out. Rows that repeat an id with its vector are one.
+    not finite are left out. Rows that repeat an id with its vector are one. Each shard has a task and a file of its
+    own, as its graph takes long and is few bytes, of which Spark would put many in one task.
     """
-    rows = _usable(vectors).withColumn("id", F.col("id").cast("long")).distinct().withColumn("dim", F.size("v"))
-    n = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    rows = rows.join(n, "dim").withColumn("shard", F.pmod(F.xxhash64("id", "v"), "shards").cast("int"))
+    usable = save(_usable(vectors).withColumn("id", F.col("id").cast("long")).distinct().withColumn("dim", F.size("v")), "graph-vectors")
+    n = usable.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    # As many rows as there are lengths.
+    n = save(n.withColumn("before", F.sum("shards").over(Window.orderBy("dim")) - F.col("shards")), "graph-shards")
+    total = n.agg(F.sum("shards")).first()[0] or 1
+    rows = usable.join(n, "dim").withColumn("shard", (F.col("before") + F.pmod(F.xxhash64("id", "v"), "shards")).cast("int"))
 
     def pack(found: pa.Table) -> pa.Table:
         # The order of arrival is a hash of the id, so early vectors are spread over all.
@@ -144,10 +153,13 @@ def build(vectors: DataFrame, links: int = LINKS, breadth: int = BREADTH, shard_
         dim = found["dim"][0].as_py()
         u = _units(found["v"], dim)
         made = graph(u, links, breadth)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "ids": pa.array([found["id"].to_pylist()], pa.list_(pa.int64())), "units": pa.array([u.astype("<f8").tobytes()], pa.large_binary()).cast(pa.binary()), "links": pa.array([made.astype("<i4").tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([found["shard"][0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([found["id"].to_pylist()], pa.list_(pa.int64())), "units": pa.array([u.astype("<f8").tobytes()], pa.large_binary()).cast(pa.binary()), "links": pa.array([made.astype("<i4").tobytes()], pa.binary())})
 
-    shards = rows.select("dim", "shard", "id", "v", F.xxhash64(F.lit(5), "id").alias("arrival")).groupBy("dim", "shard")
-    return save(shards.applyInArrow(pack, "dim int, ids array<long>, units binary, links binary"), "graph-index")
+    shards = rows.select("dim", "shard", "id", "v", F.xxhash64(F.lit(5), "id").alias("arrival")).repartitionById(total, "shard").groupBy("shard")
+    made = save(shards.applyInArrow(pack, "shard int, dim int, ids array<long>, units binary, links binary"), "graph-index")
+    for used in (usable, n):
+        drop_saved(used)
+    return made
 
 
 def _for_blocks(questions: DataFrame, k: int, find: Callable[[dict], DataFrame]) -> DataFrame:
@@ -179,8 +191,14 @@ def _rows(names: list[np.ndarray], ids: list[np.ndarray], scores: list[np.ndarra
 def nearest(index: DataFrame, questions: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """query_id, id, similarity (cosine, six places), rank of about the ``k`` nearest to each of ``questions`` (id, vector), in an index of :func:`build`.
 
-    Ties go by id. A question meets the vectors of its own length. More shards or a wider beam find more.
+    Ties go by id. A question meets the vectors of its own length. More shards or a wider beam find more. Where shards are
+    few, several tasks search each, in turns of TOGETHER questions.
     """
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    turns = min(QUESTIONS_AT_ONCE // TOGETHER, math.ceil(2 * index.sparkSession.sparkContext.defaultParallelism / shards))
+    turns = max(1, min(turns, math.ceil(questions.count() / TOGETHER)))
+    dealt = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    dealt = dealt.repartitionById(shards * turns, (F.col("shard") * turns + F.col("turn")).cast("int"))
 
     def find(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +208,12 @@ def nearest(index: DataFrame, questions: DataFrame, k: int = 20, beam: int = BEA
                     u = np.frombuffer(batch.column("units")[i].as_buffer(), "<f8").reshape(-1, dim)
                     made = np.frombuffer(batch.column("links")[i].as_buffer(), "<i4").reshape(len(u), -1)
                     names, q = held.value.get(dim, (np.empty(0, np.int64), np.empty((0, dim))))
-                    for at in range(0, len(q), TOGETHER):
+                    for at in range(batch.column("turn")[i].as_py() * TOGETHER, len(q), turns * TOGETHER):
                         found, score = search(u, made, q[at : at + TOGETHER], k, max(beam, k))
                         who, place = np.nonzero(found >= 0)
                         yield _rows([names[at + who]], [ids[found[who, place]]], [np.round(score[who, place], 6)])
 
-        return index.mapInArrow(run, RESULT)
+        return dealt.mapInArrow(run, RESULT)
 
     return _for_blocks(questions, k, find)
 

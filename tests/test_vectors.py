@@ -53,6 +53,21 @@ def test_index_over_shards_and_odd_rows(spark, monkeypatch):
     assert graph_index.nearest(graph_index.build(empty), empty).collect() == [] == graph_index.nearest_exactly(empty, table).collect()
 
 
+def test_each_shard_has_a_task(spark, monkeypatch):
+    """Graphs are built one a task, whatever few bytes they are, and one graph is searched by several tasks with the same result."""
+    u = cloud(900, 16, 6)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(u)], "id long, vector array<double>")
+    index = graph_index.build(table, shard_rows=150)
+    assert index.count() > 4 and len(index.inputFiles()) == index.count()
+    one = graph_index.build(table, shard_rows=900)
+    tasks, ran = [], type(one).mapInArrow
+    monkeypatch.setattr(type(one), "mapInArrow", lambda df, *more: (tasks.append(df.rdd.getNumPartitions()), ran(df, *more))[1])
+    near = graph_index.nearest(one, table, 10)
+    monkeypatch.undo()
+    assert tasks == [4]
+    assert graph_index.recall(graph_index.nearest_exactly(table, table, 10), near, 10).agg(F.avg("recall")).first()[0] > 0.97
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_gap_groups(spark, monkeypatch, small):
     if small:
