@@ -50,40 +50,54 @@ def procedures(answers: DataFrame, key: str, text: str = "text", sources: str |
     with it until a blank line; the first line after that closes. Anything else is one block (n 1) as it was written. An
     introduction is left out if empty, a closing if it is empty and ``sources`` (an array) too. Null texts are blocks without a text.
 
-    The lines of an answer are rows; what comes before and after is told by windows over them.
+    The lines of an answer are rows; what comes before and after is told by windows over them. They are shuffled once, and
+    an answer that stays as it is is put together from them. Answers of one key, or of none, are apart; one that is repeated comes again.
     """
     cited = F.size(F.coalesce(sources, F.array())) > 0 if sources else F.lit(False)
-    held = answers.select(key, F.col(text).alias("_text"), cited.alias("_cited"))
-    lines = held.select(key, "_cited", F.posexplode(F.split(F.regexp_replace("_text", "\r\n", "\n"), "\n", -1)).alias("_i", "_line"))
+    of = [key, "_fp"]
+    held = answers.select(key, F.xxhash64(F.col(text), cited).alias("_fp"), cited.alias("_cited"), F.split(F.col(text), "\n", -1).alias("_all"))
+    lines = held.select(*of, "_cited", F.size("_all").alias("_size"), F.posexplode_outer("_all").alias("_i", "_written")).repartition(*of)
+    same = Window.partitionBy(*of, "_i")
+    lines = lines.withColumns({"_copies": F.count("*").over(same), "_copy": F.row_number().over(same.orderBy("_size"))}).where("_copy = 1")
+    line = F.when((F.col("_i") < F.col("_size") - 1) & F.endswith("_written", F.lit("\r")), F.expr("left(_written, length(_written) - 1)")).otherwise(F.col("_written"))
+    lines = lines.withColumn("_line", line)
     number = F.regexp_extract("_line", NUMBERED, 1)
-    w = Window.partitionBy(key).orderBy("_i")
+    whole = Window.partitionBy(*of)
+    w = whole.orderBy("_i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # White space as a text's ends lose it.
     bare = F.regexp_replace("_line", r"^\s+|\s+$", "")
     lines = lines.withColumns({"_n": F.nullif(number, F.lit("")).cast("int"), "_bare": bare}).withColumn("_step", F.count("_n").over(upto))
-    in_step = Window.partitionBy(key, "_step").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    in_step = Window.partitionBy(*of, "_step").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     blank_before = F.coalesce(F.max((F.col("_bare") == "").cast("int")).over(in_step), F.lit(0)) == 1
     closes = (F.col("_step") > 0) & F.col("_n").isNull() & (F.col("_bare") != "") & blank_before
     lines = lines.withColumn("_closed", F.coalesce(F.max(closes.cast("int")).over(upto), F.lit(0)) == 1)
-    whole = lines.groupBy(key).agg(F.count("_n").alias("_steps"), F.min_by("_n", F.when(F.col("_n").isNotNull(), F.col("_i"))).alias("_first"), F.max((F.col("_closed") & F.col("_n").isNotNull()).cast("int")).alias("_late"))
-    good = whole.where((F.col("_steps") >= 2) & (F.col("_first") == 1) & (F.col("_late") == 0)).select(key)
-    part = F.when(F.col("_closed"), F.lit(2)).when(F.col("_step") == 0, F.lit(0)).otherwise(F.lit(1))
-    own = lines.join(good, key, "left_semi").withColumns({"_part": part, "_said": F.when(F.col("_n").isNotNull(), F.trim(F.regexp_extract("_line", NUMBERED, 2))).otherwise(F.col("_bare"))})
-    own = own.withColumn("_group", F.when(F.col("_part") == 1, F.col("_step")).otherwise(0)).where("_part != 1 OR _said != ''")
+    first = F.min_by("_n", F.when(F.col("_n").isNotNull(), F.col("_i"))).over(whole)
+    late = F.max((F.col("_closed") & F.col("_n").isNotNull()).cast("int")).over(whole)
+    lines = lines.withColumn("_good", F.coalesce((F.count("_n").over(whole) >= 2) & (first == 1) & (late == 0), F.lit(False)))
+    part = F.when(~F.col("_good"), F.lit(1)).when(F.col("_closed"), F.lit(2)).when(F.col("_step") == 0, F.lit(0)).otherwise(F.lit(1))
+    said = F.when(~F.col("_good"), F.col("_written")).when(F.col("_n").isNotNull(), F.trim(F.regexp_extract("_line", NUMBERED, 2))).otherwise(F.col("_bare"))
+    own = lines.withColumns({"_part": part, "_said": said}).where("NOT _good OR _part != 1 OR _said != ''")
+    own = own.withColumn("_group", F.when(~F.col("_good"), 1).when(F.col("_part") == 1, F.col("_step")).otherwise(0))
     joined = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_said"))), lambda x: x["_said"])
-    made = own.groupBy(key, "_part", "_group").agg(joined.alias("_lines"), F.first("_cited").alias("_cited"))
+    made = own.groupBy(*of, "_good", "_part", "_group").agg(joined.alias("_lines"), F.count("_i").alias("_n_lines"), F.first("_cited").alias("_cited"), F.first("_copies").cast("int").alias("_copies"))
+    as_written = F.when(F.col("_n_lines") > 0, F.array_join("_lines", "\n"))
     tidy = F.regexp_replace(F.regexp_replace(F.array_join("_lines", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     step = F.array_join("_lines", " ")
-    made = made.withColumn("_whole", F.when(F.col("_part") == 1, step).otherwise(tidy))
-    note = F.col("_part") != 1
-    shown = made.select(key, "_part", "_group", F.when(note, 0).otherwise(F.col("_group")).cast("int").alias("n"), note.alias("note"), without_sources(F.col("_whole")).alias("text"), (~note & F.col("_whole").rlike(PRECAUTION)).alias("warns"), ((F.col("_part") == 2) & F.col("_cited")).alias("with_sources"), (F.col("_part") == 0).alias("_intro"), F.col("_whole").alias("_raw"), "_cited")
-    shown = shown.where("NOT note OR (_intro AND _raw != '') OR (NOT _intro AND (text != '' OR _cited))").drop("_intro", "_raw", "_cited")
+    good = F.col("_good")
+    note = good & (F.col("_part") != 1)
+    made = made.withColumn("_whole", F.when(~good, as_written).when(F.col("_part") == 1, step).otherwise(tidy))
+    made = made.withColumns({"text": F.when(good, without_sources(F.col("_whole"))).otherwise(F.col("_whole")), "note": note})
+    made = made.where("NOT note OR (_part = 0 AND _whole != '') OR (_part = 2 AND (text != '' OR _cited))")
+    place = whole.orderBy("_part", "_group")
     # A procedure without a closing line still shows its sources.
-    open_ends = held.join(good, key, "left_semi").join(shown.where("_part = 2").select(key), key, "left_anti").where("_cited")
-    shown = shown.unionByName(open_ends.select(key, F.lit(2).alias("_part"), F.lit(0).cast("long").alias("_group"), F.lit(0).alias("n"), F.lit(True).alias("note"), F.lit("").alias("text"), F.lit(False).alias("warns"), F.lit(True).alias("with_sources")))
-    blocks = held.join(good, key, "left_anti").select(key, F.lit(1).alias("_part"), F.lit(1).cast("long").alias("_group"), F.lit(1).alias("n"), F.lit(False).alias("note"), F.col("_text").alias("text"), F.lit(False).alias("warns"), F.col("_cited").alias("with_sources"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_group")) - 1
-    return shown.unionByName(blocks).withColumn("pos", place).select(key, "pos", "n", "note", "text", "warns", "with_sources")
+    ends = good & F.col("_cited") & (F.col("_part") != 2) & F.lead("_part").over(place).isNull()
+    made = made.withColumns({"pos": F.row_number().over(place) - 1, "_ends": ends})
+    block = F.struct("pos", F.when(note, 0).otherwise(F.col("_group")).cast("int").alias("n"), "note", "text", (good & ~F.col("note") & F.col("_whole").rlike(PRECAUTION)).alias("warns"), F.when(good, (F.col("_part") == 2) & F.col("_cited")).otherwise(F.col("_cited")).alias("with_sources"))
+    closing = F.struct((F.col("pos") + 1).alias("pos"), F.lit(0).alias("n"), F.lit(True).alias("note"), F.lit("").alias("text"), F.lit(False).alias("warns"), F.lit(True).alias("with_sources"))
+    blocks = F.when(F.col("_ends"), F.array(block, closing)).otherwise(F.array(block))
+    shown = made.select(key, F.explode(F.flatten(F.array_repeat(blocks, F.col("_copies")))).alias("_block"))
+    return shown.select(key, "_block.*")
 
 
 def with_topic(turns: DataFrame, key: str, order: str, leans: Column, role: str = "role", text: str = "text", asker: str = "user") -> DataFrame:

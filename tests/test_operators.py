@@ -279,6 +279,16 @@ def test_procedures(spark):
         assert of(k) == [(1, texts[k], False, k == "null")]
 
 
+def test_procedures_are_shuffled_once(spark):
+    """One exchange, whatever becomes of an answer; texts that stay are as written; answers of one key, or of none, are apart."""
+    rows = [("a", "x\r\n\r\r\ny\r", ["c"]), ("a", "1. p\r\n2. q", None), ("a", "1. p\r\n2. q", None), (None, "u\n", None), (None, "v", ["c"]), (None, None, None)]
+    out = procedures(spark.createDataFrame(rows, "k string, text string, sources array<string>"), "k", sources="sources")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = sorted(map(str, ((r["k"], r["pos"], r["text"], r["with_sources"]) for r in out.collect())))
+    want = [("a", 0, "x\r\n\r\r\ny\r", True), ("a", 0, "p", False), ("a", 1, "q", False), ("a", 0, "p", False), ("a", 1, "q", False), (None, 0, "u\n", False), (None, 0, "v", True), (None, 0, None, False)]
+    assert got == sorted(map(str, want))
+
+
 def test_crawl_goes_on(spark):
     """A run over a part and one over all leave what one over all does; errors are taken up again."""
     makes, years = [("a",), ("b",), ("c",)], [("a", "1"), ("a", "2"), ("b", "1")]
