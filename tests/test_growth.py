@@ -5,6 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone.llm import _common
 from lodestone.operators import aliases, bucket_links, chunking, crawl, gaps, graph_index, knowledge, layout, postings, validation
 from lodestone.shared import save
 
@@ -40,6 +41,19 @@ def test_salted_buckets_are_not_broadcast(spark, monkeypatch):
     assert met and all("SortMergeJoin" in line for line in met)
 
 
+def test_keys_repeated_for_each_salt_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    keys = save(spark.range(50).selectExpr("if(id = 7, null, id) k", "id * 2 first"), "keys")
+    rows = spark.range(400).selectExpr("id", "if(id % 100 = 7, null, id % 100) k")
+    for how, n in (("inner", 200), ("left", 400), ("left_semi", 200), ("left_anti", 200)):
+        met = _common.join_keys(rows, keys, ["k"], ["id"], how)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert met.count() == n
+        if how in ("inner", "left"):
+            assert {r["id"]: r["first"] for r in met.collect()} == {i: i % 100 * 2 if i % 100 < 50 else None for i in range(400) if how == "left" or i % 100 < 50}
+
+
 def test_gap_vectors_are_written_once_however_many_they_meet(spark, monkeypatch):
     """Counts of words all point one way, so that hashes of them share buckets; here no row is written for what two vectors share."""
     monkeypatch.setattr(gaps, "BLOCK_NUMBERS", 2000, raising=False)
