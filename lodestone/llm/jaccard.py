@@ -230,13 +230,16 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     placed = posts.drop("sig2", "n2", "pos2").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of = Window.partitionBy("gram")
     main = F.min(F.struct("pos", "n", "sig", "root")).over(of)
-    placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of)}).where("lo != hi")
+    placed = placed.withColumns({"main": main, "lo": F.min("root").over(of), "hi": F.max("root").over(of), "c": F.count("*").over(of)}).where("lo != hi")
     own = _own_bits(posts)
-    open_posts = save(placed.select("gram", "sig", "n", "pos", "root", F.col("main.root").alias("main"), *own), "open-posts")
-    strays = open_posts.where("root != main").select("gram", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root", *own)])
+    open_posts = save(placed.select("gram", F.lit(0).cast("long").alias("front"), "sig", "n", "pos", "root", F.col("main.root").alias("main"), *own, "c"), "open-posts")
+    if own:
+        open_posts = _by_fronts(open_posts, percent, fetch)
+    open_posts = open_posts.drop("c")
+    strays = open_posts.where("root != main").select("gram", "front", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root", *own)])
     apart = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("sig2")))
     alike = _unlike(F.col("bits"), F.col("bits2")) <= _most_unlike(F.col("n") + F.col("n2"), percent) if own else F.lit(True)
-    more = _links(open_posts.join(strays, "gram").where(apart & _may_link(percent) & alike), percent, fetch, bits)
+    more = _links(open_posts.join(strays, ["gram", "front"]).where(apart & _may_link(percent) & alike), percent, fetch, bits)
     drop_saved(open_posts)
     if more.isEmpty():
         return roots
@@ -244,6 +247,27 @@ def linked_components(posts: DataFrame, percent: int, fetch: Callable[[DataFrame
     return save(components(links.unionByName(more)), "roots")
 
 
+def _by_fronts(open_posts: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``open_posts`` with a row for each n-gram of a node's front where more than FREQUENT nodes share the gram, for sets of one fragment.
+
+    Similar sets share an n-gram of their fronts, whatever the order is. So nodes that share a gram by chance, whose pairs
+    grow with the square of the table, need not all meet. The order here is by how many nodes have an n-gram, then by hash.
+    """
+    many = open_posts.where(F.col("c") > FREQUENT)
+    parts = fetch(many.select("sig").distinct()).join(many.select("sig").distinct(), "sig", "left_semi")
+    each = save(parts.select("sig", F.size("part").alias("size"), F.explode("part").alias("front")), "front-grams")
+    counted = each.groupBy("front").count()
+    order = F.row_number().over(Window.partitionBy("sig").orderBy("count", "front"))
+    front = each.join(counted, "front").withColumn("place", order).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    front = save(front.select("sig", "front"), "fronts")
+    drop_saved(each)
+    few = open_posts.where(F.col("c") <= FREQUENT)
+    out = save(few.unionByName(many.drop("front").join(front, "sig").select(*open_posts.columns)), "open-fronts")
+    for used in (open_posts, front):
+        drop_saved(used)
+    return out
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (sig, sig2, ...) that are of two components, ``roots`` of which has those of two nodes or more."""
     for c in ("sig", "sig2"):

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import _common
+from lodestone.llm import _common, jaccard
 from lodestone.operators import aliases, bucket_links, chunking, crawl, gaps, graph_index, knowledge, layout, postings, validation
 from lodestone.shared import save
 
@@ -54,6 +54,27 @@ def test_keys_repeated_for_each_salt_are_not_broadcast(spark, monkeypatch):
             assert {r["id"]: r["first"] for r in met.collect()} == {i: i % 100 * 2 if i % 100 < 50 else None for i in range(400) if how == "left" or i % 100 < 50}
 
 
+def test_unlike_sets_that_share_a_frequent_gram_do_not_all_meet(spark, monkeypatch):
+    """Of 300 sets around one common member only those that share another of their fronts meet, and the similar ones are found."""
+    written, save = {}, jaccard.save
+
+    def grouped(df, label, *more):
+        out = save(df, label, *more)
+        if label.startswith("open-"):
+            written[label] = out.groupBy(*[c for c in ("gram", "front") if c in out.columns]).count().agg(F.max("count")).first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard, "save", grouped)
+    sets = {i: [5, 6, *range(1000 * i + 1000, 1000 * i + 1008)] for i in range(1, 300)}
+    sets |= {1000 + i: [5, 6, *range(1000 * i + 1000, 1000 * i + 1007), -i] for i in (100, 200)}  # 9 of 11 in common
+    rows = [(f"{i:04d}".encode(), len(x), sorted(x), jaccard.bitmap(np.array(x)).tolist()) for i, x in sets.items()]
+    nodes = jaccard.save(spark.createDataFrame(rows, "sig binary, n int, part array<long>, bits array<long>"), "nodes")
+    posts = jaccard.shared_posts(nodes.select("sig", "n", F.lit(0).alias("pos"), F.lit(5).cast("long").alias("gram"), "bits"))
+    roots = jaccard.linked_components(posts, 80, lambda needed: nodes.select("sig", F.lit(0).alias("fragment"), "part")).collect()
+    assert {(bytes(r["node"]), bytes(r["root"])) for r in roots} == {(x, y) for y, z in ((b"0100", b"1100"), (b"0200", b"1200")) for x in (y, z)}
+    assert written["open-posts"] >= 301 > jaccard.FREQUENT >= written.get("open-fronts", 301)
+
+
 def test_gap_vectors_are_written_once_however_many_they_meet(spark, monkeypatch):
     """Counts of words all point one way, so that hashes of them share buckets; here no row is written for what two vectors share."""
     monkeypatch.setattr(gaps, "BLOCK_NUMBERS", 2000, raising=False)
